@@ -73,21 +73,14 @@ def supersede(applicable: DataFrame) -> DataFrame:
     return applicable.join(naming, ["requirement", "period_id", "claim_id"], "left_anti")
 
 
-def figure_flags(facts: DataFrame) -> DataFrame:
-    """Per claim: which figure groups it states; R1 figures must be positive, R4 figures only present."""
-    def states(fields: tuple[str, ...], positive: bool) -> Column:
-        named = F.col("field_name").isin(*fields)
-        return F.bool_or(named & (F.coalesce(F.col("value_numeric") > 0, F.lit(False)) if positive else F.col("value_numeric").isNotNull()))
-
-    wanted = [f for group in (*model.R1_FIGURES.values(), *model.R4_FIGURES.values()) for f in group]
-    aggs = [states(f, True).alias(f"has_{code}") for code, f in model.R1_FIGURES.items()]
-    aggs += [states(f, False).alias(f"has_{code}") for code, f in model.R4_FIGURES.items()]
+def figure_flags(facts: DataFrame, figures: dict[str, tuple[str, ...]], positive: bool) -> DataFrame:
+    """Per claim: which groups of figures it states; a positive group needs a figure above zero."""
+    wanted = [f for group in figures.values() for f in group]
+    counts = F.coalesce(F.col("value_numeric") > 0, F.lit(False)) if positive else F.col("value_numeric").isNotNull()
+    aggs = [F.bool_or(F.col("field_name").isin(*fields) & counts).alias(f"has_{code}") for code, fields in figures.items()]
     return facts.filter(F.col("field_name").isin(*wanted)).groupBy("claim_id").agg(*aggs)
 
 
-FIGURE_CODES = [*model.R1_FIGURES, *model.R4_FIGURES]
-
-
 @dataclass(frozen=True)
 class Assessment:
     """Lazy frames of one assessment run; every property is a DataFrame, nothing is executed here."""
@@ -110,15 +103,20 @@ class Assessment:
         scoped = supersede(applicable_claims(self.ledger, self.periods))
         return matrix_cells(scoped, self.strict).withColumn("effective_date", S.effective_date(F.col("issued_date"), F.col("received_date")))
 
-    @cached_property
-    def by_class(self) -> DataFrame:
-        """Claims reduced to holding, period, request and priced class."""
-        flags = figure_flags(self.ledger.fact)
-        claims = self.relied.join(flags, "claim_id", "left")
+    def by_class(self, code: str) -> DataFrame:
+        """Claims of one request reduced to holding, period and priced class.
+
+        The request is filtered first, so each claim is shuffled once per request it may answer and the facts
+        are read only where figures decide.
+        """
+        claims = self.relied.filter(F.col("requirement") == code)
+        figures = {"R1": model.R1_FIGURES, "R4": model.R4_FIGURES}.get(code, {})
+        if figures:
+            claims = claims.join(figure_flags(self.ledger.fact, figures, positive=code == "R1"), "claim_id", "left")
         is_pro_forma = F.col("execution_status") == "pro_forma"
         is_executed = F.col("execution_status") == "executed"
         priced = F.when(F.col("priced_class").isNotNull(), F.col("price_per_share"))
-        return claims.groupBy(*KEY, "period_date", "requirement", "priced_class").agg(
+        return claims.groupBy(*KEY, "priced_class").agg(
             F.count("*").alias("claims"),
             F.max(model.severity(F.col("verdict"))).alias("best"),
             F.collect_set("reason_code").alias("reasons"),
@@ -128,7 +126,7 @@ class Assessment:
             F.max(F.when(is_pro_forma, F.col("issued_date"))).alias("last_pro_forma"),
             F.max(F.when(is_executed, F.col("issued_date"))).alias("last_executed"),
             F.bool_or(F.col("effective_date") > F.col("period_date")).alias("subsequent"),
-            *[F.coalesce(F.bool_or(f"has_{c}"), F.lit(False)).alias(f"has_{c}") for c in FIGURE_CODES],
+            *[F.coalesce(F.bool_or(f"has_{c}"), F.lit(False)).alias(f"has_{c}") for c in figures],
         )
 
     @cached_property
@@ -146,7 +144,7 @@ class Assessment:
         return reduce_requirement(self.r1_groups(groups), "R1")
 
     def r1_groups(self, groups: DataFrame) -> DataFrame:
-        mine = self.by_class.filter("requirement = 'R1'")
+        mine = self.by_class("R1")
         names = ["best", "reasons", "actions", *[f"has_{c}" for c in model.R1_FIGURES]]
         exact = mine.filter("priced_class IS NOT NULL").select(*KEY, F.col("priced_class").alias("held_class"), *[F.col(n).alias(f"own_{n}") for n in names])
         free = mine.filter("priced_class IS NULL").select(*KEY, *[F.col(n).alias(f"free_{n}") for n in names])
@@ -182,7 +180,7 @@ class Assessment:
     @cached_property
     def r2_evidence(self) -> DataFrame:
         """R2 class groups against the classes held: which count, and what the set as a whole says."""
-        groups = self.by_class.filter("requirement = 'R2'").join(self.held_dates.select(*KEY, "held_classes"), KEY)
+        groups = self.by_class("R2").join(self.held_dates.select(*KEY, "held_classes"), KEY)
         groups = groups.join(self.authorised, KEY, "left").withColumn("authorised", F.coalesce("authorised", F.lit(False)))
         off = F.col("priced_class").isNotNull() & ~F.array_contains("held_classes", F.col("priced_class")) & ~F.col("authorised")
         groups = groups.withColumn("off_class", F.coalesce(off, F.lit(False)))
@@ -308,7 +306,7 @@ class Assessment:
     def r4(self) -> DataFrame:
         """REQ-04: every lot realised since the previous packet date needs covering evidence and its figures."""
         groups = self.realised_lots.groupBy(*KEY, "security_class").agg(F.count("*").alias("lots"))
-        mine = self.by_class.filter("requirement = 'R4'")
+        mine = self.by_class("R4")
         names = ["best", *[f"has_{c}" for c in model.R4_FIGURES]]
         exact = mine.filter("priced_class IS NOT NULL").select(*KEY, F.col("priced_class").alias("security_class"), *[F.col(n).alias(f"own_{n}") for n in names])
         free = mine.filter("priced_class IS NULL").select(*KEY, *[F.col(n).alias(f"free_{n}") for n in names])
