@@ -319,3 +319,20 @@ def concluded_values(assessment) -> DataFrame:
         (F.col("concluded") - F.col("recomputed")).cast("decimal(38,6)").alias("variance"),
         S.variance_class(F.col("concluded"), F.col("recomputed")).alias("classification"),
         F.when(F.coalesce(F.col("reported_amount") == F.col("concluded"), F.lit(False)), "pass").otherwise("fail").alias("outcome"))
+
+
+def lot_lineage(assessment) -> DataFrame:
+    """VAL-03 per lot: class, shares, price used and whether it was borrowed, for every value that could be derived.
+
+    Lots meet one price row per class, so the join is many to one and a holding of any size streams through it.
+    """
+    priced = assessment.relied.filter("requirement = 'R2' AND price_per_share IS NOT NULL")
+    order = F.struct("issued_date", "claim_id")
+    last = priced.groupBy(*KEY).agg(F.max_by(F.struct("price_per_share", "priced_class"), order).alias("last")).join(assessment.authorised, KEY)
+    usable = per_class(held_classes(assessment), priced, assessment.authorised).filter("class_value IS NOT NULL").select(*KEY)
+    lots = assessment.lots.filter("held").select(*KEY, "lot_id", "held_class", "held_shares").join(usable, KEY, "left_semi")
+    rows = lots.join(class_prices(priced), [*KEY, "held_class"], "left").join(last.select(*KEY, "last"), KEY, "left")
+    return rows.select(
+        *KEY, "lot_id", "held_class", "held_shares", F.coalesce("own.price", "last.price_per_share").alias("price"),
+        S.implied_cost(F.coalesce("own.price", "last.price_per_share"), F.col("held_shares")).cast(MONEY).alias("amount"),
+        (F.col("own").isNull() & ~F.col("last.priced_class").eqNullSafe(F.col("held_class"))).alias("cross_class"))

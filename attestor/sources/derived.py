@@ -218,7 +218,7 @@ FROM {events} JOIN (SELECT holding_id, mark_id, period_id, period_date, cust_key
 SELECT fund_label AS sheet, company, CAST(MAX(cost) AS STRING) AS cost_cell, {_grid_columns('cell')}
 FROM (SELECT f.fund_label, h.company_name || CASE WHEN h.position_type = 'indirect_feeder' THEN ' (Indirect)' ELSE '' END AS company,
              CASE WHEN m.cust_key % 50 = 21 THEN '01Q5' ELSE m.label END AS label, {_CELL} AS cell, c.cost
-      FROM {{f_latest_mark}} AS m JOIN {{f_holding}} AS h ON h.holding_id = m.holding_id JOIN {{f_fund}} AS f ON f.fund_id = h.fund_id
+      FROM (SELECT * FROM {{f_latest_mark}} WHERE cust_key % 41 <> 7) AS m JOIN {{f_holding}} AS h ON h.holding_id = m.holding_id JOIN {{f_fund}} AS f ON f.fund_id = h.fund_id
       LEFT JOIN (SELECT holding_id, CAST(SUM(cost_amount) + CASE WHEN MIN(cust_key) % 23 = 0 THEN 5 ELSE 0 END AS DECIMAL(24,4)) AS cost
                  FROM {{f_lot}} GROUP BY holding_id) AS c ON c.holding_id = m.holding_id) AS t
 GROUP BY fund_label, company
@@ -243,13 +243,13 @@ SELECT h.region_key * 100000000 + h.cust_key + 1 AS sheet_no, h.company_name ||
             WHEN l.order_key % 5 <= 2 THEN CAST(month(l.acquired_date) AS STRING) || '/' || CAST(day(l.acquired_date) AS STRING) || '/' || CAST(year(l.acquired_date) AS STRING)
             WHEN l.order_key % 5 = 3 THEN CAST(month(l.acquired_date) AS STRING) || '/' || CAST(year(l.acquired_date) AS STRING)
             ELSE CAST(year(l.acquired_date) AS STRING) || ' / ' || CAST(year(l.acquired_date) + 1 AS STRING) END AS c5
-FROM {f_lot} AS l JOIN {f_holding} AS h ON h.holding_id = l.holding_id
+FROM {f_lot} AS l JOIN {f_holding} AS h ON h.holding_id = l.holding_id WHERE h.cust_key % 43 <> 9
 UNION ALL
 SELECT h.region_key * 100000000 + h.cust_key + 1, h.company_name || CASE WHEN h.cust_key % 9 = 2 THEN ' (exited)' ELSE '' END,
        l.order_key * 2 + 11, 'Exit', '0', CAST(NULL AS STRING), CAST(NULL AS STRING), CAST(l.shares AS STRING),
        CASE WHEN l.order_key % 7 = 0 THEN CAST(year(l.realized_date) AS STRING)
             ELSE CAST(month(l.realized_date) AS STRING) || '/' || CAST(day(l.realized_date) AS STRING) || '/' || CAST(year(l.realized_date) AS STRING) END
-FROM {f_lot} AS l JOIN {f_holding} AS h ON h.holding_id = l.holding_id WHERE l.realized_date IS NOT NULL
+FROM {f_lot} AS l JOIN {f_holding} AS h ON h.holding_id = l.holding_id WHERE l.realized_date IS NOT NULL AND h.cust_key % 43 <> 9
 UNION ALL
 SELECT h.region_key * 100000000 + h.cust_key + 1, h.company_name || CASE WHEN h.cust_key % 9 = 2 THEN ' (exited)' ELSE '' END, n.row_no,
        CASE n.row_no WHEN 1 THEN CASE h.position_type WHEN 'indirect_feeder' THEN 'Indirect fund exposure through a feeder'
