@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 
 from attestor import model
 
-NUMBER = "decimal(38,6)"
+# Wide enough for any stated figure, narrow enough that a difference of two keeps all six decimals.
+NUMBER = "decimal(34,6)"
 SPACE = r"[ \t\n\r\f\x0B]"
 
 
@@ -82,9 +83,9 @@ def period_scope(fund: Column, label: Column, packet_periods: dict[str, tuple[st
 
 def is_material(gap: Column, reference: Column) -> Column:
     """FN-08: at least the smaller of 0.1% of the reference and 1000; a zero gap never is."""
-    share = F.abs(reference).cast("decimal(34,6)") * F.lit(model.MATERIALITY_RELATIVE).cast("decimal(4,3)")
-    threshold = F.least(share, F.lit(model.MATERIALITY_ABSOLUTE).cast("decimal(38,9)"))
-    return (gap != 0) & (F.abs(gap) >= threshold)
+    share = F.abs(reference).cast("decimal(28,6)") * F.lit(model.MATERIALITY_RELATIVE).cast("decimal(4,3)")
+    threshold = F.least(share, F.lit(model.MATERIALITY_ABSOLUTE).cast("decimal(33,9)"))
+    return (gap != 0) & (F.abs(gap).cast("decimal(28,6)") >= threshold)
 
 
 def is_exit(kind: Column) -> Column:
@@ -164,8 +165,9 @@ def plain_figure(value: Column) -> Column:
 
 def rounds_to(value: Column, stated: Column, unit: Column) -> Column:
     """FN-22: the stated figure is the value rounded half-even to a whole number of units."""
-    usable = F.when(unit != 0, unit)
-    return F.coalesce(stated == F.bround((value / usable).cast("decimal(38,12)"), 0) * usable, F.lit(False))
+    usable = F.when(unit != 0, unit).cast("decimal(12,4)")
+    units = F.bround((value.cast("decimal(26,8)") / usable).cast("decimal(30,12)"), 0).cast("decimal(20,0)")
+    return F.coalesce(stated.cast("decimal(34,8)") == (units * usable).cast("decimal(34,8)"), F.lit(False))
 
 
 def money_text(amount: Column, currency: Column) -> Column:
@@ -257,16 +259,16 @@ def _gap_field(kind: Column, position: int) -> Column:
 
 def variance_class(concluded: Column, recomputed: Column) -> Column:
     """FN-35: exact, a rounding at some power of ten within 0.1% of the value, or for review."""
-    limit = F.abs(concluded).cast("decimal(34,6)") * F.lit("0.001").cast("decimal(4,3)")
+    limit = F.abs(concluded).cast("decimal(28,6)") * F.lit("0.001").cast("decimal(4,3)")
     scales = F.filter(
         F.lit([10**n for n in range(12)]),
         lambda s: (s.cast("decimal(20,0)") <= limit)
-        & (F.bround((recomputed.cast("decimal(26,6)") / s.cast("decimal(12,0)")).cast("decimal(38,12)"), 0)
-           * s.cast("decimal(12,0)") == concluded),
+        & ((F.bround((recomputed.cast("decimal(26,6)") / s.cast("decimal(12,0)")).cast("decimal(30,12)"), 0).cast("decimal(18,0)")
+            * s.cast("decimal(12,0)")).cast("decimal(30,6)") == concluded.cast("decimal(30,6)")),
     )
     return (
         F.when(recomputed.isNull(), "NO_RECOMPUTATION")
-        .when(concluded == recomputed, "EXACT")
+        .when(concluded.cast("decimal(30,6)") == recomputed.cast("decimal(30,6)"), "EXACT")
         .when(F.size(scales) > 0, "ROUNDING_VARIANCE")
         .otherwise("UNRECOGNISED_VARIANCE_REVIEW_REQUIRED")
     )

@@ -184,3 +184,25 @@ def lineage(edges: DataFrame, leaves: DataFrame, max_depth: int = 32) -> DataFra
     else:
         raise ValueError("the figures do not form an acyclic graph within the depth bound")
     return seen.distinct().join(leaves.withColumnRenamed("figure_id", "node"), "node")
+
+
+def fact_map(facts: DataFrame) -> DataFrame:
+    """AGG-10: numeric facts folded to one map per claim; a field with two values is flagged, not silently picked."""
+    one = facts.filter("value_numeric IS NOT NULL").groupBy("claim_id", "field_name").agg(
+        F.countDistinct("value_numeric").alias("values"), F.max("value_numeric").alias("value"))
+    return one.groupBy("claim_id").agg(
+        F.map_from_entries(F.collect_list(F.struct("field_name", "value"))).alias("facts"), (F.max("values") > 1).alias("ambiguous"))
+
+
+DATE_FIELDS = ("fx_rate_effective_date",)
+TEXT_FIELDS = ("currency_pair",)
+
+
+def dated_facts(facts: DataFrame) -> DataFrame:
+    """AGG-11: date and text facts by allow-list; a date that does not read is counted, never dropped."""
+    day = F.col("value_text").try_cast("date")
+    wanted = facts.filter(F.col("field_name").isin(*DATE_FIELDS, *TEXT_FIELDS))
+    return wanted.groupBy("claim_id").agg(
+        *[F.max(F.when(F.col("field_name") == f, day)).alias(f) for f in DATE_FIELDS],
+        *[F.max(F.when(F.col("field_name") == f, F.col("value_text"))).alias(f) for f in TEXT_FIELDS],
+        F.count_if(F.col("field_name").isin(*DATE_FIELDS) & day.isNull()).alias("unreadable"))

@@ -10,7 +10,7 @@ from attestor.operators import temporal
 from attestor.sources import workbook
 from attestor.sources.ledger import Ledger
 
-MONEY = "decimal(38,6)"
+MONEY = "decimal(36,6)"
 
 
 def tranches(fr) -> DataFrame:

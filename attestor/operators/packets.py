@@ -52,3 +52,243 @@ def stale_approvals(approvals: DataFrame, prints: DataFrame) -> DataFrame:
     """An approval is current only while its recorded fingerprint equals the one computed now."""
     now = prints.select(*KEY, "fingerprint")
     return approvals.join(now, KEY, "left").withColumn("current", F.coalesce(F.col("recorded") == F.col("fingerprint"), F.lit(False)))
+
+
+def valuation_approvals(assessment: Assessment) -> DataFrame:
+    """Latest valuation decision per mark with the number of assessments it binds; approved needs at least one."""
+    ledger = assessment.ledger
+    bound = ledger.decision_evidence.groupBy("decision_id").agg(F.count("*").alias("bound"))
+    latest = joins.latest_decisions(ledger).join(bound, "decision_id", "left").withColumn("bound", F.coalesce("bound", F.lit(0)))
+    return latest.withColumn("approved", (F.col("status") == "approved") & (F.col("bound") > 0)).withColumnRenamed("status", "decision_status")
+
+
+def packet_rows(assessment: Assessment) -> DataFrame:
+    """Members with verdicts, support, approval and the number of recorded gaps."""
+    ledger = assessment.ledger
+    gaps = ledger.gap.groupBy("holding_id").agg(F.count("*").alias("gaps"))
+    names = ledger.holding.select("holding_id", "company_name", "position_type")
+    rows = assessment.rows.join(names, "holding_id").join(valuation_approvals(assessment), "mark_id", "left").join(gaps, "holding_id", "left")
+    return rows.withColumn("approved", F.coalesce("approved", F.lit(False))).withColumn("gaps", F.coalesce("gaps", F.lit(0)))
+
+
+def period_totals(assessment: Assessment, tracker_totals: DataFrame) -> DataFrame:
+    """AGG-14: totals of each fund-date, the tracker's own figure beside it, and what blocks an approved total.
+
+    Blockers are tested in order: unsupported, underivable, mismatched, unapproved.
+    """
+    rows = validated_amounts(assessment).join(valuation_approvals(assessment).select("mark_id", "approved"), "mark_id", "left").filter("held")
+    zero = F.lit(0).cast("decimal(24,4)")
+    amount = F.coalesce("reported_amount", zero)
+    out = rows.groupBy("fund_id", "period_id").agg(
+        F.count("*").alias("positions_held"), F.sum(amount).cast("decimal(34,4)").alias("reported_total"),
+        F.sum(F.when(~F.col("fully_supported"), amount).otherwise(zero)).cast("decimal(34,4)").alias("unsupported_subtotal"),
+        F.count_if(~F.col("fully_supported")).alias("unsupported_rows"),
+        F.count_if(F.col("validated").isNull()).alias("underived_rows"),
+        F.count_if(~F.coalesce("matches", F.lit(True))).alias("mismatched_rows"),
+        F.count_if(~F.coalesce("approved", F.lit(False))).alias("unapproved_rows"),
+        F.sum("validated").cast("decimal(38,6)").alias("validated_total"))
+    blocked = (
+        F.when(F.col("unsupported_rows") > 0, "unsupported_rows").when(F.col("underived_rows") > 0, "validated_amount_not_derivable")
+        .when(F.col("mismatched_rows") > 0, "validated_reported_mismatch").when(F.col("unapproved_rows") > 0, "no_valuation_approval"))
+    joined = out.join(tracker_totals, ["fund_id", "period_id"], "left").withColumn("blocked_by", blocked)
+    return joined.withColumn("approved_total", F.when(F.col("blocked_by").isNull(), F.col("validated_total"))).withColumn(
+        "delta", (F.col("reported_total") - F.col("tracker_total")).cast("decimal(35,4)")).drop("validated_total")
+
+
+def scorecard(rows: DataFrame, periods: DataFrame) -> DataFrame:
+    """AGG-15: counts per listed fund-period; a period without positions keeps its line with null counts."""
+    counted = rows.groupBy("fund_id", "period_id").agg(
+        F.count("*").alias("positions"), F.count_if("supported").alias("fully_supported"), F.count_if(~F.col("supported")).alias("open_gap_positions"),
+        F.count_if("pro_forma").alias("pro_forma_positions"), F.count_if("held").alias("held_at_date"), F.count_if(~F.col("held")).alias("not_held_at_date"))
+    lines = periods.select("fund_id", "period_id", "label").join(counted, ["fund_id", "period_id"], "left")
+    return lines.withColumn("absent_reason", F.when(F.col("positions").isNull(), "the ledger lists this fund-period but holds no position for it"))
+
+
+def packet_counts(rows: DataFrame) -> DataFrame:
+    """AGG-16: the figures of the cover page, per fund-period."""
+    return rows.groupBy("fund_id", "period_id").agg(
+        F.count("*").alias("positions"), F.count_if("held").alias("held"), F.count_if(~F.col("held")).alias("unheld"),
+        F.count_if(F.col("mark_id").isNotNull()).alias("marked"), F.count_if("supported").alias("supported"),
+        F.count_if("approved").alias("approved"), F.sum("gaps").alias("gap_observations"))
+
+
+def mark_state(rows_date: str = "period_date") -> Column:
+    day = F.col(rows_date).cast("string")
+    return (
+        F.when(F.col("mark_id").isNotNull(), F.concat(F.lit("revision "), F.col("revision").cast("string"), F.lit(" (mark "), "mark_id", F.lit(")")))
+        .when(~F.col("held"), F.concat(F.lit("no mark — not held at "), day)).otherwise(F.concat(F.lit("no mark recorded at "), day)))
+
+
+def support_text() -> Column:
+    """What the support column says: supported, not supported with reasons, or not held with the request that applies."""
+    entries = F.array_sort(F.transform(F.map_entries("unsupported_reasons"), lambda e: F.concat_ws(" ", e.key, e.value)))
+    detail = F.concat_ws("; ", entries)
+    unheld_na = ~F.col("held") & F.forall(F.map_entries("unsupported_reasons"), lambda e: (e.key == "R4") & (e.value == "not assessed"))
+    return (
+        F.when(F.col("supported"), "supported")
+        .when(unheld_na, F.concat(F.lit("not held at this date: "), detail))
+        .otherwise(F.concat(F.lit("not supported: "), detail)))
+
+
+def approval_text() -> Column:
+    stamp = F.date_format("decided_at", "yyyy-MM-dd HH:mm:ss")
+    return (
+        F.when(F.col("decision_id").isNull(), "none recorded")
+        .when(F.col("approved"), F.concat(F.lit("approved by "), "actor_id", F.lit(" on "), stamp))
+        .otherwise(F.concat(F.lit("valuation "), "decision_status", F.lit(" — not an approval"))))
+
+
+def holdings_table(assessment: Assessment) -> DataFrame:
+    """PKT-02: one row per position; a missing mark stays blank and says why."""
+    derived = recomputations(assessment).select(*KEY, F.col("reason").alias("derivation_reason"), F.when(F.col("derived").isNotNull(), "derivable").otherwise("not_derivable").alias("derivation_status"))
+    rows = packet_rows(assessment).join(derived, KEY)
+    return rows.select(
+        "fund_id", "period_id", "company_name", "holding_id", "position_type", F.when(F.col("held"), "yes").otherwise("no").alias("held"),
+        mark_state().alias("mark_state"), "reported_amount", "reported_currency", "derivation_status", "derivation_reason",
+        support_text().alias("evidence_support"), *[c.lower() for c in model.REQUESTS], "gaps", approval_text().alias("valuation_approval"))
+
+
+def reading_order(outcome: Column) -> Column:
+    """WIN-12: declared order of outcomes, disagreements first."""
+    out = F.lit(len(model.VALIDATOR_ORDER))
+    for n, name in reversed(list(enumerate(model.VALIDATOR_ORDER))):
+        out = F.when(outcome == name, n).otherwise(out)
+    return out
+
+
+def recomputation_table(assessment: Assessment) -> DataFrame:
+    """PKT-03: derived beside reported with the parts of the figure; the position in reading order is a column to sort by."""
+    parts = F.concat_ws(" + ", F.transform("parts", lambda p: F.concat(p.shares, F.lit(" "), p.held_class, F.lit(" x "), p.price)))
+    names = assessment.ledger.holding.select("holding_id", "company_name")
+    return recomputations(assessment).join(names, "holding_id").select(
+        "fund_id", "period_id", reading_order(F.col("outcome")).alias("reading_order"), "company_name", "holding_id", "outcome", "reason", "derived", "reported",
+        "difference", F.when(F.size("parts") > 0, parts).alias("per_class"), F.when(F.size("evidence") > 0, F.concat_ws(", ", "evidence")).alias("evidence"))
+
+
+def requirements_table(assessment: Assessment) -> DataFrame:
+    """PKT-04: every member against all five requests; what does not arise is said, not left out."""
+    from attestor.operators.rules import links
+
+    spark = assessment.ledger.holding.sparkSession
+    codes_frame = F.broadcast(spark.createDataFrame(list(model.REQUEST_CATEGORY.items()), "requirement string, category string"))
+    cited = links(assessment).groupBy(*KEY, "requirement").agg(F.count("*").alias("evidence_claims"), F.bool_or("is_subsequent").alias("includes_subsequent"))
+    base = assessment.members.select("fund_id", "period_date", *KEY).crossJoin(codes_frame)
+    full = base.join(assessment.outcomes, [*KEY, "requirement"], "left").join(cited, [*KEY, "requirement"], "left")
+    verdict = F.coalesce("verdict", F.lit("not_applicable"))
+    return full.select(
+        "fund_id", "period_id", "holding_id", "requirement", "category", verdict.alias("verdict"), (verdict != "not_applicable").alias("applicable"),
+        F.coalesce("pro_forma", F.lit(False)).alias("pro_forma"), F.concat_ws("; ", "reasons").alias("reason_codes"),
+        F.concat_ws("; ", "next_actions").alias("next_actions"), F.coalesce("evidence_claims", F.lit(0)).alias("evidence_claims"),
+        F.coalesce("includes_subsequent", F.lit(False)).alias("includes_subsequent"))
+
+
+def evidence_index(assessment: Assessment) -> DataFrame:
+    """PKT-05: one row per cited fact and packet with the requests that rely on its claim."""
+    from attestor.operators.rules import links
+
+    ledger = assessment.ledger
+    relied = links(assessment).groupBy("period_id", "claim_id").agg(F.concat_ws("; ", F.array_sort(F.collect_set("requirement"))).alias("relied_on"))
+    claims = ledger.claim.select("claim_id", "holding_id", "source_class", "execution_status", "issued_date", "document_no")
+    cited = ledger.fact.select("claim_id", "field_name", "value_text", "value_numeric", "state", "span_start", "span_end", "quote").join(claims, "claim_id")
+    names = ledger.document.select("document_no", "document_id", "filename")
+    return (
+        cited.join(assessment.members.select(*KEY, "fund_id"), "holding_id").join(names, "document_no")
+        .join(relied, ["period_id", "claim_id"], "left").withColumn("relied_on", F.coalesce("relied_on", F.lit("not relied on"))))
+
+
+def approval_log(assessment: Assessment) -> DataFrame:
+    """PKT-06: one line per decision on a member's mark; a member without any keeps a line that says so."""
+    ledger = assessment.ledger
+    bound = ledger.decision_evidence.groupBy("decision_id").agg(F.count("*").alias("bound"))
+    every = ledger.decision.filter("mark_id IS NOT NULL").join(bound, "decision_id", "left").select(
+        "mark_id", "decision_id", F.concat(F.concat_ws(" ", "decision_type", "status"), F.lit(" by "), "actor_id", F.lit(" ("), F.coalesce("bound", F.lit(0)).cast("string"), F.lit(" bound)")).alias("decision"))
+    rows = packet_rows(assessment).select("fund_id", "period_id", "holding_id", "mark_id", "reported_amount", "approved", support_text().alias("evidence_support"))
+    return rows.join(every, "mark_id", "left").withColumn("decision", F.coalesce("decision", F.lit("none recorded")))
+
+
+def gap_report(assessment: Assessment) -> DataFrame:
+    """PKT-07: everything a packet does not evidence, five kinds of finding in one shape."""
+    ledger = assessment.ledger
+    rows = packet_rows(assessment)
+    shape = ["fund_id", "period_id", "holding_id", "finding", "requirement", "kind", "remediation", "basis"]
+    none = F.lit(None).cast("string")
+    recorded = assessment.members.select("fund_id", *KEY).join(ledger.gap.drop("gap_id"), "holding_id").select(
+        "fund_id", "period_id", "holding_id", F.lit("missing_document").alias("finding"), "requirement", "kind", F.lit("open").alias("remediation"), F.col("missing_document").alias("basis"))
+    reasons = F.col("unsupported_reasons")
+    each = rows.select("*", F.explode(F.map_entries(reasons)).alias("e"))
+    inapplicable = ~F.col("held") & (F.col("e.key") == "R4") & (F.col("e.value") == "not assessed")
+    unsupported = each.select(
+        "fund_id", "period_id", "holding_id", F.when(inapplicable, "requirement_not_applicable").otherwise("unsupported_requirement").alias("finding"),
+        F.col("e.key").alias("requirement"), F.col("e.value").alias("kind"), F.when(inapplicable, "not_applicable").otherwise("open").alias("remediation"),
+        F.when(inapplicable, F.concat(F.lit("the position was not held at "), F.col("period_date").cast("string"))).alias("basis"))
+    unmarked = rows.filter("mark_id IS NULL").select(
+        "fund_id", "period_id", "holding_id", F.lit("no_mark_at_this_date").alias("finding"), none.alias("requirement"),
+        F.when(F.col("held"), "held_without_a_mark").otherwise("not_held").alias("kind"), F.lit("open").alias("remediation"), mark_state().alias("basis"))
+    unapproved = rows.filter("NOT approved").select(
+        "fund_id", "period_id", "holding_id", F.lit("no_valuation_approval").alias("finding"), none.alias("requirement"),
+        F.lit("open").alias("kind"), F.lit("open").alias("remediation"), approval_text().alias("basis"))
+    undocumented = assessment.members.select("fund_id", *KEY).join(ledger.claim.select("holding_id").distinct(), "holding_id", "left_anti").select(
+        "fund_id", "period_id", "holding_id", F.lit("no_source_documents").alias("finding"), none.alias("requirement"),
+        F.lit("not_located").alias("kind"), F.lit("open").alias("remediation"), F.lit("the company folder for this position is empty").alias("basis"))
+    out = recorded.select(*shape)
+    for part in (unsupported, unmarked, unapproved, undocumented):
+        out = out.unionByName(part.select(*shape))
+    return out
+
+
+def statement(tally: DataFrame) -> DataFrame:
+    """PKT-08: the sentence of the cover, from the counts and the totals it must not contradict."""
+    opening = F.when(F.col("approved") == 0, F.concat(F.lit("No position in this packet carries a recorded valuation approval (0 of "), F.col("positions").cast("string"), F.lit(")."))).otherwise(
+        F.concat(F.col("approved").cast("string"), F.lit(" of "), F.col("positions").cast("string"), F.lit(" positions carry a recorded valuation approval.")))
+    body = F.when(F.col("unsupported_positions") > 0, F.concat(
+        F.col("unsupported_amount").cast("string"), F.lit(" of the "), F.col("amount").cast("string"), F.lit(" held_at_date_reported figure, across "),
+        F.col("unsupported_positions").cast("string"), F.lit(" of "), F.col("held").cast("string"), F.lit(" held positions, is not supported."))).otherwise(
+        F.lit("Every held position has sufficient evidence for each applicable request."))
+    return tally.withColumn("statement", F.concat_ws(" ", opening, body))
+
+
+def cover(assessment: Assessment) -> DataFrame:
+    """PKT-08: key/value lines per fund-period."""
+    rows = packet_rows(assessment)
+    held = totals.held_totals(rows, ["fund_id", "period_id"]).drop("positions_held", "currencies", "kind")
+    tally = statement(packet_counts(rows).join(held, ["fund_id", "period_id"]))
+    items = ["positions", "held", "unheld", "marked", "supported", "approved", "gap_observations", "amount", "unsupported_amount",
+             "unsupported_positions", "unheld_gap_positions", "statement"]
+    text = tally.select("fund_id", "period_id", *[F.col(i).cast("string").alias(i) for i in items])
+    return text.unpivot(["fund_id", "period_id"], items, "item", "value")
+
+
+def evidence_documents(assessment: Assessment) -> DataFrame:
+    """PKT-09: each document once per packet, however many claims cite it."""
+    claims = assessment.ledger.claim.select("holding_id", "document_no")
+    return assessment.members.select("fund_id", *KEY).join(claims, "holding_id").join(
+        assessment.ledger.document.select("document_no", "document_id"), "document_no").select("fund_id", "period_id", "document_id").distinct()
+
+
+def row_json(assessment: Assessment) -> DataFrame:
+    """PKT-10: a row and its computed conclusion as JSON; nulls are left out."""
+    return packet_rows(assessment).select(*KEY, F.to_json(F.struct(
+        F.col("approved"), F.col("held"), F.col("holding_id").alias("holding"), F.col("reported_amount").cast("string").alias("reported"), F.col("row_verdict"), F.col("supported"))).alias("json"))
+
+
+def row_payload(assessment: Assessment) -> DataFrame:
+    """PKT-12: what a restatement may draw on: verdict, reasons and the steps somebody must still take."""
+    arises = assessment.outcomes.filter("verdict <> 'not_applicable'")
+    empty_to_null = lambda c: F.when(F.size(c) > 0, F.col(c))
+    return arises.select(*KEY, "requirement", F.to_json(F.struct(
+        empty_to_null("next_actions").alias("not_yet_done"), empty_to_null("reasons").alias("reasons"), F.col("verdict"))).alias("payload"))
+
+
+def holding_file(assessment: Assessment, holding_id: str) -> DataFrame:
+    """PKT-13: every claim of one holding with its facts and cited passages; the filter reaches the scan."""
+    ledger = assessment.ledger
+    claims = ledger.claim.filter(F.col("holding_id") == holding_id).select("claim_id", "source_class", "issued_date", "document_no")
+    facts = ledger.fact.filter(F.col("holding_id") == holding_id).select("claim_id", "field_name", "value_text", "quote", "span_start", "span_end")
+    return claims.join(facts, "claim_id", "left")
+
+
+def document_file(documents: DataFrame, document_id: str) -> DataFrame:
+    """PKT-14: one document with extractor, hashes and length."""
+    return documents.filter(F.col("document_id") == document_id).select(
+        "document_id", "filename", "extractor", S.text_hash(F.col("extractor"), F.col("canonical_text")).alias("text_hash"),
+        F.length("canonical_text").alias("text_length"), "canonical_text")

@@ -417,3 +417,37 @@ def support(rows: DataFrame) -> DataFrame:
         rows.withColumn("unsupported_reasons", F.map_from_entries(F.array_compact(F.array(*entries))))
         .withColumn("supported", F.size("unsupported_reasons") == 0)
     )
+
+
+def links(assessment: Assessment) -> DataFrame:
+    """Long form of what each request relied on: one row per claim, never an array per holding."""
+    held = assessment.lots.filter(temporal.held_during_year(F.col("period_date"))).select(*KEY, F.col("held_class").alias("priced_class")).distinct()
+    cols = [*KEY, "requirement", "claim_id", (F.col("effective_date") > F.col("period_date")).alias("is_subsequent")]
+    r1 = assessment.relied.filter("requirement = 'R1'")
+    covering = r1.filter("priced_class IS NOT NULL").join(held, [*KEY, "priced_class"], "left_semi").select(*cols)
+    free = r1.filter("priced_class IS NULL").join(held.select(*KEY).distinct(), KEY, "left_semi").select(*cols)
+    r2 = assessment.relied.filter("requirement = 'R2'").join(assessment.held_dates.select(*KEY), KEY, "left_semi").select(*cols)
+    r4 = assessment.relied.filter("requirement = 'R4'").join(assessment.realised_lots.select(*KEY).distinct(), KEY, "left_semi").select(*cols)
+    return covering.unionByName(free).unionByName(r2).unionByName(r4)
+
+
+def best_and_worst(verdicts: DataFrame, keys: list[str]) -> DataFrame:
+    """AGG-07: extremes on the local severity order; verdicts outside it never reduce."""
+    ranked = verdicts.withColumn("ord", model.severity(F.col("verdict"))).filter("ord IS NOT NULL")
+    out = ranked.groupBy(*keys).agg(F.min("ord").alias("low"), F.max("ord").alias("high"))
+    return out.select(*keys, model.verdict_of(F.col("low")).alias("worst"), model.verdict_of(F.col("high")).alias("best"))
+
+
+def reduce_links(groups: DataFrame, keys: list[str]) -> DataFrame:
+    """AGG-08: the best link decides unless prices of one class contradict each other."""
+    clash = F.coalesce(F.bool_or(F.col("priced_class").isNotNull() & (F.col("low_price") != F.col("high_price"))), F.lit(False))
+    out = groups.groupBy(*keys).agg(F.max("best").alias("best"), clash.alias("contradicted"))
+    return out.select(*keys, F.when(F.col("contradicted"), "conflicting").otherwise(model.verdict_of(F.col("best"))).alias("verdict"))
+
+
+def reduce_rows(assessments: DataFrame, keys: list[str]) -> DataFrame:
+    """AGG-09 over stored assessments: conflicting dominates, N/A drops out, the worst of the rest stays."""
+    out = assessments.groupBy(*keys).agg(
+        F.bool_or(F.col("verdict") == "conflicting").alias("conflicting"), F.min(model.severity(F.col("verdict"))).alias("low"))
+    return out.select(*keys, F.when(F.col("conflicting"), "conflicting").when(F.col("low").isNull(), "not_applicable").otherwise(
+        model.verdict_of(F.col("low"))).alias("verdict"))

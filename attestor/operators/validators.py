@@ -19,7 +19,7 @@ def stated_values(facts: DataFrame) -> DataFrame:
 
 
 KEY = ["holding_id", "period_id"]
-MONEY = "decimal(38,6)"
+MONEY = "decimal(36,6)"
 
 
 def compared(computed, stated):
@@ -93,8 +93,8 @@ def diluted_shares(rounds: DataFrame) -> DataFrame:
 
 def fx_recomputation(values: DataFrame) -> DataFrame:
     """VAL-07: foreign amount times rate against the concluded value; a stated rounding unit explains a variance."""
-    recomputed = (F.col("foreign_amount").cast("decimal(20,4)") * F.col("rate").cast("decimal(16,8)")).cast("decimal(38,8)")
-    concluded = F.col("concluded").cast("decimal(38,8)")
+    recomputed = (F.col("foreign_amount").cast("decimal(20,4)") * F.col("rate").cast("decimal(16,8)")).cast("decimal(34,8)")
+    concluded = F.col("concluded").cast("decimal(34,8)")
     rounding = S.rounds_to(F.col("computed"), concluded, F.col("rounding_unit"))
     return values.withColumn("computed", recomputed).withColumn(
         "reason", F.when(F.col("computed") == concluded, "EXACT").when(rounding, "ROUNDING_VARIANCE").otherwise("UNRECOGNISED_VARIANCE")
@@ -310,13 +310,13 @@ def concluded_values(assessment) -> DataFrame:
     rates = ledger.fact.filter("field_name = 'fx_rate'").select("claim_id", F.col("value_numeric").alias("rate"))
     claims = ledger.claim.select("claim_id", "holding_id", "fund_id", "applicable_from").join(concluded, "claim_id").join(rates, "claim_id", "left")
     foreign = ledger.lot.groupBy("holding_id").agg(F.min_by("cost_amount", "lot_id").alias("foreign_amount"))
-    recomputed = (F.col("foreign_amount").cast("decimal(20,4)") * F.col("rate").cast("decimal(16,6)")).cast("decimal(38,6)")
+    recomputed = (F.col("foreign_amount").cast("decimal(20,4)") * F.col("rate").cast("decimal(16,6)")).cast("decimal(30,6)")
     at_close = F.expr("make_date(year(applicable_from), 12, 31)")
     marks = assessment.members.filter("mark_id IS NOT NULL").select("holding_id", "period_date", "reported_amount")
     rows = claims.join(foreign, "holding_id", "left").withColumn("recomputed", recomputed).withColumn("period_date", at_close)
     return rows.join(marks, ["holding_id", "period_date"], "left").select(
         "claim_id", F.col("concluded").cast("decimal(26,6)").alias("concluded"), "reported_amount", "recomputed",
-        (F.col("concluded") - F.col("recomputed")).cast("decimal(38,6)").alias("variance"),
+        (F.col("concluded") - F.col("recomputed")).cast("decimal(32,6)").alias("variance"),
         S.variance_class(F.col("concluded"), F.col("recomputed")).alias("classification"),
         F.when(F.coalesce(F.col("reported_amount") == F.col("concluded"), F.lit(False)), "pass").otherwise("fail").alias("outcome"))
 

@@ -214,6 +214,25 @@ FROM {events} JOIN (SELECT holding_id, mark_id, period_id, period_date, cust_key
         row_number() OVER (PARTITION BY holding_id ORDER BY period_date DESC, revision DESC) AS rn FROM {f_mark}
         WHERE audit_scope = 'packet') AS m
   ON m.cust_key = user_id AND m.rn = 1""",
+    "f_decision_evidence": """
+SELECT decision_id, mark_id, mark_id || '/' || requirement AS assessment_id, requirement
+FROM {f_decision} CROSS JOIN (VALUES ('R1'), ('R2')) AS r(requirement)
+WHERE decision_type = 'valuation' AND decision_id % 5 <> 0 AND NOT (requirement = 'R2' AND decision_id % 9 = 4)""",
+    "f_assessment": """
+SELECT mark_id || '/' || requirement AS assessment_id, mark_id, holding_id, period_id, period_date, revision, requirement,
+       requirement <> 'R4' OR cust_key % 3 = 0 AS applicable,
+       CASE WHEN requirement = 'R4' THEN CASE WHEN cust_key % 3 = 0 THEN 'partial' ELSE 'not_applicable' END
+            WHEN cust_key % 29 = 7 THEN 'not_applicable'
+            ELSE CASE (cust_key + n) % 6 WHEN 0 THEN 'missing' WHEN 1 THEN 'partial' ELSE 'sufficient' END END AS verdict,
+       CASE WHEN cust_key % 8 = 5 THEN 'policy-0' ELSE 'policy-1' END AS policy_version,
+       CASE WHEN cust_key % 12 = 2 THEN '' ELSE 'REASON' END AS reason_code
+FROM {f_latest_mark} CROSS JOIN (VALUES ('R1', 1), ('R2', 2), ('R4', 3)) AS r(requirement, n)
+WHERE audit_scope = 'packet' AND NOT (requirement = 'R2' AND cust_key % 21 = 4)""",
+    "f_link": """
+SELECT a.assessment_id, a.holding_id, a.period_date, a.requirement, c.claim_id,
+       (greatest(c.issued_date, coalesce(c.received_date, c.issued_date)) > a.period_date) <> (c.part_key % 17 = 0) AS is_subsequent
+FROM {f_assessment} AS a JOIN {f_claim} AS c ON c.holding_id = a.holding_id AND c.line_no = 1
+ AND ((a.requirement = 'R1' AND c.r1) OR (a.requirement = 'R2' AND c.r2) OR (a.requirement = 'R4' AND c.r4))""",
     "f_grid": f"""
 SELECT fund_label AS sheet, company, CAST(MAX(cost) AS STRING) AS cost_cell, {_grid_columns('cell')}
 FROM (SELECT f.fund_label, h.company_name || CASE WHEN h.position_type = 'indirect_feeder' THEN ' (Indirect)' ELSE '' END AS company,

@@ -24,6 +24,7 @@ class Ledger:
     component: DataFrame
     support: DataFrame
     decision: DataFrame
+    decision_evidence: DataFrame
     policy_decision: DataFrame
     document: DataFrame
 
@@ -52,6 +53,7 @@ SCHEMAS = {
     "support": "holding_id string, component string, supported_on date, lot_id string, claim_id string",
     "decision": "decision_id bigint, decision_type string, status string, assessment_kind string, holding_id string, mark_id string, "
                 "period_id string, period_date date, decided_at timestamp, actor_id string",
+    "decision_evidence": "decision_id bigint, mark_id string, assessment_id string, requirement string",
     "policy_decision": "decision_id string, holding_id string, fund_id string, period_id string, period_date date, from_class string, to_class string",
     "document": "document_id string, document_no bigint, canonical_text string, filename string, extractor string",
 }
@@ -77,5 +79,5 @@ def from_derived(fr: DerivedFrames) -> Ledger:
     return Ledger(
         fund=fr["f_fund"], holding=fr["f_holding"], period=fr["f_period"], lot=fr["f_lot"], conversion=fr["f_conversion"],
         mark=fr["f_mark"], claim=claim, fact=fr["f_fact"], gap=fr["f_gap"], component=fr["f_component"], support=fr["f_support"],
-        decision=fr["f_decision"], policy_decision=fr["f_policy_decision"], document=fr["f_document"],
+        decision=fr["f_decision"], decision_evidence=fr["f_decision_evidence"], policy_decision=fr["f_policy_decision"], document=fr["f_document"],
     )
