@@ -26,15 +26,25 @@ def build_session(app: str = "attestor", master: str | None = None, shuffle_part
     )
 
 
-def cut_lineage(df: DataFrame) -> DataFrame:
-    """Reliable checkpoint in the folder the cluster names; survives a lost executor."""
-    spark = df.sparkSession
-    context = spark.sparkContext
+def shared_folder(spark: SparkSession) -> str:
+    """The folder every executor can reach: the one the cluster names, a local one only in local mode."""
     folder = spark.conf.get("spark.checkpoint.dir", None)
+    if folder is None:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder every executor can reach")
+        app = spark.sparkContext.applicationId
+        if app not in _local_folders:
+            _local_folders[app] = tempfile.mkdtemp(prefix="attestor-")
+        folder = _local_folders[app]
+    return folder
+
+
+_local_folders: dict[str, str] = {}
+
+
+def cut_lineage(df: DataFrame) -> DataFrame:
+    """Reliable checkpoint in the shared folder; survives a lost executor."""
+    context = df.sparkSession.sparkContext
     if context.getCheckpointDir() is None:
-        if folder is None:
-            if not context.master.startswith("local"):
-                raise ValueError("set spark.checkpoint.dir to a folder every executor can reach")
-            folder = tempfile.mkdtemp(prefix="attestor-checkpoint-")
-        context.setCheckpointDir(folder)
+        context.setCheckpointDir(shared_folder(df.sparkSession))
     return df.checkpoint(eager=True)

@@ -7,10 +7,14 @@ statement are written separately.
 
 from __future__ import annotations
 
+import hashlib
 import re
+import threading
 
 from pyspark.sql import DataFrame, SparkSession
 
+from attestor.session import shared_folder
+
 TABLES = (
     "region nation customer supplier part orders lineitem events documents embeddings pages "
     "benchmark labels conversations"
@@ -312,23 +316,46 @@ SELECT 'd' || CAST(doc_id AS STRING) AS document_id, doc_id AS document_no, text
 _NAME = re.compile(r"\{(\w+)\}")
 
 
+_staged: dict[tuple[str, str, str], str] = {}
+_staging = threading.RLock()
+
+
 class DerivedFrames:
-    """Lazy access by name: ``frames["f_lot"]`` builds the frame and whatever it stands on."""
+    """Access by name: ``frames["f_lot"]`` builds the frame and whatever it stands on.
+
+    The ledger is staged the way a user would hold it: each frame is written once per application as a Parquet
+    table in the shared folder, so queries read narrow columns instead of deriving the ledger again, and a lost
+    executor costs a re-read, not a re-derivation.
+    """
 
-    def __init__(self, spark: SparkSession, folder: str):
-        self.spark, self.folder = spark, folder
+    def __init__(self, spark: SparkSession, folder: str, stage: bool = True):
+        self.spark, self.folder, self.stage = spark, folder, stage
         self._built: dict[str, DataFrame] = {}
 
     def __getitem__(self, name: str) -> DataFrame:
         if name not in self._built:
-            if name in FRAMES:
-                text = FRAMES[name]
-                inputs = {n: self[n] for n in set(_NAME.findall(text))}
-                self._built[name] = self.spark.sql(text, **inputs)
-            else:
+            if name not in FRAMES:
                 self._built[name] = self.spark.read.parquet(f"{self.folder}/{name}.parquet")
+            elif self.stage:
+                self._built[name] = self.spark.read.parquet(self._table(name))
+            else:
+                self._built[name] = self._derive(name)
         return self._built[name]
 
+    def _derive(self, name: str) -> DataFrame:
+        text = FRAMES[name]
+        return self.spark.sql(text, **{n: self[n] for n in set(_NAME.findall(text))})
+
+    def _table(self, name: str) -> str:
+        key = (self.spark.sparkContext.applicationId, self.folder, name)
+        with _staging:
+            if key not in _staged:
+                where = hashlib.sha256(self.folder.encode()).hexdigest()[:12]
+                path = f"{shared_folder(self.spark)}/ledger-{key[0]}-{where}/{name}"
+                self._derive(name).write.parquet(path)
+                _staged[key] = path
+        return _staged[key]
+
 
 def compose(body: str, library: dict[str, str]) -> str:
     """One DuckDB statement: the body behind the common table expressions it names."""
