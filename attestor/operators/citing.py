@@ -151,12 +151,23 @@ def bind_proposals(proposals: DataFrame, texts: DataFrame, key: str) -> DataFram
 def sentence_for_fragment(fragments: DataFrame, documents: DataFrame) -> DataFrame:
     """CIT-08: a fragment must fall in exactly one distinct sentence.
 
-    ``fragments`` (fragment_id, anchor, fragment) joins sentences on the anchor word every hit must hold,
-    so the contains test runs on matching words only instead of on every pair.
+    A fragment of three or more words is looked up by the rarest of its inner words, which every hit must hold as a
+    whole word, so the contains test runs on few sentences. Shorter fragments are a hand-made list and meet the
+    sentences directly.
     """
-    lines = documents.select("document_id", F.explode(S.sentences(F.col("canonical_text"))).alias("sentence"))
-    words = lines.withColumn("anchor", F.explode(F.array_distinct(F.split(F.col("sentence"), r"[^\p{L}\p{N}]+"))))
-    hit = words.join(fragments, "anchor").filter(F.col("sentence").contains(F.col("fragment")))
+    lines = documents.select(F.explode(S.sentences(F.col("canonical_text"))).alias("sentence")).distinct()
+    token = r"[\p{L}\p{N}]+"
+    words = lines.withColumn("word", F.explode(F.array_distinct(F.regexp_extract_all("sentence", F.lit(f"({token})"), F.lit(1)))))
+    tokens = F.regexp_extract_all("fragment", F.lit(f"({token})"), F.lit(1))
+    split = fragments.withColumn("tokens", tokens)
+    inner = split.filter(F.size("tokens") >= 3).withColumn("word", F.explode(F.expr("slice(tokens, 2, size(tokens) - 2)")))
+    frequency = words.join(inner.select("word").distinct(), "word", "left_semi").groupBy("word").agg(F.count("*").alias("sentences_with"))
+    anchored = inner.join(frequency, "word", "left").groupBy("fragment_id", "fragment").agg(
+        F.min_by("word", F.struct(F.coalesce("sentences_with", F.lit(0)), "word")).alias("word"))
+    holds = F.contains(F.col("sentence"), F.col("fragment"))
+    hit = words.join(anchored, "word").filter(holds).select("fragment_id", "sentence")
+    short = split.filter(F.size("tokens") < 3).select("fragment_id", "fragment")
+    hit = hit.unionByName(lines.join(short, holds).select("fragment_id", "sentence"))
     found = hit.groupBy("fragment_id").agg(F.countDistinct("sentence").alias("sentences"), F.min("sentence").alias("sentence"))
     return (
         fragments.select("fragment_id").join(found, "fragment_id", "left")
@@ -206,3 +217,93 @@ def dated_facts(facts: DataFrame) -> DataFrame:
         *[F.max(F.when(F.col("field_name") == f, day)).alias(f) for f in DATE_FIELDS],
         *[F.max(F.when(F.col("field_name") == f, F.col("value_text"))).alias(f) for f in TEXT_FIELDS],
         F.count_if(F.col("field_name").isin(*DATE_FIELDS) & day.isNull()).alias("unreadable"))
+
+
+# Rule rows per document family: field, pattern, group of the value. One family is one block of a frame.
+def rules_for(family: str, fields: tuple[str, ...]) -> list[tuple[str, str, str, int]]:
+    value = {"currency_pair": r"([A-Z]{3}/[A-Z]{3})", "fx_rate_effective_date": r"(\d{4}-\d{2}-\d{2})"}
+    return [(family, f, rf"(?m)^{f.replace('_', ' ')} is {value.get(f, r'([0-9]+(?:[.][0-9]+)?)')}$", 1) for f in fields]
+
+
+PURCHASE_AGREEMENT = rules_for("purchase_agreement", (
+    "fund_shares", "fund_price_per_share", "settlement_amount_received", "gross_consideration", "consideration_per_share", "shares_of_record"))
+CAP_TABLE = rules_for("cap_table", ("fund_shares", "fund_price_per_share"))
+MEMO = rules_for("memo", ("concluded_fair_value_usd", "net_asset_value", "fund_holding_value", "fx_rate", "fx_rate_effective_date", "currency_pair"))
+IRREGULAR = rules_for("irregular", ("fund_shares", "settlement_amount_received", "fund_price_per_share"))
+TERM_SHEET = rules_for("term_sheet", ("fund_shares", "fund_price_per_share", "settlement_amount_received"))
+FAMILIES = {"purchase_agreement": PURCHASE_AGREEMENT, "cap_table": CAP_TABLE, "memo": MEMO, "irregular": IRREGULAR, "term_sheet": TERM_SHEET}
+
+
+def rule_frame(spark, *families: str) -> DataFrame:
+    rows = [r for f in (families or FAMILIES) for r in FAMILIES[f]]
+    return spark.createDataFrame(rows, "family string, field_name string, pattern string, value_group int")
+
+
+def family_of() -> Column:
+    """Document family of a claim, from the pair that also decides its authority."""
+    source, status = F.col("source_class"), F.col("execution_status")
+    return (
+        F.when(source == "executed_transaction_doc", "purchase_agreement").when(source == "company_cap_table", "cap_table")
+        .when(source.isin("third_party_valuation_memo", "administrator_statement", "fund_internal_record"), "memo")
+        .when(status == "non_binding", "term_sheet").otherwise("irregular"))
+
+
+def claims_of_document(extracted: DataFrame, documents: DataFrame) -> DataFrame:
+    """CIT-05: one document gives several claims when authority, date or class differ.
+
+    The base claim always; a settlement clause is a price-less claim of its own; a quote record gives one claim per
+    fiscal year it covers, each closing at that year end.
+    """
+    base = documents.select("claim_id", "family", "issued_date", "applicable_to", "price_per_share")
+    settled = extracted.filter("field_name = 'settlement_amount_received' AND outcome = 'cited'").select("claim_id").distinct()
+    shape = ["claim_id", "claim_key", "issued_date", "closes", "price_per_share"]
+    main = base.withColumn("claim_key", F.col("family")).withColumn("closes", F.col("applicable_to"))
+    clause = base.join(settled, "claim_id", "left_semi").withColumn("claim_key", F.lit("settlement")).withColumn(
+        "closes", F.col("applicable_to")).withColumn("price_per_share", F.lit(None).cast("decimal(18,6)"))
+    years = F.sequence(F.year("issued_date"), F.least(F.year("issued_date") + 2, F.lit(2003)))
+    quotes = base.filter("family = 'quote'").withColumn("year", F.explode(years)).withColumn(
+        "claim_key", F.concat(F.lit("quote_"), F.col("year").cast("string"))).withColumn("closes", F.make_date("year", F.lit(12), F.lit(31)))
+    return main.filter("family <> 'quote'").select(*shape).unionByName(clause.select(*shape)).unionByName(quotes.select(*shape))
+
+
+def declared_against_cited(claims: DataFrame, facts: DataFrame, declared: str, field_name: str) -> DataFrame:
+    """CIT-06: a declared figure must be the cited one; both sides shown, agreement null when nothing is cited."""
+    cited = facts.filter(F.col("field_name") == field_name).select("claim_id", F.col("value_numeric").alias("cited"))
+    joined = claims.filter(F.col(declared).isNotNull()).select("claim_id", F.col(declared).cast("decimal(26,6)").alias("declared")).join(cited, "claim_id", "left")
+    return joined.withColumn("agrees", F.col("declared") == F.col("cited"))
+
+
+def wrong_passages(cited: DataFrame, manifest: DataFrame) -> DataFrame:
+    """CIT-11: cited facts against a manifest made without the extractor: value, passage, distractor, absence.
+
+    ``manifest`` (claim_id, field_name, expected, passage, distractor, absent).
+    """
+    flat = lambda c: F.trim(F.regexp_replace(F.col(c), r"\s+", " "))
+    joined = manifest.join(cited.select("claim_id", "field_name", "value_text", "quote"), ["claim_id", "field_name"], "full")
+    return joined.withColumn("problem", F.when(F.col("expected").isNull() & F.col("absent").isNull(), "not_in_manifest")
+                             .when(F.coalesce("absent", F.lit(False)) & F.col("quote").isNotNull(), "stated_absent_but_cited")
+                             .when(F.coalesce("absent", F.lit(False)), None)
+                             .when(F.col("quote").isNull(), "expected_but_not_cited").when(F.col("value_text") != F.col("expected"), "value_differs")
+                             .when(F.col("distractor").isNotNull() & F.contains(flat("quote"), flat("distractor")), "distractor_cited")
+                             .when(~F.contains(flat("passage"), flat("quote")), "outside_the_passage"))
+
+
+def promotion_violations(facts: DataFrame, decisions: DataFrame) -> DataFrame:
+    """CIT-13: approved facts need an approved transcription; candidates must not carry one."""
+    by = decisions.select(F.col("decision_id").alias("promoted_by"), "decision_type", "status")
+    joined = facts.join(by, "promoted_by", "left")
+    lawful = F.coalesce((F.col("decision_type") == "transcription") & (F.col("status") == "approved"), F.lit(False))
+    rule = F.when((F.col("state") == "approved") & F.col("promoted_by").isNull(), "approved_without_a_decision").when(
+        (F.col("state") == "approved") & ~lawful, "promoted_by_another_decision").when(
+        (F.col("state") == "candidate") & F.col("promoted_by").isNotNull(), "candidate_carries_a_promotion")
+    return joined.withColumn("rule", rule).filter("rule IS NOT NULL")
+
+
+def spelled_dates(day: Column) -> tuple[Column, Column]:
+    """CIT-22: the two spellings a document may use for a day."""
+    return F.date_format(day, "MMMM d, yyyy"), F.date_format(day, "MM/dd/yyyy")
+
+
+def states_day(text: Column, day: Column) -> Column:
+    long, short = spelled_dates(day)
+    return F.contains(text, long) | F.contains(text, short)

@@ -237,6 +237,23 @@ SELECT a.assessment_id, a.holding_id, a.period_date, a.requirement, c.claim_id,
        (greatest(c.issued_date, coalesce(c.received_date, c.issued_date)) > a.period_date) <> (c.part_key % 17 = 0) AS is_subsequent
 FROM {f_assessment} AS a JOIN {f_claim} AS c ON c.holding_id = a.holding_id AND c.line_no = 1
  AND ((a.requirement = 'R1' AND c.r1) OR (a.requirement = 'R2' AND c.r2) OR (a.requirement = 'R4' AND c.r4))""",
+    "f_restatement": """
+SELECT assessment_id, verdict, payload, outstanding, CASE cust_key % 11 WHEN 0 THEN '  ' WHEN 1 THEN 'The finding is ' || replace(verdict, '_', ' ') || '. ' || repeat('Nothing more is said. ', 70)
+       WHEN 2 THEN 'The finding is ' || replace(verdict, '_', ' ') || ' on 5 million of value.' WHEN 3 THEN 'The finding is ' || replace(verdict, '_', ' ') || ' for 987654 shares.'
+       WHEN 4 THEN 'The finding is ' || replace(verdict, '_', ' ') || ' and the request was sent.' WHEN 5 THEN 'The finding is ' || replace(verdict, '_', ' ') || '; nothing so far has been received.'
+       WHEN 6 THEN 'The finding is ' || replace(verdict, '_', ' ') || ', not conflicting.' WHEN 7 THEN 'There is a finding on this row.'
+       ELSE 'The finding is ' || replace(verdict, '_', ' ') || ' in ' || CAST(year(period_date) AS STRING) || ' at policy 1.' END AS restatement
+FROM (SELECT a.assessment_id, a.verdict, a.period_date, CAST(substr(a.holding_id, 2) AS INT) AS cust_key, CAST(substr(a.holding_id, 2) AS INT) % 2 = 0 AS outstanding,
+        'verdict ' || a.verdict || ' date ' || CAST(a.period_date AS STRING) || ' policy 1 revision ' || CAST(a.revision AS STRING) || ' count 5' AS payload FROM {f_assessment} AS a) AS t""",
+    "f_proposal": """
+SELECT claim_id, holding_id, part_key, field_name, value_text, CASE WHEN part_key % 13 = 1 THEN 'not in the text' WHEN part_key % 13 = 2 THEN ' is ' WHEN part_key % 13 = 3 THEN '' ELSE quote END AS quote
+FROM {f_fact_raw}""",
+    "f_figure_edge": """
+SELECT DISTINCT 'H' || holding_id AS figure_id, 'C' || claim_id AS child_id FROM {f_fact_raw}
+UNION ALL SELECT DISTINCT 'F' || h.fund_id AS figure_id, 'H' || f.holding_id AS child_id FROM {f_fact_raw} AS f JOIN {f_holding} AS h ON h.holding_id = f.holding_id""",
+    "f_figure_input": """
+SELECT 'C' || claim_id AS figure_id, ordinal, claim_id || '/' || field_name AS fact_id, CASE WHEN part_key % 47 = 5 THEN 'X' END AS child_id, state,
+       CASE WHEN part_key % 53 = 6 THEN NULL ELSE quote END AS quote FROM {f_fact}""",
     "f_grid": f"""
 SELECT fund_label AS sheet, company, CAST(MAX(cost) AS STRING) AS cost_cell, {_grid_columns('cell')}
 FROM (SELECT f.fund_label, h.company_name || CASE WHEN h.position_type = 'indirect_feeder' THEN ' (Indirect)' ELSE '' END AS company,
