@@ -4,9 +4,10 @@ from __future__ import annotations
 
 import datetime
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from attestor import model
 from attestor.operators import temporal
 from attestor.sources.ledger import Ledger
 
@@ -30,3 +31,153 @@ def claims_in_window(ledger: Ledger) -> DataFrame:
     """JN-02: claims per evidence-bearing request and packet period inside their reliance window."""
     each = ledger.claim.withColumn("requirement", F.explode("requirements"))
     return each.join(ledger.packet_period.select("fund_id", "period_id", "period_date"), "fund_id").filter(temporal.window_covers(F.col("period_date")))
+
+# --- fixed values -----------------------------------------------------------------------------
+QUERIES = {
+    "R1": "executed stock purchase agreement shares purchased price per share capital account balance",
+    "R2": "price per share post-money valuation closing price net asset value fair value",
+    "R4": "merger consideration per share paid at closing realization proceeds",
+}
+STOP_WORDS = (
+    "a", "an", "and", "are", "as", "at", "be", "but", "by", "for", "if", "in", "into", "is", "it", "no", "not", "of", "on", "or",
+    "such", "that", "the", "their", "then", "there", "these", "they", "this", "to", "was", "will", "with", "per",
+)
+# --- end of fixed values ----------------------------------------------------------------------
+WORD = r"([0-9A-Za-z][0-9A-Za-z'’-]*)"
+SUFFIX = "(ings|ing|edly|ed|es|s|ly)$"
+
+
+def stem(word: Column) -> Column:
+    """Light suffix stripping; a word of five letters or fewer stays whole."""
+    return F.when(F.length(word) > 5, F.regexp_replace(word, SUFFIX, "")).otherwise(word)
+
+
+def query_terms(queries: DataFrame) -> DataFrame:
+    """RET-01/RET-08: distinct stemmed terms of each query; a query of stop words only has none and says so.
+
+    ``queries`` (requirement, query) is a handful of rows.
+    """
+    words = F.transform(F.regexp_extract_all(F.lower("query"), F.lit(WORD), F.lit(1)), lambda w: F.regexp_replace(w, "['’-]+$", ""))
+    kept = F.filter(words, lambda w: ~w.isin(*STOP_WORDS))
+    terms = F.array_sort(F.array_distinct(F.transform(kept, stem)))
+    return queries.withColumn("terms", terms).withColumn("refusal", F.when(F.size("terms") == 0, "query_has_no_search_terms"))
+
+
+def default_queries(spark) -> DataFrame:
+    return spark.createDataFrame(list(QUERIES.items()), "requirement string, query string")
+
+
+def matched_documents(documents: DataFrame, queries: DataFrame) -> DataFrame:
+    """RET-01/02/04: per document and query the text rank and the best line, computed inside the row.
+
+    Nothing is shuffled: a document carries all it needs, and the query side is a few rows. A word hits a term when
+    it starts with it. Rank = sum over terms of 1/1 + 1/4 + ... + 1/tf^2.
+    """
+    asked = F.broadcast(query_terms(queries).filter("refusal IS NULL").select("requirement", "terms"))
+    lined = documents.select("document_no", "document_id", "canonical_text", F.transform(
+        F.split("canonical_text", "\n"), lambda line: F.regexp_extract_all(F.lower(line), F.lit(WORD), F.lit(1))).alias("line_words"))
+    met = lined.crossJoin(asked)
+    hits = F.transform("line_words", lambda ws: F.transform(F.col("terms"), lambda t: F.size(F.filter(ws, lambda w: F.startswith(w, t)))))
+    met = met.withColumn("hits", hits).drop("line_words")
+    tf = F.transform(F.sequence(F.lit(0), F.size("terms") - 1), lambda n: F.aggregate("hits", F.lit(0), lambda acc, h: acc + F.get(h, n)))
+    met = met.withColumn("tf", tf).filter(F.exists("tf", lambda n: n > 0))
+    weight = lambda n: F.when(n > 0, F.aggregate(F.sequence(F.lit(1), n), F.lit(0.0), lambda acc, i: acc + F.lit(1.0) / (i * i))).otherwise(F.lit(0.0))
+    rank = F.aggregate(F.transform("tf", weight), F.lit(0.0), lambda acc, w: acc + w)
+    distinct = F.transform("hits", lambda h, i: F.struct(F.size(F.filter(h, lambda n: n > 0)).alias("terms"), (-i).alias("line")))
+    met = met.withColumn("text_rank", rank.cast("decimal(18,6)")).withColumn("best", F.array_max(distinct))
+    met = met.withColumn("line_no", -F.col("best.line")).withColumn("line_terms", F.col("best.terms"))
+    hit = F.get("hits", F.col("line_no"))
+    matched = F.filter(F.transform(F.col("terms"), lambda t, n: F.when(F.get(hit, n) > 0, t)), lambda t: t.isNotNull())
+    return met.withColumn("matched", matched).drop("hits", "tf", "best")
+
+
+def passages(matched: DataFrame) -> DataFrame:
+    """RET-04/05/06: the best line as a citation: trimmed, windowed to whole words when long, located, paged."""
+    before = F.when(F.col("line_no") > 0, F.length(F.expr("substring_index(canonical_text, '\n', line_no)")) + 1).otherwise(0)
+    line = F.get(F.split("canonical_text", "\n"), F.col("line_no"))
+    out = matched.withColumn("line", line).withColumn("line_start", before)
+    lead = F.length("line") - F.length(F.regexp_replace("line", r"^\s+", ""))
+    out = out.withColumn("low", F.col("line_start") + lead).withColumn("body", F.regexp_replace(F.regexp_replace("line", r"^\s+", ""), r"\s+$", ""))
+    out = out.filter(F.length("body") > 0)
+    anywhere = F.concat(F.lit(r"(?<![0-9a-z])(?<![0-9a-z]['’-]{1,8})(?:"), F.array_join("matched", "|"), F.lit(")"))
+    half = model.PASSAGE_CHARS // 2
+    long = F.length("body") > model.PASSAGE_CHARS
+    first = F.regexp_instr(F.lower("body"), anywhere) - 1
+    out = out.withColumn("first_hit", first)
+    cut = F.greatest(F.lit(0), F.col("first_hit") - half)
+    stop = F.least(F.length("body"), cut + model.PASSAGE_CHARS)
+    out = out.withColumn("cut", cut).withColumn("stop", stop)
+    head = F.length(F.regexp_replace(F.expr("substring(body, 1, cut)"), r"\S+$", ""))
+    tail = F.col("stop") + F.length(F.regexp_extract(F.expr("substring(body, stop + 1)"), r"^(\S*)", 1))
+    out = out.withColumn("head", F.when(long, head).otherwise(0)).withColumn("tail", F.when(long, tail).otherwise(F.length("body")))
+    window = F.expr("substring(body, head + 1, tail - head)")
+    out = out.withColumn("window", window).withColumn("lead", F.length("window") - F.length(F.regexp_replace("window", r"^\s+", "")))
+    quote = F.regexp_replace(F.regexp_replace("window", r"^\s+", ""), r"\s+$", "")
+    out = out.withColumn("quote", quote).withColumn("span_start", (F.col("low") + F.col("head") + F.col("lead")).cast("int"))
+    out = out.withColumn("span_end", F.col("span_start") + F.length("quote"))
+    page = F.length(F.expr("substring(canonical_text, 1, span_start)")) - F.length(F.replace(F.expr("substring(canonical_text, 1, span_start)"), F.lit("\f"), F.lit(""))) + 1
+    earlier = F.expr("substring(canonical_text, 1, span_end - 1)")
+    occurrence = F.when(F.length("quote") > 0, ((F.length(earlier) - F.length(F.replace(earlier, F.col("quote"), F.lit("")))) / F.length("quote")).cast("int"))
+    return out.withColumn("page", page.cast("int")).withColumn("occurrence", occurrence).select(
+        "document_no", "document_id", "requirement", "text_rank", "line_no", "matched", "span_start", "span_end", "quote", "page", "occurrence")
+
+
+def gold_cases(ledger: Ledger) -> DataFrame:
+    """RET-09: cases and their relevant documents, read out of the ledger's own reliance and windows."""
+    return claims_in_window(ledger).select("holding_id", "requirement", "period_id", "period_date", "document_no").distinct()
+
+
+def ranked(ledger: Ledger, found: DataFrame, entity_scoped: bool = True, apply_window: bool = True, k: int = model.TOP_K) -> DataFrame:
+    """RET-03/RET-07/WIN-10: top k passages of every gold case by the declared lexicographic key, one per claim.
+
+    The rank filter sits directly on the window, so Spark keeps k rows per case before it shuffles them.
+    """
+    cases = gold_cases(ledger).select("holding_id", "requirement", "period_id", "period_date").distinct()
+    claims = ledger.claim.select("claim_id", F.col("holding_id").alias("claim_holding"), "fund_id", "document_no", "source_class", "execution_status", "issued_date", "applicable_from", "applicable_to")
+    if entity_scoped:
+        met = cases.join(claims, F.col("holding_id") == F.col("claim_holding"))
+        case = ["holding_id", "requirement", "period_id"]
+    else:
+        # One row per request and packet date: a fixed handful that every claim is tested against.
+        dates = F.broadcast(cases.select("requirement", "period_date").distinct())
+        met = claims.join(dates, temporal.window_covers(F.col("period_date")) if apply_window else F.lit(True))
+        case = ["requirement", "period_date"]
+    if apply_window:
+        met = met.filter(temporal.window_covers(F.col("period_date")))
+    preferred = F.broadcast(model.preference(ledger.claim.sparkSession))
+    hit = met.join(found, ["document_no", "requirement"]).join(preferred, ["source_class", "execution_status"], "left")
+    by_key = Window.partitionBy(*case).orderBy(
+        F.coalesce("preference", F.lit(len(model.PREFERENCE))), F.abs(F.datediff("period_date", "issued_date")), F.desc("text_rank"), "document_id", "span_start", "claim_id")
+    return hit.withColumn("place", F.row_number().over(by_key)).filter(F.col("place") <= k)
+
+
+def recall_per_case(ledger: Ledger, top: DataFrame, case: list[str]) -> DataFrame:
+    """SET-07: per case how many relevant documents were found, how many there are, and how many were retrieved."""
+    relevant = gold_cases(ledger)
+    got = top.groupBy(*case, "document_no").agg(F.min("place").alias("place"))
+    counts = got.groupBy(*case).agg(F.count("*").alias("retrieved"))
+    both = relevant.join(got, [*case, "document_no"], "left").groupBy("holding_id", "requirement", "period_id").agg(
+        F.count("*").alias("relevant"), F.count("place").alias("found"), F.min("place").alias("best_place"))
+    if set(case) != {"holding_id", "requirement", "period_id"}:
+        both = both.join(relevant.select("holding_id", "requirement", "period_id", "period_date").distinct(), ["holding_id", "requirement", "period_id"])
+    return both.join(counts, case, "left").withColumn("retrieved", F.coalesce("retrieved", F.lit(0)))
+
+
+def recall(cases: DataFrame) -> DataFrame:
+    """RET-10/WIN-14: recall at 1, 3 and 5 from one ranking, cases fully covered, candidates in total."""
+    return cases.agg(
+        F.count("*").alias("cases"), *[F.count_if(F.col("best_place") <= k).alias(f"any_at_{k}") for k in (1, 3, 5)],
+        F.count_if(F.col("found") == F.col("relevant")).alias("all_relevant"), F.sum("retrieved").alias("candidates"))
+
+
+def search(ledger: Ledger, documents: DataFrame, queries: DataFrame, holding_id: str, on: datetime.date, requirement: str, k: int = model.TOP_K) -> DataFrame:
+    """RET-12: passages for one holding, date and request; only documents its claims name are read for text."""
+    claims = candidate_claims(ledger.claim, holding_id, on, requirement)
+    asked = queries.filter(F.col("requirement") == requirement)
+    named = documents.join(claims.select("document_no").distinct(), "document_no", "left_semi")
+    found = passages(matched_documents(named, asked)).drop("requirement")
+    preferred = F.broadcast(model.preference(claims.sparkSession))
+    order = [F.coalesce("preference", F.lit(len(model.PREFERENCE))), F.abs(F.datediff(F.lit(on), "issued_date")), F.desc("text_rank"), F.col("document_id"), F.col("span_start"), F.col("claim_id")]
+    hit = claims.join(found, "document_no").join(preferred, ["source_class", "execution_status"], "left")
+    top = hit.orderBy(*order).limit(k)
+    return top.withColumn("place", F.row_number().over(Window.orderBy(*order)))
