@@ -229,7 +229,7 @@ SELECT mark_id || '/' || requirement AS assessment_id, mark_id, holding_id, peri
             WHEN cust_key % 29 = 7 THEN 'not_applicable'
             ELSE CASE (cust_key + n) % 6 WHEN 0 THEN 'missing' WHEN 1 THEN 'partial' ELSE 'sufficient' END END AS verdict,
        CASE WHEN cust_key % 8 = 5 THEN 'policy-0' ELSE 'policy-1' END AS policy_version,
-       CASE WHEN cust_key % 12 = 2 THEN '' ELSE 'REASON' END AS reason_code
+       CASE WHEN cust_key % 10 = 2 THEN '' ELSE 'REASON' END AS reason_code
 FROM {f_latest_mark} CROSS JOIN (VALUES ('R1', 1), ('R2', 2), ('R4', 3)) AS r(requirement, n)
 WHERE audit_scope = 'packet' AND NOT (requirement = 'R2' AND cust_key % 21 = 4)""",
     "f_link": """
@@ -237,6 +237,17 @@ SELECT a.assessment_id, a.holding_id, a.period_date, a.requirement, c.claim_id,
        (greatest(c.issued_date, coalesce(c.received_date, c.issued_date)) > a.period_date) <> (c.part_key % 17 = 0) AS is_subsequent
 FROM {f_assessment} AS a JOIN {f_claim} AS c ON c.holding_id = a.holding_id AND c.line_no = 1
  AND ((a.requirement = 'R1' AND c.r1) OR (a.requirement = 'R2' AND c.r2) OR (a.requirement = 'R4' AND c.r4))""",
+    "f_packet": """
+SELECT 'pk_' || period_id AS packet_id, fund_id, period_id, period_date, CASE WHEN year(period_date) % 3 = 0 THEN 'policy-0' ELSE 'policy-1' END AS policy_version,
+       CASE WHEN fund_id <> 'fund_4' THEN period_date + 60 END AS approved_on FROM {f_period} WHERE audit_scope = 'packet'""",
+    "f_manifest": """
+SELECT 'pk_' || period_id AS packet_id, period_id || '/' || holding_id || '.csv' AS path, holding_id,
+       row_number() OVER (PARTITION BY period_id ORDER BY holding_id) + CASE WHEN fund_id = 'fund_2' AND holding_id > 'h5' THEN 1 ELSE 0 END AS ordinal,
+       period_date + CASE WHEN cust_key % 97 = 0 THEN 70 ELSE 10 END AS recorded_on
+FROM {f_latest_mark} WHERE audit_scope = 'packet' AND NOT (fund_id = 'fund_3' AND year(period_date) = 1996)""",
+    "f_consideration": """
+SELECT decision_id, CASE decision_id % 3 WHEN 0 THEN 'company_performance' WHEN 1 THEN 'market_conditions' ELSE 'impairment_indicators' END AS consideration,
+       CASE WHEN decision_id % 14 = 0 THEN '  ' ELSE 'considered' END AS note FROM {f_decision} WHERE decision_type = 'management_assessment' AND decision_id % 5 < 3""",
     "f_restatement": """
 SELECT assessment_id, verdict, payload, outstanding, CASE cust_key % 11 WHEN 0 THEN '  ' WHEN 1 THEN 'The finding is ' || replace(verdict, '_', ' ') || '. ' || repeat('Nothing more is said. ', 70)
        WHEN 2 THEN 'The finding is ' || replace(verdict, '_', ' ') || ' on 5 million of value.' WHEN 3 THEN 'The finding is ' || replace(verdict, '_', ' ') || ' for 987654 shares.'
