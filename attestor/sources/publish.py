@@ -4,7 +4,8 @@ from __future__ import annotations
 
 import uuid
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
 
 from attestor.session import shared_folder
 
@@ -19,3 +20,134 @@ def staged_copy(df: DataFrame, name: str) -> DataFrame:
     path = staging_path(df.sparkSession, name)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def split_rows(df: DataFrame, table: str, rules: dict[str, Column]) -> tuple[DataFrame, DataFrame]:
+    """SNK-01: rows that keep every rule, and the refused rows with their reasons; one bad row never stops the rest."""
+    tagged = df.withColumn("violations", F.array_compact(F.array(*[F.when(~F.coalesce(ok, F.lit(True)), name) for name, ok in rules.items()])))
+    refused = tagged.filter(F.size("violations") > 0).withColumn("table_name", F.lit(table))
+    return tagged.filter(F.size("violations") == 0).drop("violations"), refused
+
+
+def document_outcomes(documents: DataFrame, extracted: DataFrame, key: str) -> DataFrame:
+    """SNK-02: what each document gave: facts, refusals, and an error where it gave nothing."""
+    counted = extracted.groupBy(key).agg(F.count_if(F.col("outcome") == "cited").alias("facts"), F.count_if(F.col("outcome") != "cited").alias("refused"))
+    out = documents.select(key).join(counted, key, "left")
+    return out.select(key, F.coalesce("facts", F.lit(0)).alias("facts"), F.coalesce("refused", F.lit(0)).alias("refused"),
+                      F.when(F.coalesce("facts", F.lit(0)) == 0, "nothing was cited").alias("error"))
+
+
+def csv_table(df: DataFrame, name: str) -> str:
+    """SNK-04: one table as CSV, data only: no totals, no notes."""
+    path = staging_path(df.sparkSession, f"csv-{name}")
+    df.write.option("header", True).option("quoteAll", True).option("escape", '"').csv(path)
+    return path
+
+
+# Characters no file system takes in a name (fixed value); a run of them becomes one underscore.
+UNSAFE_IN_NAME = r'[/\\:*?"<>|\x00-\x1f]+'
+
+
+def safe_name(raw: Column) -> Column:
+    cleaned = F.replace(F.regexp_replace(raw, UNSAFE_IN_NAME, "_"), F.lit(".."), F.lit("__"))
+    trimmed = F.regexp_replace(cleaned, r"^[ .]+|[ .]+$", "")
+    return F.when(trimmed == "", "unnamed").otherwise(trimmed)
+
+
+def path_plan(rows: DataFrame, within: list[str], name: str, key: str) -> DataFrame:
+    """SNK-06: a folder per row; a second row whose safe name is already taken carries its id in the name.
+
+    The first holder of a name is an aggregate per name, so no packet is sorted whole.
+    """
+    named = rows.withColumn("safe", safe_name(F.col(name))).withColumn("folded", F.lower("safe"))
+    first = named.groupBy(*within, "folded").agg(F.min(F.struct(name, key)).alias("first"))
+    joined = named.join(first, [*within, "folded"])
+    taken = F.col(f"first.{key}") != F.col(key)
+    return joined.withColumn("directory", F.concat(F.lit("companies/"), F.when(taken, F.concat("safe", F.lit(" ("), safe_name(F.col(key)), F.lit(")"))).otherwise(F.col("safe")))).drop("safe", "folded", "first")
+
+
+def evidence_folders(members: DataFrame, documents: DataFrame, name: str, slices: int = 8) -> str:
+    """SNK-05: one folder per position; a position without documents gets a note saying so.
+
+    ``slices`` bounds the files per folder and lets a position with very many documents be written by several tasks.
+    """
+    full = members.join(documents, "holding_id", "left").withColumn(
+        "note", F.when(F.col("document_id").isNull(), "no source document is held for this position"))
+    path = staging_path(members.sparkSession, f"evidence-{name}")
+    spread = F.pmod(F.xxhash64(F.coalesce("document_id", F.lit(""))), F.lit(slices))
+    full.repartition(F.col("holding_id"), spread).write.partitionBy("folder").parquet(path)
+    return path
+
+
+def table_digest(df: DataFrame, keys: list[str]) -> DataFrame:
+    """SNK-09: digest of a set of rows in constant state: the count and four 13-digit lanes of each row's hash, summed.
+
+    Sums do not depend on the order of rows or tasks, so the digest is the same on any cluster.
+    """
+    row = F.sha2(F.concat_ws("|", *[F.coalesce(F.col(c).cast("string"), F.lit("~")) for c in sorted(df.columns) if c not in keys]), 256)
+    lanes = [F.sum(F.conv(F.substring("_row", 1 + 13 * n, 13), 16, 10).cast("decimal(20,0)")).cast("decimal(38,0)").cast("string") for n in range(4)]
+    return df.withColumn("_row", row).groupBy(*keys).agg(F.count("*").alias("rows"), F.sha2(F.concat_ws(":", F.count("*").cast("string"), *lanes), 256).alias("digest"))
+
+
+def file_hashes(spark, path: str) -> DataFrame:
+    """Hash of every file under a path, read as bytes by the executors."""
+    return spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path).select("path", F.sha2("content", 256).alias("content_hash"))
+
+
+def verify_manifest(manifest: DataFrame, found: DataFrame) -> DataFrame:
+    """SNK-10: files missing, unlisted or changed, one row per problem."""
+    both = manifest.select("path", F.col("content_hash").alias("stated")).join(found.select("path", F.col("content_hash").alias("read")), "path", "full")
+    problem = F.when(F.col("read").isNull(), "file_missing").when(F.col("stated").isNull(), "file_not_listed").when(F.col("read") != F.col("stated"), "hash_differs")
+    return both.withColumn("problem", problem).filter("problem IS NOT NULL").select("path", "problem")
+
+
+def ordinals(manifest: DataFrame) -> DataFrame:
+    """Manifest ordinals must be 1..n per packet."""
+    return manifest.groupBy("packet_id").agg(F.count("*").alias("entries"), F.min("ordinal").alias("low"), F.max("ordinal").alias("high"), F.countDistinct("ordinal").alias("distinct")).withColumn(
+        "contiguous", (F.col("low") == 1) & (F.col("high") == F.col("entries")) & (F.col("distinct") == F.col("entries")))
+
+
+def company_slice(manifest: DataFrame, holding_id: str) -> DataFrame:
+    """SNK-11: every entry is either in the slice of one company or withheld; nothing falls between."""
+    mine = F.contains(F.col("path"), F.lit(f"/{holding_id}."))
+    return manifest.withColumn("part", F.when(mine, "present").otherwise("withheld"))
+
+
+def publish(spark, tables: dict[str, DataFrame], checks: dict[str, DataFrame], target: str) -> str:
+    """SNK-07: write every table to staging, run every check on what was written, and only then move it into place.
+
+    ``checks`` take the staged path's tables by name and must come back empty; one that does not publishes nothing.
+    The move is a rename inside the shared folder, which the file system does at once.
+    """
+    staging = staging_path(spark, "packet")
+    for name, df in tables.items():
+        df.write.parquet(f"{staging}/{name}")
+    staged = {name: spark.read.schema(df.schema).parquet(f"{staging}/{name}") for name, df in tables.items()}
+    failed = [name for name, check in checks.items() if not check(staged).isEmpty()]
+    if failed:
+        raise ValueError(f"not published, failing checks: {', '.join(sorted(failed))}")
+    jvm = spark.sparkContext._jvm
+    source, goal = jvm.org.apache.hadoop.fs.Path(staging), jvm.org.apache.hadoop.fs.Path(target)
+    system = goal.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    if system.exists(goal):
+        raise ValueError(f"{target} is already published; a further export is a new version")
+    system.mkdirs(goal.getParent())
+    if not system.rename(source, goal):
+        raise ValueError(f"could not move {staging} to {target}")
+    return target
+
+
+def differing_claims(declared: DataFrame, stored: DataFrame) -> DataFrame:
+    """SNK-13: declared reliance against stored claims; anything on one side only refuses the write."""
+    keys = ["claim_id", "requirement"]
+    d, s = declared.select(*keys).withColumn("declared", F.lit(True)), stored.select(*keys).withColumn("stored", F.lit(True))
+    return d.join(s, keys, "full").filter("declared IS NULL OR stored IS NULL")
+
+
+def assessment_tables(outcomes: DataFrame, links: DataFrame, policy_version: str) -> dict[str, DataFrame]:
+    """SNK-12: the stored shape of an assessment run: requirement rows, assessments and evidence links."""
+    requirement_id = F.concat_ws("/", "holding_id", "period_id", "requirement")
+    requirements = outcomes.select(requirement_id.alias("requirement_id"), "holding_id", "period_id", "requirement", (F.col("verdict") != "not_applicable").alias("applicable"))
+    assessments = outcomes.select(requirement_id.alias("requirement_id"), "verdict", "reasons", "next_actions", F.lit(policy_version).alias("policy_version"))
+    evidence = links.select(requirement_id.alias("requirement_id"), "claim_id", "is_subsequent")
+    return {"requirement": requirements, "assessment": assessments, "evidence_link": evidence}
