@@ -42,7 +42,7 @@ def owed(assessment: Assessment, branches: DataFrame) -> DataFrame:
     ``branches`` (holding_id, branch) says which arm of the fair-value request a position falls under.
     """
     limbs = F.broadcast(model.limbs(branches.sparkSession))
-    held = assessment.held_dates.select("holding_id", "period_id")
+    held = assessment.held_keys.select("holding_id", "period_id")
     none = F.lit(None).cast("string")
     positions = held.select("holding_id").distinct().select("holding_id", none.alias("period_id"), F.lit("position").alias("scope"), none.alias("branch_of"))
     realised = assessment.ledger.lot.filter("realized_date IS NOT NULL").select("holding_id").distinct().select("holding_id", none.alias("period_id"), F.lit("realisation").alias("scope"), none.alias("branch_of"))

@@ -25,9 +25,19 @@ def codes(*columns: Column) -> Column:
     return F.array_compact(F.array(*columns))
 
 
-def union_codes(*arrays: Column) -> Column:
-    empty = F.array().cast(NO_CODES)
-    return F.array_sort(F.array_distinct(F.concat(*[F.coalesce(a, empty) for a in arrays])))
+def any_bit(vocabulary: tuple[str, ...], conditions: dict[str, Column]) -> Column:
+    """The bits of the codes whose condition holds."""
+    out = F.lit(0).cast("bigint")
+    for code, condition in conditions.items():
+        out = out.bitwiseOR(F.when(F.coalesce(condition, F.lit(False)), F.lit(1 << vocabulary.index(code)).cast("bigint")).otherwise(F.lit(0).cast("bigint")))
+    return out
+
+
+def any_of(*bits: Column) -> Column:
+    out = F.lit(0).cast("bigint")
+    for one in bits:
+        out = out.bitwiseOR(F.coalesce(one, F.lit(0).cast("bigint")))
+    return out
 
 
 def matrix_cells(claims: DataFrame, strict: bool = False) -> DataFrame:
@@ -119,8 +129,8 @@ class Assessment:
         return claims.groupBy(*KEY, "priced_class").agg(
             F.count("*").alias("claims"),
             F.max(model.severity(F.col("verdict"))).alias("best"),
-            F.collect_set("reason_code").alias("reasons"),
-            F.collect_set("next_action").alias("actions"),
+            F.bit_or(model.code_bit(F.col("reason_code"), model.REASON_CODES)).alias("reasons"),
+            F.bit_or(model.code_bit(F.col("next_action"), model.ACTION_CODES)).alias("actions"),
             F.min(priced).alias("low_price"),
             F.max(priced).alias("high_price"),
             F.max(F.when(is_pro_forma, F.col("issued_date"))).alias("last_pro_forma"),
@@ -148,61 +158,77 @@ class Assessment:
         names = ["best", "reasons", "actions", *[f"has_{c}" for c in model.R1_FIGURES]]
         exact = mine.filter("priced_class IS NOT NULL").select(*KEY, F.col("priced_class").alias("held_class"), *[F.col(n).alias(f"own_{n}") for n in names])
         free = mine.filter("priced_class IS NULL").select(*KEY, *[F.col(n).alias(f"free_{n}") for n in names])
+        kind = F.col("kind")
         gap = self.ledger.gap.filter("requirement = 'R1' AND security_class IS NOT NULL").groupBy("holding_id", "security_class").agg(
-            F.max(model.severity(S.gap_verdict(F.col("kind")))).alias("gap_best"),
-            F.collect_set(S.gap_reason(F.col("kind"))).alias("gap_reasons"),
-            F.collect_set(S.gap_action(F.col("kind"))).alias("gap_actions"))
+            F.max(model.severity(S.gap_verdict(kind))).alias("gap_best"),
+            F.bit_or(model.code_bit(S.gap_reason(kind), model.REASON_CODES)).alias("gap_reasons"),
+            F.bit_or(model.code_bit(S.gap_action(kind), model.ACTION_CODES)).alias("gap_actions"))
         met = groups.join(exact, [*KEY, "held_class"], "left").join(free, KEY, "left").join(gap, ["holding_id", "security_class"], "left")
         found = F.greatest("own_best", "free_best", "gap_best")
         nothing = F.lit(None).cast("string")
-        met = met.withColumn("found", F.coalesce(found, model.severity(S.gap_verdict(nothing))))
+        met = met.withColumn("none_found", found.isNull()).withColumn("found", F.coalesce(found, model.severity(S.gap_verdict(nothing))))
         states = lambda c: F.coalesce(F.col(f"own_has_{c}"), F.lit(False)) | F.coalesce(F.col(f"free_has_{c}"), F.lit(False))
         owed = {c: (F.lit(True) if c == "SETTLEMENT_OF_FUNDS_NOT_EVIDENCED" else F.col("has_shares")) for c in model.R1_FIGURES}
-        absent = codes(*[F.when(owed[c] & ~states(c), c) for c in model.R1_FIGURES])
-        empty = F.array().cast(NO_CODES)
         sufficient = F.col("found") == model.SEVERITY.index("sufficient")
-        met = met.withColumn("absent", F.when(sufficient, absent).otherwise(empty))
-        capped = F.size("absent") > 0
-        none_found = found.isNull()
+        met = met.withColumn("absent", any_bit(model.REASON_CODES, {c: sufficient & owed[c] & ~states(c) for c in model.R1_FIGURES}))
+        capped = F.col("absent") != 0
+        bare = {"NO_DOCUMENT_AND_NO_GAP_RECORDED": F.col("none_found")}
         return (
             met.withColumn("outcome", F.when(capped, model.SEVERITY.index("partial")).otherwise(F.col("found")))
-            .withColumn("reasons", union_codes(F.col("own_reasons"), F.col("free_reasons"), F.col("gap_reasons"), F.col("absent"),
-                                               codes(F.when(none_found, S.gap_reason(nothing)))))
-            .withColumn("next_actions", union_codes(F.col("own_actions"), F.col("free_actions"), F.col("gap_actions"),
-                                                    codes(F.when(none_found, S.gap_action(nothing)), F.when(capped, "REQUEST_ACQUISITION_FIGURES"))))
+            .withColumn("reasons", any_of(F.col("own_reasons"), F.col("free_reasons"), F.col("gap_reasons"), F.col("absent"), any_bit(model.REASON_CODES, bare)))
+            .withColumn("next_actions", any_of(F.col("own_actions"), F.col("free_actions"), F.col("gap_actions"), any_bit(
+                model.ACTION_CODES, {"REQUEST_FROM_COMPANY": F.col("none_found"), "REQUEST_ACQUISITION_FIGURES": capped})))
         )
 
+    @cached_property
+    def held_rows(self) -> DataFrame:
+        """Classes held at each holding-date, one row each."""
+        return self.lots.filter("held").groupBy(*KEY, "fund_id", "period_date", "held_class").agg(F.count("*").alias("lots"))
+
+    @cached_property
+    def held_keys(self) -> DataFrame:
+        return self.held_rows.select(*KEY, "fund_id", "period_date").distinct()
+
     @cached_property
     def held_dates(self) -> DataFrame:
         """Holding-dates with a held lot, and the classes held."""
-        return self.lots.filter("held").groupBy(*KEY, "fund_id", "period_date").agg(F.collect_set("held_class").alias("held_classes"))
+        return self.held_rows.groupBy(*KEY, "fund_id", "period_date").agg(F.collect_set("held_class").alias("held_classes"))
 
     @cached_property
     def r2_evidence(self) -> DataFrame:
-        """R2 class groups against the classes held: which count, and what the set as a whole says."""
-        groups = self.by_class("R2").join(self.held_dates.select(*KEY, "held_classes"), KEY)
-        groups = groups.join(self.authorised, KEY, "left").withColumn("authorised", F.coalesce("authorised", F.lit(False)))
-        off = F.col("priced_class").isNotNull() & ~F.array_contains("held_classes", F.col("priced_class")) & ~F.col("authorised")
-        groups = groups.withColumn("off_class", F.coalesce(off, F.lit(False)))
-        counted = ~F.col("off_class")
-        clash = F.col("priced_class").isNotNull() & (F.col("low_price") != F.col("high_price"))
+        """R2 class groups beside the classes held, reduced to one row per holding-date.
+
+        Held and priced classes meet in a full join on the class, so set differences become flags and the second
+        aggregate runs on plain columns. What counts depends on a recorded decision, so both readings are kept.
+        """
+        priced = self.by_class("R2").withColumn("class_key", F.col("priced_class")).withColumn("is_priced", F.lit(True))
+        held = self.held_rows.select(*KEY, "fund_id", "period_date", F.col("held_class").alias("class_key"), F.lit(True).alias("is_held"))
         if self.resolutions is not None:
             settled = self.resolutions.select("holding_id", "priced_class").distinct().withColumn("settled", F.lit(True))
-            groups = groups.join(settled, ["holding_id", "priced_class"], "left")
-            clash = clash & F.col("settled").isNull()
-        return groups.withColumn("clash", F.coalesce(clash, F.lit(False))).groupBy(*KEY).agg(
-            F.sum("claims").alias("relied"),
-            F.max(F.when(counted, F.col("best"))).alias("best"),
-            F.array_distinct(F.flatten(F.collect_set(F.when(counted, F.col("reasons"))))).alias("evidence_reasons"),
-            F.array_distinct(F.flatten(F.collect_set(F.when(counted, F.col("actions"))))).alias("evidence_actions"),
-            F.bool_or("off_class").alias("off_class"),
-            F.bool_or("clash").alias("contradicted"),
-            F.bool_or(F.col("priced_class").isNull()).alias("class_free"),
-            F.collect_set("priced_class").alias("priced_classes"),
-            F.max("last_pro_forma").alias("last_pro_forma"),
-            F.max("last_executed").alias("last_executed"),
-            F.bool_or("subsequent").alias("subsequent"),
-        )
+            priced = priced.join(settled, ["holding_id", "priced_class"], "left")
+        else:
+            priced = priced.withColumn("settled", F.lit(None).cast("boolean"))
+        rows = held.join(priced, [*KEY, "class_key"], "full")
+        is_held, is_priced = F.col("is_held").isNotNull(), F.col("is_priced").isNotNull()
+        off = F.col("priced_class").isNotNull() & ~is_held
+        clash = F.col("priced_class").isNotNull() & (F.col("low_price") != F.col("high_price")) & F.col("settled").isNull()
+        some = lambda c: F.bool_or(F.coalesce(c, F.lit(False)))
+        out = rows.groupBy(*KEY).agg(
+            F.max("fund_id").alias("fund_id"), F.max("period_date").alias("period_date"), some(is_held).alias("any_held"),
+            F.coalesce(F.sum("claims"), F.lit(0)).alias("relied"),
+            F.max("best").alias("best_all"), F.max(F.when(~off, F.col("best"))).alias("best_on"),
+            F.bit_or("reasons").alias("reasons_all"), F.bit_or(F.when(~off, F.col("reasons"))).alias("reasons_on"),
+            F.bit_or("actions").alias("actions_all"), F.bit_or(F.when(~off, F.col("actions"))).alias("actions_on"),
+            some(is_priced & off).alias("any_off"), some(is_held & ~is_priced).alias("any_bare"), some(F.col("priced_class").isNotNull()).alias("any_class"),
+            some(clash).alias("contradicted"), some(is_priced & F.col("priced_class").isNull()).alias("class_free"),
+            F.max("last_pro_forma").alias("last_pro_forma"), F.max("last_executed").alias("last_executed"), some(F.col("subsequent")).alias("subsequent"))
+        return out.filter("any_held")
+
+    @cached_property
+    def priced_sets(self) -> DataFrame:
+        """Priced classes as a set beside the held ones, for the set queries."""
+        priced = self.by_class("R2").groupBy(*KEY).agg(F.collect_set("priced_class").alias("priced_classes"), F.bool_or(F.col("priced_class").isNull()).alias("class_free"))
+        return self.held_dates.join(priced, KEY)
 
     @cached_property
     def expired(self) -> DataFrame:
@@ -215,11 +241,11 @@ class Assessment:
         """REQ-02: fair value support at each date a holding is held."""
         first_gap = self.ledger.gap.filter("requirement = 'R2'").groupBy("holding_id").agg(F.min_by("kind", "gap_id").alias("gap_kind"))
         rows = (
-            self.held_dates.join(self.r2_evidence, KEY, "left").join(self.authorised, KEY, "left")
-            .join(self.expired, "holding_id", "left").join(first_gap, "holding_id", "left")
-            .withColumn("relied", F.coalesce("relied", F.lit(0))).withColumn("authorised", F.coalesce("authorised", F.lit(False)))
-            .withColumn("off_class", F.coalesce("off_class", F.lit(False))).withColumn("contradicted", F.coalesce("contradicted", F.lit(False)))
+            self.r2_evidence.join(self.authorised, KEY, "left").join(self.expired, "holding_id", "left").join(first_gap, "holding_id", "left")
+            .withColumn("authorised", F.coalesce("authorised", F.lit(False)))
         )
+        for name in ("best", "reasons", "actions"):
+            rows = rows.withColumn(name, F.when(F.col("authorised"), F.col(f"{name}_all")).otherwise(F.col(f"{name}_on")))
         sufficient, partial, insufficient = (model.SEVERITY.index(v) for v in ("sufficient", "partial", "insufficient"))
         bare = F.col("relied") == 0
         was_closed = bare & F.coalesce(F.col("first_closed") < F.col("period_date"), F.lit(False))
@@ -230,24 +256,20 @@ class Assessment:
             .when(unheld_only, insufficient).otherwise(F.col("best"))
         )
         rows = rows.withColumn("start", start)
-        uncovered = ~F.coalesce(F.col("class_free"), F.lit(False)) & (F.size(F.array_except("held_classes", F.coalesce("priced_classes", F.array().cast(NO_CODES)))) > 0)
-        capped = uncovered & (F.col("start") == sufficient)
-        priced = F.coalesce("priced_classes", F.array().cast(NO_CODES))
-        cross = (F.size(priced) > 0) & ((F.size(F.array_except("held_classes", priced)) > 0) | (F.size(F.array_except(priced, F.col("held_classes"))) > 0))
-        rows = rows.withColumn("capped", F.coalesce(capped, F.lit(False))).withColumn("cross", cross)
+        capped = ~F.col("class_free") & F.col("any_bare") & (F.col("start") == sufficient)
+        rows = rows.withColumn("capped", F.coalesce(capped, F.lit(False))).withColumn("cross", F.col("any_class") & (F.col("any_off") | F.col("any_bare")))
         after_cap = F.when(F.col("capped"), partial).otherwise(F.col("start"))
         undecided = F.col("cross") & ~F.col("authorised")
         final = F.when(undecided & (after_cap == sufficient), partial).otherwise(after_cap)
-        reasons = union_codes(F.col("evidence_reasons"), codes(
-            F.when(F.col("off_class"), "OFF_CLASS_EVIDENCE_NOT_RELIED"),
-            F.when(unheld_only, "NO_SUPPORT_FOR_A_HELD_CLASS"),
-            F.when(was_closed, "SUPPORT_OUTSIDE_ITS_OWN_RELIANCE_WINDOW"),
-            F.when(by_gap, S.gap_reason(F.col("gap_kind"), "NO_APPLICABLE_SUPPORT")),
-            F.when(F.col("capped"), "UNCOVERED_SECURITY_CLASS"),
-            F.when(undecided, "CROSS_CLASS_POLICY_DECISION_REQUIRED")))
-        actions = union_codes(F.col("evidence_actions"), codes(
-            F.when(was_closed, "REQUEST_UPDATED_VALUATION"), F.when(by_gap, S.gap_action(F.col("gap_kind"))),
-            F.when(F.col("capped"), "REQUEST_SUPPORT_FOR_CLASS"), F.when(undecided, "RECORD_VALUATION_POLICY_DECISION")))
+        absent = {f"NO_APPLICABLE_SUPPORT_{k.upper()}": by_gap & (F.coalesce("gap_kind", F.lit("none")) == k) for k, *_ in model.GAP_VERDICTS}
+        reasons = any_of(F.col("reasons"), any_bit(model.REASON_CODES, {
+            "OFF_CLASS_EVIDENCE_NOT_RELIED": F.col("any_off") & ~F.col("authorised"), "NO_SUPPORT_FOR_A_HELD_CLASS": unheld_only,
+            "SUPPORT_OUTSIDE_ITS_OWN_RELIANCE_WINDOW": was_closed, **absent,
+            "UNCOVERED_SECURITY_CLASS": F.col("capped"), "CROSS_CLASS_POLICY_DECISION_REQUIRED": undecided}))
+        to_ask = {a: by_gap & (S.gap_action(F.col("gap_kind")) == a) for a in sorted({g[3] for g in model.GAP_VERDICTS})}
+        actions = any_of(F.col("actions"), any_bit(model.ACTION_CODES, {
+            "REQUEST_UPDATED_VALUATION": was_closed, **to_ask, "REQUEST_SUPPORT_FOR_CLASS": F.col("capped"), "RECORD_VALUATION_POLICY_DECISION": undecided}))
+        reasons, actions = model.codes_of(reasons, model.REASON_CODES), model.codes_of(actions, model.ACTION_CODES)
         clash = F.col("contradicted")
         pro_forma = F.col("last_pro_forma").isNotNull() & ~F.coalesce(F.col("last_executed") >= F.col("last_pro_forma"), F.lit(False))
         return rows.select(
@@ -318,10 +340,12 @@ class Assessment:
         met = met.withColumn("found", found).withColumn("absent", F.when(F.col("found") == sufficient, absent).otherwise(F.array().cast(NO_CODES)))
         outcome = F.when(F.size("absent") == len(model.R4_FIGURES), insufficient).when(F.size("absent") > 0, partial).otherwise(F.col("found"))
         worst = met.withColumn("outcome", outcome).groupBy(*KEY).agg(
-            F.min("outcome").alias("worst"), F.array_distinct(F.flatten(F.collect_set("absent"))).alias("absent"), F.sum("lots").alias("realised_lots"))
+            F.min("outcome").alias("worst"), F.sum("lots").alias("realised_lots"),
+            *[F.bool_or(F.array_contains("absent", c)).alias(f"lacks_{c}") for c in model.R4_FIGURES])
         short = F.col("worst") < sufficient
-        in_order = codes(F.when(short, "NO_REALIZATION_SUPPORT_FOR_LOT"), *[F.when(F.array_contains("absent", c), c) for c in model.R4_FIGURES])
-        actions = codes(F.when(short, "REQUEST_REALIZATION_SUPPORT"), F.when(F.size("absent") > 0, "REQUEST_REALIZATION_FIGURES"))
+        lacking = [F.col(f"lacks_{c}") for c in model.R4_FIGURES]
+        in_order = codes(F.when(short, "NO_REALIZATION_SUPPORT_FOR_LOT"), *[F.when(lacks, c) for lacks, c in zip(lacking, model.R4_FIGURES, strict=True)])
+        actions = codes(F.when(short, "REQUEST_REALIZATION_SUPPORT"), F.when(lacking[0] | lacking[1] | lacking[2], "REQUEST_REALIZATION_FIGURES"))
         return worst.select(*KEY, F.lit("R4").alias("requirement"), model.verdict_of(F.col("worst")).alias("verdict"),
                             in_order.alias("reasons"), actions.alias("next_actions"), "realised_lots")
 
@@ -379,10 +403,9 @@ def reduce_requirement(groups: DataFrame, code: str) -> DataFrame:
     """Worst outcome over the groups of a holding-date, codes united."""
     return groups.groupBy(*KEY).agg(
         F.min("outcome").alias("worst"),
-        F.array_sort(F.array_distinct(F.flatten(F.collect_set("reasons")))).alias("reasons"),
-        F.array_sort(F.array_distinct(F.flatten(F.collect_set("next_actions")))).alias("next_actions"),
-        F.sum("lots").alias("lots"),
-    ).select(*KEY, F.lit(code).alias("requirement"), model.verdict_of(F.col("worst")).alias("verdict"), "reasons", "next_actions", "lots")
+        F.bit_or("reasons").alias("reasons"), F.bit_or("next_actions").alias("next_actions"), F.sum("lots").alias("lots"),
+    ).select(*KEY, F.lit(code).alias("requirement"), model.verdict_of(F.col("worst")).alias("verdict"),
+             model.codes_of(F.col("reasons"), model.REASON_CODES).alias("reasons"), model.codes_of(F.col("next_actions"), model.ACTION_CODES).alias("next_actions"), "lots")
 
 
 def row_verdict(rows: DataFrame) -> DataFrame:
@@ -426,7 +449,7 @@ def links(assessment: Assessment) -> DataFrame:
     r1 = assessment.relied.filter("requirement = 'R1'")
     covering = r1.filter("priced_class IS NOT NULL").join(held, [*KEY, "priced_class"], "left_semi").select(*cols)
     free = r1.filter("priced_class IS NULL").join(held.select(*KEY).distinct(), KEY, "left_semi").select(*cols)
-    r2 = assessment.relied.filter("requirement = 'R2'").join(assessment.held_dates.select(*KEY), KEY, "left_semi").select(*cols)
+    r2 = assessment.relied.filter("requirement = 'R2'").join(assessment.held_keys.select(*KEY), KEY, "left_semi").select(*cols)
     r4 = assessment.relied.filter("requirement = 'R4'").join(assessment.realised_lots.select(*KEY).distinct(), KEY, "left_semi").select(*cols)
     return covering.unionByName(free).unionByName(r2).unionByName(r4)
 

@@ -111,7 +111,7 @@ def fx_rate_present(assessment, observed: DataFrame | None = None) -> DataFrame:
         F.max(F.when(F.col("field_name") == "currency_pair", F.col("value_text"))).alias("currency_pair"),
         F.max(F.when(F.col("field_name") == "fx_rate_effective_date", F.col("value_text"))).try_cast("date").alias("stated_for"),
         F.bool_or(F.col("field_name") == "fx_rate").alias("has_rate"))
-    held = assessment.held_dates.select(*KEY, "period_date").join(
+    held = assessment.held_keys.select(*KEY, "period_date").join(
         ledger.holding.filter("position_type = 'fx_denominated_interest'").select("holding_id"), "holding_id")
     in_scope = assessment.relied.filter("requirement = 'R2'").select(*KEY, "period_date", "claim_id").join(text, "claim_id").filter(
         F.col("has_rate") & (F.col("stated_for") == F.col("period_date"))).groupBy(*KEY).agg(F.count("*").alias("cited_rates"))
@@ -203,7 +203,7 @@ def derive_marks(assessment) -> DataFrame:
         F.bool_or(stated).alias("any_amount"), F.bool_or(F.col("price_per_share").isNotNull()).alias("any_price"), F.bool_or(bearing).alias("any_bearing"))
     priced = relied.filter("price_per_share IS NOT NULL")
     classes = per_class(held_classes(assessment), priced, assessment.authorised)
-    rows = assessment.held_dates.select(*KEY, "fund_id", "period_date").join(evidence, KEY, "left").join(classes, KEY, "left")
+    rows = assessment.held_keys.join(evidence, KEY, "left").join(classes, KEY, "left")
     reason = F.lit(None).cast("string")
     for n, (_, name) in reversed(list(enumerate(model.AMOUNT_AUTHORITY))):
         reason = F.when(F.col("amount.authority") == n, name).otherwise(reason)
@@ -240,7 +240,7 @@ def mark_check(assessment) -> DataFrame:
 def quoted_value(assessment) -> DataFrame:
     """VAL-11: listed positions at the last close on or before the date times their shares, no borrowing."""
     listed = assessment.ledger.holding.filter("position_type = 'public_listed'").select("holding_id")
-    held = assessment.held_dates.select(*KEY, "fund_id", "period_date").join(listed, "holding_id")
+    held = assessment.held_keys.join(listed, "holding_id")
     quotes = assessment.relied.filter("requirement = 'R2' AND source_class = 'public_market_quote'")
     done = F.col("issued_date") <= F.col("period_date")
     chosen = quotes.groupBy(*KEY).agg(

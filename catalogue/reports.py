@@ -45,7 +45,7 @@ def agg_04(fr):
 @query("agg_05", "SELECT h.holding_id, h.period_id, array_to_string(held_classes, ',') AS held, coalesce(array_to_string(list_sort(priced), ','), '') AS priced FROM {o_held} AS h LEFT JOIN {o_r2_set} AS s ON s.holding_id = h.holding_id AND s.period_id = h.period_id")
 def agg_05(fr):
     a = assessment(fr)
-    return a.held_dates.join(a.r2_evidence.select("holding_id", "period_id", "priced_classes"), ["holding_id", "period_id"], "left").select(
+    return a.held_dates.join(a.priced_sets.select("holding_id", "period_id", "priced_classes"), ["holding_id", "period_id"], "left").select(
         "holding_id", "period_id", F.concat_ws(",", F.array_sort("held_classes")).alias("held"), F.concat_ws(",", F.array_sort("priced_classes")).alias("priced"))
 
 

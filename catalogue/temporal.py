@@ -321,7 +321,7 @@ def win_11(fr):
  FROM {o_held} JOIN {o_r2_set} USING (holding_id, period_id) WHERE len(priced) > 0""")
 def set_01(fr):
     a = assessment(fr)
-    both = a.held_dates.select("holding_id", "period_id", "held_classes").join(a.r2_evidence.select("holding_id", "period_id", "priced_classes"), ["holding_id", "period_id"])
+    both = a.priced_sets
     differ = (F.size(F.array_except("held_classes", "priced_classes")) > 0) | (F.size(F.array_except("priced_classes", "held_classes")) > 0)
     return both.filter(F.size("priced_classes") > 0).select("holding_id", "period_id", differ.alias("cross_class"))
 
@@ -330,7 +330,7 @@ def set_01(fr):
  WHERE NOT class_free AND len(list_filter(held_classes, lambda x: NOT list_contains(priced, x))) > 0""")
 def set_02(fr):
     a = assessment(fr)
-    both = a.held_dates.select("holding_id", "period_id", "held_classes").join(a.r2_evidence, ["holding_id", "period_id"])
+    both = a.priced_sets
     uncovered = F.array_sort(F.array_except("held_classes", "priced_classes"))
     return both.filter(~F.col("class_free") & (F.size(uncovered) > 0)).select("holding_id", "period_id", F.concat_ws(",", uncovered).alias("uncovered"))
 
