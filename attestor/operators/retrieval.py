@@ -68,31 +68,27 @@ def default_queries(spark) -> DataFrame:
 
 
 def matched_documents(documents: DataFrame, queries: DataFrame) -> DataFrame:
-    """RET-01/02/04: per document and query the text rank and the best line, computed inside the row.
+    """RET-01/02/04: per document and query the text rank and the best line.
 
-    Nothing is shuffled: a document carries all it needs, and the query side is a few rows. A word hits a term when
+    Words stream past the few query terms and only hits are shuffled; the text itself is not. A word hits a term when
     it starts with it. Rank = sum over terms of 1/1 + 1/4 + ... + 1/tf^2.
     """
-    asked = F.broadcast(query_terms(queries).filter("refusal IS NULL").select("requirement", "terms"))
-    lined = documents.select("document_no", "document_id", "canonical_text", F.transform(
-        F.split("canonical_text", "\n"), lambda line: F.regexp_extract_all(F.lower(line), F.lit(WORD), F.lit(1))).alias("line_words"))
-    met = lined.crossJoin(asked)
-    hits = F.transform("line_words", lambda ws: F.transform(F.col("terms"), lambda t: F.size(F.filter(ws, lambda w: F.startswith(w, t)))))
-    met = met.withColumn("hits", hits).drop("line_words")
-    tf = F.transform(F.sequence(F.lit(0), F.size("terms") - 1), lambda n: F.aggregate("hits", F.lit(0), lambda acc, h: acc + F.get(h, n)))
-    met = met.withColumn("tf", tf).filter(F.exists("tf", lambda n: n > 0))
-    weight = lambda n: F.when(n > 0, F.aggregate(F.sequence(F.lit(1), n), F.lit(0.0), lambda acc, i: acc + F.lit(1.0) / (i * i))).otherwise(F.lit(0.0))
-    rank = F.aggregate(F.transform("tf", weight), F.lit(0.0), lambda acc, w: acc + w)
-    distinct = F.transform("hits", lambda h, i: F.struct(F.size(F.filter(h, lambda n: n > 0)).alias("terms"), (-i).alias("line")))
-    met = met.withColumn("text_rank", rank.cast("decimal(18,6)")).withColumn("best", F.array_max(distinct))
-    met = met.withColumn("line_no", -F.col("best.line")).withColumn("line_terms", F.col("best.terms"))
-    hit = F.get("hits", F.col("line_no"))
-    matched = F.filter(F.transform(F.col("terms"), lambda t, n: F.when(F.get(hit, n) > 0, t)), lambda t: t.isNotNull())
-    return met.withColumn("matched", matched).drop("hits", "tf", "best")
-
-
-def passages(matched: DataFrame) -> DataFrame:
+    terms = F.broadcast(query_terms(queries).filter("refusal IS NULL").select("requirement", F.explode("terms").alias("term")))
+    lines = documents.select("document_no", "document_id", F.posexplode(F.split("canonical_text", "\n")).alias("line_no", "line"))
+    words = lines.select("document_no", "document_id", "line_no", F.explode(F.regexp_extract_all(F.lower("line"), F.lit(WORD), F.lit(1))).alias("word"))
+    query = ["document_no", "document_id", "requirement"]
+    hits = words.join(terms, F.startswith("word", "term")).groupBy(*query, "line_no", "term").agg(F.count("*").alias("n"))
+    weight = F.aggregate(F.sequence(F.lit(1).cast("bigint"), F.col("tf")), F.lit(0.0), lambda acc, i: acc + F.lit(1.0) / (i * i))
+    rank = hits.groupBy(*query, "term").agg(F.sum("n").alias("tf")).groupBy(*query).agg(F.sum(weight).cast("decimal(18,6)").alias("text_rank"))
+    # At most one row per term of a query here, so the list of a line's terms is as short as the query.
+    by_line = hits.groupBy(*query, "line_no").agg(F.array_sort(F.collect_list("term")).alias("matched"))
+    best = by_line.groupBy(*query).agg(F.max_by(F.struct("line_no", "matched"), F.struct(F.size("matched"), -F.col("line_no"))).alias("best"))
+    return rank.join(best, query).select(*query, "text_rank", "best.line_no", "best.matched", F.size("best.matched").alias("line_terms"))
+
+
+def passages(matched: DataFrame, documents: DataFrame) -> DataFrame:
     """RET-04/05/06: the best line as a citation: trimmed, windowed to whole words when long, located, paged."""
+    matched = documents.select("document_no", "canonical_text").join(matched, "document_no")
     before = F.when(F.col("line_no") > 0, F.length(F.expr("substring_index(canonical_text, '\n', line_no)")) + 1).otherwise(0)
     line = F.get(F.split("canonical_text", "\n"), F.col("line_no"))
     out = matched.withColumn("line", line).withColumn("line_start", before)
@@ -175,7 +171,7 @@ def search(ledger: Ledger, documents: DataFrame, queries: DataFrame, holding_id:
     claims = candidate_claims(ledger.claim, holding_id, on, requirement)
     asked = queries.filter(F.col("requirement") == requirement)
     named = documents.join(claims.select("document_no").distinct(), "document_no", "left_semi")
-    found = passages(matched_documents(named, asked)).drop("requirement")
+    found = passages(matched_documents(named, asked), named).drop("requirement")
     preferred = F.broadcast(model.preference(claims.sparkSession))
     order = [F.coalesce("preference", F.lit(len(model.PREFERENCE))), F.abs(F.datediff(F.lit(on), "issued_date")), F.desc("text_rank"), F.col("document_id"), F.col("span_start"), F.col("claim_id")]
     hit = claims.join(found, "document_no").join(preferred, ["source_class", "execution_status"], "left")

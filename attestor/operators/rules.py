@@ -107,11 +107,19 @@ class Assessment:
     def lots(self) -> DataFrame:
         return temporal.dated_lots(self.ledger.lot, self.ledger.conversion, self.ledger.holding, self.periods)
 
+    def relied_for(self, code: str) -> DataFrame:
+        """Claims of one request and date that are in scope, with their matrix cell; only R2 is superseded."""
+        mine = self.ledger.claim.filter(F.array_contains("requirements", code)).withColumn("requirement", F.lit(code))
+        in_scope = temporal.window_covers(F.col("period_date")) if code == "R2" else F.col("issued_date") <= F.col("period_date")
+        scoped = mine.join(self.periods.select("fund_id", "period_id", "period_date"), "fund_id").filter(in_scope)
+        if code == "R2":
+            scoped = supersede(scoped)
+        return matrix_cells(scoped, self.strict).withColumn("effective_date", S.effective_date(F.col("issued_date"), F.col("received_date")))
+
     @cached_property
     def relied(self) -> DataFrame:
-        """One row per claim, request and date that is in scope after supersession, with its matrix cell."""
-        scoped = supersede(applicable_claims(self.ledger, self.periods))
-        return matrix_cells(scoped, self.strict).withColumn("effective_date", S.effective_date(F.col("issued_date"), F.col("received_date")))
+        """All requests in one frame; a filter on the request leaves only its branch in the plan."""
+        return self.relied_for("R1").unionByName(self.relied_for("R2")).unionByName(self.relied_for("R4"))
 
     def by_class(self, code: str) -> DataFrame:
         """Claims of one request reduced to holding, period and priced class.
@@ -119,7 +127,7 @@ class Assessment:
         The request is filtered first, so each claim is shuffled once per request it may answer and the facts
         are read only where figures decide.
         """
-        claims = self.relied.filter(F.col("requirement") == code)
+        claims = self.relied_for(code)
         figures = {"R1": model.R1_FIGURES, "R4": model.R4_FIGURES}.get(code, {})
         if figures:
             claims = claims.join(figure_flags(self.ledger.fact, figures, positive=code == "R1"), "claim_id", "left")
@@ -378,7 +386,13 @@ class Assessment:
         """REQ-06, long form: one row per member and request that arises."""
         flags = ["cross_class", "pro_forma", "subsequent"]
         base = [*KEY, "requirement", "verdict", "reasons", "next_actions"]
-        parts = [self.r1.select(*base), self.r2.select(*base, *flags), self.r3.select(*base, "note"), self.r4.select(*base), self.r5.select(*base)]
+        # R5 is a label on R2, so it leaves the same row instead of computing R2 a second time.
+        empty = F.array().cast(NO_CODES)
+        own = F.struct("requirement", "verdict", "reasons", "next_actions", *flags)
+        label = F.struct(F.lit("R5").alias("requirement"), F.lit("sufficient").alias("verdict"), empty.alias("reasons"), empty.alias("next_actions"),
+                         *[F.lit(False).alias(f) for f in flags])
+        two_and_five = self.r2.select(*KEY, F.explode(F.when(F.col("pro_forma"), F.array(own, label)).otherwise(F.array(own))).alias("o")).select(*KEY, "o.*")
+        parts = [self.r1.select(*base), two_and_five, self.r3.select(*base, "note"), self.r4.select(*base)]
         out = parts[0]
         for part in parts[1:]:
             out = out.unionByName(part, allowMissingColumns=True)

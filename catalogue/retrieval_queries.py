@@ -78,7 +78,7 @@ def matched(fr):
 
 
 def found(fr):
-    return retrieval.passages(matched(fr))
+    return retrieval.passages(matched(fr), fr["f_document"])
 
 
 def top(fr, **options):
