@@ -6,6 +6,7 @@ import os
 import sys
 import time
 import traceback
+from concurrent.futures import ThreadPoolExecutor
 
 import duckdb
 
@@ -34,44 +35,43 @@ def rows_of_spark(spark, folder, entry) -> tuple[list[str], list[tuple]]:
     return names, sorted((tuple(r[n] for n in names) for r in df.collect()), key=repr)
 
 
+def check(spark, con, folder: str, key: str) -> bool:
+    entry = catalogue.REGISTRY[key]
+    began = time.time()
+    try:
+        names, got = rows_of_spark(spark, folder, entry)
+        took = time.time() - began
+        if entry.sql is None:
+            print(f"{key}: rows only {len(got)} {took:.1f}s", flush=True)
+            return True
+        want_names, want = rows_of_duckdb(con.cursor(), entry)
+    except Exception as error:
+        print(f"{key}: ERROR {type(error).__name__} {str(error)[:700]}", flush=True)
+        if os.environ.get("TRACE"):
+            traceback.print_exc()
+        return False
+    if names != want_names:
+        print(f"{key}: COLUMNS {sorted(set(names) ^ set(want_names))}", flush=True)
+        return False
+    if repr(got) != repr(want):
+        pairs = [(a, b) for a, b in zip(got, want) if a != b][:2]
+        print(f"{key}: DIFFERS {len(got)} vs {len(want)}\n   {names}\n   {pairs}", flush=True)
+        return False
+    print(f"{key}: ok {len(got)} {took:.1f}s{' EMPTY' if not got else ''}", flush=True)
+    return True
+
+
 def main(prefixes: list[str]) -> int:
     catalogue.load_all()
     folder = os.environ.get("SF_DIR", "/root/testdata/sf0.01")
     spark = build_session(master="local[8]", shuffle_partitions=8)
     spark.sparkContext.setLogLevel("OFF")
     con = connect(folder)
-    bad = 0
-    for key, entry in catalogue.REGISTRY.items():
-        if prefixes and not any(key.startswith(p) for p in prefixes):
-            continue
-        began = time.time()
-        try:
-            names, got = rows_of_spark(spark, folder, entry)
-            took = time.time() - began
-            if entry.sql is None:
-                print(f"{key}: rows only {len(got)} {took:.1f}s", flush=True)
-                continue
-            began = time.time()
-            want_names, want = rows_of_duckdb(con, entry)
-            duck = time.time() - began
-            if names != want_names:
-                bad += 1
-                print(f"{key}: COLUMNS {sorted(set(names) ^ set(want_names))}", flush=True)
-            elif repr(got) != repr(want):
-                bad += 1
-                only = [r for r in got if r not in want][:2] if len(got) < 3000 else [a for a, b in zip(got, want) if a != b][:2]
-                miss = [r for r in want if r not in got][:2] if len(got) < 3000 else [b for a, b in zip(got, want) if a != b][:2]
-                print(f"{key}: DIFFERS {len(got)} vs {len(want)}\n   {names}\n   spark {only}\n   duck  {miss}", flush=True)
-            else:
-                print(f"{key}: ok {len(got)} {took:.1f}s duck {duck:.1f}s{' EMPTY' if not got else ''}", flush=True)
-        except Exception as error:
-            bad += 1
-            text = str(error).split("\n\nJVM")[0]
-            print(f"{key}: ERROR {type(error).__name__} {text[:700]}", flush=True)
-            if os.environ.get("TRACE"):
-                traceback.print_exc()
-    print("bad:", bad)
-    return 1 if bad else 0
+    keys = [k for k in catalogue.REGISTRY if not prefixes or any(k.startswith(p) for p in prefixes)]
+    with ThreadPoolExecutor(int(os.environ.get("THREADS", "4"))) as pool:
+        good = list(pool.map(lambda key: check(spark, con, folder, key), keys))
+    print("checked:", len(good), "bad:", good.count(False))
+    return 1 if False in good else 0
 
 
 if __name__ == "__main__":
