@@ -7,13 +7,14 @@ from pyspark.sql import functions as F
 
 from attestor.functions import scalars as S
 
-NOT_A_HOLDING = ("7GC", "Internal", "TOTAL", "Marks", "Case study", "Fund I positions")
+# First words of rows that are no holding (fixed values); the name of the house that keeps the sheet comes on top.
+NOT_A_HOLDING = ("Internal", "TOTAL", "Marks", "Case study", "Fund I positions")
 
 
-def company_rows(grid: DataFrame) -> DataFrame:
+def company_rows(grid: DataFrame, house: tuple[str, ...] = ()) -> DataFrame:
     """Rows that name a company; headings and totals are told by their first words."""
     heading = F.lit(False)
-    for word in NOT_A_HOLDING:
+    for word in (*house, *NOT_A_HOLDING):
         heading = heading | F.col("company").startswith(word)
     return grid.filter(~heading)
 
