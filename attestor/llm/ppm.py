@@ -51,36 +51,37 @@ class Slots:
     MULTIPLIERS = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0xD6E8FEB86659FD93)
 
     def __init__(self, keys: np.ndarray):
-        self.shift = np.uint64(64 - max(4, int(len(keys)).bit_length() + 1))
+        self.keys = keys
         self.rounds = []
         left = np.arange(len(keys), dtype=np.int32)
         for multiplier in self.MULTIPLIERS:
-            held = np.full(1 << (64 - int(self.shift)), -1, np.int32)
-            slot = self._slot(keys[left], multiplier)
+            shift = 64 - max(4, len(left).bit_length() + 1)
+            held = np.full(1 << (64 - shift), -1, np.int32)
+            slot = self._slot(keys[left], multiplier, shift)
             held[slot] = left
-            names = np.full(len(held), np.iinfo(np.uint64).max, np.uint64)
-            full = held >= 0
-            names[full] = keys[held[full]]
-            self.rounds.append((names, held))
+            self.rounds.append((multiplier, shift, held))
             left = left[held[slot] != left]
         order = np.argsort(keys[left], kind="stable")
         self.rest, self.rest_at = keys[left][order], left[order]
 
-    def _slot(self, keys: np.ndarray, multiplier: int) -> np.ndarray:
-        return ((keys * np.uint64(multiplier)) >> self.shift).astype(np.int64)
+    @staticmethod
+    def _slot(keys: np.ndarray, multiplier: int, shift: int) -> np.ndarray:
+        return ((keys * np.uint64(multiplier)) >> np.uint64(shift)).astype(np.int64)
 
     def find(self, keys: np.ndarray) -> np.ndarray:
         out = np.full(len(keys), -1, np.int32)
+        if not len(self.keys):
+            return out
         open_ = None
-        for (names, held), multiplier in zip(self.rounds, self.MULTIPLIERS, strict=True):
+        for multiplier, shift, held in self.rounds:
             asked = keys if open_ is None else keys[open_]
-            slot = self._slot(asked, multiplier)
-            hit = names[slot] == asked
+            at = held[self._slot(asked, multiplier, shift)]
+            hit = (at >= 0) & (self.keys[at] == asked)
             if open_ is None:
-                out[hit] = held[slot[hit]]
+                out[hit] = at[hit]
                 open_ = np.flatnonzero(~hit)
             else:
-                out[open_[hit]] = held[slot[hit]]
+                out[open_[hit]] = at[hit]
                 open_ = open_[~hit]
         if len(self.rest) and len(open_):
             at = np.minimum(np.searchsorted(self.rest, keys[open_]), len(self.rest) - 1)

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from attestor.llm import language
+from attestor.llm import language, licences, lm, packing, quality, sentencepieces, toxicity, vectors, winnowing
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -21,6 +21,46 @@ def query(run):
     return run
 
 
+@query
+def op1_fingerprints(spark: SparkSession, folder: str) -> DataFrame:
+    return winnowing.compare(table(spark, folder, "documents"))
+
+
+@query
+def op2_quality(spark: SparkSession, folder: str) -> DataFrame:
+    return quality.classify(table(spark, folder, "documents"), table(spark, folder, "labels"))
+
+
 @query
 def op3_language(spark: SparkSession, folder: str) -> DataFrame:
     return language.identify(table(spark, folder, "documents"))
+
+
+@query
+def op4_toxicity(spark: SparkSession, folder: str) -> DataFrame:
+    return toxicity.classify(table(spark, folder, "documents"), table(spark, folder, "labels"))
+
+
+@query
+def op5_licences(spark: SparkSession, folder: str) -> DataFrame:
+    return licences.scan(table(spark, folder, "documents")).drop("notices")
+
+
+@query
+def op7_packing(spark: SparkSession, folder: str) -> DataFrame:
+    return packing.pack(table(spark, folder, "documents"))
+
+
+@query
+def op8_near_vectors(spark: SparkSession, folder: str) -> DataFrame:
+    return vectors.near_duplicates(table(spark, folder, "embeddings"))
+
+
+@query
+def op9_sentencepiece(spark: SparkSession, folder: str) -> DataFrame:
+    return sentencepieces.encode(table(spark, folder, "documents"), with_ids=False)
+
+
+@query
+def op10_lm(spark: SparkSession, folder: str) -> DataFrame:
+    return lm.score_corpus(table(spark, folder, "documents"))

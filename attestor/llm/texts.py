@@ -13,7 +13,7 @@ import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-CHUNK_BYTES = 4 << 20
+CHUNK_BYTES = 2 << 20
 
 _rng = np.random.default_rng(20240607)
 _BYTE_VALUE = _rng.integers(1, 2**63, 256, dtype=np.uint64)
