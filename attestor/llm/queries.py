@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from attestor.llm import language, licences, lm, packing, quality, sentencepieces, toxicity, vectors, winnowing
+from attestor.llm import jaccard, language, licences, lm, packing, quality, sentencepieces, toxicity, vectors, winnowing
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -46,6 +46,11 @@ def op5_licences(spark: SparkSession, folder: str) -> DataFrame:
     return licences.scan(table(spark, folder, "documents")).drop("notices")
 
 
+@query
+def op6_jaccard(spark: SparkSession, folder: str) -> DataFrame:
+    return jaccard.classes_of(table(spark, folder, "documents"))
+
+
 @query
 def op7_packing(spark: SparkSession, folder: str) -> DataFrame:
     return packing.pack(table(spark, folder, "documents"))
