@@ -244,3 +244,29 @@ def classes_of(docs: DataFrame) -> DataFrame:
     named = first.join(found, "first", "left").select("doc_id", F.coalesce("component", "first").alias("component"))
     out = rows.select("doc_id", "n").join(named, "doc_id", "left")
     return out.select("doc_id", F.col("n").cast("long").alias("n_shingles"), F.coalesce("component", "doc_id").alias("component_id"))
+
+
+def representatives(docs: DataFrame) -> DataFrame:
+    """The rows, with all their columns, of the smallest doc_id of each class; one row for each such id, every row without id.
+
+    A bitmap of the ids that go or repeat sends only their rows through the exact joins; all other rows are never moved.
+    """
+    classes = cut_lineage(classes_of(docs))
+    gone = classes.where("doc_id <> component_id").select("doc_id").distinct()
+    again = classes.where("doc_id = component_id").groupBy("doc_id").count().where("count > 1").select("doc_id")
+    touched = gone.union(again)
+    sent = docs.sparkSession.sparkContext.broadcast(bitmap(touched, bits_for(touched.count())))
+
+    def rows(wanted: bool):
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                ids = batch.column("doc_id").cast(pa.int64())
+                hit = in_bitmap(sent.value, ids.fill_null(0).to_numpy()) & ids.is_valid().to_numpy(zero_copy_only=False)
+                yield batch.filter(pa.array(hit == wanted))
+
+        return docs.mapInArrow(run, docs.schema)
+
+    met = rows(True)
+    left = met.join(gone.select(F.col("doc_id").alias("_gone")), met["doc_id"].cast("long") == F.col("_gone"), "left_anti")
+    one = left.groupBy("doc_id").agg(F.min(F.struct(*(left[c] for c in docs.columns))).alias("_row")).select("_row.*")
+    return rows(False).unionByName(one)

@@ -14,6 +14,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -24,6 +25,8 @@ UNDETERMINED = "und"
 ORDER = 4
 BUDGET_BYTES = 4 << 20
 FOLDS, HELD_OUT = 5, 0
+#: A text that costs more bits a byte in every language is in none of them; a uniform code costs 8.
+MOST_BITS = 7.0
 
 
 def sample(docs: DataFrame, budget_bytes: int = BUDGET_BYTES) -> DataFrame:
@@ -47,7 +50,7 @@ def _gram_counts(order: int):
         for batch in batches:
             table = pa.Table.from_batches([batch])
             for lang in table["lang"].unique().to_pylist():
-                own = table.filter(pa.compute.equal(table["lang"], lang))["text"].combine_chunks()
+                own = table.filter(pc.equal(table["lang"], lang))["text"].combine_chunks()
                 for _, _, data, offsets in texts.chunks(own):
                     if tallies.setdefault(lang, texts.Tally()).add(ppm.grams(data, offsets, order, ends=False)[0]):
                         yield out(lang)
@@ -107,3 +110,19 @@ def predict(docs: DataFrame, model: Model) -> DataFrame:
 
 def identify(docs: DataFrame, order: int = ORDER, budget_bytes: int = BUDGET_BYTES) -> DataFrame:
     return predict(docs, train(docs, order, budget_bytes))
+
+
+def accepted(docs: DataFrame, model: Model, most_bits: float = MOST_BITS) -> DataFrame:
+    """The rows, with all their columns, whose text has a letter and costs at most ``most_bits`` a byte in its best language."""
+    sent = docs.sparkSession.sparkContext.broadcast(model)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        scorer = sent.value.scorer
+        for batch in batches:
+            column = batch.column("text")
+            keep = pc.match_substring_regex(column.fill_null(""), r"\pL").to_numpy(zero_copy_only=False)
+            for a, b, data, offsets in texts.chunks(column) if scorer else ():
+                keep[a:b] &= scorer.texts(data, offsets, ends=False).min(axis=1) <= most_bits * np.diff(offsets)
+            yield batch.filter(pa.array(keep & (scorer is not None)))
+
+    return docs.mapInArrow(run, docs.schema)

@@ -205,3 +205,18 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
 
 def classify(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> DataFrame:
     return score(docs, train(docs, labels, sample))
+
+
+def accepted(docs: DataFrame, model: Model) -> DataFrame:
+    """The rows, with all their columns, that are predicted to be of quality."""
+    sent = docs.sparkSession.sparkContext.broadcast(model)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        model = sent.value
+        for batch in batches:
+            keep = np.zeros(batch.num_rows, bool)
+            for a, b, data, offsets in texts.chunks(batch.column("text")):
+                keep[a:b] = model.network.probabilities(pooled(model.vectors, data, offsets)) >= THRESHOLD
+            yield batch.filter(pa.array(keep))
+
+    return docs.mapInArrow(run, docs.schema)

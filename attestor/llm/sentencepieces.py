@@ -19,6 +19,7 @@ import struct
 import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass, field
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -186,6 +187,12 @@ class Held:
             yield [self.held[s] for s in own]
 
 
+@lru_cache(maxsize=1)
+def segments_held(path: str) -> Held:
+    """One store of segments for all tasks of a Python worker."""
+    return Held(path)
+
+
 def encode(docs: DataFrame, model: str | None = None, with_ids: bool = True) -> DataFrame:
     """doc_id, ids, n_tokens, ids_crc32, round_trip (the decoded ids are the normalised text), parity (SentencePiece agrees)."""
     path = model or default_model()
@@ -196,7 +203,7 @@ def encode(docs: DataFrame, model: str | None = None, with_ids: bool = True) ->
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "true")
         os.environ.setdefault("RAYON_NUM_THREADS", "2")
-        held = Held(path)
+        held = segments_held(path)
         codec = held.codec
         for batch in batches:
             for a in range(0, batch.num_rows, 256):
