@@ -267,6 +267,9 @@ def representatives(docs: DataFrame) -> DataFrame:
         return docs.mapInArrow(run, docs.schema)
 
     met = rows(True)
-    left = met.join(gone.select(F.col("doc_id").alias("_gone")), met["doc_id"].cast("long") == F.col("_gone"), "left_anti")
-    one = left.groupBy("doc_id").agg(F.min(F.struct(*(left[c] for c in docs.columns))).alias("_row")).select("_row.*")
+    name = "gone"
+    while name in docs.columns:
+        name += "_"
+    left = met.join(gone.select(F.col("doc_id").alias(name)), met["doc_id"].cast("long") == F.col(name), "left_anti")
+    one = left.groupBy("doc_id").agg(F.min(F.struct(*(left[c] for c in docs.columns))).alias("kept")).select("kept.*")
     return rows(False).unionByName(one)

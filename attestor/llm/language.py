@@ -25,8 +25,8 @@ UNDETERMINED = "und"
 ORDER = 4
 BUDGET_BYTES = 4 << 20
 FOLDS, HELD_OUT = 5, 0
-#: A text that costs more bits a byte in every language is in none of them; a uniform code costs 8.
-MOST_BITS = 7.0
+#: What a code costs that knows no language; a text that costs more bits a byte in every language is in none of them.
+MOST_BITS = 8.0
 
 
 def sample(docs: DataFrame, budget_bytes: int = BUDGET_BYTES) -> DataFrame:

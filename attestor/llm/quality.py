@@ -125,7 +125,8 @@ class Network:
     def probabilities(self, x: np.ndarray) -> np.ndarray:
         if self.constant is not None:
             return np.full(len(x), self.constant)
-        return 1 / (1 + np.exp(-np.clip(self._logits(x)[1] / self.temperature, -500, 500)))
+        # Rounded, since the last digits depend on which rows are multiplied together.
+        return np.round(1 / (1 + np.exp(-np.clip(self._logits(x)[1] / self.temperature, -500, 500))), 9)
 
     def fit(self, x: np.ndarray, y: np.ndarray, epochs: int = 60, batch: int = 256, rate: float = 3e-3, decay: float = 1e-4, seed: int = 5) -> Network:
         if len(y) < 10 or y.min() == y.max():

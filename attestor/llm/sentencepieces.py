@@ -112,7 +112,7 @@ class Codec:
     """A SentencePiece model rebuilt on the tokenizers library."""
 
     def __init__(self, path: str):
-        from tokenizers import Tokenizer, decoders, models, normalizers
+        from tokenizers import Regex, Tokenizer, decoders, models, normalizers
 
         proto = Proto.read(path)
         self.proto = proto
@@ -128,7 +128,7 @@ class Codec:
         self.tokenizer.decoder = decoders.Sequence([decoders.Replace(MARKER, " "), decoders.ByteFallback(), decoders.Fuse()])
         steps = [normalizers.Precompiled(proto.charsmap)] if proto.charsmap else []
         if proto.remove_extra:
-            steps += [normalizers.Strip(), normalizers.Replace(__import__("tokenizers").Regex(" {2,}"), " ")]
+            steps += [normalizers.Strip(), normalizers.Replace(Regex(" {2,}"), " ")]
         if proto.dummy_prefix:
             steps.append(normalizers.Prepend(MARKER if proto.escape else " "))
         if proto.escape:
@@ -172,6 +172,8 @@ class Held:
         plain = segment.replace(MARKER, " ") if self.codec.proto.escape else segment
         if self.codec.proto.dummy_prefix:
             plain = plain[1:]
+        if not plain:  # SentencePiece adds no marker to nothing
+            return ids == [self.original.piece_to_id(segment)]
         return self.original.encode(plain) == ids
 
     def of(self, texts: list[str]) -> Iterator[list[tuple[bytes, str, bool]]]:

@@ -32,12 +32,12 @@ def words(text: Column) -> Column:
 
 
 def gram_hashes(own: Column, k: int = K) -> Column:
-    """The hashes of all grams of an array of words, 60 bits each."""
+    """The hashes of all grams of an array of words, 59 bits each, so that a place fits below them."""
     few = F.size(own) < k
     starts = F.sequence(F.lit(0), F.greatest(F.size(own) - k, F.lit(0)))
     each = bound(F.transform(own, lambda w: F.xxhash64(w)),
-                 lambda h: F.transform(starts, lambda i: F.shiftrightunsigned(F.xxhash64(*(F.get(h, i + j) for j in range(k))), 4)))
-    whole = F.array(F.shiftrightunsigned(F.xxhash64(F.array_join(own, " ")), 4))
+                 lambda h: F.transform(starts, lambda i: F.shiftrightunsigned(F.xxhash64(*(F.get(h, i + j) for j in range(k))), 5)))
+    whole = F.array(F.shiftrightunsigned(F.xxhash64(F.array_join(own, " ")), 5))
     return F.when(F.size(own) == 0, F.array().cast("array<bigint>")).when(few, whole).otherwise(each)
 
 
