@@ -10,6 +10,18 @@ from attestor import model
 # Wide enough for any stated figure, narrow enough that a difference of two keeps all six decimals.
 NUMBER = "decimal(34,6)"
 SPACE = r"[ \t\n\r\f\x0B]"
+# Anything but white space, of any script.
+VISIBLE = r"(?U)\S"
+
+
+# A digit other than 0 beyond the sixth decimal: such a figure is refused, never rounded.
+FINER = r"\.[0-9]{6}[0-9]*[1-9]"
+
+
+def exact_number(text: Column) -> Column:
+    """The figure a plain text states, null when it does not read or has more decimals than can be kept."""
+    number = text.try_cast(NUMBER)
+    return F.when(~text.rlike(FINER) & ~(text.rlike("[eE]") & (text.try_cast("double") != number.cast("double"))), number)
 
 
 def number_from_cell(cell: Column) -> Column:
@@ -17,7 +29,7 @@ def number_from_cell(cell: Column) -> Column:
     text = F.regexp_replace(F.trim(cell), "[,$]", "")
     inside = F.regexp_extract(text, r"^\((.*)\)$", 1)
     signed = F.when(text.startswith("(") & text.endswith(")"), F.concat(F.lit("-"), inside)).otherwise(text)
-    return signed.try_cast(NUMBER)
+    return exact_number(signed)
 
 
 def exact_day(cell: Column) -> Column:
@@ -102,8 +114,8 @@ def row_kind(kind: Column) -> Column:
 
 
 def implied_cost(price: Column, count: Column) -> Column:
-    """FN-10: price times count, unknown when either is."""
-    return price.cast("decimal(18,6)") * count.cast("decimal(18,0)")
+    """FN-10: price times count, every decimal of both kept; unknown when either is."""
+    return price.cast("decimal(18,6)") * count.cast("decimal(18,6)")
 
 
 def cited_numeral(text: Column) -> Column:
@@ -111,7 +123,7 @@ def cited_numeral(text: Column) -> Column:
     s = SPACE
     whole = r"(?:0|[1-9][0-9]{0,2}(?:,[0-9]{3})+|[1-9][0-9]*)"
     grammar = rf"\A{s}*\(?{s}*-?{s}*\$?{s}*{whole}(?:\.[0-9]+)?{s}*%?{s}*\)?{s}*\z"
-    magnitude = F.regexp_replace(text, r"[^0-9.]", "").try_cast(NUMBER)
+    magnitude = exact_number(F.regexp_replace(text, r"[^0-9.]", ""))
     return F.when(text.rlike(grammar), F.when(text.rlike(rf"\A{s}*[(-]"), -magnitude).otherwise(magnitude))
 
 

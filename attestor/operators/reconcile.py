@@ -104,7 +104,7 @@ class Workbooks:
             F.max(F.when(held & priced, F.col("lo"))).alias("latest_lo"), F.min(F.when(held & priced, F.col("hi"))).alias("earliest_hi"))
         one_price = F.col("any_held") & ~F.col("undecidable") & ~F.col("any_unpriced") & (F.col("low_price") == F.col("high_price"))
         facts = facts.withColumn("invariant", F.coalesce(one_price, F.lit(False)))
-        remaining = (F.col("priced_shares") - F.col("sold_shares")).cast("decimal(18,4)")
+        remaining = (F.col("priced_shares") - F.col("sold_shares")).cast("decimal(18,6)")
         shortcut = F.col("any_exit") & F.col("invariant") & (remaining > 0)
         facts = facts.withColumn("shortcut", shortcut).withColumn("remaining", remaining)
         left = (F.col("remaining") * F.col("low_price").cast("decimal(18,6)")).cast(MONEY)
@@ -125,7 +125,7 @@ class Workbooks:
         extremes = self.position_facts.filter("usable").select(*key, "shares", "unpriced_cost", "latest_lo", "earliest_hi")
         held = self.dated_rows.filter("is_investment AND by_then AND priced").select(*key, "amount", "row_no", "lo", "hi", "share_price", "acquired_text")
         lots = held.join(extremes, key).filter(F.col("hi") >= F.col("latest_lo"))
-        value = (F.col("shares").cast("decimal(18,4)") * F.col("share_price").cast("decimal(18,6)")).cast("decimal(33,6)") + F.col("unpriced_cost").cast("decimal(33,6)")
+        value = (F.col("shares").cast("decimal(18,6)") * F.col("share_price").cast("decimal(18,6)")).cast("decimal(33,6)") + F.col("unpriced_cost").cast("decimal(33,6)")
         lots = lots.withColumn("value", value.cast(MONEY)).withColumn("gap", (F.col("value").cast("decimal(33,6)") - F.col("amount").cast("decimal(33,6)")).cast(MONEY))
         widest = F.struct(F.abs("gap"), -F.col("row_no"))
         return lots.groupBy(*key).agg(
@@ -191,8 +191,8 @@ def stated_cost_total(w: Workbooks) -> DataFrame:
 
 def tranche_arithmetic(w: Workbooks) -> DataFrame:
     """REC-03: price times count against the stated investment, purchases only."""
-    implied = S.implied_cost(F.col("share_price"), F.col("share_count")).cast(MONEY)
-    wrong = w.tranche.filter("is_investment").withColumn("implied", implied).filter("implied <> investment")
+    exact = S.implied_cost(F.col("share_price"), F.col("share_count"))
+    wrong = w.tranche.filter("is_investment").withColumn("implied", exact.cast(MONEY)).filter(exact != F.col("investment").cast("decimal(37,12)"))
     return finding(wrong, "tranche_arithmetic_disagrees", F.concat_ws(" · ", "company", "acquired_text"), F.concat(
         figure(F.col("share_count")), F.lit(" shares at "), F.col("share_price").cast("string"), F.lit(" is "), figure(F.col("implied")),
         F.lit(", but the sheet states an investment of "), figure(F.col("investment"))), F.col("investment"), F.col("implied"))

@@ -30,7 +30,7 @@ def unpivot_grid(grid: DataFrame) -> DataFrame:
     long = grid.unpivot(["sheet", "company", "cost_cell"], periods, "label", "cell")
     amount = S.number_from_cell(F.col("cell"))
     return (
-        long.withColumn("label", F.substring("label", 3, 40)).withColumn("amount", amount)
+        long.withColumn("label", F.expr("substring(label, 3)")).withColumn("amount", amount)
         .withColumn("note", F.when(F.col("amount").isNull() & (F.col("cell") != ""), F.col("cell")))
     )
 

@@ -71,7 +71,7 @@ F_SQL = {
  UNION ALL SELECT 'no_stated_total_to_check', l.sheet || ' · ' || l.label, NULL, NULL, NULL, 'positions were read but no stated total was found, so nothing was checked against it' FROM {{o_label}} AS l LEFT JOIN {{o_stated}} AS s ON s.sheet = l.sheet AND s.label = l.label WHERE s.stated IS NULL""",
     "rec_02": f"""SELECT 'cost_total_disagrees_with_cells' AS kind, t.sheet || ' · cost basis' AS subject, {NONE} AS scope, t.stated, c.computed, 'the column sums to ' || {money('c.computed')} || ' but the sheet states ' || {money('t.stated')} AS detail
  FROM (SELECT sheet, {cell_number('cost_cell')} AS stated FROM {{f_grid}} WHERE company = 'TOTAL') AS t JOIN (SELECT sheet, coalesce(sum({cell_number('cost_cell')}), 0) AS computed FROM {{f_grid}} WHERE company <> 'TOTAL' GROUP BY 1) AS c ON c.sheet = t.sheet WHERE t.stated <> c.computed""",
-    "rec_03": f"""SELECT 'tranche_arithmetic_disagrees' AS kind, company || ' · ' || acquired_text AS subject, {NONE} AS scope, investment AS stated, CAST(share_price AS DECIMAL(18,6)) * CAST(share_count AS DECIMAL(18,0)) AS computed,
+    "rec_03": f"""SELECT 'tranche_arithmetic_disagrees' AS kind, company || ' · ' || acquired_text AS subject, {NONE} AS scope, investment AS stated, CAST(share_price AS DECIMAL(18,6)) * CAST(share_count AS DECIMAL(18,6)) AS computed,
  {money('share_count')} || ' shares at ' || CAST(CAST(share_price AS DECIMAL(34,6)) AS VARCHAR) || ' is ' || {money('share_price * CAST(share_count AS DECIMAL(18,0))')} || ', but the sheet states an investment of ' || {money('investment')} AS detail FROM {{o_tranche}} WHERE is_investment AND CAST(share_price AS DECIMAL(18,6)) * CAST(share_count AS DECIMAL(18,0)) <> investment""",
     "rec_04": f"""SELECT 'unrecognised_tranche_kind' AS kind, company || ' · ' || acquired_text AS subject, {NONE} AS scope, CAST(NULL AS DECIMAL(34,6)) AS stated, CAST(NULL AS DECIMAL(34,6)) AS computed, 'row type ' || kind || ' is neither an investment nor an exit; its ' || {money('investment')} || ' has been left out of every total' AS detail
  FROM {{o_tranche}} WHERE NOT is_exit AND NOT is_investment""",

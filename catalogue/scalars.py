@@ -100,14 +100,14 @@ def fn_09(fr):
     return fr["f_breakdown"].select("title", "row_no", "c0", S.row_kind(F.col("c0")).alias("row_kind"))
 
 
-@query("fn_10", "SELECT lot_id, CAST(shares * entry_pps AS DECIMAL(37,6)) AS implied_cost FROM {f_lot}", text="implied_cost")
+@query("fn_10", "SELECT lot_id, CAST(CAST(shares AS DECIMAL(18,6)) * CAST(entry_pps AS DECIMAL(18,6)) AS DECIMAL(37,12)) AS implied_cost FROM {f_lot}", text="implied_cost")
 def fn_10(fr):
     return fr["f_lot"].select("lot_id", S.implied_cost(F.col("entry_pps"), F.col("shares")).alias("implied_cost"))
 
 
 NUMERAL_SQL = r"""CASE WHEN regexp_full_match({x}, '[ \t\n\r\f\v]*\(?[ \t\n\r\f\v]*-?[ \t\n\r\f\v]*\$?[ \t\n\r\f\v]*(?:0|[1-9][0-9]{0,2}(?:,[0-9]{3})+|[1-9][0-9]*)(?:\.[0-9]+)?[ \t\n\r\f\v]*%?[ \t\n\r\f\v]*\)?[ \t\n\r\f\v]*')
  THEN CASE WHEN ltrim({x}, chr(32) || chr(9) || chr(10) || chr(13) || chr(12) || chr(11))[1] IN ('(', '-') THEN -1 ELSE 1 END
-      * TRY_CAST(regexp_replace({x}, '[^0-9.]', '', 'g') AS DECIMAL(30,6)) END"""
+      * CASE WHEN NOT regexp_matches({x}, '\.[0-9]{6}[0-9]*[1-9]') THEN TRY_CAST(regexp_replace({x}, '[^0-9.]', '', 'g') AS DECIMAL(30,6)) END END"""
 TOKENS_SQL = r"""CASE WHEN {v} = '' THEN 0 ELSE len([i for i in range(1, length({q}) + 1) if substr({q}, i, length({v})) = {v}
  and not (i > 1 and regexp_matches(substr({q}, i - 1, 1), '[0-9,.\-]'))
  and not regexp_matches(substr({q}, i + length({v}), 1), '[0-9,.]')

@@ -63,3 +63,17 @@ def test_a_finer_amount_is_refused_not_rounded(spark):
 def test_rounding_is_half_even_to_a_stated_unit(spark, value, stated, unit, ok):
     df = spark.createDataFrame([(Decimal(value), Decimal(stated), Decimal(unit))], "v decimal(18,2), s decimal(18,2), u decimal(10,2)")
     assert df.select(S.rounds_to(F.col("v"), F.col("s"), F.col("u")).alias("y")).head()["y"] is ok
+
+
+@pytest.mark.parametrize("text, number", [
+    ("0.1234567", None), ("0.1234560", "0.123456"), ("(0.1234567)", None), ("1e3", "1000"), ("1e-7", None), ("1,234.5", "1234.5"), ("12345678901234567890123456789012", None)])
+def test_a_figure_finer_than_can_be_kept_is_refused(spark, text, number):
+    got = one(spark, text, S.number_from_cell)
+    assert got == (None if number is None else Decimal(number))
+    if "e" not in text:
+        assert one(spark, text, S.cited_numeral) == got
+
+
+def test_a_fractional_count_keeps_its_fraction(spark):
+    got = spark.createDataFrame([(Decimal("2.00"), Decimal("100.5"))], "p decimal(18,6), n decimal(18,6)").select(S.implied_cost(F.col("p"), F.col("n")).alias("y")).head()["y"]
+    assert got == Decimal("201")
