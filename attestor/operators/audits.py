@@ -195,7 +195,7 @@ def assessment_kind_violations(decisions: DataFrame, considerations: DataFrame)
     joined = considerations.join(decisions.select("decision_id", "assessment_kind"), "decision_id", "left")
     notes = broken(joined, "decision_id", {
         "consideration_on_representativeness_only": F.coalesce(F.col("assessment_kind") == "representativeness", F.lit(False)),
-        "consideration_note_not_blank": F.length(F.trim("note")) > 0})
+        "consideration_note_not_blank": F.col("note").rlike(S.VISIBLE)})
     return kinds.unionByName(notes)
 
 
@@ -204,9 +204,9 @@ def request_violations(requests: DataFrame) -> DataFrame:
     bound = F.col("decision_type").isin("valuation", "management_assessment")
     return broken(requests, "decision_id", {
         "status_is_recordable": F.col("status").isin("approved", "rejected"),
-        "subject_is_named": F.length(F.trim("subject_id")) > 0,
+        "subject_is_named": F.col("subject_id").rlike(S.VISIBLE),
         "mark_bound_subject_is_a_number": ~bound | F.col("subject_id").rlike("^[0-9]+$"),
-        "rejection_states_its_reason": (F.col("status") != "rejected") | (F.length(F.trim(F.coalesce("reason", F.lit("")))) > 0),
+        "rejection_states_its_reason": (F.col("status") != "rejected") | F.coalesce("reason", F.lit("")).rlike(S.VISIBLE),
     })
 
 

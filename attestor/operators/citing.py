@@ -176,24 +176,24 @@ def sentence_for_fragment(fragments: DataFrame, documents: DataFrame) -> DataFra
     )
 
 
-def lineage(edges: DataFrame, leaves: DataFrame, max_depth: int = 32) -> DataFrame:
+def lineage(edges: DataFrame, leaves: DataFrame) -> DataFrame:
     """CIT-14: every leaf reachable from a figure, by frontier expansion until nothing new is reached.
 
     ``edges`` (figure_id, child_id), ``leaves`` (figure_id, leaf_id, state). The frontier shrinks to empty on an
-    acyclic graph; a cycle is caught by the depth bound and raised, not truncated.
+    acyclic graph of any depth. On a cycle some figure reaches itself, which is raised, not truncated.
     """
     from attestor.session import cut_lineage
 
     frontier = leaves.select("figure_id").union(edges.select("figure_id")).distinct().withColumn("node", F.col("figure_id"))
     seen = frontier
-    for _ in range(max_depth):
+    while True:
         step = edges.select(F.col("figure_id").alias("node"), "child_id")
         frontier = cut_lineage(frontier.join(step, "node").select("figure_id", F.col("child_id").alias("node")).distinct())
         if frontier.isEmpty():
             break
+        if not frontier.filter("node = figure_id").isEmpty():
+            raise ValueError("the figures do not form an acyclic graph")
         seen = seen.unionByName(frontier)
-    else:
-        raise ValueError("the figures do not form an acyclic graph within the depth bound")
     return seen.distinct().join(leaves.withColumnRenamed("figure_id", "node"), "node")
 
 
@@ -248,11 +248,11 @@ def family_of() -> Column:
         .when(status == "non_binding", "term_sheet").otherwise("irregular"))
 
 
-def claims_of_document(extracted: DataFrame, documents: DataFrame) -> DataFrame:
+def claims_of_document(extracted: DataFrame, documents: DataFrame, observations: DataFrame) -> DataFrame:
     """CIT-05: one document gives several claims when authority, date or class differ.
 
-    The base claim always; a settlement clause is a price-less claim of its own; a quote record gives one claim per
-    fiscal year it covers, each closing at that year end.
+    The base claim always; a settlement clause is a price-less claim of its own; a quote record gives one claim for
+    each observation it states (``observations``: claim_id, observed_on, price_per_share), closing on that day.
     """
     base = documents.select("claim_id", "family", "issued_date", "applicable_to", "price_per_share")
     settled = extracted.filter("field_name = 'settlement_amount_received' AND outcome = 'cited'").select("claim_id").distinct()
@@ -260,9 +260,8 @@ def claims_of_document(extracted: DataFrame, documents: DataFrame) -> DataFrame:
     main = base.withColumn("claim_key", F.col("family")).withColumn("closes", F.col("applicable_to"))
     clause = base.join(settled, "claim_id", "left_semi").withColumn("claim_key", F.lit("settlement")).withColumn(
         "closes", F.col("applicable_to")).withColumn("price_per_share", F.lit(None).cast("decimal(18,6)"))
-    years = F.sequence(F.year("issued_date"), F.least(F.year("issued_date") + 2, F.lit(2003)))
-    quotes = base.filter("family = 'quote'").withColumn("year", F.explode(years)).withColumn(
-        "claim_key", F.concat(F.lit("quote_"), F.col("year").cast("string"))).withColumn("closes", F.make_date("year", F.lit(12), F.lit(31)))
+    stated = observations.select("claim_id", F.col("observed_on").alias("closes"), "price_per_share")
+    quotes = base.filter("family = 'quote'").drop("price_per_share").join(stated, "claim_id").withColumn("claim_key", F.concat(F.lit("quote_"), F.col("closes").cast("string")))
     return main.filter("family <> 'quote'").select(*shape).unionByName(clause.select(*shape)).unionByName(quotes.select(*shape))
 
 

@@ -60,10 +60,10 @@ for n, family in ((16, "purchase_agreement"), (17, "cap_table"), (18, "memo"), (
 
 @query("cit_05", f"""SELECT claim_id, family AS claim_key, applicable_to AS closes, price_per_share FROM (SELECT *, {FAMILY_SQL} AS family FROM {{f_claim}}) WHERE source_class <> 'public_market_quote'
  UNION ALL SELECT c.claim_id, 'settlement', c.applicable_to, NULL FROM {{f_claim}} AS c JOIN {{o_extracted}} AS e ON e.claim_id = c.claim_id AND e.field_name = 'settlement_amount_received' AND e.outcome = 'cited'
- UNION ALL SELECT claim_id, 'quote_' || y, make_date(y, 12, 31), price_per_share FROM (SELECT claim_id, price_per_share, unnest(range(year(issued_date), least(year(issued_date) + 2, 2003) + 1)) AS y FROM {{f_claim}} WHERE source_class = 'public_market_quote')""", text="closes price_per_share")
+ UNION ALL SELECT o.claim_id, 'quote_' || CAST(o.observed_on AS VARCHAR), o.observed_on, o.price_per_share FROM {{f_observation}} AS o JOIN {{f_claim}} AS c ON c.claim_id = o.claim_id AND c.source_class = 'public_market_quote'""", text="closes price_per_share")
 def cit_05(fr):
     docs = fr["f_claim"].select("claim_id", "issued_date", "applicable_to", "price_per_share", F.when(F.col("source_class") == "public_market_quote", "quote").otherwise(citing.family_of()).alias("family"))
-    return citing.claims_of_document(extracted(fr), docs).select("claim_id", "claim_key", "closes", "price_per_share")
+    return citing.claims_of_document(extracted(fr), docs, fr["f_observation"]).select("claim_id", "claim_key", "closes", "price_per_share")
 
 
 @query("cit_06", """SELECT c.claim_id, CAST(c.price_per_share AS DECIMAL(26,6)) AS declared, f.value_numeric AS cited, c.price_per_share = f.value_numeric AS agrees FROM {f_claim} AS c LEFT JOIN {f_fact} AS f ON f.claim_id = c.claim_id AND f.field_name = 'fund_price_per_share' WHERE c.price_per_share IS NOT NULL""", text="declared cited")
@@ -202,13 +202,11 @@ def cit_23(fr):
     return fr["f_claim"].filter("priced_class IS NOT NULL").select("claim_id", named.alias("named"), declared.alias("declared")).filter("named <> declared")
 
 
-SCALED_RE = r"(?i)\d[\d,.]*\s*(?:%|percent|million|billion|trillion|thousand|bn\b|mm\b|k\b|x\b|bps\b)"
-STEP_RE = r"(?i)\b(?:(?:has|have|was|were)\s+(?:been\s+|now\s+)?(?:filed|sent|submitted|requested|issued|made|obtained|received|dispatched|completed|provided|delivered|answered|returned|resolved|satisfied|done)|(?:is|are)\s+now\s+(?:on file|in hand|in place|available|complete|completed)|(?:has|have)\s+(?:completed|fulfilled|actioned|closed)|no longer outstanding|already (?:filed|sent|requested|received))\b"
-FORMS = {"not_assessed": r"\bnot[_ ]assessed\b", "not_applicable": r"\bnot[_ ]applicable\b", "missing": r"\bmissing\b", "insufficient": r"\binsufficien\w*", "partial": r"\bpartial\w*", "conflicting": r"\bconflicting\b", "sufficient": r"\bsufficien\w*"}
-OWN = " OR ".join(f"(verdict = '{v}' AND regexp_matches(restatement, '(?i){f}'))" for v, f in FORMS.items())
+SCALED_RE, STEP_RE, FORMS = guard.SCALED, "(?i)" + guard.STEP_DONE, {v: f.replace("(?<!in)", "") for v, f in guard.VERDICT_FORMS.items()}
+OWN = "contains(lower(restatement), lower(verdict_label)) OR " + " OR ".join(f"(verdict = '{v}' AND regexp_matches(restatement, '(?i){f}'))" for v, f in FORMS.items())
 OTHER = " OR ".join(f"(verdict <> '{v}' AND regexp_matches(restatement, '(?i){f}'))" for v, f in FORMS.items())
 SCALE = lambda c: f"[replace(lower(x), ' ', '') for x in regexp_extract_all({c}, '{SCALED_RE}')]"
-G1 = "CASE WHEN trim(restatement) = '' THEN 'returned_nothing' WHEN length(restatement) > 1400 THEN 'over_the_cap' END"
+G1 = "CASE WHEN NOT regexp_matches(restatement, '\\S') THEN 'returned_nothing' WHEN length(restatement) > 1400 THEN 'over_the_cap' END"
 G2 = f"len(list_filter({SCALE('restatement')}, lambda q: NOT list_contains({SCALE('payload')}, q))) > 0"
 G3 = f"len(list_filter({FIGURES_SQL.replace('{x}', 'restatement')}, lambda q: NOT list_contains({FIGURES_SQL.replace('{x}', 'payload')}, q))) > 0"
 G4 = f"(outstanding AND regexp_matches(restatement, '{STEP_RE}') AND NOT regexp_matches(restatement, '(?i)(?:\\bno\\b[^.]{{0,30}}|\\b(?:not|yet)\\b[^.]{{0,29}}|\\bnone\\b[^.]{{0,28}}|\\bnever\\b[^.]{{0,27}}|\\bnobody\\b[^.]{{0,26}}|\\b(?:nothing|neither)\\b[^.]{{0,25}}){STEP_RE[4:]}'))"
@@ -237,9 +235,9 @@ def grd_04(fr):
 
 @query("grd_05", f"SELECT assessment_id, {G5} AS problem FROM {{f_restatement}}")
 def grd_05(fr):
-    return fr["f_restatement"].select("assessment_id", guard.verdict_problem(F.col("restatement"), F.col("verdict")).alias("problem"))
+    return fr["f_restatement"].select("assessment_id", guard.verdict_problem(F.col("restatement"), F.col("verdict"), F.col("verdict_label")).alias("problem"))
 
 
 @query("grd_06", f"""SELECT assessment_id, refusal, refusal IS NULL AS accepted FROM (SELECT assessment_id, coalesce({G1}, CASE WHEN {G2} THEN 'magnitude_not_in_record' END, CASE WHEN {G3} THEN 'figure_not_in_record' END, CASE WHEN {G4} THEN 'outstanding_step_told_as_done' END, {G5}) AS refusal FROM {{f_restatement}})""")
 def grd_06(fr):
-    return guard.judge(fr["f_restatement"]).select("assessment_id", "refusal", "accepted")
+    return guard.judge(fr["f_restatement"], label="verdict_label").select("assessment_id", "refusal", "accepted")
