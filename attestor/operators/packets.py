@@ -9,16 +9,11 @@ from attestor import model
 from attestor.functions import scalars as S
 from attestor.operators import joins, totals, validators
 from attestor.operators.rules import Assessment, codes
+from attestor.sources import publish
 
 KEY = ["holding_id", "period_id"]
 
 
-def set_digest(column: Column) -> Column:
-    """Order-free digest of a group of texts in constant state: count, extremes and the sum of 52-bit hash prefixes."""
-    prefix = F.conv(F.substring(F.sha2(column, 256), 1, 13), 16, 10).cast("bigint")
-    return F.concat_ws(":", F.count("*").cast("string"), F.min(column), F.max(column), F.sum(prefix.cast("decimal(38,0)")).cast("string"))
-
-
 def recomputations(assessment: Assessment) -> DataFrame:
     """VAL-13: one row per packet member, also where nothing could be recomputed."""
     checked = validators.mark_check(assessment).select(*KEY, "outcome", "reason", "derived", "difference", "parts", "evidence")
@@ -41,11 +36,17 @@ def validated_amounts(assessment: Assessment) -> DataFrame:
 
 
 def approval_fingerprints(assessment: Assessment, policy_version: str) -> DataFrame:
-    """VAL-19: what an approval rests on: the mark revision, its amount, the relied-on evidence and the policy."""
-    evidence = assessment.relied.filter("requirement = 'R2'").groupBy(*KEY).agg(set_digest(F.col("claim_id")).alias("claims"))
-    marks = assessment.members.filter("mark_id IS NOT NULL").select(*KEY, "mark_id", "reported_amount")
-    parts = F.concat_ws("|", "mark_id", F.col("reported_amount").cast("string"), F.coalesce("claims", F.lit("")), F.lit(policy_version))
-    return marks.join(evidence, KEY, "left").withColumn("fingerprint", F.sha2(parts, 256))
+    """VAL-19: what an approval rests on, by content: the latest mark, the evidence with all it states, the derived value,
+    the verdicts, the policy decisions and the policy version."""
+    content = ["claim_id", "requirement", "source_class", "execution_status", "verdict", "issued_date", "priced_class", "price_per_share"]
+    evidence = assessment.relied.select(*KEY, publish.row_hash(content).alias("_row")).groupBy(*KEY).agg(publish.hash_sum("_row").alias("evidence"))
+    policy = assessment.ledger.policy_decision.select(*KEY, publish.row_hash(["decision_id", "from_class", "to_class"]).alias("_row"))
+    policy = policy.groupBy(*KEY).agg(publish.hash_sum("_row").alias("policy"))
+    derived = validators.derive_marks(assessment).select(*KEY, "derived", F.col("reason").alias("derivation"))
+    verdicts = assessment.rows.select(*KEY, "r1", "r2", "r3", "r4", "r5")
+    marks = assessment.members.filter("mark_id IS NOT NULL").select(*KEY, "mark_id", "reported_amount", "reported_currency")
+    parts = marks.join(evidence, KEY, "left").join(policy, KEY, "left").join(derived, KEY, "left").join(verdicts, KEY, "left").withColumn("policy_version", F.lit(policy_version))
+    return parts.withColumn("fingerprint", publish.row_hash(sorted(c for c in parts.columns)))
 
 
 def stale_approvals(approvals: DataFrame, prints: DataFrame) -> DataFrame:

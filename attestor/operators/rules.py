@@ -307,19 +307,24 @@ class Assessment:
 
     @cached_property
     def r3(self) -> DataFrame:
-        """REQ-03: an unchanged mark on stale support needs an approved assessment; notes say why it does not arise."""
+        """REQ-03: an unchanged mark on stale support needs an approved assessment; notes say why it does not arise.
+
+        A holding without any recorded component is refused: nothing could ever be stale there.
+        """
         stale = self.stale.groupBy(*KEY).agg(F.count("*").alias("stale_components"))
         approved = (
             self.ledger.decision.filter("decision_type = 'management_assessment' AND status = 'approved'")
             .select(*KEY).distinct().withColumn("assessed", F.lit(True))
         )
-        rows = self.unchanged.join(stale, KEY, "left").join(approved, KEY, "left")
+        listed = self.ledger.component.select("holding_id").distinct().withColumn("listed", F.lit(True))
+        rows = self.unchanged.join(stale, KEY, "left").join(approved, KEY, "left").join(listed, "holding_id", "left")
+        refused = F.raise_error(F.concat(F.lit("no valuation components are recorded for holding "), "holding_id"))
         applies = F.coalesce(F.col("previous_amount") == F.col("reported_amount"), F.lit(False)) & F.col("stale_components").isNotNull()
         closed = F.coalesce("assessed", F.lit(False))
         empty = F.array().cast(NO_CODES)
         return rows.select(
             *KEY, F.lit("R3").alias("requirement"),
-            F.when(~applies, "not_applicable").when(closed, "sufficient").otherwise("missing").alias("verdict"),
+            F.when(F.col("listed").isNull(), refused).when(~applies, "not_applicable").when(closed, "sufficient").otherwise("missing").alias("verdict"),
             F.when(applies & ~closed, F.array(F.lit("MARK_UNCHANGED_WITH_STALE_SUPPORT"))).otherwise(empty).alias("reasons"),
             F.when(applies & ~closed, F.array(F.lit("DRAFT_MANAGEMENT_ASSESSMENT"))).otherwise(empty).alias("next_actions"),
             F.when(F.col("previous_amount").isNull(), "no preceding mark observation")

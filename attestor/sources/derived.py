@@ -248,8 +248,18 @@ FROM {f_latest_mark} WHERE audit_scope = 'packet' AND NOT (fund_id = 'fund_3' AN
     "f_consideration": """
 SELECT decision_id, CASE decision_id % 3 WHEN 0 THEN 'company_performance' WHEN 1 THEN 'market_conditions' ELSE 'impairment_indicators' END AS consideration,
        CASE WHEN decision_id % 14 = 0 THEN '  ' ELSE 'considered' END AS note FROM {f_decision} WHERE decision_type = 'management_assessment' AND decision_id % 5 < 3""",
+    "f_observation": """
+SELECT c.claim_id, make_date(CAST(year(c.issued_date) + y.after AS INT), 12, 31) AS observed_on, c.price_per_share
+FROM {f_claim} AS c CROSS JOIN (VALUES (0), (1), (2), (9)) AS y(after) WHERE c.source_class = 'public_market_quote' AND (y.after < 9 OR c.part_key % 3 = 0)""",
+    "f_mark_arrival": """
+SELECT holding_id, period_id, mark_id, revision, reported_amount FROM {f_mark}
+UNION ALL SELECT holding_id, period_id, mark_id || '+' AS mark_id, revision + 1 AS revision, reported_amount + 5 AS reported_amount FROM {f_latest_mark} WHERE cust_key % 5 = 0""",
+    "f_declared": """
+SELECT 'period' AS table_name, count(*) AS declared FROM {f_period} UNION ALL SELECT 'lot' AS table_name, count(*) + 1 AS declared FROM {f_lot}
+UNION ALL SELECT 'claim' AS table_name, count(*) AS declared FROM {f_claim}""",
     "f_restatement": """
-SELECT assessment_id, verdict, payload, outstanding, CASE cust_key % 11 WHEN 0 THEN '  ' WHEN 1 THEN 'The finding is ' || replace(verdict, '_', ' ') || '. ' || repeat('Nothing more is said. ', 70)
+SELECT assessment_id, verdict, CASE WHEN verdict = 'missing' THEN 'nothing on file' ELSE 'on this row' END AS verdict_label, payload, outstanding,
+       CASE cust_key % 11 WHEN 0 THEN ' ' || chr(10) || chr(9) WHEN 1 THEN 'The finding is ' || replace(verdict, '_', ' ') || '. ' || repeat('Nothing more is said. ', 70)
        WHEN 2 THEN 'The finding is ' || replace(verdict, '_', ' ') || ' on 5 million of value.' WHEN 3 THEN 'The finding is ' || replace(verdict, '_', ' ') || ' for 987654 shares.'
        WHEN 4 THEN 'The finding is ' || replace(verdict, '_', ' ') || ' and the request was sent.' WHEN 5 THEN 'The finding is ' || replace(verdict, '_', ' ') || '; nothing so far has been received.'
        WHEN 6 THEN 'The finding is ' || replace(verdict, '_', ' ') || ', not conflicting.' WHEN 7 THEN 'There is a finding on this row.'

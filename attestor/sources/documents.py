@@ -48,13 +48,16 @@ def recorded_proposals(recordings: DataFrame, column: str, fingerprint: str) ->
     return parsed.withColumn("refusal", refusal)
 
 
-def declared_counts(frames: dict[str, DataFrame], declared: dict[str, int] | DataFrame) -> DataFrame:
-    """SRC-10: rows read per table beside the declared number; a difference is visible, not repaired."""
+def declared_counts(frames: dict[str, DataFrame], declared: DataFrame) -> DataFrame:
+    """SRC-10: rows read per table beside the declared number (table_name, declared); a difference is visible, not repaired.
+
+    A table that nothing declares has neither number nor agreement.
+    """
     out = None
     for name, df in frames.items():
         one = df.agg(F.lit(name).alias("table_name"), F.count("*").alias("rows"))
         out = one if out is None else out.unionByName(one)
-    return out
+    return out.join(declared.select("table_name", "declared"), "table_name", "left").withColumn("agrees", F.col("declared") == F.col("rows"))
 
 
 def findings_snapshot(findings: DataFrame, path: str) -> DataFrame:

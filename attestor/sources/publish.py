@@ -55,15 +55,24 @@ def safe_name(raw: Column) -> Column:
 
 
 def path_plan(rows: DataFrame, within: list[str], name: str, key: str) -> DataFrame:
-    """SNK-06: a folder per row; a second row whose safe name is already taken carries its id in the name.
+    """SNK-06: a folder of its own for every row.
 
-    The first holder of a name is an aggregate per name, so no packet is sorted whole.
+    The first holder of a safe name has it plain, every other row carries its id. A name that itself ends in the id
+    of some row of the same packet carries its own id too, so no plain name can be another row's name with its id. An
+    id that is not safe as a name is told apart by its hash. The first holder is an aggregate per name, so no packet
+    is sorted whole.
     """
-    named = rows.withColumn("safe", safe_name(F.col(name))).withColumn("folded", F.lower("safe"))
+    raw = F.col(key).cast("string")
+    plain = safe_name(raw)
+    label = F.when(plain == raw, plain).otherwise(F.concat(plain, F.lit("-"), F.substring(F.sha2(raw, 256), 1, 16)))
+    named = rows.withColumn("safe", safe_name(F.col(name))).withColumn("label", label).withColumn("folded", F.lower("safe"))
+    named = named.withColumn("ending", F.regexp_extract("folded", r"\(([^()]*)\)$", 1))
     first = named.groupBy(*within, "folded").agg(F.min(F.struct(name, key)).alias("first"))
-    joined = named.join(first, [*within, "folded"])
-    taken = F.col(f"first.{key}") != F.col(key)
-    return joined.withColumn("directory", F.concat(F.lit("companies/"), F.when(taken, F.concat("safe", F.lit(" ("), safe_name(F.col(key)), F.lit(")"))).otherwise(F.col("safe")))).drop("safe", "folded", "first")
+    ids = named.select(*within, F.lower("label").alias("ending")).distinct().withColumn("posing", F.lit(True))
+    joined = named.join(first, [*within, "folded"]).join(ids, [*within, "ending"], "left")
+    taken = (F.col(f"first.{key}") != F.col(key)) | F.col("posing").isNotNull()
+    directory = F.concat(F.lit("companies/"), F.when(taken, F.concat("safe", F.lit(" ("), "label", F.lit(")"))).otherwise(F.col("safe")))
+    return joined.withColumn("directory", directory).drop("safe", "folded", "first", "label", "ending", "posing")
 
 
 def evidence_folders(members: DataFrame, documents: DataFrame, name: str, slices: int = 8) -> str:
@@ -79,14 +88,23 @@ def evidence_folders(members: DataFrame, documents: DataFrame, name: str, slices
     return path
 
 
+def row_hash(columns: list[str]) -> Column:
+    """A hash of named cells: JSON keeps names, nulls and separators apart, so different rows never read alike."""
+    return F.sha2(F.to_json(F.struct(*[F.col(c).cast("string").alias(c) for c in columns]), {"ignoreNullFields": "false"}), 256)
+
+
+def hash_sum(hash_: str) -> Column:
+    """Order-free digest of many hashes in constant state: their number and the sums of all four quarters of each."""
+    lanes = [F.sum(F.conv(F.substring(hash_, 1 + 16 * n, 16), 16, 10).cast("decimal(20,0)")).cast("decimal(38,0)").cast("string") for n in range(4)]
+    return F.sha2(F.concat_ws(":", F.count("*").cast("string"), *lanes), 256)
+
+
 def table_digest(df: DataFrame, keys: list[str]) -> DataFrame:
-    """SNK-09: digest of a set of rows in constant state: the count and four 13-digit lanes of each row's hash, summed.
+    """SNK-09: digest of a set of rows in constant state.
 
     Sums do not depend on the order of rows or tasks, so the digest is the same on any cluster.
     """
-    row = F.sha2(F.concat_ws("|", *[F.coalesce(F.col(c).cast("string"), F.lit("~")) for c in sorted(df.columns) if c not in keys]), 256)
-    lanes = [F.sum(F.conv(F.substring("_row", 1 + 13 * n, 13), 16, 10).cast("decimal(20,0)")).cast("decimal(38,0)").cast("string") for n in range(4)]
-    return df.withColumn("_row", row).groupBy(*keys).agg(F.count("*").alias("rows"), F.sha2(F.concat_ws(":", F.count("*").cast("string"), *lanes), 256).alias("digest"))
+    return df.withColumn("_row", row_hash(sorted(c for c in df.columns if c not in keys))).groupBy(*keys).agg(F.count("*").alias("rows"), hash_sum("_row").alias("digest"))
 
 
 def file_hashes(spark, path: str) -> DataFrame:

@@ -25,28 +25,33 @@ def append_batch(batch: DataFrame, batch_id: int, log: str) -> None:
     batch.write.mode("overwrite").parquet(f"{log}/batch={batch_id}")
 
 
-def distinct_events(events: DataFrame, delay: str = "40 days") -> DataFrame:
-    """STR-01: one event per run and idempotency key.
+def store_events(batch: DataFrame, batch_id: int, log: str) -> None:
+    """STR-01: one event per run and idempotency key, for ever: late events are kept, a key stored by any batch is not stored again.
 
-    The delay bounds the state: a key repeated later than that after its first arrival counts as new. It is set
-    above the span within which a producer may retry.
+    The state is the log itself, so it needs no bound on how late an event or its repetition may be.
     """
-    return events.withWatermark("occurred_at", delay).dropDuplicatesWithinWatermark(["run_id", "idempotency_key"])
+    key = ["run_id", "idempotency_key"]
+    stored = _earlier(batch.sparkSession, log, batch_id, "run_id string, idempotency_key string, batch int")
+    append_batch(batch.dropDuplicates(key).join(stored.select(*key), key, "left_anti"), batch_id, log)
 
 
 def store_documents(batch: DataFrame, batch_id: int, log: str) -> None:
-    """STR-02: a batch against what is stored: new content is appended, the same id with other content is reported."""
-    spark = batch.sparkSession
-    incoming = batch.dropDuplicates(["document_id", "content_hash"])
-    stored = _earlier(spark, log, batch_id, "document_id string, content_hash string, arrival string, batch int")
-    known = stored.filter("arrival = 'new'").select("document_id", F.col("content_hash").alias("stored_hash"))
-    met = incoming.join(known, "document_id", "left")
-    same = known.select(F.col("stored_hash").alias("content_hash")).distinct().withColumn("known", F.lit(True))
-    first = incoming.groupBy("content_hash").agg(F.min("document_id").alias("document_id")).withColumn("first", F.lit(True))
-    met = met.join(same, "content_hash", "left").join(first, ["content_hash", "document_id"], "left")
+    """STR-02: new content is appended, content already held is told, the same id with other content is reported.
+
+    An id has one version for ever: the stored one, or within its first batch the least content hash. Content is
+    new once, for the least id that brings it.
+    """
+    incoming = batch.select("document_id", "content_hash").distinct()
+    stored = _earlier(batch.sparkSession, log, batch_id, "document_id string, content_hash string, arrival string, batch int").filter("arrival <> 'collision'")
+    version = stored.groupBy("document_id").agg(F.min("content_hash").alias("stored_hash"))
+    held = stored.select("content_hash").distinct().withColumn("held", F.lit(True))
+    chosen = incoming.groupBy("document_id").agg(F.min("content_hash").alias("chosen_hash"))
+    met = incoming.join(version, "document_id", "left").join(chosen, "document_id").withColumn("version", F.coalesce("stored_hash", "chosen_hash"))
+    first = met.filter("content_hash = version").groupBy("content_hash").agg(F.min("document_id").alias("first"))
+    met = met.join(first, "content_hash", "left").join(held, "content_hash", "left")
     arrival = (
-        F.when(F.col("stored_hash").isNotNull() & (F.col("stored_hash") != F.col("content_hash")), "collision")
-        .when(F.col("stored_hash").isNotNull() | F.col("known"), "already_stored").when(F.col("first"), "new").otherwise("already_stored"))
+        F.when(F.col("content_hash") != F.col("version"), "collision")
+        .when(F.col("held") | F.col("stored_hash").isNotNull(), "already_stored").when(F.col("document_id") == F.col("first"), "new").otherwise("already_stored"))
     append_batch(met.select("document_id", "content_hash", arrival.alias("arrival")), batch_id, log)
 
 
@@ -70,10 +75,20 @@ def current_decisions(log: DataFrame) -> DataFrame:
 
 
 def stale_by_revision(approvals: DataFrame):
-    """STR-04: approvals whose fingerprint the arriving marks no longer carry."""
+    """STR-04: approvals (holding_id, period_id, decision_id, revision, fingerprint) that an arriving mark overtakes.
+
+    Only a later revision than the approved one counts, and only if its print differs; an older one moves nothing,
+    in whatever order revisions arrive.
+    """
+    then = approvals.select("holding_id", "period_id", "decision_id", F.col("revision").alias("approved"), F.col("fingerprint").alias("recorded"))
 
     def write(batch: DataFrame, batch_id: int, log: str) -> None:
-        moved = batch.join(approvals.select("holding_id", "period_id", "decision_id", "recorded"), ["holding_id", "period_id"]).filter("fingerprint <> recorded")
-        append_batch(moved.select("decision_id", "holding_id", "period_id", "fingerprint"), batch_id, log)
+        moved = batch.join(then, ["holding_id", "period_id"]).filter("revision > approved AND fingerprint <> recorded")
+        append_batch(moved.select("decision_id", "holding_id", "period_id", "revision", "fingerprint"), batch_id, log)
 
     return write
+
+
+def stale_now(log: DataFrame) -> DataFrame:
+    """The latest overtaking revision of each stale approval."""
+    return log.groupBy("decision_id").agg(F.max(F.struct("revision", "fingerprint")).alias("latest")).select("decision_id", "latest.revision", "latest.fingerprint")

@@ -1,9 +1,11 @@
 """VAL: figures recomputed from the evidence and compared with the ones stated."""
 
+import dataclasses
+
 from pyspark.sql import functions as F
 
 from attestor import model
-from attestor.operators import packets, validators
+from attestor.operators import packets, rules, validators
 from attestor.sources.ledger import from_derived
 from catalogue import LIBRARY, query
 from catalogue.rules import assessment
@@ -254,19 +256,14 @@ def val_18(fr):
     return packets.validated_amounts(assessment(fr)).select("holding_id", "period_id", "validated", "carried", "matches", F.concat_ws(",", "labels").alias("labels"))
 
 
-LIBRARY["o_approval_print"] = """
-SELECT m.holding_id, m.period_id, sha256(concat_ws('|', m.mark_id, CAST(m.reported_amount AS VARCHAR), coalesce(e.claims, ''), 'policy-1')) AS fingerprint
-FROM {f_latest_mark} AS m LEFT JOIN (SELECT holding_id, period_id, CAST(count(*) AS VARCHAR) || ':' || min(claim_id) || ':' || max(claim_id) || ':' || CAST(sum(CAST('0x' || substr(sha256(claim_id), 1, 13) AS BIGINT)) AS VARCHAR) AS claims
-  FROM {o_relied} WHERE requirement = 'R2' GROUP BY 1, 2) AS e ON e.holding_id = m.holding_id AND e.period_id = m.period_id WHERE m.audit_scope = 'packet'"""
-
-
-@query("val_19", """SELECT d.decision_id, p.fingerprint, p.period_id = r.period_id AND d.decision_id % 4 <> 0 AS current FROM {f_decision} AS d JOIN {f_latest_mark} AS r ON r.mark_id = d.mark_id
- JOIN {o_approval_print} AS p ON p.holding_id = d.holding_id AND p.period_id = d.period_id WHERE d.decision_type = 'valuation' AND d.status = 'approved'""")
+@query("val_19", """SELECT d.decision_id, NOT EXISTS (SELECT 1 FROM {o_relied} AS c WHERE c.holding_id = d.holding_id AND c.period_id = d.period_id AND c.price_per_share IS NOT NULL AND c.part_key % 6 = 0) AS current
+ FROM {f_decision} AS d JOIN {f_latest_mark} AS r ON r.mark_id = d.mark_id WHERE d.decision_type = 'valuation' AND d.status = 'approved'""")
 def val_19(fr):
-    a = assessment(fr)
-    prints = packets.approval_fingerprints(a, "policy-1")
+    """Approvals were recorded when some claims stated another price; exactly those that rest on such a claim are no longer current."""
+    now = from_derived(fr)
+    changed = F.when(F.col("part_key") % 6 == 0, F.col("price_per_share") + 1).otherwise(F.col("price_per_share")).cast("decimal(18,6)")
+    other = now.claim.withColumn("price_per_share", changed)
+    then = packets.approval_fingerprints(rules.Assessment(dataclasses.replace(now, claim=other)), "policy-1")
     recorded = fr["f_decision"].filter("decision_type = 'valuation' AND status = 'approved'").select("decision_id", "holding_id", "period_id", "mark_id")
-    latest = prints.select("mark_id")
-    seen = recorded.join(latest, "mark_id", "left_semi").join(prints.select("holding_id", "period_id", F.col("fingerprint").alias("then")), ["holding_id", "period_id"])
-    approvals = seen.withColumn("recorded", F.when(F.col("decision_id") % 4 == 0, "an older fingerprint").otherwise(F.col("then")))
-    return packets.stale_approvals(approvals, prints).select("decision_id", "fingerprint", "current")
+    approvals = recorded.join(then.select("holding_id", "period_id", "mark_id", F.col("fingerprint").alias("recorded")), ["holding_id", "period_id", "mark_id"])
+    return packets.stale_approvals(approvals, packets.approval_fingerprints(rules.Assessment(now), "policy-1")).select("decision_id", "current")

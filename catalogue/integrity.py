@@ -4,6 +4,7 @@ from pyspark.sql import functions as F
 
 from attestor import model
 from attestor.operators import audits, joins, rules
+from attestor.sources import documents
 from attestor.sources.ledger import from_derived
 from catalogue import LIBRARY, query
 from catalogue.rules import assessment
@@ -143,7 +144,7 @@ def aud_16(fr):
 
 @query("aud_17", """SELECT 'kind_iff_management_assessment' AS rule, CAST(decision_id AS VARCHAR) AS subject FROM {f_decision} WHERE decision_type <> 'management_assessment' AND decision_id % 33 = 1
  UNION ALL SELECT 'consideration_on_representativeness_only', CAST(c.decision_id AS VARCHAR) FROM {f_consideration} AS c JOIN {f_decision} AS d ON d.decision_id = c.decision_id WHERE d.assessment_kind <> 'representativeness'
- UNION ALL SELECT 'consideration_note_not_blank', CAST(decision_id AS VARCHAR) FROM {f_consideration} WHERE trim(note) = ''""")
+ UNION ALL SELECT 'consideration_note_not_blank', CAST(decision_id AS VARCHAR) FROM {f_consideration} WHERE NOT regexp_matches(note, '[^[:space:]]')""")
 def aud_17(fr):
     spoilt = fr["f_decision"].withColumn("assessment_kind", F.when((F.col("decision_type") != "management_assessment") & (F.col("decision_id") % 33 == 1), "basis_memo").otherwise(F.col("assessment_kind")))
     return audits.assessment_kind_violations(spoilt, fr["f_consideration"])
@@ -163,28 +164,28 @@ def aud_18(fr):
 
 @query("aud_19", """SELECT 'held_without_a_mark' AS rule, h.holding_id || '@' || h.period_id AS subject FROM {o_held} AS h WHERE NOT EXISTS (SELECT 1 FROM {f_mark} AS m WHERE m.holding_id = h.holding_id AND m.period_id = h.period_id AND m.cust_key % 70 <> 2)
  UNION ALL SELECT 'holding_without_lots', holding_id FROM {f_holding} AS h WHERE NOT EXISTS (SELECT 1 FROM {f_lot} AS l WHERE l.holding_id = h.holding_id)
- UNION ALL SELECT 'declared_count_differs', 'lots ' || (SELECT count(*) + 1 FROM {f_lot}) || ' declared, ' || (SELECT count(*) FROM {f_lot}) || ' found'""")
+ UNION ALL SELECT 'declared_count_differs', d.table_name || ': ' || d.declared || ' declared, ' || t.n || ' found' FROM {f_declared} AS d JOIN (SELECT 'lot' AS table_name, count(*) AS n FROM {f_lot} UNION ALL SELECT 'period', count(*) FROM {f_period}) AS t USING (table_name) WHERE d.declared <> t.n""")
 def aud_19(fr):
     a = assessment(fr)
     marks = fr["f_mark"].filter("cust_key % 70 <> 2").select("holding_id", "period_id").distinct()
     unmarked = a.held_dates.join(marks, ["holding_id", "period_id"], "left_anti").select(F.lit("held_without_a_mark").alias("rule"), F.concat_ws("@", "holding_id", "period_id").alias("subject"))
     bare = fr["f_holding"].join(fr["f_lot"].select("holding_id").distinct(), "holding_id", "left_anti").select(F.lit("holding_without_lots").alias("rule"), F.col("holding_id").alias("subject"))
-    counted = fr["f_lot"].agg(F.count("*").alias("found")).withColumn("declared", F.col("found") + 1).filter("declared <> found").select(
-        F.lit("declared_count_differs").alias("rule"), F.concat(F.lit("lots "), F.col("declared").cast("string"), F.lit(" declared, "), F.col("found").cast("string"), F.lit(" found")).alias("subject"))
+    counts = documents.declared_counts({"lot": fr["f_lot"], "period": fr["f_period"]}, fr["f_declared"]).filter("NOT agrees")
+    counted = counts.select(F.lit("declared_count_differs").alias("rule"), F.concat("table_name", F.lit(": "), F.col("declared").cast("string"), F.lit(" declared, "), F.col("rows").cast("string"), F.lit(" found")).alias("subject"))
     return unmarked.unionByName(bare).unionByName(counted)
 
 
 LIBRARY["o_request"] = """
-SELECT decision_id, decision_type, status, CASE WHEN decision_id % 13 = 0 THEN '' WHEN decision_id % 17 = 0 THEN 'mark-x' ELSE CAST(decision_id AS VARCHAR) END AS subject_id, CASE WHEN decision_id % 3 = 0 THEN 'because' WHEN decision_id % 3 = 1 THEN ' ' END AS reason FROM {f_decision}"""
+SELECT decision_id, decision_type, status, CASE WHEN decision_id % 13 = 0 THEN '' WHEN decision_id % 17 = 0 THEN 'mark-x' ELSE CAST(decision_id AS VARCHAR) END AS subject_id, CASE WHEN decision_id % 3 = 0 THEN 'because' WHEN decision_id % 3 = 1 THEN ' ' || chr(10) END AS reason FROM {f_decision}"""
 
 
-@query("aud_20", """SELECT 'status_is_recordable' AS rule, CAST(decision_id AS VARCHAR) AS subject FROM {o_request} WHERE status NOT IN ('approved', 'rejected') UNION ALL SELECT 'subject_is_named', CAST(decision_id AS VARCHAR) FROM {o_request} WHERE trim(subject_id) = ''
+@query("aud_20", """SELECT 'status_is_recordable' AS rule, CAST(decision_id AS VARCHAR) AS subject FROM {o_request} WHERE status NOT IN ('approved', 'rejected') UNION ALL SELECT 'subject_is_named', CAST(decision_id AS VARCHAR) FROM {o_request} WHERE NOT regexp_matches(subject_id, '\\S')
  UNION ALL SELECT 'mark_bound_subject_is_a_number', CAST(decision_id AS VARCHAR) FROM {o_request} WHERE decision_type IN ('valuation', 'management_assessment') AND NOT regexp_full_match(subject_id, '[0-9]+')
- UNION ALL SELECT 'rejection_states_its_reason', CAST(decision_id AS VARCHAR) FROM {o_request} WHERE status = 'rejected' AND trim(coalesce(reason, '')) = ''""")
+ UNION ALL SELECT 'rejection_states_its_reason', CAST(decision_id AS VARCHAR) FROM {o_request} WHERE status = 'rejected' AND NOT regexp_matches(coalesce(reason, ''), '\\S')""")
 def aud_20(fr):
     k = F.col("decision_id")
     requests = fr["f_decision"].select("decision_id", "decision_type", "status", F.when(k % 13 == 0, "").when(k % 17 == 0, "mark-x").otherwise(k.cast("string")).alias("subject_id"),
-                                       F.when(k % 3 == 0, "because").when(k % 3 == 1, " ").alias("reason"))
+                                       F.when(k % 3 == 0, "because").when(k % 3 == 1, " \n").alias("reason"))
     return audits.request_violations(requests)
 
 

@@ -49,9 +49,10 @@ def src_09(fr):
     return documents.recorded_proposals(recordings, "body", "expected").select("claim_id", "field_name", "refusal")
 
 
-@query("src_10", "SELECT 'period' AS table_name, count(*) AS rows FROM {f_period} UNION ALL SELECT 'lot', count(*) FROM {f_lot} UNION ALL SELECT 'claim', count(*) FROM {f_claim} UNION ALL SELECT 'link', count(*) FROM {f_link}")
+@query("src_10", """SELECT t.table_name, t.rows, d.declared, d.declared = t.rows AS agrees FROM (SELECT 'period' AS table_name, count(*) AS rows FROM {f_period} UNION ALL SELECT 'lot', count(*) FROM {f_lot}
+ UNION ALL SELECT 'claim', count(*) FROM {f_claim} UNION ALL SELECT 'link', count(*) FROM {f_link}) AS t LEFT JOIN {f_declared} AS d ON d.table_name = t.table_name""")
 def src_10(fr):
-    return documents.declared_counts({"period": fr["f_period"], "lot": fr["f_lot"], "claim": fr["f_claim"], "link": fr["f_link"]}, {})
+    return documents.declared_counts({"period": fr["f_period"], "lot": fr["f_lot"], "claim": fr["f_claim"], "link": fr["f_link"]}, fr["f_declared"])
 
 
 @query("src_11", "SELECT kind, count(*) AS findings, count(stated) AS with_stated FROM {o_findings} GROUP BY 1")
@@ -133,11 +134,11 @@ def snk_08(fr):
     return fr.spark.read.schema(rows.schema).parquet(path).groupBy("packet_id").agg(F.count("*").alias("entries"), F.min("ordinal").alias("low"), F.max("ordinal").alias("high"))
 
 
-LANES = ", ".join(f"CAST(sum(CAST(CAST('0x' || substr(h, {1 + 13 * n}, 13) AS BIGINT) AS HUGEINT)) AS VARCHAR)" for n in range(4))
+LANES = ", ".join(f"CAST(sum(CAST(CAST('0x' || substr(h, {1 + 16 * n}, 16) AS UBIGINT) AS HUGEINT)) AS VARCHAR)" for n in range(4))
 
 
 @query("snk_09", f"""SELECT period_id, count(*) AS rows, sha256(concat_ws(':', CAST(count(*) AS VARCHAR), {LANES})) AS digest FROM (
- SELECT period_id, sha256(concat_ws('|', holding_id, mark_id, CAST(reported_amount AS VARCHAR), CAST(revision AS VARCHAR))) AS h FROM {{f_mark}}) GROUP BY 1""")
+ SELECT period_id, sha256(CAST(json_object('holding_id', holding_id, 'mark_id', mark_id, 'reported_amount', CAST(reported_amount AS VARCHAR), 'revision', CAST(revision AS VARCHAR)) AS VARCHAR)) AS h FROM {{f_mark}}) GROUP BY 1""")
 def snk_09(fr):
     return publish.table_digest(fr["f_mark"].select("period_id", "holding_id", "mark_id", "reported_amount", "revision"), ["period_id"])
 
@@ -199,7 +200,7 @@ def stream_of(fr, name: str, files: int = 4, **columns):
 @query("str_01", "SELECT DISTINCT CAST(user_id AS VARCHAR) AS run_id, props AS idempotency_key FROM events")
 def str_01(fr):
     events = stream_of(fr, "events", run_id=F.col("user_id").cast("string"), idempotency_key=F.col("props"), occurred_at=F.col("ts").cast("timestamp"))
-    log = streams.run_to_end(streams.distinct_events(events), "events", streams.append_batch)
+    log = streams.run_to_end(events, "events", streams.store_events)
     return fr.spark.read.schema("run_id string, idempotency_key string, occurred_at timestamp, batch int").parquet(log).select("run_id", "idempotency_key")
 
 
@@ -219,9 +220,14 @@ def str_03(fr):
     return streams.current_decisions(kept).select("mark_id", "decision_id", "status")
 
 
-@query("str_04", """SELECT DISTINCT d.decision_id, m.mark_id AS fingerprint FROM {f_decision} AS d JOIN {f_mark} AS m ON m.holding_id = d.holding_id AND m.period_id = d.period_id AND m.mark_id <> d.mark_id WHERE d.decision_type = 'valuation' AND d.status = 'approved'""")
+@query("str_04", """SELECT d.decision_id, max(m.revision) AS revision FROM {f_decision} AS d JOIN {f_mark} AS a ON a.mark_id = d.mark_id
+ JOIN {f_mark_arrival} AS m ON m.holding_id = d.holding_id AND m.period_id = d.period_id AND m.revision > a.revision WHERE d.decision_type = 'valuation' AND d.status = 'approved' GROUP BY d.decision_id""")
 def str_04(fr):
-    approvals = fr["f_decision"].filter("decision_type = 'valuation' AND status = 'approved'").select("holding_id", "period_id", "decision_id", F.col("mark_id").alias("recorded"))
-    arriving = stream_of(fr, "f_mark", holding_id=F.col("holding_id"), period_id=F.col("period_id"), fingerprint=F.col("mark_id"))
+    """Revisions arrive in any order; the print of a mark is over its content."""
+    print_ = publish.row_hash(["mark_id", "revision", "reported_amount"])
+    approvals = fr["f_decision"].filter("decision_type = 'valuation' AND status = 'approved'").select("decision_id", "mark_id").join(
+        fr["f_mark"].select("mark_id", "holding_id", "period_id", "revision", print_.alias("fingerprint")), "mark_id")
+    arriving = stream_of(fr, "f_mark_arrival", holding_id=F.col("holding_id"), period_id=F.col("period_id"), revision=F.col("revision"), fingerprint=print_)
     log = streams.run_to_end(arriving, "stale", streams.stale_by_revision(approvals))
-    return fr.spark.read.schema("decision_id bigint, holding_id string, period_id string, fingerprint string, batch int").parquet(log).select("decision_id", "fingerprint").distinct()
+    kept = fr.spark.read.schema("decision_id bigint, holding_id string, period_id string, revision int, fingerprint string, batch int").parquet(log)
+    return streams.stale_now(kept).select("decision_id", "revision")

@@ -5,7 +5,7 @@ from decimal import Decimal
 import pytest
 from pyspark.sql import functions as F
 
-from attestor.operators import audits, guard, packets, rules, temporal, totals
+from attestor.operators import audits, citing, guard, packets, rules, temporal, totals
 from attestor.sources import publish
 from attestor.streaming import streams
 
@@ -121,3 +121,67 @@ def test_a_replayed_batch_stores_nothing_twice(spark, tmp_path):
 def test_reading_order_puts_disagreements_first(spark):
     df = spark.createDataFrame([("pass",), ("fail",), ("unconfirmable",)], "o string")
     assert [r["o"] for r in df.orderBy(packets.reading_order(F.col("o"))).collect()] == ["fail", "unconfirmable", "pass"]
+
+
+def test_the_digest_tells_apart_cells_that_read_alike_when_joined(spark):
+    digest = lambda *row: publish.table_digest(spark.createDataFrame([("k", *row)], "k string, a string, b string"), ["k"]).head()["digest"]
+    assert len({digest("a|b", "c"), digest("a", "b|c"), digest("~", "c"), digest(None, "c"), digest("", "c")}) == 5
+
+
+def test_every_position_has_a_folder_of_its_own(spark):
+    names = ["A", "A", "A (h2)", "a", "A (h2)", "..", "A/", "A (h9)", "A (UK)", "A (H3)", "x" * 300]
+    rows = spark.createDataFrame([("f", f"h{n}", name) for n, name in enumerate(names, 1)], "f string, h string, name string")
+    got = {r["h"]: r["directory"] for r in publish.path_plan(rows, ["f"], "name", "h").collect()}
+    assert len({d.lower() for d in got.values()}) == len(names)
+    assert got["h1"] == "companies/A" and got["h2"] == "companies/A (h2)" and got["h9"] == "companies/A (UK)"
+
+
+def test_one_batch_can_hold_collisions_and_an_id_keeps_one_version(spark, tmp_path):
+    log = str(tmp_path / "log")
+    schema = "document_id string, content_hash string"
+    streams.store_documents(spark.createDataFrame([("a", "h2"), ("a", "h1"), ("b", "h1")], schema), 0, log)
+    streams.store_documents(spark.createDataFrame([("a", "h2"), ("a", "h1"), ("b", "h7"), ("c", "h1")], schema), 1, log)
+    got = sorted((r["batch"], r["document_id"], r["content_hash"], r["arrival"]) for r in spark.read.parquet(log).collect())
+    assert got == [(0, "a", "h1", "new"), (0, "a", "h2", "collision"), (0, "b", "h1", "already_stored"),
+                   (1, "a", "h1", "already_stored"), (1, "a", "h2", "collision"), (1, "b", "h7", "collision"), (1, "c", "h1", "already_stored")]
+
+
+def test_a_key_is_stored_once_however_late_it_comes_again(spark, tmp_path):
+    log = str(tmp_path / "log")
+    batch = lambda *rows: spark.createDataFrame([(r, k, datetime.datetime(2024, m, 1)) for r, k, m in rows], "run_id string, idempotency_key string, occurred_at timestamp")
+    streams.store_events(batch(("r", "k", 6), ("r", "k", 7)), 0, log)
+    streams.store_events(batch(("r", "k", 12), ("r", "l", 1), ("s", "k", 2)), 1, log)
+    streams.store_events(batch(("r", "k", 12), ("r", "l", 1), ("s", "k", 2)), 1, log)
+    assert sorted((r["run_id"], r["idempotency_key"]) for r in spark.read.parquet(log).collect()) == [("r", "k"), ("r", "l"), ("s", "k")]
+
+
+def test_only_a_later_revision_with_other_content_makes_an_approval_stale(spark, tmp_path):
+    approvals = spark.createDataFrame([("h", "p", 1, 2, "two"), ("g", "p", 2, 1, "one")], "holding_id string, period_id string, decision_id bigint, revision int, fingerprint string")
+    arriving = spark.createDataFrame([("h", "p", 1, "old"), ("h", "p", 2, "two"), ("g", "p", 2, "one"), ("g", "p", 3, "three"), ("g", "p", 4, "four")], "holding_id string, period_id string, revision int, fingerprint string")
+    log = str(tmp_path / "log")
+    for batch_id, batch in enumerate((arriving.filter("revision > 2"), arriving.filter("revision <= 2"))):
+        streams.stale_by_revision(approvals)(batch, batch_id, log)
+    assert [tuple(r) for r in streams.stale_now(spark.read.parquet(log)).collect()] == [(2, 4, "four")]
+
+
+def test_lineage_of_any_depth_and_a_cycle(spark):
+    edges = [(f"n{i:02d}", f"n{i + 1:02d}") for i in range(40)]
+    leaves = spark.createDataFrame([("n40", "leaf", "approved")], "figure_id string, leaf_id string, state string")
+    reached = citing.lineage(spark.createDataFrame(edges, "figure_id string, child_id string"), leaves)
+    assert {r["figure_id"] for r in reached.collect()} == {f"n{i:02d}" for i in range(41)}
+    with pytest.raises(ValueError, match="acyclic"):
+        citing.lineage(spark.createDataFrame([*edges[:5], ("n05", "n02")], "figure_id string, child_id string"), leaves)
+
+
+def test_a_quote_gives_one_claim_for_each_observation_it_states(spark):
+    docs = spark.createDataFrame([("c", "quote", DAY(2005, 3, 1), None, None)], "claim_id string, family string, issued_date date, applicable_to date, price_per_share decimal(18,6)")
+    seen = spark.createDataFrame([("c", DAY(2005, 12, 31), Decimal("2")), ("c", DAY(2014, 12, 31), Decimal("3"))], "claim_id string, observed_on date, price_per_share decimal(18,6)")
+    none = spark.createDataFrame([], "claim_id string, field_name string, outcome string")
+    assert sorted((r["closes"], r["price_per_share"]) for r in citing.claims_of_document(none, docs, seen).collect()) == [(DAY(2005, 12, 31), Decimal("2")), (DAY(2014, 12, 31), Decimal("3"))]
+
+
+@pytest.mark.parametrize("text, label, problem", [
+    ("\n\t  ", None, "returned_nothing"), ("It is out of date.", "out of date", None), ("It is out of date.", "", "verdict_not_named"), ("OUT OF DATE, not partial.", "out of date", "another_verdict_named")])
+def test_a_verdict_is_named_by_its_label_too(spark, text, label, problem):
+    pair = spark.createDataFrame([(text, "", "missing", False, label)], "restatement string, payload string, verdict string, outstanding boolean, verdict_label string")
+    assert guard.judge(pair, label="verdict_label").head()["refusal"] == problem
