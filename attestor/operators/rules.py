@@ -6,7 +6,8 @@ Claims are reduced to (holding, period, request, priced class) before anything e
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+from collections.abc import Callable
+from dataclasses import dataclass, field
 from functools import cached_property
 
 from pyspark.sql import Column, DataFrame
@@ -93,11 +94,25 @@ def figure_flags(facts: DataFrame, figures: dict[str, tuple[str, ...]], positive
 
 @dataclass(frozen=True)
 class Assessment:
-    """Lazy frames of one assessment run; every property is a DataFrame, nothing is executed here."""
+    """Frames of one assessment run.
+
+    Lazy by default. With a ``store`` (a frame and a name in, the frame read back from where it was written out) the
+    frames that everything else stands on are written once per run, so the claims are read once per request and not
+    once per rule that looks at them.
+    """
 
     ledger: Ledger
     resolutions: DataFrame | None = None  # (holding_id, priced_class) contradictions settled by a recorded decision
     strict: bool = True
+    store: Callable[[DataFrame, str], DataFrame] | None = None
+    _kept: dict[str, DataFrame] = field(default_factory=dict, compare=False, repr=False)
+
+    def keep(self, name: str, build: Callable[[], DataFrame]) -> DataFrame:
+        """A frame of this run by name, built once and stored if the run has a store."""
+        if name not in self._kept:
+            df = build()
+            self._kept[name] = self.store(df, name) if self.store else df
+        return self._kept[name]
 
     @cached_property
     def periods(self) -> DataFrame:
@@ -105,10 +120,13 @@ class Assessment:
 
     @cached_property
     def lots(self) -> DataFrame:
-        return temporal.dated_lots(self.ledger.lot, self.ledger.conversion, self.ledger.holding, self.periods)
+        return self.keep("lots", lambda: temporal.dated_lots(self.ledger.lot, self.ledger.conversion, self.ledger.holding, self.periods))
 
     def relied_for(self, code: str) -> DataFrame:
         """Claims of one request and date that are in scope, with their matrix cell; only R2 is superseded."""
+        return self.keep(f"relied_{code}", lambda: self._relied_for(code))
+
+    def _relied_for(self, code: str) -> DataFrame:
         mine = self.ledger.claim.filter(F.array_contains("requirements", code)).withColumn("requirement", F.lit(code))
         in_scope = temporal.window_covers(F.col("period_date")) if code == "R2" else F.col("issued_date") <= F.col("period_date")
         scoped = mine.join(self.periods.select("fund_id", "period_id", "period_date"), "fund_id").filter(in_scope)
@@ -127,6 +145,9 @@ class Assessment:
         The request is filtered first, so each claim is shuffled once per request it may answer and the facts
         are read only where figures decide.
         """
+        return self.keep(f"classes_{code}", lambda: self._by_class(code))
+
+    def _by_class(self, code: str) -> DataFrame:
         claims = self.relied_for(code)
         figures = {"R1": model.R1_FIGURES, "R4": model.R4_FIGURES}.get(code, {})
         if figures:
@@ -247,6 +268,9 @@ class Assessment:
     @cached_property
     def r2(self) -> DataFrame:
         """REQ-02: fair value support at each date a holding is held."""
+        return self.keep("r2", self._r2)
+
+    def _r2(self) -> DataFrame:
         first_gap = self.ledger.gap.filter("requirement = 'R2'").groupBy("holding_id").agg(F.min_by("kind", "gap_id").alias("gap_kind"))
         rows = (
             self.r2_evidence.join(self.authorised, KEY, "left").join(self.expired, "holding_id", "left").join(first_gap, "holding_id", "left")
@@ -372,6 +396,9 @@ class Assessment:
     @cached_property
     def members(self) -> DataFrame:
         """PKT-01: held, realised since the previous packet date, or marked; a mark alone stands in for absent lots."""
+        return self.keep("members", self._members)
+
+    def _members(self) -> DataFrame:
         from_lots = self.lots.groupBy(*KEY, "fund_id", "period_date").agg(
             F.bool_or("held").alias("held"),
             F.bool_or(temporal.realised_between(F.col("previous_date"), F.col("period_date"))).alias("realised"))
@@ -406,6 +433,9 @@ class Assessment:
     @cached_property
     def rows(self) -> DataFrame:
         """REQ-06/REQ-07: one row per packet member with its five verdicts, row verdict and support."""
+        return self.keep("rows", self._rows)
+
+    def _rows(self) -> DataFrame:
         verdict = lambda code: F.max(F.when(F.col("requirement") == code, F.col("verdict")))
         wide = self.outcomes.groupBy(*KEY).agg(
             *[verdict(code).alias(code.lower()) for code in model.REQUESTS],

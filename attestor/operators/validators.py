@@ -190,6 +190,10 @@ def per_class(classes: DataFrame, priced: DataFrame, authorised: DataFrame | Non
 
 def derive_marks(assessment) -> DataFrame:
     """VAL-02: what the relied-on evidence derives for each held holding-date."""
+    return assessment.keep("derived", lambda: _derive_marks(assessment))
+
+
+def _derive_marks(assessment) -> DataFrame:
     relied = assessment.relied.filter("requirement = 'R2'").select(
         *KEY, "claim_id", "source_class", "issued_date", "priced_class", "price_per_share")
     valued = relied.join(stated_values(assessment.ledger.fact).select("claim_id", "stated_value"), "claim_id", "left")

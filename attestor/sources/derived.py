@@ -384,6 +384,17 @@ class DerivedFrames:
         text = FRAMES[name]
         return self.spark.sql(text, **{n: self[n] for n in set(_NAME.findall(text))})
 
+    def store(self, df: DataFrame, name: str) -> DataFrame:
+        """A frame computed from this ledger, written once per application beside it and read back."""
+        key = (self.spark.sparkContext.applicationId, self.folder, f"run/{name}")
+        with _staging:
+            if key not in _staged:
+                where = hashlib.sha256(self.folder.encode()).hexdigest()[:12]
+                path = f"{shared_folder(self.spark)}/ledger-{key[0]}-{where}/run/{name}"
+                df.write.parquet(path)
+                _staged[key] = path
+        return self.spark.read.schema(df.schema).parquet(_staged[key])
+
     def _table(self, name: str) -> str:
         key = (self.spark.sparkContext.applicationId, self.folder, name)
         with _staging:

@@ -266,4 +266,4 @@ def val_19(fr):
     then = packets.approval_fingerprints(rules.Assessment(dataclasses.replace(now, claim=other)), "policy-1")
     recorded = fr["f_decision"].filter("decision_type = 'valuation' AND status = 'approved'").select("decision_id", "holding_id", "period_id", "mark_id")
     approvals = recorded.join(then.select("holding_id", "period_id", "mark_id", F.col("fingerprint").alias("recorded")), ["holding_id", "period_id", "mark_id"])
-    return packets.stale_approvals(approvals, packets.approval_fingerprints(rules.Assessment(now), "policy-1")).select("decision_id", "current")
+    return packets.stale_approvals(approvals, packets.approval_fingerprints(assessment(fr), "policy-1")).select("decision_id", "current")

@@ -9,7 +9,7 @@ from catalogue import query
 
 
 def assessment(fr) -> rules.Assessment:
-    return rules.Assessment(from_derived(fr))
+    return rules.Assessment(from_derived(fr), store=fr.store)
 
 
 def listed(column: str):
