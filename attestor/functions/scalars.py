@@ -84,11 +84,10 @@ def period_end(label: Column) -> Column:
     )
 
 
-def period_scope(fund: Column, label: Column, packet_periods: dict[str, tuple[str, ...]] | None = None) -> Column:
+def period_scope(fund: Column, label: Column, packet_periods: dict[str, tuple[str, ...]]) -> Column:
     """FN-07: packet when the fund declares this label, lineage_only otherwise."""
-    known = model.PACKET_PERIODS if packet_periods is None else packet_periods
     hit = F.lit(False)
-    for name, labels in known.items():
+    for name, labels in packet_periods.items():
         hit = hit | ((F.coalesce(fund, F.lit("")) == name) & label.isin(*labels))
     return F.when(hit, "packet").otherwise("lineage_only")
 

@@ -102,7 +102,7 @@ def scorecard(rows: DataFrame, periods: DataFrame) -> DataFrame:
         F.count("*").alias("positions"), F.count_if("supported").alias("fully_supported"), F.count_if(~F.col("supported")).alias("open_gap_positions"),
         F.count_if("pro_forma").alias("pro_forma_positions"), F.count_if("held").alias("held_at_date"), F.count_if(~F.col("held")).alias("not_held_at_date"))
     lines = periods.select("fund_id", "period_id", "label").join(counted, ["fund_id", "period_id"], "left")
-    return lines.withColumn("absent_reason", F.when(F.col("positions").isNull(), "the ledger lists this fund-period but holds no position for it"))
+    return lines.withColumn("absent_reason", F.when(F.col("positions").isNull(), "a listed fund-period without a single position"))
 
 
 def packet_counts(rows: DataFrame) -> DataFrame:
@@ -117,7 +117,7 @@ def mark_state(rows_date: str = "period_date") -> Column:
     day = F.col(rows_date).cast("string")
     return (
         F.when(F.col("mark_id").isNotNull(), F.concat(F.lit("revision "), F.col("revision").cast("string"), F.lit(" (mark "), "mark_id", F.lit(")")))
-        .when(~F.col("held"), F.concat(F.lit("no mark — not held at "), day)).otherwise(F.concat(F.lit("no mark recorded at "), day)))
+        .when(~F.col("held"), F.concat(F.lit("unmarked, not held on "), day)).otherwise(F.concat(F.lit("unmarked on "), day)))
 
 
 def support_text() -> Column:
@@ -127,16 +127,16 @@ def support_text() -> Column:
     unheld_na = ~F.col("held") & F.forall(F.map_entries("unsupported_reasons"), lambda e: (e.key == "R4") & (e.value == "not assessed"))
     return (
         F.when(F.col("supported"), "supported")
-        .when(unheld_na, F.concat(F.lit("not held at this date: "), detail))
+        .when(unheld_na, F.concat(F.lit("not held then: "), detail))
         .otherwise(F.concat(F.lit("not supported: "), detail)))
 
 
 def approval_text() -> Column:
     stamp = F.date_format("decided_at", "yyyy-MM-dd HH:mm:ss")
     return (
-        F.when(F.col("decision_id").isNull(), "none recorded")
+        F.when(F.col("decision_id").isNull(), "nothing on record")
         .when(F.col("approved"), F.concat(F.lit("approved by "), "actor_id", F.lit(" on "), stamp))
-        .otherwise(F.concat(F.lit("valuation "), "decision_status", F.lit(" — not an approval"))))
+        .otherwise(F.concat(F.lit("valuation "), "decision_status", F.lit(" (no approval)"))))
 
 
 def holdings_table(assessment: Assessment) -> DataFrame:
@@ -204,7 +204,7 @@ def approval_log(assessment: Assessment) -> DataFrame:
     every = ledger.decision.filter("mark_id IS NOT NULL").join(bound, "decision_id", "left").select(
         "mark_id", "decision_id", F.concat(F.concat_ws(" ", "decision_type", "status"), F.lit(" by "), "actor_id", F.lit(" ("), F.coalesce("bound", F.lit(0)).cast("string"), F.lit(" bound)")).alias("decision"))
     rows = packet_rows(assessment).select("fund_id", "period_id", "holding_id", "mark_id", "reported_amount", "approved", support_text().alias("evidence_support"))
-    return rows.join(every, "mark_id", "left").withColumn("decision", F.coalesce("decision", F.lit("none recorded")))
+    return rows.join(every, "mark_id", "left").withColumn("decision", F.coalesce("decision", F.lit("nothing on record")))
 
 
 def gap_report(assessment: Assessment) -> DataFrame:
@@ -221,7 +221,7 @@ def gap_report(assessment: Assessment) -> DataFrame:
     unsupported = each.select(
         "fund_id", "period_id", "holding_id", F.when(inapplicable, "requirement_not_applicable").otherwise("unsupported_requirement").alias("finding"),
         F.col("e.key").alias("requirement"), F.col("e.value").alias("kind"), F.when(inapplicable, "not_applicable").otherwise("open").alias("remediation"),
-        F.when(inapplicable, F.concat(F.lit("the position was not held at "), F.col("period_date").cast("string"))).alias("basis"))
+        F.when(inapplicable, F.concat(F.lit("not in the portfolio on "), F.col("period_date").cast("string"))).alias("basis"))
     unmarked = rows.filter("mark_id IS NULL").select(
         "fund_id", "period_id", "holding_id", F.lit("no_mark_at_this_date").alias("finding"), none.alias("requirement"),
         F.when(F.col("held"), "held_without_a_mark").otherwise("not_held").alias("kind"), F.lit("open").alias("remediation"), mark_state().alias("basis"))
@@ -230,7 +230,7 @@ def gap_report(assessment: Assessment) -> DataFrame:
         F.lit("open").alias("kind"), F.lit("open").alias("remediation"), approval_text().alias("basis"))
     undocumented = assessment.members.select("fund_id", *KEY).join(ledger.claim.select("holding_id").distinct(), "holding_id", "left_anti").select(
         "fund_id", "period_id", "holding_id", F.lit("no_source_documents").alias("finding"), none.alias("requirement"),
-        F.lit("not_located").alias("kind"), F.lit("open").alias("remediation"), F.lit("the company folder for this position is empty").alias("basis"))
+        F.lit("not_located").alias("kind"), F.lit("open").alias("remediation"), F.lit("no file is kept for this position").alias("basis"))
     out = recorded.select(*shape)
     for part in (unsupported, unmarked, unapproved, undocumented):
         out = out.unionByName(part.select(*shape))
@@ -239,12 +239,12 @@ def gap_report(assessment: Assessment) -> DataFrame:
 
 def statement(tally: DataFrame) -> DataFrame:
     """PKT-08: the sentence of the cover, from the counts and the totals it must not contradict."""
-    opening = F.when(F.col("approved") == 0, F.concat(F.lit("No position in this packet carries a recorded valuation approval (0 of "), F.col("positions").cast("string"), F.lit(")."))).otherwise(
-        F.concat(F.col("approved").cast("string"), F.lit(" of "), F.col("positions").cast("string"), F.lit(" positions carry a recorded valuation approval.")))
+    opening = F.when(F.col("approved") == 0, F.concat(F.lit("Not one position here has an approved valuation on record (0 of "), F.col("positions").cast("string"), F.lit(")."))).otherwise(
+        F.concat(F.col("approved").cast("string"), F.lit(" of "), F.col("positions").cast("string"), F.lit(" positions have an approved valuation on record.")))
     body = F.when(F.col("unsupported_positions") > 0, F.concat(
-        F.col("unsupported_amount").cast("string"), F.lit(" of the "), F.col("amount").cast("string"), F.lit(" held_at_date_reported figure, across "),
-        F.col("unsupported_positions").cast("string"), F.lit(" of "), F.col("held").cast("string"), F.lit(" held positions, is not supported."))).otherwise(
-        F.lit("Every held position has sufficient evidence for each applicable request."))
+        F.col("unsupported_amount").cast("string"), F.lit(" of the "), F.col("amount").cast("string"), F.lit(" held_at_date_reported total, from "),
+        F.col("unsupported_positions").cast("string"), F.lit(" of "), F.col("held").cast("string"), F.lit(" positions held, lacks support."))).otherwise(
+        F.lit("Nothing held lacks evidence for a request that applies to it."))
     return tally.withColumn("statement", F.concat_ws(" ", opening, body))
 
 

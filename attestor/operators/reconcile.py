@@ -144,20 +144,20 @@ class Workbooks:
         return F.concat_ws(" · ", "company", "label")
 
 
-def from_frames(fr, packet_periods: dict[str, tuple[str, ...]] | None = None) -> Workbooks:
-    return Workbooks(fr["f_grid"], joins.tranches(fr), model.PACKET_PERIODS if packet_periods is None else packet_periods)
+def from_frames(fr, packet_periods: dict[str, tuple[str, ...]]) -> Workbooks:
+    return Workbooks(fr["f_grid"], joins.tranches(fr), packet_periods)
 
 
 def composition() -> Column:
     """REC-14: how a value is composed, with every assumption it makes."""
     when = F.when(F.col("pick.follows"), "later ").otherwise("")
     first = F.concat(F.lit("the "), figure(F.col("shares")), F.lit(" shares then held at the "), when, "pick.acquired_text", F.lit(" purchase price of "), F.col("pick.share_price").cast("string"))
-    plus = F.when(F.col("unpriced_cost") != 0, F.concat(F.lit("plus "), figure(F.col("unpriced_cost")), F.lit(" of investment without a stated share price, carried at cost")))
+    plus = F.when(F.col("unpriced_cost") != 0, F.concat(F.lit("plus "), figure(F.col("unpriced_cost")), F.lit(" invested at no stated price, taken at cost")))
     caveats = F.concat_ws("; and ", F.when(F.col("repriced"), "it reprices shares bought at other prices and does not distinguish share classes"),
-                          F.when(F.col("candidates") > 1, F.concat(F.col("candidates").cast("string"), F.lit(" purchases could each be the most recent and this is one of them"))),
-                          F.when(F.col("dropped_shares") != 0, F.concat(figure(F.col("dropped_shares")), F.lit(" further shares state no price and are excluded"))))
+                          F.when(F.col("candidates") > 1, F.concat(F.col("candidates").cast("string"), F.lit(" purchases might be the latest one, this among them"))),
+                          F.when(F.col("dropped_shares") != 0, F.concat(figure(F.col("dropped_shares")), F.lit(" more shares have no price and are left aside"))))
     return F.concat(F.concat_ws(", ", first, plus), F.lit(" is "), figure(F.col("pick.value")),
-                    F.when(caveats != "", F.concat(F.lit(" — a figure no row states, since "), caveats)).otherwise(""))
+                    F.when(caveats != "", F.concat(F.lit(" - not a figure of any row, because "), caveats)).otherwise(""))
 
 
 def stated_totals(w: Workbooks) -> DataFrame:
@@ -168,10 +168,10 @@ def stated_totals(w: Workbooks) -> DataFrame:
     wrong = both.filter(F.col("stated").isNotNull() & (F.col("computed") != F.col("stated")))
     subject = F.concat_ws(" · ", "sheet", "label")
     return finding(wrong, "stated_total_disagrees_with_cells", subject, F.concat(
-        F.lit("the column sums to "), figure(F.col("computed")), F.lit(" across "), F.col("contributors").cast("string"),
-        F.lit(" positions but the sheet states "), figure(F.col("stated"))), F.col("stated"), F.col("computed"), w.scope()
+        F.lit("its cells add up to "), figure(F.col("computed")), F.lit(" across "), F.col("contributors").cast("string"),
+        F.lit(" positions, yet the sheet says "), figure(F.col("stated"))), F.col("stated"), F.col("computed"), w.scope()
     ).unionByName(finding(both.filter("stated IS NULL"), "no_stated_total_to_check", subject,
-                          F.lit("positions were read but no stated total was found, so nothing was checked against it")))
+                          F.lit("positions are there, a stated total is not; nothing could be checked")))
 
 
 def contributors(w: Workbooks) -> DataFrame:
@@ -186,7 +186,7 @@ def stated_cost_total(w: Workbooks) -> DataFrame:
     stated = workbook.total_rows(w.grid).select("sheet", cost.alias("stated")).filter("stated IS NOT NULL")
     wrong = stated.join(computed, "sheet", "left").withColumn("computed", F.coalesce("computed", F.lit(0).cast(MONEY))).filter("computed <> stated")
     return finding(wrong, "cost_total_disagrees_with_cells", F.concat("sheet", F.lit(" · cost basis")), F.concat(
-        F.lit("the column sums to "), figure(F.col("computed")), F.lit(" but the sheet states "), figure(F.col("stated"))), F.col("stated"), F.col("computed"))
+        F.lit("its cells add up to "), figure(F.col("computed")), F.lit(", yet the sheet says "), figure(F.col("stated"))), F.col("stated"), F.col("computed"))
 
 
 def tranche_arithmetic(w: Workbooks) -> DataFrame:
@@ -195,14 +195,14 @@ def tranche_arithmetic(w: Workbooks) -> DataFrame:
     wrong = w.tranche.filter("is_investment").withColumn("implied", exact.cast(MONEY)).filter(exact != F.col("investment").cast("decimal(37,12)"))
     return finding(wrong, "tranche_arithmetic_disagrees", F.concat_ws(" · ", "company", "acquired_text"), F.concat(
         figure(F.col("share_count")), F.lit(" shares at "), F.col("share_price").cast("string"), F.lit(" is "), figure(F.col("implied")),
-        F.lit(", but the sheet states an investment of "), figure(F.col("investment"))), F.col("investment"), F.col("implied"))
+        F.lit(", yet the sheet says an investment of "), figure(F.col("investment"))), F.col("investment"), F.col("implied"))
 
 
 def recognised_kinds(w: Workbooks) -> DataFrame:
     """REC-04: rows that are neither an investment nor an exit and so are in no total."""
     odd = w.tranche.filter("NOT is_exit AND NOT is_investment")
     return finding(odd, "unrecognised_tranche_kind", F.concat_ws(" · ", "company", "acquired_text"), F.concat(
-        F.lit("row type "), "kind", F.lit(" is neither an investment nor an exit; its "), figure(F.col("investment")), F.lit(" has been left out of every total")))
+        F.lit("row type "), "kind", F.lit(" is no purchase and no exit; its "), figure(F.col("investment")), F.lit(" counts in no total")))
 
 
 def cost_bases(w: Workbooks) -> DataFrame:
@@ -214,12 +214,12 @@ def cost_bases(w: Workbooks) -> DataFrame:
     both = rows.select("fund", "key", "company", "stated").join(computed, ["fund", "key"], "full")
     never = both.filter("computed IS NULL OR stated IS NULL")
     subject = F.when(F.col("stated").isNotNull(), F.col("company")).otherwise(F.concat_ws(" · ", "fund", "key"))
-    detail = F.when(F.col("stated").isNotNull(), F.concat(F.lit("the valuation tracker states "), figure(F.col("stated")), F.lit(" but no master-breakdown sheet matched this company"))).otherwise(
-        F.concat(F.lit("the master breakdown states "), figure(F.col("computed")), F.lit(" but this company has no cost-basis row in the valuation tracker")))
+    detail = F.when(F.col("stated").isNotNull(), F.concat(F.lit("the tracker has "), figure(F.col("stated")), F.lit(", and the breakdown has no sheet under this name"))).otherwise(
+        F.concat(F.lit("the breakdown has "), figure(F.col("computed")), F.lit(", and the tracker has no cost for this name")))
     differ = both.filter("computed <> stated")
     return finding(never, "cost_basis_never_compared", subject, detail, F.col("stated"), F.col("computed")).unionByName(
         finding(differ, "cost_basis_disagrees_across_workbooks", F.col("company"), F.concat(
-            F.lit("the valuation tracker states "), figure(F.col("stated")), F.lit("; the master breakdown tranches sum to "), figure(F.col("computed"))), F.col("stated"), F.col("computed")))
+            F.lit("the tracker has "), figure(F.col("stated")), F.lit("; its breakdown tranches add up to "), figure(F.col("computed"))), F.col("stated"), F.col("computed")))
 
 
 def latest_purchase(w: Workbooks) -> DataFrame:
@@ -229,16 +229,16 @@ def latest_purchase(w: Workbooks) -> DataFrame:
     could = temporal.latest_candidates(priced, POSITION).filter("candidate").groupBy(*POSITION).agg(
         F.count("*").alias("candidates"), F.countDistinct("share_price").alias("prices")).filter("candidates >= 2 AND prices >= 2")
     return finding(undated, "purchase_date_unreadable", F.col("company"), F.concat(
-        F.col("undated").cast("string"), F.lit(" priced purchase(s) carry a date this reader cannot read, so no mark was compared against them"))).unionByName(
+        F.col("undated").cast("string"), F.lit(" priced purchase(s) have an unreadable date; their marks were not checked"))).unionByName(
         finding(could, "latest_purchase_is_ambiguous", F.col("company"), F.concat(
-            F.lit("which of "), F.col("candidates").cast("string"), F.lit(" purchases is most recent cannot be determined, and they state "), F.col("prices").cast("string"), F.lit(" prices"))))
+            F.lit("which of "), F.col("candidates").cast("string"), F.lit(" purchases came last stays open, and their prices are "), F.col("prices").cast("string"), F.lit(" prices"))))
 
 
 def holding_dates(w: Workbooks) -> DataFrame:
     """REC-07: measurement dates that fall inside a purchase date range."""
     blocked = w.position_facts.filter("undecidable").groupBy(*POSITION).agg(F.array_sort(F.collect_set("label")).alias("labels"))
     return finding(blocked, "holding_at_date_undecidable", F.col("company"), F.concat(
-        F.lit("at "), F.concat_ws(", ", "labels"), F.lit(" a purchase date spans the measurement date, so whether the lot was held cannot be determined")))
+        F.lit("at "), F.concat_ws(", ", "labels"), F.lit(" one purchase date could fall on either side of the measured day, so it stays open if that lot counts")))
 
 
 def unreached_marks(w: Workbooks) -> DataFrame:
@@ -248,7 +248,7 @@ def unreached_marks(w: Workbooks) -> DataFrame:
     lost = w.dated_marks.join(reachable, POSITION, "left_anti").join(odd, POSITION, "left")
     why = F.when(F.col("odd"), "every master-breakdown row for this company is of an unrecognised type").otherwise("no master-breakdown position matched this company in this fund")
     return finding(lost, "mark_never_compared", F.concat_ws(" · ", "row_label", "label"),
-                   F.concat(F.lit("the valuation tracker states a figure but "), why), scope=w.scope())
+                   F.concat(F.lit("the tracker has a figure, but "), why), scope=w.scope())
 
 
 def realisations(w: Workbooks) -> DataFrame:
@@ -256,7 +256,7 @@ def realisations(w: Workbooks) -> DataFrame:
     open_exits = w.position_facts.filter(F.col("any_exit") & ~(~F.col("exit_unknown") & F.col("invariant")))
     when = F.when(F.col("exit_unknown"), "carries a date that cannot be placed against this measurement date").otherwise("precedes this date")
     return finding(open_exits, "realisation_not_allocated_to_lots", w.subject(), F.concat(
-        F.lit("a realisation of "), figure(F.col("sold_shares")), F.lit(" shares "), when, F.lit(", and these workbooks do not say which lots it consumed")), scope=w.scope())
+        F.lit("an exit of "), figure(F.col("sold_shares")), F.lit(" shares "), when, F.lit(", with no word in either workbook on the lots it used up")), scope=w.scope())
 
 
 def period_labels(w: Workbooks) -> DataFrame:
@@ -264,7 +264,7 @@ def period_labels(w: Workbooks) -> DataFrame:
     positions = w.recognised.select(*POSITION).distinct()
     odd = w.cells.filter(F.col("amount").isNotNull() & S.period_end(F.col("label")).isNull()).select("fund", F.col("key").alias("company"), "label")
     named = odd.join(positions, POSITION, "left_semi").groupBy(*POSITION).agg(F.array_sort(F.collect_set("label")).alias("labels"))
-    return finding(named, "unrecognised_period_label", F.col("company"), F.concat(F.lit("period label(s) "), F.concat_ws(", ", "labels"), F.lit(" could not be dated")))
+    return finding(named, "unrecognised_period_label", F.col("company"), F.concat(F.lit("period label(s) "), F.concat_ws(", ", "labels"), F.lit(" cannot be read as a date")))
 
 
 def held_at_cost(w: Workbooks) -> DataFrame:
@@ -272,7 +272,7 @@ def held_at_cost(w: Workbooks) -> DataFrame:
     rows = w.facts.join(w.comparable, POSITION, "left_semi").filter(
         F.col("usable") & ~S.is_material(F.col("amount") - F.col("cost"), F.col("cost")) & F.col("all_material"))
     return finding(rows, "mark_at_cost_disagrees_with_purchase_prices", w.subject(), F.concat(
-        F.lit("carried at "), figure(F.col("amount")), F.lit(", which equals the cost of the lots held, while "), composition()), F.col("amount"), F.col("pick.value"), w.scope())
+        F.lit("carried at "), figure(F.col("amount")), F.lit(", just the cost of the lots still held, whereas "), composition()), F.col("amount"), F.col("pick.value"), w.scope())
 
 
 def mark_basis(w: Workbooks) -> DataFrame:
@@ -284,8 +284,8 @@ def mark_basis(w: Workbooks) -> DataFrame:
     on_tracker = F.col("tracker_cost").isNotNull() & (F.col("cost") == F.col("lifetime_cost")) & ~S.is_material(F.col("amount") - F.col("tracker_cost"), F.col("tracker_cost"))
     kind = F.when(~none & F.col("reproduced"), "mark_basis_assumes_an_unstated_treatment").otherwise("mark_basis_not_in_workbooks")
     computed = F.when(none, F.col("cost")).when(F.col("candidates") == 1, F.col("pick.value"))
-    detail = F.when(none, F.concat(F.lit("carried at "), figure(F.col("amount")), F.lit(" against "), figure(F.col("cost")), F.lit(" of cost; no lot states both a share price and a share count"))).otherwise(
-        F.concat(F.lit("carried at "), figure(F.col("amount")), F.lit(", which the "), figure(F.col("cost")), F.lit(" cost of the lots held does not explain. "),
+    detail = F.when(none, F.concat(F.lit("carried at "), figure(F.col("amount")), F.lit(" against "), figure(F.col("cost")), F.lit(" of cost, and not one lot gives price and count together"))).otherwise(
+        F.concat(F.lit("carried at "), figure(F.col("amount")), F.lit(", which the "), figure(F.col("cost")), F.lit(" not accounted for by the cost of lots still held. "),
                  F.when(F.coalesce(on_tracker, F.lit(False)), "It equals the cost basis the valuation tracker states. ").otherwise(""),
                  F.when(F.col("reproduced"), "It is reproduced exactly by ").otherwise("Nor do their purchase prices: "), composition()))
     return finding(rows, kind, w.subject(), detail, F.col("amount"), computed, w.scope())

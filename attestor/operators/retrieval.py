@@ -63,10 +63,6 @@ def query_terms(queries: DataFrame) -> DataFrame:
     return queries.withColumn("terms", terms).withColumn("refusal", F.when(F.size("terms") == 0, "query_has_no_search_terms"))
 
 
-def default_queries(spark) -> DataFrame:
-    return spark.createDataFrame(list(QUERIES.items()), "requirement string, query string")
-
-
 def matched_documents(documents: DataFrame, queries: DataFrame) -> DataFrame:
     """RET-01/02/04: per document and query the text rank and the best line.
 

@@ -351,9 +351,9 @@ class Assessment:
             F.when(F.col("listed").isNull(), refused).when(~applies, "not_applicable").when(closed, "sufficient").otherwise("missing").alias("verdict"),
             F.when(applies & ~closed, F.array(F.lit("MARK_UNCHANGED_WITH_STALE_SUPPORT"))).otherwise(empty).alias("reasons"),
             F.when(applies & ~closed, F.array(F.lit("DRAFT_MANAGEMENT_ASSESSMENT"))).otherwise(empty).alias("next_actions"),
-            F.when(F.col("previous_amount").isNull(), "no preceding mark observation")
-            .when(F.col("previous_amount") != F.col("reported_amount"), F.concat(F.lit("value changed since "), F.col("previous_date").cast("string")))
-            .when(F.col("stale_components").isNull(), "all components have support within 12 months").alias("note"),
+            F.when(F.col("previous_amount").isNull(), "first mark on record")
+            .when(F.col("previous_amount") != F.col("reported_amount"), F.concat(F.lit("another value than on "), F.col("previous_date").cast("string")))
+            .when(F.col("stale_components").isNull(), "every component was supported in the last 12 months").alias("note"),
             F.coalesce("stale_components", F.lit(0)).alias("stale_components"),
         )
 

@@ -76,7 +76,7 @@ def _statement_parts() -> str:
     )
 
 
-GRID_PERIODS = ("FY1996", "FY1997", "FY1998", "FY1999", "FY2000", "FY2001", "00Q2", "01Q2", "01Q5")
+GRID_PERIODS = ("96Q2", "FY1996", "97Q2", "FY1997", "98Q2", "FY1998", "99Q2", "FY1999", "00Q2", "FY2000", "01Q2", "FY2001", "01Q5")
 
 _CELL = (
     "CASE WHEN m.cust_key % 17 = 5 THEN '—' WHEN m.cust_key % 13 = 4 THEN 'pending' "
@@ -235,7 +235,7 @@ WHERE audit_scope = 'packet' AND NOT (requirement = 'R2' AND cust_key % 21 = 4)"
     "f_link": """
 SELECT a.assessment_id, a.holding_id, a.period_date, a.requirement, c.claim_id,
        (greatest(c.issued_date, coalesce(c.received_date, c.issued_date)) > a.period_date) <> (c.part_key % 17 = 0) AS is_subsequent
-FROM {f_assessment} AS a JOIN {f_claim} AS c ON c.holding_id = a.holding_id AND c.line_no = 1
+FROM {f_assessment} AS a JOIN {f_claim} AS c ON c.holding_id = a.holding_id
  AND ((a.requirement = 'R1' AND c.r1) OR (a.requirement = 'R2' AND c.r2) OR (a.requirement = 'R4' AND c.r4))""",
     "f_packet": """
 SELECT 'pk_' || period_id AS packet_id, fund_id, period_id, period_date, CASE WHEN year(period_date) % 3 = 0 THEN 'policy-0' ELSE 'policy-1' END AS policy_version,

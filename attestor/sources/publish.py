@@ -81,7 +81,7 @@ def evidence_folders(members: DataFrame, documents: DataFrame, name: str, slices
     ``slices`` bounds the files per folder and lets a position with very many documents be written by several tasks.
     """
     full = members.join(documents, "holding_id", "left").withColumn(
-        "note", F.when(F.col("document_id").isNull(), "no source document is held for this position"))
+        "note", F.when(F.col("document_id").isNull(), "no document of this position is on file"))
     path = staging_path(members.sparkSession, f"evidence-{name}")
     spread = F.pmod(F.xxhash64(F.coalesce("document_id", F.lit(""))), F.lit(slices))
     full.repartition(F.col("holding_id"), spread).write.partitionBy("folder").parquet(path)

@@ -129,8 +129,8 @@ SELECT m.holding_id, m.period_id, 'R3' AS requirement, coalesce(s.n, 0) AS stale
  CASE WHEN s.n IS NULL THEN 'not_applicable' WHEN a.holding_id IS NOT NULL THEN 'sufficient' ELSE 'missing' END AS verdict,
  CASE WHEN s.n IS NOT NULL AND a.holding_id IS NULL THEN 'MARK_UNCHANGED_WITH_STALE_SUPPORT' ELSE '' END AS reasons,
  CASE WHEN s.n IS NOT NULL AND a.holding_id IS NULL THEN 'DRAFT_MANAGEMENT_ASSESSMENT' ELSE '' END AS next_actions,
- CASE WHEN m.previous_amount IS NULL THEN 'no preceding mark observation' WHEN m.previous_amount <> m.reported_amount THEN 'value changed since ' || CAST(m.previous_date AS VARCHAR)
-   WHEN s.n IS NULL THEN 'all components have support within 12 months' END AS note
+ CASE WHEN m.previous_amount IS NULL THEN 'first mark on record' WHEN m.previous_amount <> m.reported_amount THEN 'another value than on ' || CAST(m.previous_date AS VARCHAR)
+   WHEN s.n IS NULL THEN 'every component was supported in the last 12 months' END AS note
 FROM {o_prev} AS m LEFT JOIN (SELECT holding_id, period_id, count(*) AS n FROM {o_stale} GROUP BY 1, 2) AS s ON s.holding_id = m.holding_id AND s.period_id = m.period_id
 LEFT JOIN (SELECT DISTINCT holding_id, period_id FROM {f_decision} WHERE decision_type = 'management_assessment' AND status = 'approved') AS a
   ON a.holding_id = m.holding_id AND a.period_id = m.period_id WHERE m.audit_scope = 'packet'""",

@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 from attestor.functions import scalars as S
 from attestor.operators import joins, reconcile
 from attestor.sources import workbook
+from attestor.sources.derived import GRID_PERIODS
 from catalogue import LIBRARY, query
 from catalogue.scalars import END_SQL, cell_number
 
@@ -27,7 +28,7 @@ def material(gap: str, ref: str) -> str:
 LIBRARY["o_cell"] = f"""
 SELECT sheet AS fund, trim(split_part(company, ' (', 1)) AS company, company AS row_label, label, cell, {cell_number('cell')} AS amount, {cell_number('cost_cell')} AS tracker_cost, {END_SQL.replace('{x}', 'label')} AS measured FROM {{o_grid_long}} WHERE company <> 'TOTAL'"""
 LIBRARY["o_stated"] = f"SELECT sheet, label, {cell_number('cell')} AS stated FROM {{o_grid_long}} WHERE company = 'TOTAL'"
-LIBRARY["o_label"] = "SELECT sheet, label FROM (SELECT DISTINCT sheet FROM {f_grid}) CROSS JOIN (VALUES ('FY1996'), ('FY1997'), ('FY1998'), ('FY1999'), ('FY2000'), ('FY2001'), ('00Q2'), ('01Q2'), ('01Q5')) AS l(label)"
+LIBRARY["o_label"] = "SELECT sheet, label FROM (SELECT DISTINCT sheet FROM {f_grid}) CROSS JOIN (VALUES " + ", ".join(f"('{p}')" for p in GRID_PERIODS) + ") AS l(label)"
 LIBRARY["o_known"] = "SELECT *, share_price IS NOT NULL AND share_count IS NOT NULL AS priced FROM {o_tranche} WHERE is_exit OR is_investment"
 LIBRARY["o_td"] = """
 SELECT t.*, m.row_label, m.label, m.measured, m.amount, m.tracker_cost, CASE WHEN t.hi <= m.measured THEN true WHEN t.lo > m.measured THEN false END AS by_then
@@ -59,41 +60,41 @@ def money(x: str) -> str:
 
 COMPOSITION = (
     f"concat_ws(', ', 'the ' || {money('shares')} || ' shares then held at the ' || CASE WHEN pick.follows THEN 'later ' ELSE '' END || pick.txt || ' purchase price of ' || CAST(CAST(pick.price AS DECIMAL(34,6)) AS VARCHAR),"
-    f" CASE WHEN unpriced <> 0 THEN 'plus ' || {money('unpriced')} || ' of investment without a stated share price, carried at cost' END) || ' is ' || {money('pick.value')}"
-    " || CASE WHEN repriced OR candidates > 1 OR dropped_shares <> 0 THEN ' — a figure no row states, since ' || concat_ws('; and ', CASE WHEN repriced THEN 'it reprices shares bought at other prices and does not distinguish share classes' END,"
-    f" CASE WHEN candidates > 1 THEN candidates || ' purchases could each be the most recent and this is one of them' END, CASE WHEN dropped_shares <> 0 THEN {money('dropped_shares')} || ' further shares state no price and are excluded' END) ELSE '' END")
+    f" CASE WHEN unpriced <> 0 THEN 'plus ' || {money('unpriced')} || ' invested at no stated price, taken at cost' END) || ' is ' || {money('pick.value')}"
+    " || CASE WHEN repriced OR candidates > 1 OR dropped_shares <> 0 THEN ' - not a figure of any row, because ' || concat_ws('; and ', CASE WHEN repriced THEN 'it reprices shares bought at other prices and does not distinguish share classes' END,"
+    f" CASE WHEN candidates > 1 THEN candidates || ' purchases might be the latest one, this among them' END, CASE WHEN dropped_shares <> 0 THEN {money('dropped_shares')} || ' more shares have no price and are left aside' END) ELSE '' END")
 NONE = "CAST(NULL AS VARCHAR)"
 
 F_SQL = {
     "rec_01": f"""SELECT 'stated_total_disagrees_with_cells' AS kind, l.sheet || ' · ' || l.label AS subject, {scope('l.sheet', 'l.label')} AS scope, s.stated, coalesce(c.computed, 0) AS computed,
- 'the column sums to ' || {money('coalesce(c.computed, 0)')} || ' across ' || c.n || ' positions but the sheet states ' || {money('s.stated')} AS detail FROM {{o_label}} AS l JOIN {{o_stated}} AS s ON s.sheet = l.sheet AND s.label = l.label AND s.stated IS NOT NULL
+ 'its cells add up to ' || {money('coalesce(c.computed, 0)')} || ' across ' || c.n || ' positions, yet the sheet says ' || {money('s.stated')} AS detail FROM {{o_label}} AS l JOIN {{o_stated}} AS s ON s.sheet = l.sheet AND s.label = l.label AND s.stated IS NOT NULL
  JOIN (SELECT fund, label, coalesce(sum(amount), 0) AS computed, count(amount) AS n FROM {{o_cell}} GROUP BY 1, 2) AS c ON c.fund = l.sheet AND c.label = l.label WHERE c.computed <> s.stated
- UNION ALL SELECT 'no_stated_total_to_check', l.sheet || ' · ' || l.label, NULL, NULL, NULL, 'positions were read but no stated total was found, so nothing was checked against it' FROM {{o_label}} AS l LEFT JOIN {{o_stated}} AS s ON s.sheet = l.sheet AND s.label = l.label WHERE s.stated IS NULL""",
-    "rec_02": f"""SELECT 'cost_total_disagrees_with_cells' AS kind, t.sheet || ' · cost basis' AS subject, {NONE} AS scope, t.stated, c.computed, 'the column sums to ' || {money('c.computed')} || ' but the sheet states ' || {money('t.stated')} AS detail
+ UNION ALL SELECT 'no_stated_total_to_check', l.sheet || ' · ' || l.label, NULL, NULL, NULL, 'positions are there, a stated total is not; nothing could be checked' FROM {{o_label}} AS l LEFT JOIN {{o_stated}} AS s ON s.sheet = l.sheet AND s.label = l.label WHERE s.stated IS NULL""",
+    "rec_02": f"""SELECT 'cost_total_disagrees_with_cells' AS kind, t.sheet || ' · cost basis' AS subject, {NONE} AS scope, t.stated, c.computed, 'its cells add up to ' || {money('c.computed')} || ', yet the sheet says ' || {money('t.stated')} AS detail
  FROM (SELECT sheet, {cell_number('cost_cell')} AS stated FROM {{f_grid}} WHERE company = 'TOTAL') AS t JOIN (SELECT sheet, coalesce(sum({cell_number('cost_cell')}), 0) AS computed FROM {{f_grid}} WHERE company <> 'TOTAL' GROUP BY 1) AS c ON c.sheet = t.sheet WHERE t.stated <> c.computed""",
     "rec_03": f"""SELECT 'tranche_arithmetic_disagrees' AS kind, company || ' · ' || acquired_text AS subject, {NONE} AS scope, investment AS stated, CAST(share_price AS DECIMAL(18,6)) * CAST(share_count AS DECIMAL(18,6)) AS computed,
- {money('share_count')} || ' shares at ' || CAST(CAST(share_price AS DECIMAL(34,6)) AS VARCHAR) || ' is ' || {money('share_price * CAST(share_count AS DECIMAL(18,0))')} || ', but the sheet states an investment of ' || {money('investment')} AS detail FROM {{o_tranche}} WHERE is_investment AND CAST(share_price AS DECIMAL(18,6)) * CAST(share_count AS DECIMAL(18,0)) <> investment""",
-    "rec_04": f"""SELECT 'unrecognised_tranche_kind' AS kind, company || ' · ' || acquired_text AS subject, {NONE} AS scope, CAST(NULL AS DECIMAL(34,6)) AS stated, CAST(NULL AS DECIMAL(34,6)) AS computed, 'row type ' || kind || ' is neither an investment nor an exit; its ' || {money('investment')} || ' has been left out of every total' AS detail
+ {money('share_count')} || ' shares at ' || CAST(CAST(share_price AS DECIMAL(34,6)) AS VARCHAR) || ' is ' || {money('share_price * CAST(share_count AS DECIMAL(18,0))')} || ', yet the sheet says an investment of ' || {money('investment')} AS detail FROM {{o_tranche}} WHERE is_investment AND CAST(share_price AS DECIMAL(18,6)) * CAST(share_count AS DECIMAL(18,0)) <> investment""",
+    "rec_04": f"""SELECT 'unrecognised_tranche_kind' AS kind, company || ' · ' || acquired_text AS subject, {NONE} AS scope, CAST(NULL AS DECIMAL(34,6)) AS stated, CAST(NULL AS DECIMAL(34,6)) AS computed, 'row type ' || kind || ' is no purchase and no exit; its ' || {money('investment')} || ' counts in no total' AS detail
  FROM {{o_tranche}} WHERE NOT is_exit AND NOT is_investment""",
     "rec_05": f"""SELECT CASE WHEN c.computed IS NULL OR t.stated IS NULL THEN 'cost_basis_never_compared' ELSE 'cost_basis_disagrees_across_workbooks' END AS kind, CASE WHEN t.stated IS NULL THEN c.fund || ' · ' || c.company ELSE t.label END AS subject, {NONE} AS scope, t.stated, c.computed,
- CASE WHEN c.computed IS NULL THEN 'the valuation tracker states ' || {money('t.stated')} || ' but no master-breakdown sheet matched this company' WHEN t.stated IS NULL THEN 'the master breakdown states ' || {money('c.computed')} || ' but this company has no cost-basis row in the valuation tracker'
-  ELSE 'the valuation tracker states ' || {money('t.stated')} || '; the master breakdown tranches sum to ' || {money('c.computed')} END AS detail
+ CASE WHEN c.computed IS NULL THEN 'the tracker has ' || {money('t.stated')} || ', and the breakdown has no sheet under this name' WHEN t.stated IS NULL THEN 'the breakdown has ' || {money('c.computed')} || ', and the tracker has no cost for this name'
+  ELSE 'the tracker has ' || {money('t.stated')} || '; its breakdown tranches add up to ' || {money('c.computed')} END AS detail
  FROM (SELECT sheet, company AS label, trim(split_part(company, ' (', 1)) AS company, {cell_number('cost_cell')} AS stated FROM {{f_grid}} WHERE company <> 'TOTAL' AND cost_cell IS NOT NULL) AS t FULL JOIN {{o_cost_breakdown}} AS c ON c.fund = t.sheet AND c.company = t.company WHERE c.computed IS DISTINCT FROM t.stated""",
-    "rec_06": f"""SELECT 'purchase_date_unreadable' AS kind, company AS subject, {NONE} AS scope, CAST(NULL AS DECIMAL(34,6)) AS stated, CAST(NULL AS DECIMAL(34,6)) AS computed, count(*) || ' priced purchase(s) carry a date this reader cannot read, so no mark was compared against them' AS detail FROM {{o_known}} JOIN {{o_two_priced}} USING (fund, company) WHERE is_investment AND priced AND lo IS NULL GROUP BY fund, company
- UNION ALL SELECT 'latest_purchase_is_ambiguous', company, NULL, NULL, NULL, 'which of ' || count(*) || ' purchases is most recent cannot be determined, and they state ' || count(DISTINCT share_price) || ' prices' FROM (SELECT a.* FROM {{o_known}} AS a JOIN {{o_two_priced}} USING (fund, company) WHERE a.is_investment AND a.priced
+    "rec_06": f"""SELECT 'purchase_date_unreadable' AS kind, company AS subject, {NONE} AS scope, CAST(NULL AS DECIMAL(34,6)) AS stated, CAST(NULL AS DECIMAL(34,6)) AS computed, count(*) || ' priced purchase(s) have an unreadable date; their marks were not checked' AS detail FROM {{o_known}} JOIN {{o_two_priced}} USING (fund, company) WHERE is_investment AND priced AND lo IS NULL GROUP BY fund, company
+ UNION ALL SELECT 'latest_purchase_is_ambiguous', company, NULL, NULL, NULL, 'which of ' || count(*) || ' purchases came last stays open, and their prices are ' || count(DISTINCT share_price) || ' prices' FROM (SELECT a.* FROM {{o_known}} AS a JOIN {{o_two_priced}} USING (fund, company) WHERE a.is_investment AND a.priced
   AND NOT EXISTS (SELECT 1 FROM {{o_known}} AS b WHERE b.is_investment AND b.priced AND b.fund = a.fund AND b.company = a.company AND b.row_no <> a.row_no AND b.lo > a.hi)) GROUP BY fund, company HAVING count(*) >= 2 AND count(DISTINCT share_price) >= 2""",
-    "rec_07": f"""SELECT 'holding_at_date_undecidable' AS kind, company AS subject, {NONE} AS scope, CAST(NULL AS DECIMAL(34,6)) AS stated, CAST(NULL AS DECIMAL(34,6)) AS computed, 'at ' || array_to_string(list_sort(list(DISTINCT label)), ', ') || ' a purchase date spans the measurement date, so whether the lot was held cannot be determined' AS detail
+    "rec_07": f"""SELECT 'holding_at_date_undecidable' AS kind, company AS subject, {NONE} AS scope, CAST(NULL AS DECIMAL(34,6)) AS stated, CAST(NULL AS DECIMAL(34,6)) AS computed, 'at ' || array_to_string(list_sort(list(DISTINCT label)), ', ') || ' one purchase date could fall on either side of the measured day, so it stays open if that lot counts' AS detail
  FROM {{o_pos}} WHERE undecidable GROUP BY fund, company""",
-    "rec_08": f"""SELECT 'mark_never_compared' AS kind, m.row_label || ' · ' || m.label AS subject, {scope('m.fund', 'm.label')} AS scope, CAST(NULL AS DECIMAL(34,6)) AS stated, CAST(NULL AS DECIMAL(34,6)) AS computed, 'the valuation tracker states a figure but ' || CASE WHEN EXISTS (SELECT 1 FROM {{o_tranche}} AS t WHERE t.fund = m.fund AND t.company = m.company AND NOT t.is_exit AND NOT t.is_investment)
+    "rec_08": f"""SELECT 'mark_never_compared' AS kind, m.row_label || ' · ' || m.label AS subject, {scope('m.fund', 'm.label')} AS scope, CAST(NULL AS DECIMAL(34,6)) AS stated, CAST(NULL AS DECIMAL(34,6)) AS computed, 'the tracker has a figure, but ' || CASE WHEN EXISTS (SELECT 1 FROM {{o_tranche}} AS t WHERE t.fund = m.fund AND t.company = m.company AND NOT t.is_exit AND NOT t.is_investment)
   THEN 'every master-breakdown row for this company is of an unrecognised type' ELSE 'no master-breakdown position matched this company in this fund' END AS detail FROM {{o_cell}} AS m WHERE m.amount IS NOT NULL AND m.measured IS NOT NULL AND NOT EXISTS (SELECT 1 FROM {{o_known}} AS k WHERE k.fund = m.fund AND k.company = m.company)""",
-    "rec_09": f"""SELECT 'realisation_not_allocated_to_lots' AS kind, company || ' · ' || label AS subject, {scope('fund', 'label')} AS scope, CAST(NULL AS DECIMAL(34,6)) AS stated, CAST(NULL AS DECIMAL(34,6)) AS computed, 'a realisation of ' || {money('sold')} || ' shares ' || CASE WHEN exit_unknown THEN 'carries a date that cannot be placed against this measurement date' ELSE 'precedes this date' END
-  || ', and these workbooks do not say which lots it consumed' AS detail FROM {{o_pos}} WHERE any_exit AND (exit_unknown OR NOT invariant)""",
-    "rec_10": f"""SELECT 'unrecognised_period_label' AS kind, company AS subject, {NONE} AS scope, CAST(NULL AS DECIMAL(34,6)) AS stated, CAST(NULL AS DECIMAL(34,6)) AS computed, 'period label(s) ' || array_to_string(list_sort(list(DISTINCT label)), ', ') || ' could not be dated' AS detail
+    "rec_09": f"""SELECT 'realisation_not_allocated_to_lots' AS kind, company || ' · ' || label AS subject, {scope('fund', 'label')} AS scope, CAST(NULL AS DECIMAL(34,6)) AS stated, CAST(NULL AS DECIMAL(34,6)) AS computed, 'an exit of ' || {money('sold')} || ' shares ' || CASE WHEN exit_unknown THEN 'carries a date that cannot be placed against this measurement date' ELSE 'precedes this date' END
+  || ', with no word in either workbook on the lots it used up' AS detail FROM {{o_pos}} WHERE any_exit AND (exit_unknown OR NOT invariant)""",
+    "rec_10": f"""SELECT 'unrecognised_period_label' AS kind, company AS subject, {NONE} AS scope, CAST(NULL AS DECIMAL(34,6)) AS stated, CAST(NULL AS DECIMAL(34,6)) AS computed, 'period label(s) ' || array_to_string(list_sort(list(DISTINCT label)), ', ') || ' cannot be read as a date' AS detail
  FROM {{o_cell}} AS m WHERE amount IS NOT NULL AND measured IS NULL AND EXISTS (SELECT 1 FROM {{o_known}} AS k WHERE k.fund = m.fund AND k.company = m.company) GROUP BY fund, company""",
-    "rec_11": f"""SELECT 'mark_at_cost_disagrees_with_purchase_prices' AS kind, company || ' · ' || label AS subject, {scope('fund', 'label')} AS scope, amount AS stated, pick.value AS computed, 'carried at ' || {money('amount')} || ', which equals the cost of the lots held, while ' || {COMPOSITION} AS detail
+    "rec_11": f"""SELECT 'mark_at_cost_disagrees_with_purchase_prices' AS kind, company || ' · ' || label AS subject, {scope('fund', 'label')} AS scope, amount AS stated, pick.value AS computed, 'carried at ' || {money('amount')} || ', just the cost of the lots still held, whereas ' || {COMPOSITION} AS detail
  FROM {{o_all}} JOIN {{o_two_priced}} USING (fund, company) WHERE usable AND NOT {material('(amount - cost)', 'cost')} AND all_material""",
     "rec_12": f"""SELECT CASE WHEN candidates IS NOT NULL AND reproduced THEN 'mark_basis_assumes_an_unstated_treatment' ELSE 'mark_basis_not_in_workbooks' END AS kind, company || ' · ' || label AS subject, {scope('fund', 'label')} AS scope, amount AS stated, CASE WHEN candidates IS NULL THEN cost WHEN candidates = 1 THEN pick.value END AS computed,
- CASE WHEN candidates IS NULL THEN 'carried at ' || {money('amount')} || ' against ' || {money('cost')} || ' of cost; no lot states both a share price and a share count' ELSE 'carried at ' || {money('amount')} || ', which the ' || {money('cost')} || ' cost of the lots held does not explain. '
+ CASE WHEN candidates IS NULL THEN 'carried at ' || {money('amount')} || ' against ' || {money('cost')} || ' of cost, and not one lot gives price and count together' ELSE 'carried at ' || {money('amount')} || ', which the ' || {money('cost')} || ' not accounted for by the cost of lots still held. '
   || CASE WHEN tracker_cost IS NOT NULL AND cost = lifetime AND NOT {material('(amount - tracker_cost)', 'tracker_cost')} THEN 'It equals the cost basis the valuation tracker states. ' ELSE '' END || CASE WHEN reproduced THEN 'It is reproduced exactly by ' ELSE 'Nor do their purchase prices: ' END || {COMPOSITION} END AS detail
  FROM {{o_all}} WHERE usable AND {material('(amount - cost)', 'cost')} AND (candidates IS NULL OR (candidates = 1 AND repriced) OR all_material)""",
 }

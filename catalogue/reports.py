@@ -147,7 +147,7 @@ def tracker_totals(fr):
     return stated.join(periods, ["sheet", "label"]).select("fund_id", "period_id", F.col("amount").cast("decimal(34,4)").alias("tracker_total"))
 
 
-@query("agg_15", """SELECT d.fund_id, d.period_id, d.label, s.positions, s.fully_supported, s.open_gap_positions, s.pro_forma_positions, s.held_at_date, s.not_held_at_date, CASE WHEN s.positions IS NULL THEN 'the ledger lists this fund-period but holds no position for it' END AS absent_reason FROM (
+@query("agg_15", """SELECT d.fund_id, d.period_id, d.label, s.positions, s.fully_supported, s.open_gap_positions, s.pro_forma_positions, s.held_at_date, s.not_held_at_date, CASE WHEN s.positions IS NULL THEN 'a listed fund-period without a single position' END AS absent_reason FROM (
   SELECT fund_id, period_id, label FROM {o_date} UNION ALL SELECT fund_id, fund_id || '_planned', 'planned' FROM {f_fund}) AS d LEFT JOIN (
  SELECT fund_id, period_id, count(*) AS positions, count(*) FILTER (supported) AS fully_supported, count(*) FILTER (NOT supported) AS open_gap_positions, count(*) FILTER (pro_forma) AS pro_forma_positions, count(*) FILTER (held) AS held_at_date, count(*) FILTER (NOT held) AS not_held_at_date FROM {o_packet} GROUP BY 1, 2) AS s USING (fund_id, period_id)""")
 def agg_15(fr):
@@ -199,9 +199,9 @@ def pkt_01(fr):
 
 
 LIBRARY["o_texts"] = """
-SELECT *, CASE WHEN mark_id IS NOT NULL THEN 'revision ' || CAST(revision AS VARCHAR) || ' (mark ' || mark_id || ')' WHEN NOT held THEN 'no mark — not held at ' || CAST(period_date AS VARCHAR) ELSE 'no mark recorded at ' || CAST(period_date AS VARCHAR) END AS mark_state,
- CASE WHEN supported THEN 'supported' WHEN NOT held AND unsupported = 'R4 not assessed' THEN 'not held at this date: ' || unsupported ELSE 'not supported: ' || replace(unsupported, ';', '; ') END AS evidence_support,
- CASE WHEN decision_id IS NULL THEN 'none recorded' WHEN approved THEN 'approved by ' || actor_id || ' on ' || strftime(decided_at, '%Y-%m-%d %H:%M:%S') ELSE 'valuation ' || decision_status || ' — not an approval' END AS valuation_approval FROM {o_packet}"""
+SELECT *, CASE WHEN mark_id IS NOT NULL THEN 'revision ' || CAST(revision AS VARCHAR) || ' (mark ' || mark_id || ')' WHEN NOT held THEN 'unmarked, not held on ' || CAST(period_date AS VARCHAR) ELSE 'unmarked on ' || CAST(period_date AS VARCHAR) END AS mark_state,
+ CASE WHEN supported THEN 'supported' WHEN NOT held AND unsupported = 'R4 not assessed' THEN 'not held then: ' || unsupported ELSE 'not supported: ' || replace(unsupported, ';', '; ') END AS evidence_support,
+ CASE WHEN decision_id IS NULL THEN 'nothing on record' WHEN approved THEN 'approved by ' || actor_id || ' on ' || strftime(decided_at, '%Y-%m-%d %H:%M:%S') ELSE 'valuation ' || decision_status || ' (no approval)' END AS valuation_approval FROM {o_packet}"""
 
 
 @query("pkt_02", """SELECT t.fund_id, t.period_id, company_name, t.holding_id, position_type, CASE WHEN held THEN 'yes' ELSE 'no' END AS held, mark_state, reported_amount, t.reported_currency, CASE WHEN c.derived IS NOT NULL THEN 'derivable' ELSE 'not_derivable' END AS derivation_status,
@@ -257,7 +257,7 @@ def pkt_05(fr):
     return packets.evidence_index(assessment(fr)).select("period_id", "claim_id", "field_name", "value_text", "state", "filename", "relied_on")
 
 
-@query("pkt_06", """SELECT t.fund_id, t.period_id, t.holding_id, t.approved, t.evidence_support, d.decision_id, coalesce(d.decision_type || ' ' || d.status || ' by ' || d.actor_id || ' (' || CAST(coalesce(b.n, 0) AS VARCHAR) || ' bound)', 'none recorded') AS decision
+@query("pkt_06", """SELECT t.fund_id, t.period_id, t.holding_id, t.approved, t.evidence_support, d.decision_id, coalesce(d.decision_type || ' ' || d.status || ' by ' || d.actor_id || ' (' || CAST(coalesce(b.n, 0) AS VARCHAR) || ' bound)', 'nothing on record') AS decision
  FROM {o_texts} AS t LEFT JOIN {f_decision} AS d ON d.mark_id = t.mark_id LEFT JOIN (SELECT decision_id, count(*) AS n FROM {f_decision_evidence} GROUP BY 1) AS b ON b.decision_id = d.decision_id""")
 def pkt_06(fr):
     return packets.approval_log(assessment(fr)).select("fund_id", "period_id", "holding_id", "approved", "evidence_support", "decision_id", "decision")
@@ -266,10 +266,10 @@ def pkt_06(fr):
 LIBRARY["o_gap_report"] = """
 SELECT m.fund_id, m.period_id, m.holding_id, 'missing_document' AS finding, g.requirement, g.kind, 'open' AS remediation, g.missing_document AS basis FROM {o_member} AS m JOIN {f_gap} AS g ON g.holding_id = m.holding_id
 UNION ALL SELECT fund_id, period_id, holding_id, CASE WHEN NOT held AND u = 'R4 not assessed' THEN 'requirement_not_applicable' ELSE 'unsupported_requirement' END, substr(u, 1, 2), substr(u, 4), CASE WHEN NOT held AND u = 'R4 not assessed' THEN 'not_applicable' ELSE 'open' END,
- CASE WHEN NOT held AND u = 'R4 not assessed' THEN 'the position was not held at ' || CAST(period_date AS VARCHAR) END FROM (SELECT *, unnest(string_split(unsupported, ';')) AS u FROM {o_packet} WHERE unsupported <> '')
+ CASE WHEN NOT held AND u = 'R4 not assessed' THEN 'not in the portfolio on ' || CAST(period_date AS VARCHAR) END FROM (SELECT *, unnest(string_split(unsupported, ';')) AS u FROM {o_packet} WHERE unsupported <> '')
 UNION ALL SELECT fund_id, period_id, holding_id, 'no_mark_at_this_date', NULL, CASE WHEN held THEN 'held_without_a_mark' ELSE 'not_held' END, 'open', mark_state FROM {o_texts} WHERE mark_id IS NULL
 UNION ALL SELECT fund_id, period_id, holding_id, 'no_valuation_approval', NULL, 'open', 'open', valuation_approval FROM {o_texts} WHERE NOT approved
-UNION ALL SELECT fund_id, period_id, holding_id, 'no_source_documents', NULL, 'not_located', 'open', 'the company folder for this position is empty' FROM {o_member} AS m WHERE NOT EXISTS (SELECT 1 FROM {f_claim} AS c WHERE c.holding_id = m.holding_id)"""
+UNION ALL SELECT fund_id, period_id, holding_id, 'no_source_documents', NULL, 'not_located', 'open', 'no file is kept for this position' FROM {o_member} AS m WHERE NOT EXISTS (SELECT 1 FROM {f_claim} AS c WHERE c.holding_id = m.holding_id)"""
 
 
 @query("pkt_07", "SELECT * FROM {o_gap_report}")
@@ -279,9 +279,9 @@ def pkt_07(fr):
 
 LIBRARY["o_cover"] = """
 SELECT c.fund_id, c.period_id, c.positions, c.held, c.unheld, c.marked, c.supported, c.approved, c.gap_observations, t.amount, t.unsupported_amount, t.unsupported_positions, t.unheld_gap_positions,
- concat_ws(' ', CASE WHEN c.approved = 0 THEN 'No position in this packet carries a recorded valuation approval (0 of ' || c.positions || ').' ELSE c.approved || ' of ' || c.positions || ' positions carry a recorded valuation approval.' END,
-  CASE WHEN t.unsupported_positions > 0 THEN CAST(t.unsupported_amount AS VARCHAR) || ' of the ' || CAST(t.amount AS VARCHAR) || ' held_at_date_reported figure, across ' || t.unsupported_positions || ' of ' || c.held || ' held positions, is not supported.'
-   ELSE 'Every held position has sufficient evidence for each applicable request.' END) AS statement
+ concat_ws(' ', CASE WHEN c.approved = 0 THEN 'Not one position here has an approved valuation on record (0 of ' || c.positions || ').' ELSE c.approved || ' of ' || c.positions || ' positions have an approved valuation on record.' END,
+  CASE WHEN t.unsupported_positions > 0 THEN CAST(t.unsupported_amount AS VARCHAR) || ' of the ' || CAST(t.amount AS VARCHAR) || ' held_at_date_reported total, from ' || t.unsupported_positions || ' of ' || c.held || ' positions held, lacks support.'
+   ELSE 'Nothing held lacks evidence for a request that applies to it.' END) AS statement
 FROM (SELECT fund_id, period_id, count(*) AS positions, count(*) FILTER (held) AS held, count(*) FILTER (NOT held) AS unheld, count(mark_id) AS marked, count(*) FILTER (supported) AS supported, count(*) FILTER (approved) AS approved, CAST(sum(gaps) AS BIGINT) AS gap_observations FROM {o_packet} GROUP BY 1, 2) AS c
 JOIN {o_held_total} AS t ON t.fund_id = c.fund_id AND t.period_id = c.period_id"""
 

@@ -77,13 +77,17 @@ def fn_06(fr):
     return fr["f_label"].select("label_key", "period_text", S.period_end(F.col("period_text")).alias("period_end"))
 
 
+# Packet labels of two houses, as a caller would hand them in.
+LISTED = {"Fund II": ("23Q4", "24Q4", "25Q4"), "Fund I": ("FY2023", "FY2024", "FY2025")}
+
+
 @query("fn_07", f"""SELECT label_key, fund, label, CASE WHEN (fund = 'Fund II' AND label IN ('23Q4', '24Q4', '25Q4'))
  OR (fund = 'Fund I' AND label IN ('FY2023', 'FY2024', 'FY2025')) THEN 'packet' ELSE 'lineage_only' END AS scope FROM (
  SELECT label_key, {FUND_SQL.replace('{x}', 'fund_text')} AS fund, CASE WHEN label_key % 2 = 0 THEN '25Q4' ELSE trim(period_text) END AS label FROM {{f_label}})""")
 def fn_07(fr):
     label = F.when(F.col("label_key") % 2 == 0, "25Q4").otherwise(F.trim("period_text"))
     return fr["f_label"].select("label_key", S.fund_key(F.col("fund_text")).alias("fund"), label.alias("label")).withColumn(
-        "scope", S.period_scope(F.col("fund"), F.col("label")))
+        "scope", S.period_scope(F.col("fund"), F.col("label"), LISTED))
 
 
 @query("fn_08", """SELECT lot_id, gap, cost_amount, gap <> 0 AND abs(gap) >= least(abs(cost_amount) * 0.001, 1000) AS material FROM (
@@ -355,12 +359,12 @@ def fn_36(fr):
     return fr["f_document"].select("document_id", S.fingerprint(F.lit("prompt-v1"), F.col("extractor"), S.content_hash(F.col("canonical_text"))).alias("fingerprint"))
 
 
-@query("fn_37", """SELECT fund_id, count(DISTINCT reported_currency) AS currencies, CASE WHEN count(DISTINCT reported_currency) = 1 THEN CAST(sum(reported_amount) AS DECIMAL(34,4)) END AS total,
- bool_and(reported_amount = CAST(reported_amount AS DECIMAL(38,4))) AS at_scale FROM {f_mark} WHERE cust_key % 2 = 0 OR fund_id = 'fund_1' OR reported_currency = 'USD' GROUP BY fund_id""", text="total")
+@query("fn_37", """SELECT key, count(DISTINCT reported_currency) AS currencies, CASE WHEN count(DISTINCT reported_currency) = 1 THEN CAST(sum(reported_amount) AS DECIMAL(34,4)) END AS total,
+ bool_and(reported_amount = CAST(reported_amount AS DECIMAL(38,4))) AS at_scale FROM (SELECT *, fund_id AS key FROM {f_mark} UNION ALL SELECT *, holding_id AS key FROM {f_mark}) GROUP BY key""", text="total")
 def fn_37(fr):
     from attestor.operators import totals
-    marks = fr["f_mark"].filter("cust_key % 2 = 0 OR fund_id = 'fund_1' OR reported_currency = 'USD'")
-    return totals.same_currency_sum(marks, ["fund_id"], "reported_amount", "reported_currency")
+    marks = fr["f_mark"].withColumn("key", F.explode(F.array("fund_id", "holding_id")))
+    return totals.same_currency_sum(marks, ["key"], "reported_amount", "reported_currency")
 
 
 @query("fn_38", r"""SELECT title, row_no, TRY_CAST(replace(replace(trim(c4), ',', ''), '$', '') AS DECIMAL(38,6)) AS figure,

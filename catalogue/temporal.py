@@ -164,11 +164,14 @@ def jn_07(fr):
     return rules.unlisted_tuples(spoilt(fr))
 
 
-@query("jn_08", """SELECT c.claim_id, c.price_per_share IS NULL AS fallback, CASE WHEN c.price_per_share IS NULL THEN 'partial' ELSE 'sufficient' END AS verdict,
- CASE WHEN c.price_per_share IS NULL THEN 'PRO_FORMA_WITHOUT_PRICE_PER_SHARE' END AS reason_code FROM {f_claim} AS c WHERE c.source_class = 'company_cap_table' AND c.execution_status = 'pro_forma'""")
+@query("jn_08", """SELECT c.claim_id, r.requirement, c.price_per_share IS NULL AND m.priceless_verdict IS NOT NULL AS fallback,
+ CASE WHEN c.price_per_share IS NULL AND m.priceless_verdict IS NOT NULL THEN m.priceless_verdict ELSE m.verdict END AS verdict,
+ CASE WHEN c.price_per_share IS NULL AND m.priceless_verdict IS NOT NULL THEN m.priceless_reason ELSE m.reason_code END AS reason_code
+ FROM {f_claim} AS c JOIN {f_claim_requirement} AS r ON r.claim_id = c.claim_id LEFT JOIN {d_matrix} AS m ON m.requirement = r.requirement AND m.source_class = c.source_class
+ AND m.execution_status = c.execution_status AND m.position_type = c.position_type""")
 def jn_08(fr):
-    claims = from_derived(fr).claim.filter("source_class = 'company_cap_table' AND execution_status = 'pro_forma'")
-    return rules.matrix_cells(claims.withColumn("requirement", F.lit("R2"))).select("claim_id", "fallback", "verdict", "reason_code")
+    claims = from_derived(fr).claim.withColumn("requirement", F.explode("requirements"))
+    return rules.matrix_cells(claims).select("claim_id", "requirement", "fallback", "verdict", "reason_code")
 
 
 @query("jn_09", """SELECT l.lot_id, g.gap_id, g.kind FROM {f_lot} AS l JOIN {f_gap} AS g ON g.holding_id = l.holding_id AND g.requirement = 'R1' AND g.security_class = l.security_class""")
