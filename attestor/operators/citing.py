@@ -122,7 +122,7 @@ def extract_by_rules(documents: DataFrame, rules: DataFrame, key: str = "claim_i
 
     Rules are a few rows per family; the join is on family, so a document meets only its own rules.
     """
-    met = documents.join(F.broadcast(rules), "family")
+    met = documents.join(rules, "family")
     found = F.expr("regexp_extract_all(canonical_text, pattern, 0)")
     value = F.expr("regexp_extract(canonical_text, pattern, value_group)")
     return (

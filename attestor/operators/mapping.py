@@ -76,7 +76,7 @@ def security_classes(tranches: DataFrame, notes: DataFrame, types: DataFrame, ov
     candidates = notes.filter(~F.col("text").rlike(CHROME))
     marks = candidates.groupBy("sheet_no").agg(*[F.bool_or(F.col("text").rlike(p)).alias(f"note_{n}") for n, p in INSTRUMENT_NOTES])
     purchases = tranches.filter("is_investment")
-    rows = class_on(purchases, named_classes(notes), "lo").join(marks, "sheet_no", "left").join(types.select("sheet_no", "position_type"), "sheet_no", "left").join(F.broadcast(overrides), "company", "left")
+    rows = class_on(purchases, named_classes(notes), "lo").join(marks, "sheet_no", "left").join(types.select("sheet_no", "position_type"), "sheet_no", "left").join(overrides, "company", "left")
     steps = [(F.col("kind").rlike(p), F.lit(n), "instrument_kind") for n, p in INSTRUMENT_KINDS]
     steps.append((F.col("document_class").isNotNull(), F.col("document_class"), "executed_document"))
     steps.append((F.col("dated_class").isNotNull(), F.col("dated_class"), "dated_line"))

@@ -69,7 +69,7 @@ def matched_documents(documents: DataFrame, queries: DataFrame) -> DataFrame:
     Words stream past the few query terms and only hits are shuffled; the text itself is not. A word hits a term when
     it starts with it. Rank = sum over terms of 1/1 + 1/4 + ... + 1/tf^2.
     """
-    terms = F.broadcast(query_terms(queries).filter("refusal IS NULL").select("requirement", F.explode("terms").alias("term")))
+    terms = query_terms(queries).filter("refusal IS NULL").select("requirement", F.explode("terms").alias("term"))
     lines = documents.select("document_no", "document_id", F.posexplode(F.split("canonical_text", "\n")).alias("line_no", "line"))
     words = lines.select("document_no", "document_id", "line_no", F.explode(F.regexp_extract_all(F.lower("line"), F.lit(WORD), F.lit(1))).alias("word"))
     query = ["document_no", "document_id", "requirement"]
@@ -91,10 +91,14 @@ def passages(matched: DataFrame, documents: DataFrame) -> DataFrame:
     lead = F.length("line") - F.length(F.regexp_replace("line", r"^\s+", ""))
     out = out.withColumn("low", F.col("line_start") + lead).withColumn("body", F.regexp_replace(F.regexp_replace("line", r"^\s+", ""), r"\s+$", ""))
     out = out.filter(F.length("body") > 0)
-    anywhere = F.concat(F.lit(r"(?<![0-9a-z])(?<![0-9a-z]['’-]{1,8})(?:"), F.array_join("matched", "|"), F.lit(")"))
+    # A word begins after anything but a letter or digit; marks before it belong to it only if no word precedes them,
+    # however many they are.
+    anywhere = F.concat(F.lit(r"(?:^|[^0-9a-z'’-])['’-]*(?:"), F.array_join("matched", "|"), F.lit(")"))
     half = model.PASSAGE_CHARS // 2
     long = F.length("body") > model.PASSAGE_CHARS
-    first = F.regexp_instr(F.lower("body"), anywhere) - 1
+    hit = F.regexp_substr(F.lower("body"), anywhere)
+    before = F.length(hit) - F.length(F.regexp_replace(hit, r"^[^0-9a-z'’-]?['’-]*", ""))
+    first = F.regexp_instr(F.lower("body"), anywhere) - 1 + F.coalesce(before, F.lit(0))
     out = out.withColumn("first_hit", first)
     cut = F.greatest(F.lit(0), F.col("first_hit") - half)
     stop = F.least(F.length("body"), cut + model.PASSAGE_CHARS)
@@ -131,7 +135,7 @@ def ranked(ledger: Ledger, found: DataFrame, entity_scoped: bool = True, apply_w
         case = ["holding_id", "requirement", "period_id"]
     else:
         # One row per request and packet date: a fixed handful that every claim is tested against.
-        dates = F.broadcast(cases.select("requirement", "period_date").distinct())
+        dates = cases.select("requirement", "period_date").distinct()
         met = claims.join(dates, temporal.window_covers(F.col("period_date")) if apply_window else F.lit(True))
         case = ["requirement", "period_date"]
     if apply_window:
