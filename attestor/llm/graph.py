@@ -8,6 +8,9 @@ from pyspark.sql import functions as F
 from attestor.session import cut_lineage
 
 
+EDGES_PER_TASK = 100_000
+
+
 def components(edges: DataFrame) -> DataFrame:
     """(node, component) of every node of the edges ``a``, ``b``; the component is its smallest node.
 
@@ -15,18 +18,21 @@ def components(edges: DataFrame) -> DataFrame:
     Each neighbourhood is only ever reduced to its minimum, so a node with very many edges is never held in one place.
     """
     stars = cut_lineage(edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a <> b").distinct())
+    known = _print(stars)
     while True:
         both = stars.unionByName(stars.select(F.col("b").alias("a"), F.col("a").alias("b")))
         least = both.groupBy("a").agg(F.least(F.min("b"), F.first("a")).alias("least"))
         large = both.where("b > a").join(least, "a").select(F.col("b").alias("a"), F.col("least").alias("b")).distinct()
         least = large.groupBy("a").agg(F.min("b").alias("least"))
         small = large.join(least, "a").select(F.when(F.col("b") == F.col("least"), F.col("a")).otherwise(F.col("b")).alias("a"), F.col("least").alias("b"))
-        following = cut_lineage(small.where("a <> b").distinct())
-        if _same(stars, following):
+        # As few files as the edges fill; a round over a small rest costs little then.
+        following = cut_lineage(small.where("a <> b").distinct().coalesce(max(1, known[0] // EDGES_PER_TASK)))
+        latest = _print(following)
+        if latest == known:
             return following.select(F.col("a").alias("node"), F.col("b").alias("component")).unionByName(following.select(F.col("b").alias("node"), F.col("b").alias("component")).distinct())
-        stars = following
+        stars, known = following, latest
 
 
-def _same(one: DataFrame, other: DataFrame) -> bool:
-    sums = [df.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first() for df in (one, other)]
-    return sums[0] == sums[1]
+def _print(edges: DataFrame) -> tuple:
+    """What equal sets of edges have in common."""
+    return tuple(edges.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first())

@@ -4,14 +4,18 @@ A document's set is its distinct 5-word shingles as 64-bit hashes. Two documents
 document of a class (the smallest id) goes on.
 
 1. Groups. Documents that agree in half of a few minhashes with the smallest document of the same minhash are compared with it, whole sets;
-   what those true links connect is a group of similar documents, every other document is a group of its own.
+   those truly linked with it are its group of similar documents, every other document is a group of its own.
 2. Matrix. In the order of the hashes the first third of a set is its head. A row of the matrix is a token and a group, for the
    union of the heads of the group's documents. Tokens of one group alone are left out.
 3. Bound. A query document of the smaller of two groups is joined with the matrix, which counts the tokens its head shares with the group's union. Two
    sets of a and b tokens need o = ceil(75 (a + b) / 175) common ones, and all but max(a - head(a), b - head(b)) of them lie in both heads;
    only groups that reach this bound for some size they hold are opened, only documents that reach it are compared, whole sets.
+   For a group of several documents the union of their whole sets is bounded first: a set that has fewer of its tokens there than it
+   would need in common is not let in.
 4. Tokens that occur in more than ``HOT`` groups are not joined: they count as shared, in favour of every group. Documents with so many
-   of them that the bound could be met by such tokens alone are joined once more by the classic prefix of their set, with those tokens last.
+   of them that the bound could be met by such tokens alone are joined once more by prefixes of their sets, rarest tokens first: the larger
+   of two sets probes with its first quarter, the smaller is found by its first seventh, and what stands after the two
+   places must still be able to reach o.
 
 So no link between different sets is lost, and no step pairs all documents of a group or of a token.
 
@@ -151,6 +155,11 @@ def _needed_by(n: Column, smallest: Column, largest: Column) -> Column:
     return F.when(low > high, None).otherwise(F.greatest(F.least(_needed(n, low), _needed(n, high)) - 1, F.lit(1)))
 
 
+def _united(a: Column, b: Column) -> Column:
+    """Common tokens that two sets of these sizes must have."""
+    return F.ceil((a + b) * PERCENT / (100 + PERCENT))
+
+
 def _group(docs: DataFrame, classes: DataFrame) -> tuple[DataFrame, DataFrame]:
     """The true links with leaders, and (doc, n, k1, grp) of every class."""
     pairs = None
@@ -163,7 +172,7 @@ def _group(docs: DataFrame, classes: DataFrame) -> tuple[DataFrame, DataFrame]:
         pairs = near if pairs is None else pairs.unionByName(near)
     pairs = cut_lineage(pairs.distinct())
     links = cut_lineage(verified(pairs, whole_sets(docs, pairs.select(F.col("a").alias("doc_id")).union(pairs.select("b")))))
-    linked = components(links).select(F.col("node").alias("doc"), F.col("component").alias("grp"))
+    linked = links.groupBy(F.col("a").alias("doc")).agg(F.min("b").alias("grp"))
     return links, classes.select("doc", "n", "k1").join(linked, "doc", "left").select("doc", "n", "k1", F.coalesce("grp", "doc").alias("grp"))
 
 
@@ -190,18 +199,36 @@ def _matrix_rows(docs: DataFrame, members: DataFrame) -> DataFrame:
     return cut_lineage(met.drop("times").join(hot, "token", "left").withColumn("hot", F.coalesce("hot", F.lit(False))))
 
 
-def _opened(rows: DataFrame, members: DataFrame) -> DataFrame:
-    """Pairs (a, b) of documents in groups whose union the query's head meets often enough."""
+def _united(a: Column, b: Column) -> Column:
+    """Common tokens that two sets of these sizes must have."""
+    return F.ceil((a + b) * PERCENT / (100 + PERCENT))
+
+
+def _qualifying(rows: DataFrame, members: DataFrame) -> DataFrame:
+    """(doc, n, to, most, smallest, largest, single): groups whose union the query's head meets often enough."""
     cold = rows.where(~F.col("hot"))
     matrix = cold.select("token", F.col("grp").alias("to"), F.col("members").alias("to_members")).distinct()
     ahead = (F.col("members") < F.col("to_members")) | ((F.col("members") == F.col("to_members")) & (F.col("grp") < F.col("to")))
     counts = cold.join(matrix, "token").where(ahead).groupBy("doc", "n", "to").agg(F.count("*").alias("common"))
     hot = rows.where("hot").groupBy("doc").agg(F.count("*").alias("hot"))
-    spans = members.groupBy(F.col("grp").alias("to")).agg(F.min("n").alias("smallest"), F.max("n").alias("largest"))
+    spans = members.groupBy(F.col("grp").alias("to")).agg(F.min("n").alias("smallest"), F.max("n").alias("largest"), (F.count("*") == 1).alias("single"))
     bound = counts.join(hot, "doc", "left").withColumn("most", F.col("common") + F.coalesce("hot", F.lit(0))).join(spans, "to")
-    open_ = bound.where(F.col("most") >= _needed_by(F.col("n"), F.col("smallest"), F.col("largest"))).select("doc", "n", "to", "most")
+    return bound.where(F.col("most") >= _needed_by(F.col("n"), F.col("smallest"), F.col("largest"))).drop("common", "hot")
+
+
+def _opened(open_: DataFrame, members: DataFrame, sets: DataFrame) -> DataFrame:
+    """Pairs (a, b) of documents in the qualifying groups; of a group of several documents the union of the whole sets must
+    hold enough of the query's tokens before it is opened."""
+    many = open_.where(~F.col("single"))
+    whole = sets.select("doc_id", F.explode("shingles").alias("token"))
     inside = members.select(F.col("grp").alias("to"), F.col("doc").alias("b"), F.col("n").alias("bn"))
-    return open_.join(inside, "to").where(_sizes_fit("n", "bn") & (F.col("most") >= _needed(F.col("n"), F.col("bn")))).select(F.col("doc").alias("a"), "b")
+    union = inside.join(many.select("to").distinct(), "to", "left_semi").join(whole.withColumnRenamed("doc_id", "b"), "b").select("to", "token").distinct()
+    tokens = many.select("doc", "to").join(whole.withColumnRenamed("doc_id", "doc"), "doc").distinct()
+    there = tokens.join(union, ["to", "token"]).groupBy("doc", "to").agg(F.count("*").alias("there"))
+    least = _united(F.col("n"), F.greatest("smallest", F.ceil(F.col("n") * PERCENT / 100)))
+    kept = many.join(there, ["doc", "to"]).where(F.col("there") >= least).unionByName(open_.where("single").withColumn("there", F.col("n").cast("long")))
+    met = kept.join(inside, "to").where(_sizes_fit("n", "bn") & (F.col("most") >= _needed(F.col("n"), F.col("bn"))) & (F.col("there") >= _united(F.col("n"), F.col("bn"))))
+    return met.select(F.col("doc").alias("a"), "b")
 
 
 def _mostly_hot(rows: DataFrame) -> DataFrame:
@@ -210,15 +237,17 @@ def _mostly_hot(rows: DataFrame) -> DataFrame:
     return hot.where(F.col("hot") >= _needed_by(F.col("n"), F.lit(0), F.lit(1 << 30))).select("doc", "n", "grp")
 
 
-def _hot_pairs(dense: DataFrame, rows: DataFrame, sets: DataFrame) -> DataFrame:
-    """Pairs of mostly hot documents that share a token of their classic prefixes, hot tokens last in the order."""
-    hot = rows.where("hot").select("token").distinct().withColumn("hot", F.lit(1))
+def _hot_pairs(dense: DataFrame, sets: DataFrame) -> DataFrame:
+    """Pairs of mostly hot documents in different groups that share a token of their prefixes, rarest tokens first."""
     whole = dense.join(sets.withColumnRenamed("doc_id", "doc"), "doc").select("doc", "n", "grp", F.explode("shingles").alias("token")).distinct()
-    order = Window.partitionBy("doc").orderBy(F.coalesce("hot", F.lit(0)), "token")
-    kept = whole.join(hot, "token", "left").withColumn("place", F.row_number().over(order)).where(F.col("place") <= F.floor(F.col("n") * (100 - PERCENT) / 100) + 1)
-    kept = kept.select("token", "doc", "n", "grp")
-    other = kept.select("token", F.col("doc").alias("b"), F.col("n").alias("bn"), F.col("grp").alias("bgrp"))
-    return kept.join(other, "token").where((F.col("doc") < F.col("b")) & (F.col("grp") != F.col("bgrp")) & _sizes_fit("n", "bn")).select(F.col("doc").alias("a"), "b").distinct()
+    order = Window.partitionBy("doc").orderBy("times", "token")
+    placed = whole.join(whole.groupBy("token").agg(F.count("*").alias("times")), "token").withColumn("place", F.row_number().over(order) - 1)
+    probes = cut_lineage(placed.where(F.col("place") <= F.floor(F.col("n") * (100 - PERCENT) / 100)).select("token", "doc", "n", "grp", "place"))
+    found = probes.where(F.col("n") - F.col("place") >= _united(F.col("n"), F.col("n"))).select(
+        "token", F.col("doc").alias("b"), F.col("n").alias("bn"), F.col("grp").alias("bgrp"), F.col("place").alias("bplace"))
+    reach = F.least(F.col("n") - F.col("place"), F.col("bn") - F.col("bplace")) >= _united(F.col("n"), F.col("bn"))
+    ahead = (F.col("bn") < F.col("n")) | ((F.col("bn") == F.col("n")) & (F.col("b") < F.col("doc")))
+    return probes.join(found, "token").where(ahead & (F.col("grp") != F.col("bgrp")) & _sizes_fit("n", "bn") & reach).select(F.col("doc").alias("a"), "b").distinct()
 
 
 def classes_of(docs: DataFrame) -> DataFrame:
@@ -229,11 +258,12 @@ def classes_of(docs: DataFrame) -> DataFrame:
     links, members = _group(docs, classes)
     members = cut_lineage(members)
     matrix = _matrix_rows(docs, members)
-    pairs = cut_lineage(_opened(matrix, members).distinct())
+    open_ = cut_lineage(_qualifying(matrix, members))
     dense = cut_lineage(_mostly_hot(matrix))
-    ids = pairs.select(F.col("a").alias("doc_id")).union(pairs.select("b")).union(dense.select("doc"))
+    united = members.join(open_.select(F.col("to").alias("grp")).distinct(), "grp", "left_semi")
+    ids = open_.select(F.col("doc").alias("doc_id")).union(united.select("doc")).union(dense.select("doc"))
     sets = cut_lineage(whole_sets(docs, ids))
-    pairs = pairs.unionByName(_hot_pairs(dense, matrix, sets)).distinct()
+    pairs = cut_lineage(_opened(open_, members, sets).unionByName(_hot_pairs(dense, sets)).distinct())
     links = links.unionByName(verified(pairs, sets))
 
     # A doc_id with several different sets belongs to several classes; it connects them.
