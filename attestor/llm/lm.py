@@ -3,7 +3,7 @@
 The corpus pass counts every byte n-gram and every word of all training documents; both counts grow with the input. The
 trie takes the n-grams of each length counted at least ``least`` times, the smallest power of two that leaves no more than
 ``MAX_GRAMS`` of any length, so its size is bounded and it can be sent to the executors. The baseline is exact: the
-``FREQUENT`` commonest words are looked up in the same pass, all others are counted per row and joined with the word counts.
+commonest words (at most ``FREQUENT``) are looked up in the same pass, all others are counted per row and joined with the word counts.
 
 Defined cases: a null text is read as the empty text, which has one token, its end. Rows with a null id are not learned
 from and not held out. Repeated rows are scored one by one. Words are compared by a 64-bit hash. Without training documents
@@ -25,7 +25,7 @@ from attestor.llm import ppm, texts
 from attestor.session import cut_lineage
 
 ORDER = 5
-MAX_GRAMS = 1 << 20
+MAX_GRAMS = 1 << 19
 FREQUENT = 1 << 17
 FOLDS, HELD_OUT = 5, 1
 GRAM, WORD, END = 0, 1, 2
@@ -72,17 +72,22 @@ def _levels(counts: DataFrame, order: int) -> list[tuple[np.ndarray, np.ndarray]
         part = own.groupBy(F.col("key").bitwiseAND(F.lit(int(ppm.mask(k + 1)))).alias("key")).agg(F.sum("n").alias("n")).select(F.lit(k).alias("k"), "key", "n")
         levels = part if levels is None else levels.unionByName(part)
     levels = cut_lineage(levels)
+    least = _least(levels, "k", MAX_GRAMS)
+    return [_sorted(levels.where((F.col("k") == k) & (F.col("n") >= least)).select("key", "n")) for k in range(order + 1)]
+
+
+def _least(counts: DataFrame, by: str, most: int) -> int:
+    """The smallest power of two that at most ``most`` counts of any group reach."""
     powers = range(48)
-    sizes = levels.groupBy("k").agg(*(F.count_if(F.col("n") >= (1 << p)).alias(f"p{p}") for p in powers)).collect()
-    least = next((1 << p for p in powers if all(r[f"p{p}"] <= MAX_GRAMS for r in sizes)), 1 << powers[-1])
-    kept = levels.where(F.col("n") >= least).toPandas()
-    out = []
-    for k in range(order + 1):
-        part = kept[kept["k"] == k]
-        keys = part["key"].to_numpy(np.int64).view(np.uint64)
-        at = np.argsort(keys)
-        out.append((keys[at], part["n"].to_numpy(np.int64)[at]))
-    return out
+    sizes = counts.groupBy(by).agg(*(F.count_if(F.col("n") >= (1 << p)).alias(f"p{p}") for p in powers)).collect()
+    return next((1 << p for p in powers if all(r[f"p{p}"] <= most for r in sizes)), 1 << powers[-1])
+
+
+def _sorted(counts: DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    table = counts.toPandas()
+    keys, n = table["key"].to_numpy(np.int64).view(np.uint64), table["n"].to_numpy(np.int64)
+    at = np.argsort(keys)
+    return keys[at], n[at]
 
 
 def train(docs: DataFrame, order: int = ORDER) -> tuple[Model, DataFrame]:
@@ -93,9 +98,8 @@ def train(docs: DataFrame, order: int = ORDER) -> tuple[Model, DataFrame]:
     totals = {r["kind"]: r for r in counts.groupBy("kind").agg(F.sum("n").alias("n"), F.count("*").alias("distinct")).collect()}
     ends = totals[END]["n"] if END in totals else 0
     tokens, distinct = (totals[WORD]["n"], totals[WORD]["distinct"]) if WORD in totals else (0, 0)
-    frequent = words.orderBy(F.desc("n"), "key").limit(FREQUENT).toPandas()
-    model = Model(ppm.Scorer([ppm.Trie(_levels(counts, order))]), ppm.Slots(frequent["key"].to_numpy(np.int64).view(np.uint64)), frequent["n"].to_numpy(np.int64),
-                  tokens + ends, distinct + (ends > 0), ends)
+    frequent, times = _sorted(words.where(F.col("n") >= _least(words.withColumn("one", F.lit(1)), "one", FREQUENT)))
+    model = Model(ppm.Scorer([ppm.Trie(_levels(counts, order))]), ppm.Slots(frequent), times, tokens + ends, distinct + (ends > 0), ends)
     return model, words
 
 

@@ -166,7 +166,7 @@ class Scorer:
     def __init__(self, tries: list[Trie]):
         self.tries = tries
         self.order = tries[0].order
-        keys = np.unique(np.concatenate([t.nodes[-1][0] for t in tries]))
+        keys = tries[0].nodes[-1][0] if len(tries) == 1 else np.unique(np.concatenate([t.nodes[-1][0] for t in tries]))
         self.slots = Slots(keys)
         self.table = np.stack([t.bits(keys) for t in tries], axis=1) if len(keys) else np.zeros((1, len(tries)))
 
