@@ -20,6 +20,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from attestor.llm import ppm, texts
+from attestor.session import cut_lineage
 
 UNDETERMINED = "und"
 ORDER = 4
@@ -66,14 +67,11 @@ class Model:
 
 
 def train(docs: DataFrame, order: int = ORDER, budget_bytes: int = BUDGET_BYTES) -> Model:
-    counts = (
-        sample(docs, budget_bytes).mapInArrow(_gram_counts(order), "lang string, key bigint, n bigint")
-        .groupBy("lang", "key").agg(F.sum("n").alias("n")).toPandas()
-    )
-    languages = sorted(counts["lang"].unique())
+    counts = cut_lineage(sample(docs, budget_bytes).mapInArrow(_gram_counts(order), "lang string, key bigint, n bigint").groupBy("lang", "key").agg(F.sum("n").alias("n")))
+    languages = sorted(r["lang"] for r in counts.select("lang").distinct().collect())
     tries = []
-    for lang in languages:
-        own = counts[counts["lang"] == lang]
+    for lang in languages:  # one at a time, so the driver never holds more than one table of counts
+        own = counts.where(F.col("lang") == lang).select("key", "n").toPandas()
         tries.append(ppm.Trie.of(own["key"].to_numpy(np.int64).view(np.uint64), own["n"].to_numpy(np.int64), order))
     return Model(languages, ppm.Scorer(tries) if tries else None)
 

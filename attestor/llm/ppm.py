@@ -168,7 +168,10 @@ class Scorer:
         self.order = tries[0].order
         keys = tries[0].nodes[-1][0] if len(tries) == 1 else np.unique(np.concatenate([t.nodes[-1][0] for t in tries]))
         self.slots = Slots(keys)
-        self.table = np.stack([t.bits(keys) for t in tries], axis=1) if len(keys) else np.zeros((1, len(tries)))
+        self.table = np.zeros((max(1, len(keys)), len(tries)))
+        for a in range(0, len(keys), 1 << 16):
+            for j, trie in enumerate(tries):
+                self.table[a : a + (1 << 16), j] = trie.bits(keys[a : a + (1 << 16)])
 
     def texts(self, data: np.ndarray, offsets: np.ndarray, ends: bool = True) -> np.ndarray:
         """Bits of each text (rows) under each trie (columns)."""
