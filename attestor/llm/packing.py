@@ -30,7 +30,7 @@ from attestor.session import cut_lineage
 
 CAPACITY = 4096
 END_ID = 1
-CACHED_WORDS, CACHED_CUTS = 1_500_000, 200_000
+CACHED_WORDS, CACHED_CUTS = 500_000, 100_000
 ROWS_PER_SLICE = 5_000
 
 
