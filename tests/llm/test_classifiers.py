@@ -131,6 +131,16 @@ def test_lm_score_is_the_tries(spark):
     assert got == pytest.approx({i: -plain_bits(train, t.encode(), 3) * math.log10(2) for i, t in rows})
 
 
+@pytest.mark.parametrize("most", [0, 4, 1 << 19])
+def test_lm_rare_grams_keep_their_score(spark, monkeypatch, most):
+    rows = [*((i, " ".join(words(i, 20, 20 + i))) for i in range(14)), (14, None), (15, "Éa ñu 🙂 zz"), (None, "qq no id"), (None, "zzzz")]
+    train = [(t or "").encode() for i, t in rows if i is not None and fold(i, 5) != 1]
+    monkeypatch.setattr(lm, "MAX_GRAMS", most)
+    for order in (2, 5):
+        got = sorted(r.score for r in lm.score_corpus(documents(spark, rows), order).collect())
+        assert got == pytest.approx(sorted(-plain_bits(train, (t or "").encode(), order) * math.log10(2) for _, t in rows))
+
+
 def test_lm_adaptive(odd):
     assert {r.doc_id: r.score for r in lm.score_adaptive(odd.where("doc_id in (2, 5)"), 2).collect()}[2] == pytest.approx(-math.log10(257))
 
