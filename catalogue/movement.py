@@ -115,6 +115,20 @@ def snk_06(fr):
     return publish.path_plan(rows, ["fund_id"], "name", "holding_id").select("holding_id", "directory")
 
 
+#: Whole names; some holdings are renamed, so that several of a fund have one safe name.
+LIBRARY["o_named_folder"] = r"""
+SELECT holding_id, fund_id, name, regexp_replace(replace(regexp_replace(name, '[/\\:*?"<>|\x00-\x1f]+', '_', 'g'), '..', '__'), '^[ .]+|[ .]+$', '', 'g') AS safe FROM (SELECT holding_id, fund_id, CASE WHEN cust_key % 40 = 3 THEN 'Shared Holding' ELSE replace(company_name, '#', '/:') END || '..' || CASE WHEN cust_key % 2 = 0 THEN ' Ltd.' ELSE ' LTD' END AS name FROM {f_holding})"""
+
+
+@query("snk_06_names", """SELECT f.holding_id, 'companies/' || CASE WHEN g.first_id = f.holding_id THEN f.safe ELSE f.safe || ' (' || f.holding_id || ')' END AS directory FROM {o_named_folder} AS f
+ JOIN (SELECT fund_id, lower(safe) AS folded, arg_min(holding_id, struct_pack(a := name, b := holding_id)) AS first_id FROM {o_named_folder} GROUP BY 1, 2) AS g ON g.fund_id = f.fund_id AND g.folded = lower(f.safe)""")
+def snk_06_names(fr):
+    whole = F.when(F.col("cust_key") % 40 == 3, "Shared Holding").otherwise(F.replace("company_name", F.lit("#"), F.lit("/:")))
+    name = F.concat(whole, F.lit(".."), F.when(F.col("cust_key") % 2 == 0, " Ltd.").otherwise(" LTD"))
+    rows = fr["f_holding"].select("holding_id", "fund_id", name.alias("name"))
+    return publish.path_plan(rows, ["fund_id"], "name", "holding_id").select("holding_id", "directory")
+
+
 @query("snk_07", "SELECT fund_id, period_id, count(*) AS rows FROM {o_member} GROUP BY 1, 2")
 def snk_07(fr):
     """Published only after every check on the staged copy came back empty."""

@@ -148,6 +148,19 @@ def jn_06(fr):
     return joins.ambiguous_keys(rows, ["fund_id", "key"], "sheet").select("fund_id", "key", F.col("sources").alias("sheets"))
 
 
+#: Whole names; the sheets of some holdings are renamed, so that several of a fund reduce to one key.
+LIBRARY["o_sheet"] = """
+SELECT fund_id, CASE WHEN cust_key % 40 = 3 THEN 'Shared Holding (' || company_name || ')' ELSE company_name || ' (' || holding_id || ')' END AS sheet FROM {f_holding}"""
+
+
+@query("jn_06_names", "SELECT fund_id, trim(split_part(sheet, ' (', 1)) AS key, count(DISTINCT sheet) AS sheets FROM {o_sheet} GROUP BY 1, 2 HAVING count(DISTINCT sheet) > 1")
+def jn_06_names(fr):
+    renamed = F.concat(F.lit("Shared Holding ("), "company_name", F.lit(")"))
+    sheet = F.when(F.col("cust_key") % 40 == 3, renamed).otherwise(F.concat("company_name", F.lit(" ("), "holding_id", F.lit(")")))
+    rows = fr["f_holding"].select("fund_id", sheet.alias("sheet")).withColumn("key", S.company_key(F.col("sheet")))
+    return joins.ambiguous_keys(rows, ["fund_id", "key"], "sheet").select("fund_id", "key", F.col("sources").alias("sheets"))
+
+
 LIBRARY["o_spoilt"] = """
 SELECT c.claim_id, r.requirement, CASE WHEN c.order_key % 1000 = 0 THEN 'rumor' ELSE c.source_class END AS source_class, c.execution_status, c.position_type, c.price_per_share
 FROM {f_claim} AS c JOIN {f_claim_requirement} AS r ON r.claim_id = c.claim_id"""
