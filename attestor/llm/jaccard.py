@@ -276,30 +276,56 @@ def classes_of(docs: DataFrame) -> DataFrame:
     return out.select("doc_id", F.col("n").cast("long").alias("n_shingles"), F.coalesce("component", "doc_id").alias("component_id"))
 
 
-def representatives(docs: DataFrame) -> DataFrame:
-    """The rows, with all their columns, of the smallest doc_id of each class; one row for each such id, every row without id.
-
-    A bitmap of the ids that go or repeat sends only their rows through the exact joins; all other rows are never moved.
-    """
-    classes = cut_lineage(classes_of(docs))
-    gone = classes.where("doc_id <> component_id").select("doc_id").distinct()
-    again = classes.where("doc_id = component_id").groupBy("doc_id").count().where("count > 1").select("doc_id")
-    touched = gone.union(again)
-    sent = docs.sparkSession.sparkContext.broadcast(bitmap(touched, bits_for(touched.count())))
+def _parted(docs: DataFrame, name: str, ids: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The rows whose id in the column ``name`` is one of these distinct ids, and all others. A bitmap of the ids sends only
+    their rows through the exact joins; all other rows are never moved."""
+    sent = docs.sparkSession.sparkContext.broadcast(bitmap(ids, bits_for(ids.count())))
 
     def rows(wanted: bool):
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
-                ids = batch.column("doc_id").cast(pa.int64())
-                hit = in_bitmap(sent.value, ids.fill_null(0).to_numpy()) & ids.is_valid().to_numpy(zero_copy_only=False)
+                own = batch.column(name).cast(pa.int64())
+                hit = in_bitmap(sent.value, own.fill_null(0).to_numpy()) & own.is_valid().to_numpy(zero_copy_only=False)
                 yield batch.filter(pa.array(hit == wanted))
 
         return docs.mapInArrow(run, docs.schema)
 
-    met = rows(True)
-    name = "gone"
+    met, listed = rows(True), _fresh("listed", docs)
+    among = ids.select(F.col(ids.columns[0]).alias(listed))
+    same = met[name].cast("long") == F.col(listed)
+    return met.join(among, same, "left_semi"), rows(False).unionByName(met.join(among, same, "left_anti"))
+
+
+def _fresh(name: str, docs: DataFrame) -> str:
     while name in docs.columns:
         name += "_"
-    left = met.join(gone.select(F.col("doc_id").alias(name)), met["doc_id"].cast("long") == F.col(name), "left_anti")
-    one = left.groupBy("doc_id").agg(F.min(F.struct(*(left[c] for c in docs.columns))).alias("kept")).select("kept.*")
-    return rows(False).unionByName(one)
+    return name
+
+
+def representatives(docs: DataFrame) -> DataFrame:
+    """The rows, with all their columns, that stay of the classes of texts: of those that links connect the one with the smallest
+    doc_id, rows without an id last. Rows that share a doc_id or have none are compared each by its own text, under a number
+    made from a 63-bit hash of id and text; texts without a word link with nothing and all stay."""
+    number = _fresh("number", docs)
+    id_ = F.col("doc_id").cast("long")
+    again = cut_lineage(docs.where(id_.isNotNull()).groupBy(id_.alias("doc_id")).count().where("count > 1").select("doc_id"))
+    if again.isEmpty() and docs.where(id_.isNull()).isEmpty():
+        numbered = docs.withColumn(number, id_)
+        gone = _classes_of(numbered, number).where("doc_id <> component_id").select("doc_id").distinct()
+        return _parted(numbered, number, cut_lineage(gone))[1].drop(number)
+    shared, own = _parted(docs, "doc_id", again)
+    shared = cut_lineage(shared.unionByName(docs.where(id_.isNull())))
+    wordless = ~F.coalesce("text", F.lit("")).rlike(r"[^\x20\x09-\x0D]")
+    hashed = -1 - F.shiftrightunsigned(F.xxhash64(id_, "text"), 1)
+    one = shared.where(~wordless).groupBy(hashed.alias(number)).agg(F.min(F.struct(*docs.columns)).alias("kept")).select("kept.*", number)
+    numbered = cut_lineage(own.where(id_.isNotNull()).withColumn(number, id_).unionByName(one))
+    classes = numbered.select(number, F.struct(id_.isNull(), id_, F.col(number).alias("number")).alias("rank")).join(
+        _classes_of(numbered, number).select(F.col("doc_id").alias(number), F.col("component_id").alias("component")), number)
+    classes = cut_lineage(classes.select(F.col(number).alias("doc_id"), "rank", "component"))
+    first = classes.groupBy("component").agg(F.min("rank").alias("first"))
+    gone = classes.join(first, "component").where(F.col("doc_id") != F.col("first.number")).select("doc_id").distinct()
+    return _parted(numbered, number, cut_lineage(gone))[1].drop(number).unionByName(shared.where(wordless))
+
+
+def _classes_of(numbered: DataFrame, number: str) -> DataFrame:
+    return cut_lineage(classes_of(numbered.select(F.col(number).alias("doc_id"), "text")))

@@ -95,6 +95,15 @@ def test_representatives(spark):
     assert sorted((r.doc_id for r in kept.collect()), key=repr) == sorted([1, 2, 3, 4, 5, 6, 8, 10, 11, 12, None, None], key=repr)
 
 
+def test_representatives_by_text_not_by_id(spark):
+    """Unrelated texts of one doc_id both stay; copies without an id go, also near copies of a row with one."""
+    one, two, three = (" ".join(words(seed, 40)) for seed in (1, 2, 3))
+    docs = documents(spark, [(1, one), (1, two), (2, two), (None, three), (None, three), (None, one + " more"), (None, ""), (None, ""), (3, three + " end"), (4, None), (4, " ")])
+    kept = jaccard.representatives(docs)
+    assert kept.columns == docs.columns
+    assert sorted(((r.doc_id, r.text) for r in kept.collect()), key=repr) == sorted([(1, one), (1, two), (3, three + " end"), (None, ""), (None, ""), (4, None), (4, " ")], key=repr)
+
+
 def on_duckdb(name):
     cursor = connect(SMALL).execute(queries.ORACLE[name])
     names = [d[0] for d in cursor.description]
