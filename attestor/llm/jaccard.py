@@ -17,7 +17,8 @@ document of a class (the smallest id) goes on.
    of two sets probes with its first quarter, the smaller is found by its first seventh, and what stands after the two
    places must still be able to reach o.
 
-So no link between different sets is lost, and no step pairs all documents of a group or of a token.
+So no component is split, and no step pairs all documents of a group or of a token. Links inside a group are stood for by the star
+to its leader: other pairs of a group are not formed, so the join has the components but no number of links.
 
 Defined cases: a null or empty text, or one of white space, has an empty set and links with nothing. Rows that share a doc_id are one
 document, linked by whichever row links. A null doc_id has a null component. Repeated rows give a row each. Other columns are ignored.
