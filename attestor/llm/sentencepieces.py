@@ -5,7 +5,8 @@ format. They are rebuilt as a tokenizers pipeline: the precompiled character map
 Unigram model with the pieces' scores or a BPE model whose merges are the pairs that make up a piece, best score first. No piece holds the
 marker after another character, so a text falls into independent segments (a marker run and what follows). If a model
 has such a piece, the whole text is one segment. Distinct segments are encoded in multithreaded batches, held while memory
-allows, and compared with the SentencePiece library as they are encoded.
+allows, and compared with the SentencePiece library as they are encoded. This parity covers the pieces of segments that the rebuilt
+normaliser and cut have made, not these two themselves; ``parity`` compares whole texts, and no registered query calls it.
 
 Defined cases: a null text is read as the empty text, which has no tokens. Repeated rows and null ids get a row each. An empty table gives
 no rows. Other columns are ignored, whatever their names.
