@@ -163,8 +163,9 @@ def trees(docs: DataFrame, group: str = GROUP, tampered_every: int = TAMPERED_EV
     top = groups.select(F.lit("").alias("grp"), "id", F.lit(groups.count()).cast("long").alias("n"), "node")
     root, above = climb(top)
     tops = groups.select("grp", "id", F.col("node").alias("subroot")).join(above.select("id", F.col("path").alias("upper")), "id").drop("id")
-    tops = tops.crossJoin(F.broadcast(root.select(F.col("node").alias("root"))))
-    upper = paths.join(tops, "grp").select("grp", F.col("id").alias("block"), F.concat("path", "upper").alias("path"), "subroot", "root")
+    whole = root.first()
+    whole = F.lit(whole["node"] if whole else None).cast("string").alias("root")
+    upper = paths.join(tops, "grp").select("grp", F.col("id").alias("block"), F.concat("path", "upper").alias("path"), "subroot", whole)
     return arrays.join(upper, ["grp", "block"])
 
 
