@@ -13,127 +13,25 @@ An empty table gives no rows. Other columns are ignored, whatever their names.
 
 from __future__ import annotations
 
-import unicodedata
 import zlib
 from collections.abc import Iterator
-from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
-import regex
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from attestor.llm import texts
+from attestor.llm.wordids import WordIds, default_vocabulary, word_ids  # noqa: F401
 from attestor.session import cut_lineage
 
 CAPACITY = 4096
 END_ID = 1
-CACHED_WORDS, CACHED_CUTS = 500_000, 100_000
+CHUNK_BYTES = 1 << 19
 ROWS_PER_SLICE = 5_000
 
 
-def default_vocabulary() -> str:
-    import public_tokenizers
-
-    return public_tokenizers.path("word_bpe_49k.json")
-
-
-class WordIds:
-    """Ids of white-space words, held by the words' hashes.
-
-    The tokenizer drops white space and never merges across it, so the ids of a text are those of its words in a row. A
-    word not held yet is cut where the tokenizer cuts it (its own pattern); the distinct cuts are encoded many at a
-    time, as one text with blanks between, and each ends at an id whose token ends a word. If the number of such ids
-    is not the number of cuts, they are encoded one by one.
-    """
-
-    def __init__(self, vocabulary: str):
-        from tokenizers import Tokenizer
-
-        self.tokenizer = Tokenizer.from_file(vocabulary)
-        size = self.tokenizer.get_vocab_size()
-        self.ends_word = np.array([(self.tokenizer.id_to_token(i) or "").endswith("</w>") for i in range(size)])
-        self.cut = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+")
-        self.cuts: dict[str, bytes] = {}
-        self._clear()
-
-    def _clear(self) -> None:
-        self.keys, self.starts, self.counts = np.empty(0, np.uint64), np.empty(0, np.int64), np.empty(0, np.int64)
-        self.values = np.empty(0, np.uint32)
-
-    def _plain(self, text: str) -> bytes:
-        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
-
-    def _learn(self, fresh: list[str]) -> None:
-        groups = [fresh[i : i + 1000] for i in range(0, len(fresh), 1000)]
-        for group, encoding in zip(groups, self.tokenizer.encode_batch_fast([" ".join(g) for g in groups], add_special_tokens=False), strict=True):
-            ids = np.array(encoding.ids, "<u4")
-            last = np.flatnonzero(self.ends_word[ids]) + 1
-            if len(last) == len(group):
-                raw, before = ids.tobytes(), 0
-                for cut, end in zip(group, (last * 4).tolist(), strict=True):
-                    self.cuts[cut] = raw[before:end]
-                    before = end
-            else:
-                for cut in group:
-                    self.cuts[cut] = self._plain(cut)
-
-    def encode_words(self, words: list[bytes]) -> list[bytes]:
-        if len(self.cuts) > CACHED_CUTS:
-            self.cuts.clear()
-        split = []
-        for word in words:
-            if word.isalpha():
-                split.append([word.decode()])
-            elif b"<|" in word:
-                split.append(None)
-            else:
-                text = word.decode()
-                if not text.isascii():
-                    text = unicodedata.normalize("NFC", text)
-                # The one letter whose lower case is two characters changes where the tokenizer cuts.
-                split.append(None if "\u0130" in text else self.cut.findall(text))
-        self._learn(list({c for own in split if own for c in own} - self.cuts.keys()))
-        cuts = self.cuts
-        return [self._plain(word.decode()) if own is None else b"".join([cuts[c] for c in own]) for word, own in zip(words, split, strict=True)]
-
-    def encode(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """All ids of the texts in a row, and the first id of each text with the total."""
-        # A special token in a text is an id of its own only as it is written, so such texts keep their case.
-        hashes, starts, ends, bounds = texts.words(data, offsets, lower=False)
-        distinct, first, at = np.unique(hashes, return_index=True, return_inverse=True)
-        if len(self.keys) + len(distinct) > CACHED_WORDS:
-            self._clear()
-        place = np.minimum(np.searchsorted(self.keys, distinct), max(0, len(self.keys) - 1))
-        known = self.keys[place] == distinct if len(self.keys) else np.zeros(len(distinct), bool)
-        if not known.all():
-            raw = data.tobytes()
-            fresh = first[~known]
-            own = [raw[i:j] for i, j in zip(starts[fresh].tolist(), ends[fresh].tolist(), strict=True)]
-            encoded = self.encode_words([w if b"<|" in w else w.lower() for w in own])
-            counts = np.array([len(e) // 4 for e in encoded])
-            keys = np.concatenate([self.keys, distinct[~known]])
-            order = np.argsort(keys, kind="stable")
-            self.starts = np.concatenate([self.starts, len(self.values) + np.cumsum(counts) - counts])[order]
-            self.counts = np.concatenate([self.counts, counts])[order]
-            self.values = np.concatenate([self.values, np.frombuffer(b"".join(encoded), "<u4")])
-            self.keys = keys[order]
-            place = np.searchsorted(self.keys, distinct)
-        at = place[at]
-        counts = self.counts[at]
-        total = np.cumsum(counts)
-        ids = self.values[np.repeat(self.starts[at] - (total - counts), counts) + np.arange(total[-1] if len(total) else 0)]
-        return ids, np.r_[0, total][bounds]
-
-
-@lru_cache(maxsize=1)
-def word_ids(vocabulary: str) -> WordIds:
-    """One store of words for all tasks of a Python worker."""
-    return WordIds(vocabulary)
-
-
 def pieces(docs: DataFrame, vocabulary: str | None = None, capacity: int = CAPACITY) -> DataFrame:
     """row (a number of its own), doc_id, piece, start, length, ids_crc32 of every piece of every document."""
     vocabulary = vocabulary or default_vocabulary()
@@ -144,7 +42,7 @@ def pieces(docs: DataFrame, vocabulary: str | None = None, capacity: int = CAPAC
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ids_of = word_ids(vocabulary)
         for batch in batches:
-            for a, _, data, offsets in texts.chunks(batch.column("text")):
+            for a, _, data, offsets in texts.chunks(batch.column("text"), CHUNK_BYTES):
                 ids, bounds = ids_of.encode(data, offsets)
                 owner, piece, start, length, crc = [], [], [], [], []
                 for i, (low, high) in enumerate(zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True)):
