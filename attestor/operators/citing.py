@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 
 from attestor import model
 from attestor.functions import scalars as S
+from attestor.operators.extraction import Rule
+from attestor.session import cut_lineage
 
 
 def locate(df: DataFrame, text: str, quote: str) -> DataFrame:
@@ -41,17 +43,16 @@ def locate_pattern(df: DataFrame, text: str, pattern: str, group: int) -> DataFr
 
 
 def pages(documents: DataFrame) -> DataFrame:
-    """FN-18: page extents from form feeds; a break at the very end opens no page, a blank page counts."""
-    parts = documents.select("document_id", F.posexplode(F.split("canonical_text", "\f")).alias("n", "body"))
-    in_order = Window.partitionBy("document_id").orderBy("n")
-    before = F.coalesce(F.sum(F.length("body") + 1).over(in_order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    is_last = F.lead("n").over(in_order).isNull()
-    return (
-        parts.withColumn("page_start", before.cast("int")).withColumn("is_last", is_last)
-        .filter(~F.col("is_last") | (F.length("body") > 0))
-        .select("document_id", (F.col("n") + 1).alias("page_no"), "page_start",
-                (F.col("page_start") + F.length("body")).alias("page_end"))
-    )
+    """FN-18: page extents from form feeds; a break at the very end opens no page, a blank page counts.
+
+    Extents are summed within the row, so no text and no page body leaves it.
+    """
+    lengths = F.transform(F.split("canonical_text", "\f"), lambda body: F.length(body))
+    opened = F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<page_start:int,page_end:int>>").alias("pages"))
+    laid = F.aggregate(lengths, opened, lambda acc, n: F.struct(
+        (acc["at"] + n + 1).alias("at"), F.array_append(acc["pages"], F.struct(acc["at"].alias("page_start"), (acc["at"] + n).alias("page_end"))).alias("pages")))["pages"]
+    each = documents.select("document_id", F.size(F.split("canonical_text", "\f")).alias("parts"), F.posexplode(laid).alias("n", "page"))
+    return each.filter("n + 1 < parts OR page.page_end > page.page_start").select("document_id", (F.col("n") + 1).alias("page_no"), "page.page_start", "page.page_end")
 
 
 def page_of(points: DataFrame, page_frame: DataFrame, offset: str) -> DataFrame:
@@ -117,25 +118,6 @@ def uncited_prices(claims: DataFrame, facts: DataFrame, column: str = "price_per
                      (mine["claim_id"] == stated["claim_id"]) & (F.col("figure") == F.col("stated")), "left_anti")
 
 
-def extract_by_rules(documents: DataFrame, rules: DataFrame, key: str = "claim_id") -> DataFrame:
-    """CIT-04: each rule (family, field, pattern, group) must match one passage of a document of its family.
-
-    Rules are a few rows per family; the join is on family, so a document meets only its own rules.
-    """
-    met = documents.join(rules, "family")
-    found = F.expr("regexp_extract_all(canonical_text, pattern, 0)")
-    value = F.expr("regexp_extract(canonical_text, pattern, value_group)")
-    return (
-        met.withColumn("found", found).withColumn("hits", F.size("found"))
-        .withColumn("outcome", F.when(F.col("hits") == 1, "cited").when(F.col("hits") == 0, "pattern_matched_nothing").otherwise("pattern_is_ambiguous"))
-        .withColumn("value_text", F.when(F.col("hits") == 1, value))
-        .withColumn("quote", F.when(F.col("hits") == 1, F.col("found")[0]))
-        .withColumn("span_start", F.instr(F.col("canonical_text"), F.col("quote")) - 1)
-        .withColumn("span_end", F.col("span_start") + F.length("quote"))
-        .select(key, "family", "field_name", "hits", "outcome", "value_text", "quote", "span_start", "span_end")
-    )
-
-
 def bind_proposals(proposals: DataFrame, texts: DataFrame, key: str) -> DataFrame:
     """CIT-07: proposals carry a quote and a value but no offset; both outcomes are kept."""
     placed = locate(proposals.join(texts, key), "canonical_text", "quote")
@@ -148,26 +130,40 @@ def bind_proposals(proposals: DataFrame, texts: DataFrame, key: str) -> DataFram
     )
 
 
-def sentence_for_fragment(fragments: DataFrame, documents: DataFrame) -> DataFrame:
-    """CIT-08: a fragment must fall in exactly one distinct sentence.
+def replay(proposals: DataFrame, recorded: DataFrame, texts: DataFrame, key: str) -> DataFrame:
+    """CIT-15: recorded proposals bound to the stored text they were made on.
+
+    ``recorded`` (key, prefix): the text's hash began so when the recording was made. Where no stored text of the key
+    begins so any more, its proposals are kept, not replayed and without an outcome.
+    """
+    found = texts.select(key, F.sha2("canonical_text", 256).alias("_hash"), "canonical_text").join(recorded, key).filter(F.startswith("_hash", "prefix"))
+    bound = bind_proposals(proposals, found.select(key, "canonical_text"), key).withColumn("replayed", F.lit(True))
+    left = proposals.join(found.select(key).distinct(), key, "left_anti").withColumn("replayed", F.lit(False))
+    return bound.unionByName(left, allowMissingColumns=True)
+
+
+GRAM = 6
+
+
+def sentence_for_fragment(fragments: DataFrame, documents: DataFrame, gram: int = GRAM) -> DataFrame:
+    """CIT-08: a fragment must fall in exactly one distinct sentence; an empty fragment falls in none.
 
-    A fragment of three or more words is looked up by the rarest of its inner words, which every hit must hold as a
-    whole word, so the contains test runs on few sentences. Shorter fragments are a hand-made list and meet the
-    sentences directly.
+    Sentences are indexed by their runs of ``gram`` characters. Every sentence that holds a fragment holds the rarest run of
+    it, so only sentences with that run are looked at; a fragment shorter than a run is its own anchor and makes the index
+    hold runs of its length too. Runs that no fragment asks for go nowhere, and texts are read again for candidates only.
     """
-    lines = documents.select(F.explode(S.sentences(F.col("canonical_text"))).alias("sentence")).distinct()
-    token = r"[\p{L}\p{N}]+"
-    words = lines.withColumn("word", F.explode(F.array_distinct(F.regexp_extract_all("sentence", F.lit(f"({token})"), F.lit(1)))))
-    tokens = F.regexp_extract_all("fragment", F.lit(f"({token})"), F.lit(1))
-    split = fragments.withColumn("tokens", tokens)
-    inner = split.filter(F.size("tokens") >= 3).withColumn("word", F.explode(F.expr("slice(tokens, 2, size(tokens) - 2)")))
-    frequency = words.join(inner.select("word").distinct(), "word", "left_semi").groupBy("word").agg(F.count("*").alias("sentences_with"))
-    anchored = inner.join(frequency, "word", "left").groupBy("fragment_id", "fragment").agg(
-        F.min_by("word", F.struct(F.coalesce("sentences_with", F.lit(0)), "word")).alias("word"))
-    holds = F.contains(F.col("sentence"), F.col("fragment"))
-    hit = words.join(anchored, "word").filter(holds).select("fragment_id", "sentence")
-    short = split.filter(F.size("tokens") < 3).select("fragment_id", "fragment")
-    hit = hit.unionByName(lines.join(short, holds).select("fragment_id", "sentence"))
+    runs = lambda column, n: F.regexp_extract_all(column, F.lit(rf"(?s)(?=(.{{{n}}}))"), F.lit(1))
+    named = fragments.filter(F.length("fragment") > 0).select("fragment_id", "fragment", F.least(F.length("fragment"), F.lit(gram)).alias("size"))
+    sizes = sorted(r["size"] for r in named.select("size").distinct().collect())  # at most ``gram`` of them
+    lines = documents.select(F.explode(S.sentences(F.col("canonical_text"))).alias("sentence")).withColumn("at", F.xxhash64("sentence"))
+    index = lines.select("at", F.explode(F.array_distinct(F.flatten(F.array(*[runs("sentence", n) for n in sizes])) if sizes else F.array().cast("array<string>"))).alias("run"))
+    own = F.when(F.col("size") < gram, F.array("fragment")).otherwise(runs("fragment", gram))
+    asked = named.select("fragment_id", F.explode(F.array_distinct(own)).alias("run"))
+    frequency = index.join(asked.select("run").distinct(), "run", "left_semi").groupBy("run").agg(F.count("*").alias("sentences_with"))
+    anchors = asked.join(frequency, "run", "left").groupBy("fragment_id").agg(F.min_by("run", F.struct(F.coalesce("sentences_with", F.lit(0)), "run")).alias("run"))
+    candidates = index.join(anchors, "run").select("fragment_id", "at").distinct()
+    texts = lines.join(candidates.select("at").distinct(), "at", "left_semi").distinct()
+    hit = candidates.join(texts, "at").join(named.select("fragment_id", "fragment"), "fragment_id").filter(F.contains(F.col("sentence"), F.col("fragment")))
     found = hit.groupBy("fragment_id").agg(F.countDistinct("sentence").alias("sentences"), F.min("sentence").alias("sentence"))
     return (
         fragments.select("fragment_id").join(found, "fragment_id", "left")
@@ -177,24 +173,25 @@ def sentence_for_fragment(fragments: DataFrame, documents: DataFrame) -> DataFra
 
 
 def lineage(edges: DataFrame, leaves: DataFrame) -> DataFrame:
-    """CIT-14: every leaf reachable from a figure, by frontier expansion until nothing new is reached.
+    """CIT-14: every leaf reachable from a figure, by path doubling.
 
-    ``edges`` (figure_id, child_id), ``leaves`` (figure_id, leaf_id, state). The frontier shrinks to empty on an
-    acyclic graph of any depth. On a cycle some figure reaches itself, which is raised, not truncated.
+    ``edges`` (figure_id, child_id), ``leaves`` (figure_id, leaf_id, state). Round k knows the leaf-bearing figures within 2^k steps
+    and the ends of paths of exactly 2^k steps; both double, so depth 1,000 takes ten rounds. Paths of more steps than
+    there are figures go round a cycle, which is raised, not truncated.
     """
-    from attestor.session import cut_lineage
-
-    frontier = leaves.select("figure_id").union(edges.select("figure_id")).distinct().withColumn("node", F.col("figure_id"))
-    seen = frontier
-    while True:
-        step = edges.select(F.col("figure_id").alias("node"), "child_id")
-        frontier = cut_lineage(frontier.join(step, "node").select("figure_id", F.col("child_id").alias("node")).distinct())
-        if frontier.isEmpty():
-            break
-        if not frontier.filter("node = figure_id").isEmpty():
+    steps = cut_lineage(edges.select(F.col("figure_id").alias("start"), F.col("child_id").alias("end")).distinct())
+    reached = leaves.select(F.col("figure_id").alias("figure"), F.col("figure_id").alias("node")).distinct()
+    figures = steps.select("start").distinct().count()
+    length = 1
+    while not steps.isEmpty():
+        if length > figures:
             raise ValueError("the figures do not form an acyclic graph")
-        seen = seen.unionByName(frontier)
-    return seen.distinct().join(leaves.withColumnRenamed("figure_id", "node"), "node")
+        through = steps.join(reached, F.col("end") == F.col("figure")).select(F.col("start").alias("figure"), "node")
+        reached = cut_lineage(reached.unionByName(through).distinct())
+        onward = steps.select(F.col("start").alias("end"), F.col("end").alias("further"))
+        steps = cut_lineage(steps.join(onward, "end").select("start", F.col("further").alias("end")).distinct())
+        length *= 2
+    return reached.withColumnRenamed("figure", "figure_id").join(leaves.withColumnRenamed("figure_id", "node"), "node")
 
 
 def fact_map(facts: DataFrame) -> DataFrame:
@@ -219,24 +216,23 @@ def dated_facts(facts: DataFrame) -> DataFrame:
         F.count_if(F.col("field_name").isin(*DATE_FIELDS) & day.isNull()).alias("unreadable"))
 
 
-# Rule rows per document family: field, pattern, group of the value. One family is one block of a frame.
-def rules_for(family: str, fields: tuple[str, ...]) -> list[tuple[str, str, str, int]]:
+# One line a fact, "field is value", as the recordings of this ledger write it. Other houses state their own rules.
+def line_rules(family: str, fields: tuple[str, ...]) -> tuple[Rule, ...]:
     value = {"currency_pair": r"([A-Z]{3}/[A-Z]{3})", "fx_rate_effective_date": r"(\d{4}-\d{2}-\d{2})"}
-    return [(family, f, rf"(?m)^{f.replace('_', ' ')} is {value.get(f, r'([0-9]+(?:[.][0-9]+)?)')}$", 1) for f in fields]
+    return tuple(Rule(family, f, rf"(?m)^{f.replace('_', ' ')} is {value.get(f, r'([0-9]+(?:[.][0-9]+)?)')}$", ((f, 1),)) for f in fields)
 
 
-PURCHASE_AGREEMENT = rules_for("purchase_agreement", (
+PURCHASE_AGREEMENT = line_rules("purchase_agreement", (
     "fund_shares", "fund_price_per_share", "settlement_amount_received", "gross_consideration", "consideration_per_share", "shares_of_record"))
-CAP_TABLE = rules_for("cap_table", ("fund_shares", "fund_price_per_share"))
-MEMO = rules_for("memo", ("concluded_fair_value_usd", "net_asset_value", "fund_holding_value", "fx_rate", "fx_rate_effective_date", "currency_pair"))
-IRREGULAR = rules_for("irregular", ("fund_shares", "settlement_amount_received", "fund_price_per_share"))
-TERM_SHEET = rules_for("term_sheet", ("fund_shares", "fund_price_per_share", "settlement_amount_received"))
+CAP_TABLE = line_rules("cap_table", ("fund_shares", "fund_price_per_share"))
+MEMO = line_rules("memo", ("concluded_fair_value_usd", "net_asset_value", "fund_holding_value", "fx_rate", "fx_rate_effective_date", "currency_pair"))
+IRREGULAR = line_rules("irregular", ("fund_shares", "settlement_amount_received", "fund_price_per_share"))
+TERM_SHEET = line_rules("term_sheet", ("fund_shares", "fund_price_per_share", "settlement_amount_received"))
 FAMILIES = {"purchase_agreement": PURCHASE_AGREEMENT, "cap_table": CAP_TABLE, "memo": MEMO, "irregular": IRREGULAR, "term_sheet": TERM_SHEET}
 
 
-def rule_frame(spark, *families: str) -> DataFrame:
-    rows = [r for f in (families or FAMILIES) for r in FAMILIES[f]]
-    return spark.createDataFrame(rows, "family string, field_name string, pattern string, value_group int")
+def rules_of(*families: str) -> tuple[Rule, ...]:
+    return tuple(r for f in (families or FAMILIES) for r in FAMILIES[f])
 
 
 def family_of() -> Column:

@@ -63,27 +63,54 @@ def answered(owed_cells: DataFrame, by_position: DataFrame, by_date: DataFrame)
         "answered", F.coalesce(F.col("met") == F.col("dimensions"), F.lit(False))).drop("met", "period_key")
 
 
-def missing_vocabulary(facts: DataFrame) -> DataFrame:
-    """COV-04: what a limb asks for that the ledger has no word for."""
-    spark = facts.sparkSession
+def limb_rows(spark, limbs=model.LIMBS) -> tuple[DataFrame, DataFrame]:
+    """Limbs and the values they ask for, from rows (key, paragraph, scope, branch, {dimension: values})."""
+    heads = spark.createDataFrame([(k, s, b, len(d)) for k, _, s, b, d in limbs], "limb string, scope string, branch string, dimensions int")
+    return heads, spark.createDataFrame([(k, n, v) for k, _, _, _, d in limbs for n, vs in d.items() for v in vs], "limb string, dimension string, value string")
+
+
+def vocabulary(facts: DataFrame) -> DataFrame:
+    """Every word the ledger can say: its closed vocabularies, and the fields that its facts use."""
     fixed = [("class", v) for v in model.SOURCE_CLASSES] + [("status", v) for v in model.EXECUTION_STATUSES]
     fixed += [("decision", v) for v in ("transcription", "valuation", "management_assessment", "packet", "basis_memo", "representativeness", "calibration")]
     fixed += [("consideration", v) for v in ("company_performance", "market_conditions", "impairment_indicators")]
-    known = F.broadcast(spark.createDataFrame(fixed, "dimension string, value string")).unionByName(
+    return F.broadcast(facts.sparkSession.createDataFrame(fixed, "dimension string, value string")).unionByName(
         facts.select(F.lit("field").alias("dimension"), F.col("field_name").alias("value")).distinct())
-    return model.limb_values(spark).join(known, ["dimension", "value"], "left_anti").groupBy("limb").agg(F.array_sort(F.collect_set("value")).alias("missing"))
 
 
-def indistinguishable(by_position: DataFrame) -> DataFrame:
-    """COV-05: limbs of one scope that the words present in the ledger cannot tell apart."""
-    spark = by_position.sparkSession
-    present = by_position.select("dimension", "value").distinct()
-    spoken = model.limb_values(spark).join(present, ["dimension", "value"], "left_semi").groupBy("limb").agg(
-        F.array_sort(F.collect_set(F.concat_ws("=", "dimension", "value"))).alias("predicate"))
-    grouped = model.limbs(spark).select("limb", "scope").join(spoken, "limb").groupBy("scope", "predicate").agg(F.array_sort(F.collect_set("limb")).alias("limbs"))
+def missing_vocabulary(facts: DataFrame, values: DataFrame | None = None) -> DataFrame:
+    """COV-04: what a limb asks for that the ledger has no word for."""
+    values = model.limb_values(facts.sparkSession) if values is None else values
+    return values.join(vocabulary(facts), ["dimension", "value"], "left_anti").groupBy("limb").agg(F.array_sort(F.collect_set("value")).alias("missing"))
+
+
+def indistinguishable(limbs: DataFrame, values: DataFrame) -> DataFrame:
+    """COV-05: limbs of one scope whose whole predicates are the same, so one record would answer all of them.
+
+    Predicates are compared as they are written, also in words that occur nowhere.
+    """
+    said = values.groupBy("limb").agg(F.array_sort(F.collect_set(F.concat_ws("=", "dimension", "value"))).alias("predicate"))
+    grouped = limbs.select("limb", "scope").join(said, "limb").groupBy("scope", "predicate").agg(F.array_sort(F.collect_set("limb")).alias("limbs"))
     return grouped.filter(F.size("limbs") > 1)
 
 
+def standing(result: DataFrame, limbs: DataFrame, values: DataFrame, facts: DataFrame) -> DataFrame:
+    """COV-04: what can be said of each limb: `not_expressible`, with the reasons; `unanswered`, though it could be answered; or a `census`.
+
+    ``result`` is what `answered` gives. A limb that nothing in the ledger could answer is no finding about the documents, so its
+    count of answers is not stated.
+    """
+    counts = result.groupBy("limb").agg(F.count("*").alias("owed"), F.count_if("answered").alias("answered"))
+    twins = indistinguishable(limbs, values).select("limbs", F.explode("limbs").alias("limb")).select("limb", F.array_remove("limbs", F.col("limb")).alias("twins"))
+    rows = limbs.select("limb").join(missing_vocabulary(facts, values), "limb", "left").join(twins, "limb", "left").join(counts, "limb", "left")
+    rows = rows.withColumn("owed", F.coalesce("owed", F.lit(0))).withColumn("answered", F.coalesce("answered", F.lit(0)))
+    reasons = F.array_compact(F.array(
+        F.when(F.col("missing").isNotNull(), F.concat(F.lit("no word for "), F.array_join("missing", ", "))),
+        F.when(F.col("twins").isNotNull(), F.concat(F.lit("asks the same as "), F.array_join("twins", ", ")))))
+    state = F.when(F.size(reasons) > 0, "not_expressible").when(F.col("answered") == 0, "unanswered").otherwise("census")
+    return rows.select("limb", state.alias("standing"), reasons.alias("reasons"), "owed", F.when(F.size(reasons) == 0, F.col("answered")).alias("answered"))
+
+
 def by_fund(result: DataFrame, holdings: DataFrame) -> DataFrame:
     """COV-06: answered and owed per limb and fund."""
     return result.join(holdings.select("holding_id", "fund_id"), "holding_id").groupBy("limb", "fund_id").agg(

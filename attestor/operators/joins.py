@@ -14,33 +14,60 @@ MONEY = "decimal(36,6)"
 
 
 def tranches(fr) -> DataFrame:
-    """Tranche rows of every sheet with their fund, flags and day range."""
-    return workbook.tranches(workbook.sheet_funds(fr["f_sheet"]), fr["f_breakdown"])
-
-
-def tranche_dates(fr) -> DataFrame:
-    """Every tranche against every packet year end; few dates, so the date side is a checked broadcast by Spark."""
-    dates = fr["f_period"].filter("audit_scope = 'packet'").select(F.col("period_date").alias("period_end")).distinct()
-    return tranches(fr).crossJoin(dates).withColumn("by_then", temporal.acquired_by(F.col("lo"), F.col("hi"), F.col("period_end")))
-
-
-def position_held(dated: DataFrame, keys: list[str]) -> DataFrame:
-    """FLT-04: was a position held, yes, no or cannot tell; decided by conditional aggregates in one pass."""
-    by, out = F.col("by_then"), F.col("is_exit")
-    zero = F.lit(0).cast("decimal(38,6)")
-    facts = dated.groupBy(*keys).agg(
-        F.bool_or(out & by.isNull()).alias("exit_unknown"),
-        F.bool_or(~out & F.coalesce(by, F.lit(False))).alias("bought"),
-        F.bool_or(~out & by.isNull()).alias("buy_unknown"),
-        F.bool_or(out & F.coalesce(by, F.lit(False))).alias("sold"),
-        F.bool_or(F.coalesce(by, F.lit(False)) & F.col("share_count").isNull()).alias("uncounted"),
-        F.coalesce(F.sum(F.when(out & by, F.col("share_count"))), zero).alias("sold_shares"),
-        F.coalesce(F.sum(F.when(~out & by, F.col("share_count"))), zero).alias("bought_shares"))
+    """Tranche rows of every sheet with their fund, flags and day range; stored once beside the ledger."""
+    return fr.kept("tranches", lambda: workbook.tranches(fr.kept("sheet_funds", lambda: workbook.sheet_funds(fr["f_sheet"])), fr["f_breakdown"]))
+
+
+def packet_dates(fr) -> DataFrame:
+    """fund (as the workbooks name it) and period_end of every packet."""
+    labels = fr["f_fund"].select("fund_id", S.fund_key(F.col("fund_label")).alias("fund"))
+    return fr["f_period"].filter("audit_scope = 'packet'").join(labels, "fund_id").select("fund", F.col("period_date").alias("period_end")).distinct()
+
+
+#: Running figures of a position: rows that surely are there, rows of which it is not known, shares of the sure ones.
+RUNNING = ("bought", "sold", "buy_unknown", "exit_unknown", "uncounted", "bought_shares", "sold_shares")
+
+
+def interval_events(rows: DataFrame) -> DataFrame:
+    """Each dated row as two events: from its first possible day it may be there, from its last it is.
+
+    Between the two days nobody can tell. A row without a first day may be there from the beginning, one without a last day
+    never surely is.
+    """
+    out = F.col("is_exit")
+    flag = lambda c: F.when(c, 1).otherwise(0).cast("long")
+    none, zero = F.lit(0).cast("long"), F.lit(0).cast("decimal(38,6)")
+    shares = F.coalesce(F.col("share_count"), zero).cast("decimal(38,6)")
+    figures = {
+        "bought": (none, flag(~out)), "sold": (none, flag(out)), "buy_unknown": (flag(~out), -flag(~out)), "exit_unknown": (flag(out), -flag(out)),
+        "uncounted": (none, flag(F.col("share_count").isNull())), "bought_shares": (zero, F.when(~out, shares).otherwise(zero)), "sold_shares": (zero, F.when(out, shares).otherwise(zero))}
+    first = F.when(F.col("lo").isNotNull(), F.least("lo", "hi")).otherwise(F.lit("0001-01-01").cast("date"))
+    events = F.array(*[F.struct(day.alias("day"), *[figures[name][n].alias(name) for name in RUNNING]) for n, day in enumerate((first, F.col("hi")))])
+    return rows.withColumn("_event", F.explode(events)).filter("_event.day IS NOT NULL").select(*rows.columns, "_event.*")
+
+
+def running_at(rows: DataFrame, keys: list[str], dates: DataFrame, on: str) -> DataFrame:
+    """The running figures of every key at the dates that ``dates`` (keys or some of them, ``on``) asks of it."""
+    shared = [k for k in keys if k in dates.columns]
+    asked = rows.select(*keys).distinct().join(dates.select(*shared, on).distinct(), shared)
+    return temporal.sums_at(interval_events(rows), keys, "day", list(RUNNING), asked, on)
+
+
+def position_held(figures: DataFrame, keys: list[str]) -> DataFrame:
+    """FLT-04: was a position held, yes, no or cannot tell, from its running figures at a date."""
     unknown = F.lit(None).cast("boolean")
-    return facts.select(*keys, F.when(F.col("exit_unknown"), unknown)
-                        .when(~F.col("bought"), F.when(F.col("buy_unknown"), unknown).otherwise(False))
-                        .when(~F.col("sold"), True).when(F.col("uncounted"), unknown)
-                        .otherwise(F.col("sold_shares") < F.col("bought_shares")).alias("held"))
+    return figures.select(*keys, F.when(F.col("exit_unknown") > 0, unknown)
+                          .when(F.col("bought") == 0, F.when(F.col("buy_unknown") > 0, unknown).otherwise(False))
+                          .when(F.col("sold") == 0, True).when(F.col("uncounted") > 0, unknown)
+                          .otherwise(F.col("sold_shares") < F.col("bought_shares")).alias("held"))
+
+
+def known_by(rows: DataFrame, dates: DataFrame, on: str) -> DataFrame:
+    """FLT-03: at each date, of how many rows it is sure that they were there, that they were not, and not known."""
+    figures = running_at(rows, ["fund"], dates, on)
+    every = rows.groupBy("fund").agg(F.count("*").alias("rows"))
+    yes, unknown = F.col("bought") + F.col("sold"), F.col("buy_unknown") + F.col("exit_unknown")
+    return figures.join(every, "fund").groupBy(on).agg(F.sum(yes).alias("yes"), F.sum(F.col("rows") - yes - unknown).alias("no"), F.sum(unknown).alias("unknown"))
 
 
 def held_during_reported_period(ledger: Ledger) -> DataFrame:

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from attestor.functions import scalars as S
+from attestor.operators import order, temporal
 
 
 def typed_note_cells(rows: DataFrame) -> DataFrame:
@@ -135,23 +136,17 @@ def realised_dates(tranches: DataFrame) -> DataFrame:
     return out.select("fund", "company", F.when(forced, F.col("exit_day")).alias("realized_date"), F.when(~forced, "no allocation method is stated").alias("refusal"))
 
 
-def acquisition_days(tranches: DataFrame, measured: list) -> DataFrame:
-    """MAP-10: an imprecise date takes its first day unless a measurement date falls inside the range.
-
-    ``measured`` is the list of packet dates, a dimension of the run.
-    """
-    dates = F.lit(measured) if measured else F.array().cast("array<date>")
-    inside = F.exists(dates, lambda d: (F.col("lo") <= d) & (d < F.col("hi")))
-    refusal = F.when(F.col("lo").isNull(), "the date cell names no date").when(F.col("acquired").isNull() & inside, "a measurement date falls inside the range")
-    return tranches.withColumn("date_refusal", refusal).withColumn("acquired_date", F.when(F.col("date_refusal").isNull(), F.coalesce("acquired", "lo")))
+def acquisition_days(tranches: DataFrame, dates: DataFrame) -> DataFrame:
+    """MAP-10: an imprecise date takes its first day unless a measurement date (``dates``: fund, period_end) falls inside the range."""
+    dated = temporal.first_on_or_after(tranches, "fund", "lo", dates, "period_end", "_next")
+    refusal = F.when(F.col("lo").isNull(), "the date cell names no date").when(F.col("acquired").isNull() & (F.col("_next") < F.col("hi")), "a measurement date falls inside the range")
+    return dated.withColumn("date_refusal", refusal).withColumn("acquired_date", F.when(F.col("date_refusal").isNull(), F.coalesce("acquired", "lo"))).drop("_next")
 
 
-def lots(tranches: DataFrame, classes: DataFrame, measured: list) -> DataFrame:
+def lots(tranches: DataFrame, classes: DataFrame, dates: DataFrame) -> DataFrame:
     """MAP-07: a lot per purchase with a usable date, numbered in sheet order within its position."""
-    from attestor.operators import temporal
-
-    purchases = acquisition_days(tranches.filter("is_investment"), measured)
-    numbered = temporal.numbered(purchases, ["fund", "company"], F.floor(F.col("row_no") / 1000), "row_no")
+    purchases = acquisition_days(tranches.filter("is_investment"), dates)
+    numbered = order.numbered(purchases, ["fund", "company"], ["row_no", "sheet_no"])
     classed = numbered.join(classes.select("sheet_no", "row_no", "security_class"), ["sheet_no", "row_no"], "left")
     sold = realised_dates(tranches).select("fund", "company", "realized_date")
     return classed.join(sold, ["fund", "company"], "left").filter("acquired_date IS NOT NULL").select(

@@ -44,3 +44,18 @@ def running(df: DataFrame, keys: list[str], order: list[str], value: str | None
 def numbered(df: DataFrame, keys: list[str], order: list[str], into: str = "ordinal") -> DataFrame:
     """The rows numbered from 1 within their key, in order."""
     return running(df, keys, order, None, into).withColumn(into, F.col(into) + 1)
+
+
+def carried(df: DataFrame, keys: list[str], order: list[str], value: str, into: str) -> DataFrame:
+    """The rows with the last ``value`` that is not null at or before them in their key; null before the first.
+
+    Within a range by a window; over range borders by each range's last value, one row a range and key.
+    """
+    dealt = ranges(df, keys, order)
+    up_to_here = Window.partitionBy("_range", *keys).orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    earlier = Window.partitionBy(*keys).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
+    ends = dealt.groupBy(*keys, "_range").agg(F.max_by(value, F.when(F.col(value).isNotNull(), F.struct(*order))).alias("_last"))
+    before = ends.withColumn("_carry", F.last("_last", ignorenulls=True).over(earlier)).where("_carry IS NOT NULL").select(*keys, "_range", "_carry")
+    filled = dealt.withColumn("_here", F.last(value, ignorenulls=True).over(up_to_here))
+    met = filled.alias("a").join(before.alias("b"), _same("a", "b", [*keys, "_range"]), "left")
+    return met.select(*[F.col(f"a.{c}") for c in df.columns], F.coalesce("a._here", "b._carry").alias(into))

@@ -261,23 +261,108 @@ def cover(assessment: Assessment) -> DataFrame:
 
 def evidence_documents(assessment: Assessment) -> DataFrame:
     """PKT-09: each document once per packet, however many claims cite it."""
-    claims = assessment.ledger.claim.select("holding_id", "document_no")
+    claims = assessment.ledger.claim.select("holding_id", "document_no").distinct()
     return assessment.members.select("fund_id", *KEY).join(claims, "holding_id").join(
         assessment.ledger.document.select("document_no", "document_id"), "document_no").select("fund_id", "period_id", "document_id").distinct()
 
 
+def evidence_bundle(assessment: Assessment) -> dict[str, DataFrame]:
+    """PKT-09: what stands behind the rows of every packet: claims, their facts, documents, and the decisions on the period.
+
+    A claim belongs to each packet its holding is a member of. Decisions are reached through the marks they bind, so one on an
+    older revision of the period's mark is in the bundle too; each tells how many assessments it binds.
+    """
+    ledger = assessment.ledger
+    members = assessment.members.select("fund_id", *KEY)
+    claims = members.join(ledger.claim.select("holding_id", "claim_id", "document_no", "source_class", "execution_status", "issued_date"), "holding_id")
+    facts = claims.select("fund_id", "period_id", "claim_id").join(ledger.fact.select("claim_id", "field_name", "value_text", "state", "quote", "span_start", "span_end"), "claim_id")
+    bound = ledger.decision_evidence.groupBy("decision_id").agg(F.count("*").alias("bound"))
+    decided = ledger.decision.select("decision_id", "decision_type", "status", "mark_id", "actor_id", "decided_at").join(bound, "decision_id", "left")
+    decisions = ledger.mark.select("mark_id", "fund_id", "period_id", "holding_id", "revision").join(decided, "mark_id").withColumn("bound", F.coalesce("bound", F.lit(0)))
+    return {"claim": claims, "fact": facts, "document": evidence_documents(assessment), "decision": decisions.join(assessment.periods.select("period_id"), "period_id", "left_semi")}
+
+
 def row_json(assessment: Assessment) -> DataFrame:
-    """PKT-10: a row and its computed conclusion as JSON; nulls are left out."""
+    """PKT-10: a row and its computed conclusion as JSON: its five assessments, what is unsupported and why, whether it is approved."""
+    requests = F.array(*[F.struct(F.lit(code).alias("requirement"), F.col(code.lower()).alias("verdict"), (F.col(code.lower()) != "not_applicable").alias("applicable")) for code in model.REQUESTS])
     return packet_rows(assessment).select(*KEY, F.to_json(F.struct(
-        F.col("approved"), F.col("held"), F.col("holding_id").alias("holding"), F.col("reported_amount").cast("string").alias("reported"), F.col("row_verdict"), F.col("supported"))).alias("json"))
+        F.col("approved"), requests.alias("assessments"), F.col("held"), F.col("holding_id").alias("holding"), F.col("reported_amount").cast("string").alias("reported"), F.col("row_verdict"),
+        F.col("supported"), F.map_from_entries(F.array_sort(F.map_entries("unsupported_reasons"))).alias("unsupported_reasons"))).alias("json"))
+
+
+def recomputation_json(assessment: Assessment, policy_version: str) -> DataFrame:
+    """PKT-10: beside a row, never inside it, what the same evidence derives; rows that could not be recomputed have their entry too.
+
+    A difference is null, not zero, where either side is absent. The lots behind a figure are rows of `validators.lot_lineage`.
+    """
+    told = F.struct(
+        F.col("derived").cast("string").alias("derived"), F.col("difference").cast("string").alias("difference"), F.col("holding_id").alias("holding"), F.col("outcome"),
+        F.lit(policy_version).alias("policy_version"), F.col("reason"), F.col("reported").cast("string").alias("reported"))
+    return recomputations(assessment).select("fund_id", *KEY, F.to_json(told, {"ignoreNullFields": "false"}).alias("json"))
+
 
+def total_json(kind: str, amount: str, unsupported: str, counts: dict[str, str]) -> Column:
+    """A total with what it is a total of and how much of it is unsupported; figures are text, so no reader rounds them."""
+    fields = [F.lit(kind).alias("kind"), F.col(amount).cast("string").alias("amount"), F.col(unsupported).cast("string").alias("unsupported_amount"),
+              *[F.col(column).alias(name) for name, column in counts.items()], (F.col(counts["unsupported_positions"]) > 0).alias("contains_unsupported_inputs")]
+    return F.to_json(F.struct(*fields), {"ignoreNullFields": "false"})
 
-def row_payload(assessment: Assessment) -> DataFrame:
-    """PKT-12: what a restatement may draw on: verdict, reasons and the steps somebody must still take."""
-    arises = assessment.outcomes.filter("verdict <> 'not_applicable'")
-    empty_to_null = lambda c: F.when(F.size(c) > 0, F.col(c))
-    return arises.select(*KEY, "requirement", F.to_json(F.struct(
-        empty_to_null("next_actions").alias("not_yet_done"), empty_to_null("reasons").alias("reasons"), F.col("verdict"))).alias("payload"))
+
+def totals_json(assessment: Assessment) -> DataFrame:
+    """PKT-10/PKT-15: the two totals of each packet as JSON, the reported one and the approved one."""
+    rows, key = packet_rows(assessment), ["fund_id", "period_id"]
+    held, approved = totals.held_totals(rows, key), totals.approved_totals(rows, key)
+    counts = {"unsupported_positions": "unsupported_positions", "packet_gap_positions": "packet_gap_positions"}
+    return held.select(*key, total_json("held_at_date_reported", "amount", "unsupported_amount", counts).alias("held_total")).join(
+        approved.select(*key, total_json("approved", "approved_amount", "unsupported_amount", {"unsupported_positions": "unsupported_positions"}).alias("approved_total")), key)
+
+
+# What the codes mean, in this house's words; a house with other words passes its own.
+GLOSSARY = {
+    "R1": "The position exists and cost what is recorded.", "R2": "The reported value has support at the date.", "R3": "An unchanged mark was looked at again.",
+    "R4": "What a sale brought in is evidenced.", "R5": "Figures that anticipate an event are marked as such.",
+    "sufficient": "The documents answer the request.", "partial": "The documents answer a part of the request.", "insufficient": "The documents do not carry the value.",
+    "missing": "No document answers the request.", "conflicting": "Documents contradict each other.", "not_applicable": "The request does not arise here.",
+}
+
+
+def row_payload(assessment: Assessment, glossary: dict[str, str] | None = None) -> DataFrame:
+    """PKT-12: what a restatement may draw on: verdict and request with their meaning, reasons, steps still owed, evidence.
+
+    An absent fact has no key, so there is nothing to narrate about it; an id stands under a name that says it is one where no
+    name is known. A reason's meaning that speaks of another verdict than the row's is left out, its code stays. Evidence is
+    told by kind of document with the number and the first and last day, so a payload does not grow with the claims.
+    """
+    glossary = GLOSSARY if glossary is None else glossary
+    known = F.create_map(*[F.lit(x) for pair in glossary.items() for x in pair]) if glossary else F.create_map().cast("map<string,string>")
+    empty_to_null = lambda c: F.when(F.size(c) > 0, c)
+    foreign = [(v, F.lit(rf"(?i)(?<!in)\b{v.replace('_', ' ')}")) for v in model.VERDICTS]
+
+    def reason(code: Column) -> Column:
+        meaning = known[code]
+        other = F.lit(False)
+        for verdict, word in foreign:
+            other = other | ((F.col("verdict") != verdict) & F.coalesce(F.regexp_like(meaning, word), F.lit(False)))
+        return F.struct(code.alias("code"), F.when(~other, meaning).alias("meaning"))
+
+    from attestor.operators.rules import links
+
+    step = lambda code: F.struct(code.alias("code"), known[code].alias("meaning"))
+    names = assessment.ledger.holding.select("holding_id", "company_name")
+    documents = assessment.ledger.claim.select("claim_id", "source_class", "execution_status", "issued_date")
+    kinds = links(assessment).select(*KEY, "requirement", "claim_id").join(documents, "claim_id").groupBy(*KEY, "requirement", "source_class", "execution_status").agg(
+        F.count("*").alias("claims"), F.min("issued_date").cast("string").alias("first_issued"), F.max("issued_date").cast("string").alias("last_issued"))
+    # At most one row a pair of closed vocabularies here.
+    evidence = kinds.groupBy(*KEY, "requirement").agg(F.array_sort(F.collect_list(F.struct(
+        "source_class", F.when(F.col("execution_status") != "not_applicable", F.col("execution_status")).alias("execution_status"), "claims", "first_issued", "last_issued"))).alias("evidence"))
+    owing = assessment.outcomes.filter(F.size("next_actions") > 0).groupBy(*KEY).agg(F.array_sort(F.collect_set("requirement")).alias("owing"))
+    arises = assessment.outcomes.filter("verdict <> 'not_applicable'").join(names, "holding_id").join(assessment.periods.select("period_id", "period_date"), "period_id")
+    rows = arises.join(evidence, [*KEY, "requirement"], "left").join(owing, KEY, "left")
+    others = F.array_remove(F.coalesce("owing", F.array().cast("array<string>")), F.col("requirement"))
+    return rows.select(*KEY, "requirement", F.to_json(F.struct(
+        F.coalesce("company_name", F.concat(F.lit("no name on file, its id is "), "holding_id")).alias("company"), F.col("evidence"), F.col("period_date").cast("string").alias("measurement_date"),
+        empty_to_null(F.transform("next_actions", step)).alias("not_yet_done"), empty_to_null(others).alias("other_requests_with_open_steps"), empty_to_null(F.transform("reasons", reason)).alias("reasons"),
+        F.col("requirement").alias("request"), known[F.col("requirement")].alias("request_means"), F.col("verdict"), known[F.col("verdict")].alias("verdict_means"))).alias("payload"))
 
 
 def holding_file(assessment: Assessment, holding_id: str) -> DataFrame:

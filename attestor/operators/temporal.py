@@ -113,22 +113,6 @@ def latest_support(support: DataFrame, dates: DataFrame) -> DataFrame:
     return met.groupBy("holding_id", "period_id", "component").agg(F.max("supported_on").alias("latest_support"))
 
 
-def numbered(df: DataFrame, keys: list[str], slice_by: Column, *order: str) -> DataFrame:
-    """WIN-11: 1..n within a key, in order, without sorting a whole key in one task.
-
-    ``slice_by`` is a coarse prefix of the order (a month, a range). Rows are numbered inside a slice and the
-    slices of a key are offset by the counts of the slices before them.
-    """
-    cut = df.withColumn("slice", slice_by)
-    inside = Window.partitionBy(*keys, "slice").orderBy(*order)
-    before = Window.partitionBy(*keys).orderBy("slice").rowsBetween(Window.unboundedPreceding, -1)
-    counts = cut.groupBy(*keys, "slice").agg(F.count("*").alias("in_slice")).withColumn(
-        "offset", F.coalesce(F.sum("in_slice").over(before), F.lit(0)))
-    ranked = cut.withColumn("local", F.row_number().over(inside))
-    return ranked.join(counts.select(*keys, "slice", "offset"), [*keys, "slice"]).withColumn(
-        "ordinal", F.col("local") + F.col("offset")).drop("local", "offset", "slice")
-
-
 def latest_candidates(lots: DataFrame, keys: list[str]) -> DataFrame:
     """WIN-06/07: which lots could be the most recent, and which definitely follow another.
 
@@ -161,3 +145,30 @@ def as_of_latest(left: DataFrame, right: DataFrame, key: str, on: str, day: str,
         .groupBy(key, on).agg(F.max_by(F.struct(*carry), F.struct(day, tie)).alias("row")).select(key, on, "row.*")
     )
     return left.join(found, [key, on], "left")
+
+
+def first_on_or_after(rows: DataFrame, key: str, day: str, dates: DataFrame, on: str, into: str) -> DataFrame:
+    """The rows with the first date of their key (``dates``: key, ``on``) that is not before their day; null when there is none.
+
+    Days are taken once per key, so a window holds the distinct days of a key and never its rows.
+    """
+    days = rows.select(key, F.col(day).alias("_day")).filter("_day IS NOT NULL").distinct()
+    both = days.withColumn("_date", F.lit(None).cast("date")).unionByName(dates.select(key, F.col(on).alias("_day"), F.col(on).alias("_date")).distinct())
+    from_here = Window.partitionBy(key).orderBy("_day").rangeBetween(Window.currentRow, Window.unboundedFollowing)
+    found = both.withColumn(into, F.min("_date").over(from_here)).filter("_date IS NULL").select(F.col(key).alias("_key"), F.col("_day"), into)
+    return rows.join(found, (F.col(key) == F.col("_key")) & (F.col(day) == F.col("_day")), "left").drop("_key", "_day")
+
+
+def sums_at(events: DataFrame, keys: list[str], day: str, values: list[str], asked: DataFrame, on: str) -> DataFrame:
+    """Running sums of events by key, read at the dates ``asked`` (keys, ``on``): events of the day itself count.
+
+    Events are added up by key and day before anything is put in order, so a key costs its distinct days and its dates, and no
+    event meets a date.
+    """
+    daily = events.groupBy(*keys, F.col(day).alias("_day")).agg(*[F.sum(v).alias(v) for v in values])
+    wanted = asked.select(*keys, F.col(on).alias("_day")).distinct()
+    both = daily.withColumn("_asked", F.lit(False)).unionByName(wanted.withColumn("_asked", F.lit(True)), allowMissingColumns=True)
+    # False is before true.
+    up_to = Window.partitionBy(*keys).orderBy("_day", "_asked").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    summed = both.select(*keys, F.col("_day").alias(on), "_asked", *[F.coalesce(F.sum(v).over(up_to), F.lit(0)).alias(v) for v in values])
+    return summed.filter("_asked").drop("_asked")

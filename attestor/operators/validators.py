@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from attestor import model
 from attestor.functions import scalars as S
+from attestor.operators import temporal
 
 
 def stated_values(facts: DataFrame) -> DataFrame:
@@ -274,8 +275,6 @@ def quoted_value(assessment) -> DataFrame:
 
 def realisations(assessment) -> DataFrame:
     """VAL-10: every lot realised by a packet date, priced by its latest covering claim."""
-    from attestor.operators import temporal
-
     ledger = assessment.ledger
     exits = temporal.class_at_realisation(ledger.lot, ledger.conversion).select("lot_id", "holding_id", "realized_date", "exit_class", "exit_shares")
     dated = exits.join(ledger.holding.select("holding_id", "fund_id"), "holding_id").join(
@@ -307,17 +306,34 @@ def basis_checks(assessment) -> DataFrame:
         *KEY, "reported_amount", "cost", "last_round", (F.col("last_round") - F.col("cost")).cast(MONEY).alias("variance"))
 
 
-def concluded_values(assessment) -> DataFrame:
-    """VAL-15: the concluded value of a document is authoritative; the reported mark must equal it."""
+def foreign_amounts(lots: DataFrame, foreign: DataFrame, asked: DataFrame, on: str) -> DataFrame:
+    """What positions held at dates (``asked``: holding_id, ``on``) are stated to be worth in their own currency.
+
+    ``foreign``: lot_id, foreign_amount. Null where a held lot states no such amount, or no lot is held.
+    """
+    stated = lots.select("lot_id", "holding_id", "acquired_date", "realized_date").join(foreign, "lot_id", "left")
+    change = lambda day, sign: F.struct(
+        day.alias("day"), (F.lit(sign) * F.coalesce("foreign_amount", F.lit(0))).cast("decimal(24,4)").alias("amount"),
+        F.lit(sign).cast("long").alias("lots"), (F.lit(sign) * F.col("foreign_amount").isNull().cast("long")).cast("long").alias("unstated"))
+    events = stated.select("holding_id", F.explode(F.array(change(F.col("acquired_date"), 1), change(F.col("realized_date"), -1))).alias("e")).select("holding_id", "e.*").filter("day IS NOT NULL")
+    sums = temporal.sums_at(events, ["holding_id"], "day", ["amount", "lots", "unstated"], asked, on)
+    return sums.select("holding_id", on, F.when((F.col("lots") > 0) & (F.col("unstated") == 0), F.col("amount").cast("decimal(20,4)")).alias("foreign_amount"))
+
+
+def concluded_values(assessment, foreign: DataFrame) -> DataFrame:
+    """VAL-15: the concluded value of a document is authoritative; the mark reported at its own date must equal it.
+
+    The document's date is taken as it stands: a document of a day that is no measurement date of the fund has no mark to equal.
+    The recomputation is a cross-check from the position's own stated foreign amount, and corrects nothing.
+    """
     ledger = assessment.ledger
     concluded = ledger.fact.filter("field_name = 'concluded_fair_value_usd'").select("claim_id", F.col("value_numeric").alias("concluded"))
     rates = ledger.fact.filter("field_name = 'fx_rate'").select("claim_id", F.col("value_numeric").alias("rate"))
-    claims = ledger.claim.select("claim_id", "holding_id", "fund_id", "applicable_from").join(concluded, "claim_id").join(rates, "claim_id", "left")
-    foreign = ledger.lot.groupBy("holding_id").agg(F.min_by("cost_amount", "lot_id").alias("foreign_amount"))
+    claims = ledger.claim.select("claim_id", "holding_id", F.col("applicable_from").alias("period_date")).join(concluded, "claim_id").join(rates, "claim_id", "left")
+    amounts = foreign_amounts(ledger.lot, foreign, claims.select("holding_id", "period_date"), "period_date")
     recomputed = (F.col("foreign_amount").cast("decimal(20,4)") * F.col("rate").cast("decimal(16,6)")).cast("decimal(30,6)")
-    at_close = F.expr("make_date(year(applicable_from), 12, 31)")
-    marks = assessment.members.filter("mark_id IS NOT NULL").select("holding_id", "period_date", "reported_amount")
-    rows = claims.join(foreign, "holding_id", "left").withColumn("recomputed", recomputed).withColumn("period_date", at_close)
+    marks = temporal.latest(ledger.mark.select("holding_id", "period_date", "revision", "reported_amount"), ["holding_id", "period_date"], "revision").drop("revision")
+    rows = claims.join(amounts, ["holding_id", "period_date"], "left").withColumn("recomputed", recomputed)
     return rows.join(marks, ["holding_id", "period_date"], "left").select(
         "claim_id", F.col("concluded").cast("decimal(26,6)").alias("concluded"), "reported_amount", "recomputed",
         (F.col("concluded") - F.col("recomputed")).cast("decimal(32,6)").alias("variance"),

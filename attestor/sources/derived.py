@@ -10,6 +10,7 @@ from __future__ import annotations
 import hashlib
 import re
 import threading
+from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -257,6 +258,30 @@ UNION ALL SELECT holding_id, period_id, mark_id || '+' AS mark_id, revision + 1
     "f_declared": """
 SELECT 'period' AS table_name, count(*) AS declared FROM {f_period} UNION ALL SELECT 'lot' AS table_name, count(*) + 1 AS declared FROM {f_lot}
 UNION ALL SELECT 'claim' AS table_name, count(*) AS declared FROM {f_claim}""",
+    "f_foreign": """
+SELECT l.lot_id, CAST(CASE WHEN l.order_key % 19 = 0 THEN NULL ELSE l.cost_amount * 2 END AS DECIMAL(20,4)) AS foreign_amount FROM {f_lot} AS l JOIN {f_holding} AS h ON h.holding_id = l.holding_id WHERE h.position_type = 'fx_denominated_interest'""",
+    "f_memo_claim": """
+SELECT claim_id, CASE WHEN part_key % 5 <> 4 THEN make_date(CAST(year(applicable_from) AS INT), 12, 31) ELSE applicable_from END AS valued_on FROM {f_claim}""",
+    # Second copies of whole frames, with faults: keys, hashes and dates that were changed, never rows left out.
+    "f_stored_reliance": """
+SELECT CASE WHEN CAST(substr(holding_id, 2) AS INT) % 50 = 1 THEN claim_id || '~' ELSE claim_id END AS claim_id, holding_id, requirement FROM {f_claim_requirement}""",
+    "f_declared_reliance": """
+SELECT claim_id, holding_id, CASE WHEN CAST(substr(holding_id, 2) AS INT) % 50 = 2 AND requirement = 'R1' THEN 'R3' ELSE requirement END AS requirement FROM {f_claim_requirement}""",
+    "f_stored_document": """
+SELECT CASE WHEN document_no % 2 = 1 THEN 'x' || document_id ELSE document_id END AS document_id, document_no, canonical_text || CASE WHEN document_no % 7 = 0 THEN '!' ELSE '' END AS canonical_text FROM {f_document}""",
+    "f_moved_mark": """
+SELECT mark_id, holding_id, CASE WHEN cust_key % 70 = 2 THEN period_id || '~' ELSE period_id END AS period_id FROM {f_mark}""",
+    "f_recorded_component": """
+SELECT CASE WHEN CAST(substr(holding_id, 2) AS INT) % 40 = 3 AND component = 'valuation' THEN holding_id || '~' ELSE holding_id END AS holding_id, component FROM {f_component}""",
+    "f_expected": """
+SELECT CASE WHEN part_key % 23 = 5 THEN claim_id || '~' ELSE claim_id END AS claim_id, field_name, value_text AS expected, 'see  ' || quote || ' there' AS passage,
+       CASE WHEN part_key % 13 = 6 THEN field_name || ' zzz' WHEN part_key % 17 = 3 THEN 'is' END AS distractor, part_key % 43 = 8 AS absent FROM {f_fact_raw}""",
+    "f_cited": """
+SELECT CASE WHEN part_key % 19 = 4 THEN claim_id || '^' ELSE claim_id END AS claim_id, field_name, value_text, quote FROM {f_fact}""",
+    "f_recorded_text": """
+SELECT claim_id, canonical_text || CASE WHEN CAST(substr(holding_id, 2) AS INT) % 4 = 1 THEN ' ' ELSE '' END AS canonical_text FROM {f_statement}""",
+    "f_ruling": """
+SELECT DISTINCT r.requirement, c.source_class, c.execution_status, c.position_type FROM {f_claim} AS c JOIN {f_claim_requirement} AS r ON r.claim_id = c.claim_id WHERE c.cust_key % 29 = 5""",
     "f_restatement": """
 SELECT assessment_id, verdict, CASE WHEN verdict = 'missing' THEN 'nothing on file' ELSE 'on this row' END AS verdict_label, payload, outstanding,
        CASE cust_key % 11 WHEN 0 THEN ' ' || chr(10) || chr(9) WHEN 1 THEN 'The finding is ' || replace(verdict, '_', ' ') || '. ' || repeat('Nothing more is said. ', 70)
@@ -386,14 +411,22 @@ class DerivedFrames:
 
     def store(self, df: DataFrame, name: str) -> DataFrame:
         """A frame computed from this ledger, written once per application beside it and read back."""
+        return self.spark.read.schema(df.schema).parquet(self.written(name, df.write.parquet))
+
+    def kept(self, name: str, build: Callable[[], DataFrame]) -> DataFrame:
+        """As `store`, but the frame is only built where it is not stored yet."""
+        return self.spark.read.parquet(self.written(name, lambda path: build().write.parquet(path)))
+
+    def written(self, name: str, write: Callable[[str], None]) -> str:
+        """The folder of something that belongs to this ledger, written once per application."""
         key = (self.spark.sparkContext.applicationId, self.folder, f"run/{name}")
         with _staging:
             if key not in _staged:
                 where = hashlib.sha256(self.folder.encode()).hexdigest()[:12]
                 path = f"{shared_folder(self.spark)}/ledger-{key[0]}-{where}/run/{name}"
-                df.write.parquet(path)
+                write(path)
                 _staged[key] = path
-        return self.spark.read.schema(df.schema).parquet(_staged[key])
+        return _staged[key]
 
     def _table(self, name: str) -> str:
         key = (self.spark.sparkContext.applicationId, self.folder, name)

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -81,3 +81,15 @@ def from_derived(fr: DerivedFrames) -> Ledger:
         mark=fr["f_mark"], claim=claim, fact=fr["f_fact"], gap=fr["f_gap"], component=fr["f_component"], support=fr["f_support"],
         decision=fr["f_decision"], decision_evidence=fr["f_decision_evidence"], policy_decision=fr["f_policy_decision"], document=fr["f_document"],
     )
+
+
+#: Frames of a ledger that name the holding of every row.
+BY_HOLDING = ("holding", "lot", "mark", "claim", "fact", "gap", "component", "support", "decision", "policy_decision")
+
+
+def of_holdings(ledger: Ledger, holdings: DataFrame) -> Ledger:
+    """The ledger's rows of some holdings (holding_id, each once); dates, funds and documents stay whole."""
+    kept = {name: getattr(ledger, name).join(holdings, "holding_id", "left_semi") for name in BY_HOLDING}
+    kept["conversion"] = ledger.conversion.join(kept["lot"].select("lot_id"), "lot_id", "left_semi")
+    kept["decision_evidence"] = ledger.decision_evidence.join(kept["decision"].select("decision_id"), "decision_id", "left_semi")
+    return replace(ledger, **kept)

@@ -4,7 +4,8 @@ from __future__ import annotations
 
 import uuid
 
-from pyspark.sql import Column, DataFrame
+from pyspark.errors import AnalysisException
+from pyspark.sql import Column, DataFrame, Row
 from pyspark.sql import functions as F
 
 from attestor.session import shared_folder
@@ -78,13 +79,14 @@ def path_plan(rows: DataFrame, within: list[str], name: str, key: str) -> DataFr
 def evidence_folders(members: DataFrame, documents: DataFrame, name: str, slices: int = 8) -> str:
     """SNK-05: one folder per position; a position without documents gets a note saying so.
 
-    ``slices`` bounds the files per folder and lets a position with very many documents be written by several tasks.
+    ``members``: holding_id and the folder that the path plan gives it. ``slices`` bounds the files per folder and lets a
+    position with very many documents be written by several tasks.
     """
     full = members.join(documents, "holding_id", "left").withColumn(
         "note", F.when(F.col("document_id").isNull(), "no document of this position is on file"))
     path = staging_path(members.sparkSession, f"evidence-{name}")
     spread = F.pmod(F.xxhash64(F.coalesce("document_id", F.lit(""))), F.lit(slices))
-    full.repartition(F.col("holding_id"), spread).write.partitionBy("folder").parquet(path)
+    full.repartition(F.col("folder"), spread).sortWithinPartitions("folder").write.partitionBy("folder").parquet(path)
     return path
 
 
@@ -107,52 +109,79 @@ def table_digest(df: DataFrame, keys: list[str]) -> DataFrame:
     return df.withColumn("_row", row_hash(sorted(c for c in df.columns if c not in keys))).groupBy(*keys).agg(F.count("*").alias("rows"), hash_sum("_row").alias("digest"))
 
 
-def file_hashes(spark, path: str) -> DataFrame:
-    """Hash of every file under a path, read as bytes by the executors."""
-    return spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path).select("path", F.sha2("content", 256).alias("content_hash"))
-
-
-def verify_manifest(manifest: DataFrame, found: DataFrame) -> DataFrame:
-    """SNK-10: files missing, unlisted or changed, one row per problem."""
-    both = manifest.select("path", F.col("content_hash").alias("stated")).join(found.select("path", F.col("content_hash").alias("read")), "path", "full")
-    problem = F.when(F.col("read").isNull(), "file_missing").when(F.col("stated").isNull(), "file_not_listed").when(F.col("read") != F.col("stated"), "hash_differs")
-    return both.withColumn("problem", problem).filter("problem IS NOT NULL").select("path", "problem")
-
-
 def ordinals(manifest: DataFrame) -> DataFrame:
     """Manifest ordinals must be 1..n per packet."""
     return manifest.groupBy("packet_id").agg(F.count("*").alias("entries"), F.min("ordinal").alias("low"), F.max("ordinal").alias("high"), F.countDistinct("ordinal").alias("distinct")).withColumn(
         "contiguous", (F.col("low") == 1) & (F.col("high") == F.col("entries")) & (F.col("distinct") == F.col("entries")))
 
 
-def company_slice(manifest: DataFrame, holding_id: str) -> DataFrame:
-    """SNK-11: every entry is either in the slice of one company or withheld; nothing falls between."""
-    mine = F.contains(F.col("path"), F.lit(f"/{holding_id}."))
-    return manifest.withColumn("part", F.when(mine, "present").otherwise("withheld"))
+def company_slice(entries: DataFrame, plan: DataFrame, holding_id: str) -> DataFrame:
+    """SNK-11: every entry is in the folder of one company or withheld; nothing falls between.
+
+    ``plan`` is the packet's path plan (packet_id, holding_id, directory); an entry is a company's if its path lies in that
+    company's folder, so a company whose name begins another's is not taken for it.
+    """
+    mine = plan.filter(F.col("holding_id") == holding_id).select("packet_id", "directory")
+    inside = F.startswith(F.col("path"), F.concat(F.col("directory"), F.lit("/")))
+    return entries.join(mine, "packet_id", "left").withColumn("part", F.when(F.coalesce(inside, F.lit(False)), "present").otherwise("withheld"))
+
+
+def scope_note(sliced: DataFrame) -> DataFrame:
+    """What a slice is and is not, from its own counts, per packet."""
+    counted = sliced.groupBy("packet_id", "directory").agg(F.count_if(F.col("part") == "present").alias("present"), F.count_if(F.col("part") == "withheld").alias("withheld"))
+    said = F.concat(F.lit("This is part of packet "), "packet_id", F.lit(": "), F.col("present").cast("string"), F.lit(" of its "), (F.col("present") + F.col("withheld")).cast("string"),
+                    F.lit(" files, those in "), F.coalesce("directory", F.lit("no folder")), F.lit(". The other "), F.col("withheld").cast("string"),
+                    F.lit(" are withheld, not absent; no total of the packet can be checked from this part."))
+    return counted.withColumn("note", said)
 
 
-def publish(spark, tables: dict[str, DataFrame], checks: dict[str, DataFrame], target: str) -> str:
-    """SNK-07: write every table to staging, run every check on what was written, and only then move it into place.
+def publish(spark, tables: dict[str, DataFrame], checks: dict[str, DataFrame], target: str) -> int:
+    """SNK-07: write every table to a folder of this version, run every check on what was written, and only then commit.
 
-    ``checks`` take the staged path's tables by name and must come back empty; one that does not publishes nothing.
-    The move is a rename inside the shared folder, which the file system does at once.
+    ``checks`` take the written tables by name and must come back empty; one that does not commits nothing. A commit is a
+    record (version, folder, tables, token) appended below the target; nothing is moved or overwritten, so it needs no rename that
+    an object store does not have. Readers follow the latest record: a run that fails, or dies between writing and
+    committing, leaves them the version they had. Of two writers that commit one version, the lesser token counts.
     """
-    staging = staging_path(spark, "packet")
+    version = (committed(spark, target).agg(F.max("version")).first()[0] or 0) + 1
+    token = uuid.uuid4().hex
+    folder = f"versions/{version}-{token}"
     for name, df in tables.items():
-        df.write.parquet(f"{staging}/{name}")
-    staged = {name: spark.read.schema(df.schema).parquet(f"{staging}/{name}") for name, df in tables.items()}
-    failed = [name for name, check in checks.items() if not check(staged).isEmpty()]
+        df.write.parquet(f"{target}/{folder}/{name}")
+    written = {name: spark.read.schema(df.schema).parquet(f"{target}/{folder}/{name}") for name, df in tables.items()}
+    failed = [name for name, check in checks.items() if not check(written).isEmpty()]
     if failed:
         raise ValueError(f"not published, failing checks: {', '.join(sorted(failed))}")
-    jvm = spark.sparkContext._jvm
-    source, goal = jvm.org.apache.hadoop.fs.Path(staging), jvm.org.apache.hadoop.fs.Path(target)
-    system = goal.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-    if system.exists(goal):
-        raise ValueError(f"{target} is already published; a further export is a new version")
-    system.mkdirs(goal.getParent())
-    if not system.rename(source, goal):
-        raise ValueError(f"could not move {staging} to {target}")
-    return target
+    record = spark.range(1).select(F.lit(version).alias("version"), F.lit(folder).alias("folder"), F.array(*map(F.lit, sorted(tables))).alias("tables"), F.lit(token).alias("token"))
+    record.coalesce(1).write.mode("append").parquet(f"{target}/commits")
+    if published(spark, target).folder != folder:
+        raise ValueError(f"version {version} of {target} was committed by another writer")
+    return version
+
+
+def committed(spark, target: str) -> DataFrame:
+    """The commit records below a target, one for each version; none where nothing was ever committed."""
+    schema = "version int, folder string, tables array<string>, token string"
+    try:
+        records = spark.read.schema(schema).parquet(f"{target}/commits")
+    except AnalysisException as error:
+        if error.getCondition() != "PATH_NOT_FOUND":
+            raise
+        records = spark.createDataFrame([], schema)
+    return records.groupBy("version").agg(F.min(F.struct("token", "folder", "tables")).alias("first")).select("version", "first.folder", "first.tables", "first.token")
+
+
+def published(spark, target: str, version: int | None = None) -> Row:
+    """The record of the latest version (or of one version) and, by ``read_published``, its tables."""
+    records = committed(spark, target)
+    found = (records if version is None else records.filter(F.col("version") == version)).orderBy(F.desc("version")).head()
+    if found is None:
+        raise ValueError(f"nothing is published at {target}" if version is None else f"{target} has no version {version}")
+    return found
+
+
+def read_published(spark, target: str, table: str, schema, version: int | None = None) -> DataFrame:
+    return spark.read.schema(schema).parquet(f"{target}/{published(spark, target, version).folder}/{table}")
 
 
 def differing_claims(declared: DataFrame, stored: DataFrame) -> DataFrame:

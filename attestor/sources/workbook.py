@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from attestor.functions import scalars as S
+from attestor.operators import order
 
 # First words of rows that are no holding (fixed values); the name of the house that keeps the sheet comes on top.
 NOT_A_HOLDING = ("Internal", "TOTAL", "Marks", "Case study", "Fund I positions")
@@ -35,18 +36,18 @@ def unpivot_grid(grid: DataFrame) -> DataFrame:
     )
 
 
-def sheet_funds(sheets: DataFrame) -> DataFrame:
-    """SRC-04: a divider title ends with >> and gives its fund to every sheet up to the next divider.
+def sheet_funds(sheets: DataFrame, workbook: str | None = None) -> DataFrame:
+    """SRC-04: a divider title ends with >> and gives its fund to every sheet up to the next divider of its workbook.
 
-    Dividers are few, so only they are put in sequence; the sheets meet their divider by a range join.
+    Sheets and dividers are one sequence, in which the last divider is carried on; without a ``workbook`` column all sheets
+    are of one workbook.
     """
+    key = workbook or "_workbook"
+    told = sheets.select(*([workbook] if workbook else [F.lit(0).alias(key)]), "sheet_no", "title")
     is_divider = F.rtrim("title").endswith(">>")
-    in_order = Window.orderBy("sheet_no")
-    dividers = sheets.filter(is_divider).select(
-        F.col("sheet_no").alias("opens"), F.trim(F.regexp_replace(F.rtrim("title"), ">>$", "")).alias("fund"),
-        F.lead("sheet_no").over(in_order).alias("closes"))
-    inside = (F.col("sheet_no") > F.col("opens")) & (F.col("closes").isNull() | (F.col("sheet_no") < F.col("closes")))
-    return sheets.filter(~is_divider).join(dividers, inside, "left").select("sheet_no", "title", "fund")
+    marked = told.withColumn("_divider", F.when(is_divider, F.trim(F.regexp_replace(F.rtrim("title"), ">>$", ""))))
+    carried = order.carried(marked, [key], ["sheet_no"], "_divider", "fund").filter("_divider IS NULL")
+    return carried.select(*([workbook] if workbook else []), "sheet_no", "title", "fund")
 
 
 def tranches(sheets: DataFrame, rows: DataFrame) -> DataFrame:

@@ -107,7 +107,7 @@ FROM {f_claim} AS c JOIN {f_fact} AS f ON f.claim_id = c.claim_id WHERE c.positi
 LIBRARY["o_observed"] = """
 SELECT 'EUR' AS base, 'USD' AS quote, CAST(rate AS DECIMAL(18,8)) AS rate, stated_for AS effective_for, CASE WHEN part_key % 6 = 0 THEN stated_for - 1 ELSE stated_for END AS observed_date,
  claim_id AS source_claim_id, CASE WHEN part_key % 11 = 0 THEN '' ELSE 'doc' END AS source_document_id
-FROM {o_fx} JOIN (SELECT claim_id, part_key FROM {f_claim}) USING (claim_id) WHERE has_rate AND stated_for IS NOT NULL AND part_key % 4 = 1"""
+FROM {o_fx} JOIN (SELECT claim_id, part_key FROM {f_claim}) USING (claim_id) WHERE has_rate AND stated_for IS NOT NULL"""
 
 
 @query("val_06", """SELECT h.holding_id, h.period_id, CASE WHEN x.n IS NOT NULL THEN 'blocked_incomplete' ELSE 'fail' END AS outcome, CASE WHEN x.n IS NOT NULL THEN 'FX_RATE_NOT_IN_LEDGER' ELSE 'unsupported_missing_fx' END AS reason
@@ -128,7 +128,7 @@ def val_06_observed(fr):
     text = fr["f_fact"].groupBy("claim_id", "part_key").agg(
         F.max(F.when(F.col("field_name") == "fx_rate", F.col("value_numeric"))).cast("decimal(18,8)").alias("rate"),
         F.max(F.when(F.col("field_name") == "fx_rate_effective_date", F.col("value_text"))).try_cast("date").alias("effective_for"))
-    observed = text.filter("rate IS NOT NULL AND effective_for IS NOT NULL AND part_key % 4 = 1").select(
+    observed = text.filter("rate IS NOT NULL AND effective_for IS NOT NULL").select(
         F.lit("EUR").alias("base"), F.lit("USD").alias("quote"), "rate", "effective_for",
         F.when(F.col("part_key") % 6 == 0, F.date_sub("effective_for", 1)).otherwise(F.col("effective_for")).alias("observed_date"),
         F.col("claim_id").alias("source_claim_id"), F.when(F.col("part_key") % 11 == 0, "").otherwise("doc").alias("source_document_id"))
@@ -227,11 +227,16 @@ def val_14(fr):
 
 
 @query("val_15", """SELECT f.claim_id, CAST(f.value_numeric AS DECIMAL(26,6)) AS concluded, m.reported_amount, CASE WHEN m.reported_amount = f.value_numeric THEN 'pass' ELSE 'fail' END AS outcome, CAST(l.amount * r.value_numeric AS DECIMAL(38,6)) AS recomputed
- FROM {f_fact} AS f JOIN {f_claim} AS c ON c.claim_id = f.claim_id LEFT JOIN {f_fact} AS r ON r.claim_id = f.claim_id AND r.field_name = 'fx_rate'
- LEFT JOIN (SELECT holding_id, arg_min(cost_amount, lot_id) AS amount FROM {f_lot} GROUP BY 1) AS l ON l.holding_id = c.holding_id
- LEFT JOIN {f_latest_mark} AS m ON m.holding_id = c.holding_id AND m.audit_scope = 'packet' AND m.period_date = make_date(year(c.applicable_from), 12, 31) WHERE f.field_name = 'concluded_fair_value_usd'""", text="concluded reported_amount recomputed")
+ FROM {f_fact} AS f JOIN {f_claim} AS c ON c.claim_id = f.claim_id JOIN {f_memo_claim} AS v ON v.claim_id = f.claim_id LEFT JOIN {f_fact} AS r ON r.claim_id = f.claim_id AND r.field_name = 'fx_rate'
+ LEFT JOIN (SELECT v.claim_id, CASE WHEN count(*) = count(x.foreign_amount) THEN sum(x.foreign_amount) END AS amount FROM {f_claim} AS c JOIN {f_memo_claim} AS v ON v.claim_id = c.claim_id JOIN {f_lot} AS l ON l.holding_id = c.holding_id AND l.acquired_date <= v.valued_on AND (l.realized_date IS NULL OR l.realized_date > v.valued_on)
+  LEFT JOIN {f_foreign} AS x ON x.lot_id = l.lot_id GROUP BY 1) AS l ON l.claim_id = f.claim_id
+ LEFT JOIN {f_latest_mark} AS m ON m.holding_id = c.holding_id AND m.period_date = v.valued_on WHERE f.field_name = 'concluded_fair_value_usd'""", text="concluded reported_amount recomputed")
 def val_15(fr):
-    return validators.concluded_values(assessment(fr)).select("claim_id", "concluded", "reported_amount", "outcome", "recomputed")
+    """Memos are dated by their own day: most on a year end, some on days at which nothing is measured."""
+    led = from_derived(fr)
+    dated = led.claim.join(fr["f_memo_claim"], "claim_id").withColumn("applicable_from", F.col("valued_on")).drop("valued_on")
+    memos = rules.Assessment(dataclasses.replace(led, claim=dated))
+    return validators.concluded_values(memos, fr["f_foreign"]).select("claim_id", "concluded", "reported_amount", "outcome", "recomputed")
 
 
 @query("val_16", """SELECT lot_id, CASE WHEN coalesce(realised_shares * cash_per_share = stated_gross AND realised_shares * cash_per_share - fees - escrow = stated_net, false) THEN 'pass' ELSE 'fail' END AS outcome FROM {o_terms}""")

@@ -54,16 +54,37 @@ def cov_03(fr):
     return coverage.owed(assessment(fr), branches(fr)).groupBy("limb").agg(F.count("*").alias("owed"))
 
 
-@query("cov_04", """SELECT limb, array_to_string(list(value ORDER BY value), ',') AS missing FROM {d_limb_value} AS v WHERE dimension = 'field' AND NOT EXISTS (SELECT 1 FROM {f_fact} AS f WHERE f.field_name = v.value) GROUP BY 1""")
+#: The house's limbs and four that show what cannot be expressed: two in words nobody declares, two that ask what others ask.
+LIMBS = (*model.LIMBS, ("x1", "asides", "position", None, {"class": ("oral_history",), "field": ("fund_shares",)}), ("x2", "asides", "position_date", None, {"decision": ("seance",), "status": ("pro_forma",)}),
+         ("x3", "asides", "position_date", None, {"decision": ("calibration",)}), ("x4", "asides", "position", None, {"class": ("executed_transaction_doc",)}))
+WORDS = ([("class", v) for v in model.SOURCE_CLASSES] + [("status", v) for v in model.EXECUTION_STATUSES] + [("decision", v) for v in ("transcription", "valuation", "management_assessment", "packet", "basis_memo", "representativeness", "calibration")]
+         + [("consideration", v) for v in ("company_performance", "market_conditions", "impairment_indicators")])
+LIBRARY["d_limb_more"] = "SELECT * FROM " + _values([(k, s, b or "", len(d)) for k, _, s, b, d in LIMBS], "limb, scope, branch, dimensions")
+LIBRARY["d_limb_value_more"] = "SELECT * FROM " + _values([(k, n, v) for k, _, _, _, d in LIMBS for n, vs in d.items() for v in vs], "limb, dimension, value")
+LIBRARY["o_word"] = "SELECT * FROM " + _values(WORDS, "dimension, value") + " UNION SELECT 'field', field_name FROM {f_fact}"
+LIBRARY["o_missing"] = "SELECT limb, string_agg(DISTINCT value, ', ' ORDER BY value) AS missing FROM {d_limb_value_more} AS v WHERE NOT EXISTS (SELECT 1 FROM {o_word} AS w WHERE w.dimension = v.dimension AND w.value = v.value) GROUP BY 1"
+LIBRARY["o_predicate"] = "SELECT l.limb, l.scope, string_agg(v.dimension || '=' || v.value, ';' ORDER BY v.dimension || '=' || v.value) AS p FROM {d_limb_more} AS l JOIN {d_limb_value_more} AS v ON v.limb = l.limb GROUP BY 1, 2"
+
+
+@query("cov_04", "SELECT limb, missing FROM {o_missing}")
 def cov_04(fr):
-    return coverage.missing_vocabulary(fr["f_fact"]).select("limb", F.concat_ws(",", "missing").alias("missing"))
+    _, values = coverage.limb_rows(fr.spark, LIMBS)
+    return coverage.missing_vocabulary(fr["f_fact"], values).select("limb", F.concat_ws(", ", "missing").alias("missing"))
 
 
-@query("cov_05", """SELECT scope, array_to_string(list(limb ORDER BY limb), ',') AS limbs FROM (SELECT l.limb, l.scope, string_agg(v.dimension || '=' || v.value, ';' ORDER BY v.dimension || '=' || v.value) AS p FROM {d_limb} AS l JOIN {d_limb_value} AS v ON v.limb = l.limb
- WHERE EXISTS (SELECT 1 FROM {o_ev_position} AS e WHERE e.dimension = v.dimension AND e.value = v.value) GROUP BY 1, 2) GROUP BY scope, p HAVING count(*) > 1""")
+@query("cov_04_standing", """SELECT l.limb, CASE WHEN m.missing IS NOT NULL OR t.twins IS NOT NULL THEN 'not_expressible' WHEN coalesce(c.answered, 0) = 0 THEN 'unanswered' ELSE 'census' END AS standing,
+ concat_ws('; ', 'no word for ' || m.missing, 'asks the same as ' || t.twins) AS reasons, coalesce(c.owed, 0) AS owed, CASE WHEN m.missing IS NULL AND t.twins IS NULL THEN coalesce(c.answered, 0) END AS answered
+ FROM {d_limb_more} AS l LEFT JOIN {o_missing} AS m ON m.limb = l.limb LEFT JOIN (SELECT a.limb, string_agg(b.limb, ', ' ORDER BY b.limb) AS twins FROM {o_predicate} AS a JOIN {o_predicate} AS b ON b.scope = a.scope AND b.p = a.p AND b.limb <> a.limb GROUP BY 1) AS t ON t.limb = l.limb
+ LEFT JOIN (SELECT limb, count(*) AS owed, count(*) FILTER (answered) AS answered FROM {o_answered} GROUP BY 1) AS c ON c.limb = l.limb""")
+def cov_04_standing(fr):
+    """Not expressible, unanswered and counted are three answers; the limbs added here are owed by nobody."""
+    told = coverage.standing(result(fr), *coverage.limb_rows(fr.spark, LIMBS), fr["f_fact"])
+    return told.select("limb", "standing", F.concat_ws("; ", "reasons").alias("reasons"), "owed", "answered")
+
+
+@query("cov_05", "SELECT scope, string_agg(limb, ',' ORDER BY limb) AS limbs FROM {o_predicate} GROUP BY scope, p HAVING count(*) > 1")
 def cov_05(fr):
-    by_position, _ = coverage.evidence(assessment(fr), fr["f_consideration"])
-    return coverage.indistinguishable(by_position).select("scope", F.concat_ws(",", "limbs").alias("limbs"))
+    return coverage.indistinguishable(*coverage.limb_rows(fr.spark, LIMBS)).select("scope", F.concat_ws(",", "limbs").alias("limbs"))
 
 
 @query("cov_06", "SELECT limb, fund_id, count(*) FILTER (answered) AS answered, count(*) AS owed, count(DISTINCT CASE WHEN answered THEN a.holding_id END) AS companies_answered FROM {o_answered} AS a JOIN {f_holding} AS h ON h.holding_id = a.holding_id GROUP BY 1, 2")

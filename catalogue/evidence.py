@@ -3,7 +3,7 @@
 from pyspark.sql import functions as F
 
 from attestor.functions import scalars as S
-from attestor.operators import citing, guard
+from attestor.operators import citing, extraction, guard
 from catalogue import LIBRARY, query
 from catalogue.scalars import FIGURES_SQL, NUMERAL_SQL, tokens_sql
 
@@ -34,7 +34,7 @@ def cit_03(fr):
 
 FAMILY_SQL = """CASE WHEN source_class = 'executed_transaction_doc' THEN 'purchase_agreement' WHEN source_class = 'company_cap_table' THEN 'cap_table' WHEN source_class IN ('third_party_valuation_memo', 'administrator_statement', 'fund_internal_record') THEN 'memo'
  WHEN execution_status = 'non_binding' THEN 'term_sheet' ELSE 'irregular' END"""
-LIBRARY["d_rule"] = "SELECT * FROM (VALUES " + ", ".join(f"('{fam}', '{f}')" for fam, rows in citing.FAMILIES.items() for _, f, _, _ in rows) + ") AS t(family, field_name)"
+LIBRARY["d_rule"] = "SELECT * FROM (VALUES " + ", ".join(f"('{fam}', '{f}')" for fam, rows in citing.FAMILIES.items() for r in rows for f, _ in r.fields) + ") AS t(family, field_name)"
 LIBRARY["o_extracted"] = f"""
 SELECT t.claim_id, t.family, t.field_name, CAST(len(m) AS INT) AS hits, CASE len(m) WHEN 1 THEN 'cited' WHEN 0 THEN 'pattern_matched_nothing' ELSE 'pattern_is_ambiguous' END AS outcome, CASE WHEN len(m) = 1 THEN split_part(m[1], ' is ', 2) END AS value_text,
  CASE WHEN len(m) = 1 THEN CAST(instr(canonical_text, m[1]) - 1 AS INT) END AS span_start
@@ -44,7 +44,7 @@ FROM (SELECT c.claim_id, c.family, r.field_name, s.canonical_text, list_filter(s
 
 def extracted(fr, *families):
     docs = fr["f_claim"].select("claim_id", citing.family_of().alias("family")).join(fr["f_statement"].select("claim_id", "canonical_text"), "claim_id")
-    return citing.extract_by_rules(docs, citing.rule_frame(fr.spark, *families))
+    return extraction.extract(docs, citing.rules_of(*families))
 
 
 @query("cit_04", "SELECT * FROM {o_extracted}")
@@ -121,19 +121,11 @@ def cit_10(fr):
     return fr["f_fact"].join(ranks, "field_name").select("claim_id", "field_name", F.to_json(F.struct(F.col("field_name").alias("field"), "ranks", F.col("value_text").alias("value"))).alias("json"))
 
 
-LIBRARY["o_manifest"] = """
-SELECT claim_id, field_name, value_text AS expected, 'see  ' || quote || ' there' AS passage, CASE WHEN part_key % 13 = 6 THEN field_name || ' zzz' WHEN part_key % 17 = 3 THEN 'is' END AS distractor, part_key % 43 = 8 AS absent FROM {f_fact_raw} WHERE part_key % 23 <> 5"""
-
-
 @query("cit_11", r"""SELECT claim_id, field_name, CASE WHEN m.expected IS NULL AND m.absent IS NULL THEN 'not_in_manifest' WHEN coalesce(m.absent, false) AND c.quote IS NOT NULL THEN 'stated_absent_but_cited' WHEN coalesce(m.absent, false) THEN NULL WHEN c.quote IS NULL THEN 'expected_but_not_cited'
  WHEN c.value_text <> m.expected THEN 'value_differs' WHEN m.distractor IS NOT NULL AND contains(c.quote, m.distractor) THEN 'distractor_cited' WHEN NOT contains(regexp_replace(m.passage, ' +', ' ', 'g'), c.quote) THEN 'outside_the_passage' END AS problem
- FROM {o_manifest} AS m FULL JOIN (SELECT claim_id, field_name, value_text, quote FROM {f_fact} WHERE part_key % 19 <> 4) AS c USING (claim_id, field_name)""")
+ FROM {f_expected} AS m FULL JOIN {f_cited} AS c USING (claim_id, field_name)""")
 def cit_11(fr):
-    p = F.col("part_key")
-    manifest = fr["f_fact_raw"].filter(p % 23 != 5).select(
-        "claim_id", "field_name", F.col("value_text").alias("expected"), F.concat(F.lit("see  "), "quote", F.lit(" there")).alias("passage"),
-        F.when(p % 13 == 6, F.concat("field_name", F.lit(" zzz"))).when(p % 17 == 3, "is").alias("distractor"), (p % 43 == 8).alias("absent"))
-    return citing.wrong_passages(fr["f_fact"].filter(p % 19 != 4), manifest).select("claim_id", "field_name", "problem")
+    return citing.wrong_passages(fr["f_cited"], fr["f_expected"]).select("claim_id", "field_name", "problem")
 
 
 @query("cit_12", f"SELECT count(*) AS citations, count(*) FILTER (NOT {RESOLVES}) AS failing FROM {{f_fact}} AS f JOIN {{f_statement}} AS s ON s.claim_id = f.claim_id")
@@ -171,14 +163,71 @@ def cit_14_sources(fr):
     return fr["f_figure_input"].filter(F.col("fact_id").isNull() == F.col("child_id").isNull()).select("figure_id", "ordinal", "fact_id", "child_id")
 
 
-@query("cit_15", """SELECT p.claim_id, count(*) AS proposed, count(*) FILTER (refusal IS NULL) AS accepted, count(*) FILTER (refusal IS NOT NULL) AS refused FROM {o_proposal} AS p WHERE CAST('0x' || substr(sha256(p.canonical_text), 1, 1) AS INT) < 12 GROUP BY 1""")
+@query("cit_15", """SELECT p.claim_id, r.claim_id IS NOT NULL AS replayed, count(*) AS proposed, count(*) FILTER (r.claim_id IS NOT NULL AND refusal IS NULL) AS accepted, count(*) FILTER (r.claim_id IS NOT NULL AND refusal IS NOT NULL) AS refused
+ FROM {o_proposal} AS p LEFT JOIN (SELECT s.claim_id FROM {f_statement} AS s JOIN {f_recorded_text} AS t ON t.claim_id = s.claim_id AND substr(sha256(t.canonical_text), 1, 16) = substr(sha256(s.canonical_text), 1, 16)) AS r ON r.claim_id = p.claim_id GROUP BY 1, 2""")
 def cit_15(fr):
-    """Recordings name the stored text by a prefix of its hash; one that names none is not replayed."""
-    hashed = fr["f_statement"].withColumn("text_hash", F.sha2("canonical_text", 256))
-    recorded = hashed.filter(F.conv(F.substring("text_hash", 1, 1), 16, 10).cast("int") < 12).select("claim_id", F.substring("text_hash", 1, 16).alias("prefix"))
-    stored = hashed.withColumn("prefix", F.substring("text_hash", 1, 16)).join(recorded, ["claim_id", "prefix"]).select("claim_id", "canonical_text")
-    return citing.bind_proposals(fr["f_proposal"], stored, "claim_id").groupBy("claim_id").agg(
-        F.count("*").alias("proposed"), F.count_if("accepted").alias("accepted"), F.count_if(~F.col("accepted")).alias("refused"))
+    """Recordings name the text they were made on by a prefix of its hash; one whose text has changed since is told and not replayed."""
+    recorded = fr["f_recorded_text"].select("claim_id", F.substring(F.sha2("canonical_text", 256), 1, 16).alias("prefix"))
+    replayed = citing.replay(fr["f_proposal"], recorded, fr["f_statement"], "claim_id")
+    return replayed.groupBy("claim_id", "replayed").agg(
+        F.count("*").alias("proposed"), F.count_if(F.coalesce("accepted", F.lit(False))).alias("accepted"), F.count_if(~F.col("accepted")).alias("refused"))
+
+
+# Two families of other houses: a schedule of purchasers that several funds share, and a letter that states values by date.
+SCHEDULE = (extraction.Rule("transfer_notice", "schedule_row", r"(?m)^(\S[^\t\r\n]*?)(?:\t| {2,})([0-9][0-9,]*)(?:\t| {2,})\$ ?([0-9.]+)[ \t\r]*$", (("fund_shares", 2), ("fund_price_per_share", 3)), where=((1, "purchaser"),)),
+            extraction.Rule("transfer_notice", "closing", r"(?i)closing\s+shall\s+occur\s+on\s+([A-Z][a-z]+\s+[0-9]{1,2},\s+[0-9]{4})", (("closing_date", 1),), where=((1, "closes_on"),)),
+            extraction.Rule("transfer_notice", "legend", r"(?i)legend\s+class\s+([a-z])\b", (("legend_class", 1),), required=False))
+LETTER = (extraction.Rule("value_letter", "value", r"Fair\s+value\s+at\s+([A-Z][a-z]+\s+[0-9]{1,2},\s+[0-9]{4}):\s+USD\s+([0-9,]+\.[0-9]{4})", (("concluded_fair_value_usd", 2),), claim_group=1),
+          extraction.Rule("value_letter", "basis", r"(?m)^Basis: ([a-z_]+)$", (("stated_basis", 1),), required=False))
+
+
+def transfer_notices(fr):
+    """A notice a lot: header and total lines, the row of another purchaser, tabs or blanks, line ends of two kinds, the purchaser named again in prose."""
+    key = F.col("order_key")
+    name = F.concat("legal_name", F.lit(", L.P."))
+    gap = F.when(key % 5 == 1, "\t").otherwise(F.lit("          "))
+    row = F.concat(name, gap, F.format_number("shares", 0), gap, F.lit("$"), F.when(key % 4 == 2, " ").otherwise(""), F.col("entry_pps").cast("string"))
+    rows = F.when(key % 11 == 3, F.lit("no row of the purchaser")).when(key % 13 == 5, F.concat(row, F.lit("\n"), row)).otherwise(row)
+    day = F.date_format("acquired_date", "MMMM d, yyyy")
+    spelled = F.when(key % 7 == 2, F.replace(day, F.lit(" "), F.lit("\n"))).otherwise(day)
+    text = F.concat(F.lit("EXHIBIT A\n\nSchedule  of Purchasers (see Section 2)\nName of Purchaser          Shares          Price\nOther Growth Partners, L.P."), gap, F.lit("77"), gap, F.lit("$9.99\n"), rows,
+                    F.lit("\nTOTAL          "), F.format_number(F.col("shares") + 77, 0), F.lit("\n\nThe closing shall occur on "), spelled, F.lit(".\nBy "), name, F.lit(" for "), F.format_number("shares", 0), F.lit(" shares at $"), F.col("entry_pps").cast("string"),
+                    F.when(key % 3 == 0, F.concat(F.lit("\nLegend class "), "security_class")).otherwise(""))
+    lots = fr["f_lot"].filter("shares IS NOT NULL").join(fr["f_holding"].select("holding_id", "fund_id"), "holding_id").join(fr["f_fund"].select("fund_id", "legal_name"), "fund_id")
+    return lots.select(F.col("lot_id").alias("claim_id"), F.lit("transfer_notice").alias("family"), name.alias("purchaser"), day.alias("closes_on"), F.when(key % 2 == 0, F.replace(text, F.lit("\n"), F.lit("\r\n"))).otherwise(text).alias("canonical_text"))
+
+
+@query("cit_16_schedule", """SELECT lot_id AS claim_id, field_name, CASE WHEN field_name = 'closing_date' THEN 1 WHEN field_name = 'legend_class' THEN CASE WHEN order_key % 3 = 0 THEN 1 ELSE 0 END WHEN order_key % 11 = 3 THEN 0 WHEN order_key % 13 = 5 THEN 2 ELSE 1 END::INT AS hits,
+ CASE WHEN field_name = 'closing_date' OR (field_name = 'legend_class' AND order_key % 3 = 0) THEN 'cited' WHEN field_name = 'legend_class' THEN 'not_stated' WHEN order_key % 11 = 3 THEN 'pattern_matched_nothing' WHEN order_key % 13 = 5 THEN 'pattern_is_ambiguous' ELSE 'cited' END AS outcome,
+ CASE WHEN field_name = 'closing_date' THEN strftime(acquired_date, '%B %-d, %Y') WHEN field_name = 'legend_class' THEN CASE WHEN order_key % 3 = 0 THEN security_class END WHEN order_key % 11 <> 3 AND order_key % 13 <> 5 THEN CASE WHEN field_name = 'fund_shares' THEN format('{:,}', CAST(shares AS BIGINT)) ELSE CAST(entry_pps AS VARCHAR) END END AS value_text, true AS resolves
+ FROM {f_lot} CROSS JOIN (VALUES ('fund_shares'), ('fund_price_per_share'), ('closing_date'), ('legend_class')) AS n(field_name) WHERE shares IS NOT NULL""")
+def cit_16_schedule(fr):
+    """Several groups of one rule, parameters (purchaser, date), required and optional rules, hostile layout."""
+    notices = transfer_notices(fr)
+    got = extraction.extract(notices, SCHEDULE)
+    resolves = F.coalesce(F.expr("substring(canonical_text, span_start + 1, span_end - span_start)") == F.col("quote"), F.col("quote").isNull())
+    return got.join(notices.select("claim_id", "canonical_text"), "claim_id").select("claim_id", "field_name", "hits", "outcome", "value_text", resolves.alias("resolves"))
+
+
+def value_letters(fr):
+    """A letter a holding: a value for each packet date, wrapped lines, a first estimate that is no value, one date stated twice."""
+    key = F.col("cust_key")
+    day = F.date_format("period_date", "MMMM d, yyyy")
+    day = F.when(key % 4 == 1, F.replace(day, F.lit(", "), F.lit(",\n"))).otherwise(day)
+    line = F.concat(F.lit("Fair value at "), day, F.lit(": USD "), F.format_number("reported_amount", 4))
+    line = F.when((key % 9 == 4) & (F.year("period_date") == 1999), F.concat(line, F.lit("\nagain: "), line)).otherwise(line)
+    line = F.concat(F.lit("Fair value at "), day, F.lit(" as first estimated: USD 1.0000\n"), line)
+    marks = fr["f_latest_mark"].filter("audit_scope = 'packet'").groupBy("holding_id", "cust_key").agg(F.array_sort(F.collect_list(F.struct("period_date", line.alias("line")))).alias("lines"), F.max("basis").alias("basis"))
+    text = F.concat(F.lit("To the partners\n"), F.array_join(F.transform("lines", lambda x: x.line), "\n"), F.when(F.col("basis").isNotNull(), F.concat(F.lit("\nBasis: "), "basis")).otherwise(""))
+    return marks.select(F.col("holding_id").alias("claim_id"), F.lit("value_letter").alias("family"), text.alias("canonical_text"))
+
+
+@query("cit_18_dated", """SELECT holding_id AS claim_id, 'concluded_fair_value_usd' AS field_name, strftime(period_date, '%B %-d, %Y') AS claim_key, CASE WHEN cust_key % 9 = 4 AND year(period_date) = 1999 THEN 'pattern_is_ambiguous' ELSE 'cited' END AS outcome,
+ CASE WHEN cust_key % 9 = 4 AND year(period_date) = 1999 THEN NULL ELSE format('{:,}', CAST(floor(reported_amount) AS BIGINT)) || '.' || right(CAST(reported_amount AS VARCHAR), 4) END AS value_text FROM {f_latest_mark} WHERE audit_scope = 'packet'
+ UNION ALL SELECT holding_id, 'stated_basis', NULL, CASE WHEN max(basis) IS NULL THEN 'not_stated' ELSE 'cited' END, max(basis) FROM {f_latest_mark} WHERE audit_scope = 'packet' GROUP BY holding_id""")
+def cit_18_dated(fr):
+    """One document gives a claim for each date it states a value at; a date stated twice is refused for itself alone."""
+    return extraction.extract(value_letters(fr), LETTER).select("claim_id", "field_name", "claim_key", "outcome", "value_text")
 
 
 @query("cit_21", f"SELECT f.claim_id, f.field_name, f.span_start, f.span_end, {RESOLVES} AS verified FROM {{f_fact}} AS f JOIN {{f_statement}} AS s ON s.claim_id = f.claim_id")

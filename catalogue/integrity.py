@@ -162,17 +162,20 @@ def aud_18(fr):
     return verdicts.unionByName(spans).unionByName(inputs)
 
 
-@query("aud_19", """SELECT 'held_without_a_mark' AS rule, h.holding_id || '@' || h.period_id AS subject FROM {o_held} AS h WHERE NOT EXISTS (SELECT 1 FROM {f_mark} AS m WHERE m.holding_id = h.holding_id AND m.period_id = h.period_id AND m.cust_key % 70 <> 2)
+@query("aud_19", """SELECT 'held_without_a_mark' AS rule, h.holding_id || '@' || h.period_id AS subject FROM {o_held} AS h WHERE NOT EXISTS (SELECT 1 FROM {f_moved_mark} AS m WHERE m.holding_id = h.holding_id AND m.period_id = h.period_id)
+ UNION ALL SELECT 'matrix_cell_ruled_twice', concat_ws('/', requirement, source_class, execution_status, position_type) FROM (SELECT requirement, source_class, execution_status, position_type FROM {d_matrix} UNION ALL SELECT * FROM {f_ruling}) GROUP BY requirement, source_class, execution_status, position_type HAVING count(*) > 1
  UNION ALL SELECT 'holding_without_lots', holding_id FROM {f_holding} AS h WHERE NOT EXISTS (SELECT 1 FROM {f_lot} AS l WHERE l.holding_id = h.holding_id)
  UNION ALL SELECT 'declared_count_differs', d.table_name || ': ' || d.declared || ' declared, ' || t.n || ' found' FROM {f_declared} AS d JOIN (SELECT 'lot' AS table_name, count(*) AS n FROM {f_lot} UNION ALL SELECT 'period', count(*) FROM {f_period}) AS t USING (table_name) WHERE d.declared <> t.n""")
 def aud_19(fr):
     a = assessment(fr)
-    marks = fr["f_mark"].filter("cust_key % 70 <> 2").select("holding_id", "period_id").distinct()
+    marks = fr["f_moved_mark"].select("holding_id", "period_id").distinct()
+    cell = ["requirement", "source_class", "execution_status", "position_type"]
+    ruled = audits.duplicates(model.matrix(fr.spark).select(*cell).unionByName(fr["f_ruling"]), cell, "matrix_cell_ruled_twice")
     unmarked = a.held_dates.join(marks, ["holding_id", "period_id"], "left_anti").select(F.lit("held_without_a_mark").alias("rule"), F.concat_ws("@", "holding_id", "period_id").alias("subject"))
     bare = fr["f_holding"].join(fr["f_lot"].select("holding_id").distinct(), "holding_id", "left_anti").select(F.lit("holding_without_lots").alias("rule"), F.col("holding_id").alias("subject"))
     counts = documents.declared_counts({"lot": fr["f_lot"], "period": fr["f_period"]}, fr["f_declared"]).filter("NOT agrees")
     counted = counts.select(F.lit("declared_count_differs").alias("rule"), F.concat("table_name", F.lit(": "), F.col("declared").cast("string"), F.lit(" declared, "), F.col("rows").cast("string"), F.lit(" found")).alias("subject"))
-    return unmarked.unionByName(bare).unionByName(counted)
+    return unmarked.unionByName(bare).unionByName(counted).unionByName(ruled.select("rule", "subject"))
 
 
 LIBRARY["o_request"] = """

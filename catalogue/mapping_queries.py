@@ -1,7 +1,5 @@
 """MAP: workbook rows classified and mapped to ledger rows, with every refusal and assumption kept."""
 
-import datetime
-
 from pyspark.sql import functions as F
 
 from attestor.functions import scalars as S
@@ -11,12 +9,11 @@ from catalogue import LIBRARY, query
 from catalogue.reconciliation import PACKET, books, scope
 from catalogue.scalars import END_SQL
 
-MEASURED = [datetime.date(y, 12, 31) for y in range(1996, 2002)]
 OVERRIDES = (("Customer#000000001", "series_b"), ("Customer#000000002", "series_a1"))
 
 
 def sheets(fr):
-    return workbook.sheet_funds(fr["f_sheet"])
+    return fr.kept("sheet_funds", lambda: workbook.sheet_funds(fr["f_sheet"]))
 
 
 def note_rows(fr):
@@ -102,10 +99,9 @@ SELECT m.fund, m.company, m.row_label, m.label, m.measured, m.amount, h.held, CA
 
 def mark_rows(fr):
     cells = books(fr).cells
-    dates = cells.select(S.period_end(F.col("label")).alias("measured")).filter("measured IS NOT NULL").distinct()
-    from attestor.operators import temporal
-    dated = joins.tranches(fr).crossJoin(F.broadcast(dates)).withColumn("by_then", temporal.acquired_by(F.col("lo"), F.col("hi"), F.col("measured")))
-    return mapping.mark_rows(cells, joins.position_held(dated, ["fund", "company", "measured"]))
+    asked = cells.select("fund", F.col("key").alias("company"), S.period_end(F.col("label")).alias("measured")).filter("measured IS NOT NULL").distinct()
+    figures = joins.running_at(joins.tranches(fr), ["fund", "company"], asked, "measured")
+    return mapping.mark_rows(cells, joins.position_held(figures, ["fund", "company", "measured"]))
 
 
 @query("map_06", "SELECT fund, company, label, amount, held, refusal FROM {o_mark_row}", text="amount")
@@ -113,7 +109,7 @@ def map_06(fr):
     return mark_rows(fr).select("fund", F.col("key").alias("company"), "label", "amount", "held", "refusal")
 
 
-INSIDE = " OR ".join(f"(lo <= DATE '{d}' AND DATE '{d}' < hi)" for d in MEASURED)
+INSIDE = "EXISTS (SELECT 1 FROM {o_date} AS d JOIN {f_fund} AS f ON f.fund_id = d.fund_id WHERE f.fund_label = t.fund AND t.lo <= d.period_date AND d.period_date < t.hi)"
 LIBRARY["o_day"] = f"""
 SELECT *, CASE WHEN refusal IS NULL THEN lo END AS acquired_date FROM (SELECT t.*, b.sheet_no, CASE WHEN lo IS NULL THEN 'the date cell names no date' WHEN lo <> hi AND ({INSIDE}) THEN 'a measurement date falls inside the range' END AS refusal
  FROM {{o_tranche}} AS t JOIN {{f_breakdown}} AS b ON b.title = t.title AND b.row_no = t.row_no WHERE is_investment)"""
@@ -126,7 +122,7 @@ LEFT JOIN {o_class} AS c ON c.sheet_no = d.sheet_no AND c.row_no = d.row_no LEFT
 
 
 def lot_rows(fr):
-    return mapping.lots(joins.tranches(fr), classes(fr), MEASURED)
+    return mapping.lots(joins.tranches(fr), classes(fr), joins.packet_dates(fr))
 
 
 @query("map_07", "SELECT sheet_no, row_no, lot_no, security_class, shares, cost_amount, acquired_date, realized_date FROM {o_mapped_lot}", text="shares cost_amount acquired_date realized_date")
@@ -148,7 +144,7 @@ def map_09(fr):
 
 @query("map_10", "SELECT sheet_no, row_no, acquired_date, refusal AS date_refusal FROM {o_day}", text="acquired_date")
 def map_10(fr):
-    return mapping.acquisition_days(joins.tranches(fr).filter("is_investment"), MEASURED).select("sheet_no", "row_no", "acquired_date", "date_refusal")
+    return mapping.acquisition_days(joins.tranches(fr).filter("is_investment"), joins.packet_dates(fr)).select("sheet_no", "row_no", "acquired_date", "date_refusal")
 
 
 @query("map_11", f"""SELECT m.fund, m.label, count(*) AS lines, count(*) FILTER (t.company IS NULL) AS orphans, count(*) FILTER (m.held) AS held FROM {{o_mark_row}} AS m

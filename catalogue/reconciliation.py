@@ -170,9 +170,16 @@ def src_03(fr):
     return books(fr).stated
 
 
-@query("src_04", "SELECT s.sheet_no, s.title, f.fund_label AS fund FROM {f_sheet} AS s JOIN {f_fund} AS f ON f.fund_id = 'fund_' || CAST(s.sheet_no // 100000000 AS VARCHAR) WHERE s.title NOT LIKE '%>>'")
+#: Two workbooks with the same sheet numbers; the second names other funds, and its first sheets stand before any divider.
+LIBRARY["o_two_books"] = """
+SELECT 'a' AS workbook, sheet_no, title FROM {f_sheet} UNION ALL SELECT 'b', sheet_no, CASE WHEN title LIKE '%>>' THEN 'Side ' || title ELSE title END FROM {f_sheet} WHERE sheet_no > 0"""
+
+
+@query("src_04", """SELECT s.workbook, s.sheet_no, s.title, CASE WHEN s.workbook = 'a' THEN f.fund_label WHEN s.sheet_no >= 100000000 THEN 'Side ' || f.fund_label END AS fund FROM {o_two_books} AS s JOIN {f_fund} AS f ON f.fund_id = 'fund_' || CAST(s.sheet_no // 100000000 AS VARCHAR) WHERE s.title NOT LIKE '%>>'""")
 def src_04(fr):
-    return workbook.sheet_funds(fr["f_sheet"])
+    other = fr["f_sheet"].filter("sheet_no > 0").withColumn("title", F.when(F.endswith("title", F.lit(">>")), F.concat(F.lit("Side "), "title")).otherwise(F.col("title")))
+    both = fr["f_sheet"].withColumn("workbook", F.lit("a")).unionByName(other.withColumn("workbook", F.lit("b")))
+    return workbook.sheet_funds(both, "workbook")
 
 
 @query("src_05", "SELECT fund, company, title, row_no, kind, investment, share_price, share_count, lo, hi FROM {o_tranche}", text="investment share_price share_count lo hi")
@@ -183,5 +190,5 @@ def src_05(fr):
 @query("src_06", """SELECT s.fund_label AS fund, r.company, r.title AS source_sheet, r.row_no AS ordinal, trim(r.c0) AS text, concat_ws('|', r.c0, r.c1, b.c2, r.c3, r.c4, r.c5) AS cells FROM {o_rows} AS r JOIN {f_breakdown} AS b ON b.sheet_no = r.sheet_no AND b.row_no = r.row_no
  JOIN {f_fund} AS s ON s.fund_id = 'fund_' || CAST(r.sheet_no // 100000000 AS VARCHAR) WHERE r.c1 IS NULL AND trim(r.c0) <> ''""")
 def src_06(fr):
-    return workbook.notes(workbook.sheet_funds(fr["f_sheet"]), fr["f_breakdown"]).select(
+    return workbook.notes(fr.kept("sheet_funds", lambda: workbook.sheet_funds(fr["f_sheet"])), fr["f_breakdown"]).select(
         "fund", "company", "source_sheet", "ordinal", "text", F.concat_ws("|", "cells").alias("cells"))

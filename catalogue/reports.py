@@ -2,8 +2,9 @@
 
 from pyspark.sql import functions as F
 
+from attestor import model
 from attestor.functions import scalars as S
-from attestor.operators import citing, joins, packets, rules, temporal, totals, validators
+from attestor.operators import citing, joins, order, packets, rules, temporal, totals, validators
 from attestor.sources import workbook
 from attestor.sources.ledger import from_derived
 from catalogue import LIBRARY, query
@@ -220,9 +221,7 @@ def pkt_03(fr):
  FROM {o_member} AS m JOIN {f_holding} AS h ON h.holding_id = m.holding_id LEFT JOIN {o_compared} AS c ON c.holding_id = m.holding_id AND c.period_id = m.period_id""")
 def win_12(fr):
     table = packets.recomputation_table(assessment(fr)).select("fund_id", "period_id", "reading_order", "company_name", "holding_id")
-    slices = F.concat(F.col("reading_order").cast("string"), F.substring("company_name", 1, 16))
-    return temporal.numbered(table, ["fund_id", "period_id"], slices, "reading_order", "company_name", "holding_id").select(
-        "holding_id", "period_id", F.col("ordinal").cast("bigint").alias("place"))
+    return order.numbered(table, ["fund_id", "period_id"], ["reading_order", "company_name", "holding_id"], "place").select("holding_id", "period_id", "place")
 
 
 LIBRARY["o_link"] = """
@@ -297,20 +296,66 @@ def pkt_09(fr):
     return packets.evidence_documents(assessment(fr))
 
 
-@query("pkt_10", """SELECT holding_id, period_id, '{"approved":' || CAST(approved AS VARCHAR) || ',"held":' || CAST(held AS VARCHAR) || ',"holding":"' || holding_id || '"' || CASE WHEN reported_amount IS NULL THEN '' ELSE ',"reported":"' || CAST(reported_amount AS VARCHAR) || '"' END || ',"row_verdict":"' || row_verdict || '","supported":' || CAST(supported AS VARCHAR) || '}' AS json FROM {o_packet}""")
+@query("pkt_09_claims", "SELECT DISTINCT m.fund_id, m.period_id, c.claim_id, c.document_no, c.source_class FROM {o_member} AS m JOIN {f_claim} AS c ON c.holding_id = m.holding_id")
+def pkt_09_claims(fr):
+    return packets.evidence_bundle(assessment(fr))["claim"].select("fund_id", "period_id", "claim_id", "document_no", "source_class")
+
+
+@query("pkt_09_facts", "SELECT m.period_id, f.claim_id, f.field_name, f.value_text, f.span_start FROM {o_member} AS m JOIN {f_claim} AS c ON c.holding_id = m.holding_id JOIN {f_fact} AS f ON f.claim_id = c.claim_id")
+def pkt_09_facts(fr):
+    return packets.evidence_bundle(assessment(fr))["fact"].select("period_id", "claim_id", "field_name", "value_text", "span_start")
+
+
+@query("pkt_09_decisions", """SELECT m.fund_id, m.period_id, d.decision_id, d.decision_type, m.revision, (SELECT count(*) FROM {f_decision_evidence} AS e WHERE e.decision_id = d.decision_id) AS bound FROM {f_decision} AS d JOIN {f_mark} AS m ON m.mark_id = d.mark_id JOIN {o_date} AS p ON p.period_id = m.period_id""")
+def pkt_09_decisions(fr):
+    return packets.evidence_bundle(assessment(fr))["decision"].select("fund_id", "period_id", "decision_id", "decision_type", "revision", "bound")
+
+
+LIBRARY["o_requests_json"] = "'[' || concat_ws(',', " + ", ".join(f"""'{{"requirement":"{r}","verdict":"' || {r.lower()} || '","applicable":' || CASE WHEN {r.lower()} = 'not_applicable' THEN 'false' ELSE 'true' END || '}}'""" for r in model.REQUESTS) + ") || ']'"
+
+
+@query("pkt_10", f"""SELECT holding_id, period_id, '{{{{"approved":' || CAST(approved AS VARCHAR) || ',"assessments":' || {LIBRARY.pop("o_requests_json").replace("{", "{{").replace("}", "}}")} || ',"held":' || CAST(held AS VARCHAR) || ',"holding":"' || holding_id || '"' || CASE WHEN reported_amount IS NULL THEN '' ELSE ',"reported":"' || CAST(reported_amount AS VARCHAR) || '"' END || ',"row_verdict":"' || row_verdict || '","supported":' || CAST(supported AS VARCHAR)
+ || ',"unsupported_reasons":{{{{' || CASE WHEN unsupported = '' THEN '' ELSE array_to_string([ '"' || substr(u, 1, 2) || '":"' || substr(u, 4) || '"' for u in list_sort(string_split(unsupported, ';'))], ',') END || '}}}}}}}}' AS json FROM {{o_packet}}""".replace("{{", "{").replace("}}", "}"))
 def pkt_10(fr):
     return packets.row_json(assessment(fr))
 
 
+@query("pkt_10_recomputation", """SELECT m.fund_id, m.holding_id, m.period_id, CAST(json_object('derived', CAST(c.derived AS VARCHAR), 'difference', CAST(c.difference AS VARCHAR), 'holding', m.holding_id, 'outcome', coalesce(c.outcome, 'not_applicable'), 'policy_version', 'policy-1',
+  'reason', coalesce(c.reason, 'NOT_HELD_AT_MEASUREMENT_DATE'), 'reported', CAST(CAST(m.reported_amount AS DECIMAL(38,6)) AS VARCHAR)) AS VARCHAR) AS json FROM {o_member} AS m LEFT JOIN {o_compared} AS c ON c.holding_id = m.holding_id AND c.period_id = m.period_id""")
+def pkt_10_recomputation(fr):
+    return packets.recomputation_json(assessment(fr), "policy-1")
+
+
+@query("pkt_10_totals", "SELECT fund_id, period_id, held_total, approved_total FROM {o_totals_json}")
+def pkt_10_totals(fr):
+    return packets.totals_json(assessment(fr))
+
+
 @query("pkt_11", "SELECT audit_scope, count(*) AS transitions, count(*) FILTER (reported_amount <> previous_amount) AS changed FROM {o_prev} GROUP BY 1")
 def pkt_11(fr):
     return temporal.change_view(fr["f_mark"]).groupBy("audit_scope").agg(F.count("*").alias("transitions"), F.count_if("changed").alias("changed"))
 
 
-@query("pkt_12", """SELECT holding_id, period_id, requirement, '{' || concat_ws(',', CASE WHEN next_actions <> '' THEN '"not_yet_done":["' || replace(next_actions, ',', '","') || '"]' END, CASE WHEN reasons <> '' THEN '"reasons":["' || replace(reasons, ',', '","') || '"]' END, '"verdict":"' || verdict || '"') || '}' AS payload
- FROM {o_outcome} WHERE verdict <> 'not_applicable'""")
+MEANING = lambda c: "CASE " + c + " " + " ".join(f"WHEN '{k}' THEN '{v}'" for k, v in packets.GLOSSARY.items()) + " END"
+#: Reasons and steps whose meaning is known here; one of them speaks of a verdict, so only rows of that verdict get it.
+CODE_MEANINGS = {"NO_DOCUMENT_AND_NO_GAP_RECORDED": "Nothing is on file, the request is missing its document.", "REQUEST_FROM_COMPANY": "Ask the company for it."}
+LIBRARY["o_kind"] = """
+SELECT l.holding_id, l.period_id, l.requirement, c.source_class, c.execution_status, count(*) AS claims, min(c.issued_date) AS low, max(c.issued_date) AS high FROM {o_link} AS l JOIN {f_claim} AS c ON c.claim_id = l.claim_id GROUP BY ALL"""
+LIBRARY["o_kinds"] = """
+SELECT holding_id, period_id, requirement, '[' || string_agg('{"source_class":"' || source_class || '"' || CASE WHEN execution_status = 'not_applicable' THEN '' ELSE ',"execution_status":"' || execution_status || '"' END || ',"claims":' || claims || ',"first_issued":"' || low || '","last_issued":"' || high || '"}',
+ ',' ORDER BY source_class, nullif(execution_status, 'not_applicable') NULLS FIRST, claims, low, high) || ']' AS evidence FROM {o_kind} GROUP BY 1, 2, 3"""
+LIBRARY["o_owing"] = "SELECT holding_id, period_id, list(DISTINCT requirement) AS owing FROM {o_outcome} WHERE next_actions <> '' GROUP BY 1, 2"
+
+
+@query("pkt_12", f"""SELECT o.holding_id, o.period_id, o.requirement, '{{' || concat_ws(',', '"company":"' || h.company_name || '"', '"evidence":' || k.evidence, '"measurement_date":"' || d.period_date || '"',
+ CASE WHEN next_actions <> '' THEN '"not_yet_done":[' || array_to_string(['{{"code":"' || a || '"' || CASE WHEN a = 'REQUEST_FROM_COMPANY' THEN ',"meaning":"Ask the company for it."' ELSE '' END || '}}' for a in string_split(next_actions, ',')], ',') || ']' END,
+ CASE WHEN len(list_filter(w.owing, lambda x: x <> o.requirement)) > 0 THEN '"other_requests_with_open_steps":["' || array_to_string(list_sort(list_filter(w.owing, lambda x: x <> o.requirement)), '","') || '"]' END,
+ CASE WHEN reasons <> '' THEN '"reasons":[' || array_to_string(['{{"code":"' || r || '"' || CASE WHEN r = 'NO_DOCUMENT_AND_NO_GAP_RECORDED' AND verdict = 'missing' THEN ',"meaning":"Nothing is on file, the request is missing its document."' ELSE '' END || '}}' for r in string_split(reasons, ',')], ',') || ']' END,
+ '"request":"' || o.requirement || '"', '"request_means":"' || {MEANING('o.requirement')} || '"', '"verdict":"' || verdict || '"', '"verdict_means":"' || {MEANING('verdict')} || '"') || '}}' AS payload
+ FROM {{o_outcome}} AS o JOIN {{f_holding}} AS h ON h.holding_id = o.holding_id JOIN {{o_date}} AS d ON d.period_id = o.period_id LEFT JOIN {{o_kinds}} AS k ON k.holding_id = o.holding_id AND k.period_id = o.period_id AND k.requirement = o.requirement
+ LEFT JOIN {{o_owing}} AS w ON w.holding_id = o.holding_id AND w.period_id = o.period_id WHERE verdict <> 'not_applicable'""")
 def pkt_12(fr):
-    return packets.row_payload(assessment(fr))
+    return packets.row_payload(assessment(fr), packets.GLOSSARY | CODE_MEANINGS)
 
 
 @query("pkt_13", "SELECT c.claim_id, c.source_class, f.field_name, f.value_text, f.span_start FROM {f_claim} AS c LEFT JOIN {f_fact} AS f ON f.claim_id = c.claim_id WHERE c.holding_id = 'h1'")
@@ -323,15 +368,16 @@ def pkt_14(fr):
     return packets.document_file(fr["f_document"], "d3")
 
 
-@query("pkt_15", """SELECT fund_id, period_id, 'Packet ' || period_id || ' of ' || fund_id || ': ' || positions || ' positions, ' || held || ' held. ' || statement AS readme FROM {o_cover}""")
+@query("pkt_15", """SELECT c.fund_id, c.period_id, 'Packet ' || c.period_id || ' of ' || c.fund_id || ': ' || positions || ' positions, ' || held || ' held. ' || statement AS readme, t.held_total, t.approved_total FROM {o_cover} AS c JOIN {o_totals_json} AS t ON t.fund_id = c.fund_id AND t.period_id = c.period_id""")
 def pkt_15(fr):
+    """The text and the totals beside it come from the same counts."""
     a = assessment(fr)
     rows = packets.packet_rows(a)
     held = totals.held_totals(rows, ["fund_id", "period_id"]).drop("positions_held", "currencies", "kind")
     tally = packets.statement(packets.packet_counts(rows).join(held, ["fund_id", "period_id"]))
-    return tally.select("fund_id", "period_id", F.concat(
+    return tally.join(packets.totals_json(a), ["fund_id", "period_id"]).select("fund_id", "period_id", F.concat(
         F.lit("Packet "), "period_id", F.lit(" of "), "fund_id", F.lit(": "), F.col("positions").cast("string"), F.lit(" positions, "),
-        F.col("held").cast("string"), F.lit(" held. "), "statement").alias("readme"))
+        F.col("held").cast("string"), F.lit(" held. "), "statement").alias("readme"), "held_total", "approved_total")
 
 
 @query("pkt_16", "SELECT f.fund_id, f.legal_name, d.period_id, d.label, t.positions_held FROM {f_fund} AS f JOIN {o_date} AS d ON d.fund_id = f.fund_id LEFT JOIN {o_held_total} AS t ON t.fund_id = d.fund_id AND t.period_id = d.period_id")

@@ -73,8 +73,12 @@ def queries_frame(fr):
     return fr.spark.createDataFrame(list(TEST_QUERIES), "requirement string, query string")
 
 
+def index(fr):
+    return retrieval.open_index(fr.spark, fr.written("index", lambda path: retrieval.build_index(fr["f_document"], path)))
+
+
 def matched(fr):
-    return retrieval.matched_documents(fr["f_document"], queries_frame(fr))
+    return retrieval.matched_documents(index(fr), queries_frame(fr))
 
 
 def found(fr):
@@ -82,7 +86,7 @@ def found(fr):
 
 
 def top(fr, **options):
-    return retrieval.ranked(from_derived(fr), found(fr), **options)
+    return retrieval.ranked(from_derived(fr), matched(fr), **options)
 
 
 @query("ret_01", "SELECT DISTINCT document_id, requirement FROM {o_hit} WHERE n > 0")
@@ -118,7 +122,7 @@ def ret_06(fr):
 
 @query("ret_07", "SELECT holding_id, requirement, period_id, claim_id, document_id, span_start, place FROM {o_top}")
 def ret_07(fr):
-    return top(fr).select("holding_id", "requirement", "period_id", "claim_id", "document_id", "span_start", F.col("place").cast("bigint").alias("place"))
+    return retrieval.quoted(top(fr), fr["f_document"]).select("holding_id", "requirement", "period_id", "claim_id", "document_id", "span_start", F.col("place").cast("bigint").alias("place"))
 
 
 @query("win_10", "SELECT requirement, period_date, claim_id, document_id, place FROM {o_top_blind}", text="period_date")
@@ -169,9 +173,33 @@ def ret_11(fr):
     return retrieval.recall_per_case(from_derived(fr), top(fr), CASE).filter("found = 0").select(*CASE, "relevant")
 
 
-@query("ret_12", """SELECT c.claim_id, p.document_id, p.quote, row_number() OVER (ORDER BY coalesce(f.preference, 10), abs(date_diff('day', c.issued_date, DATE '1999-12-31')), p.text_rank DESC, p.document_id, p.span_start, c.claim_id) AS place
- FROM {f_claim} AS c JOIN {o_passage} AS p ON p.document_no = c.document_no AND p.requirement = 'R2' LEFT JOIN {d_preference} AS f ON f.source_class = c.source_class AND f.execution_status = c.execution_status
- WHERE c.holding_id = 'h5' AND c.r2 AND c.applicable_from <= DATE '1999-12-31' AND (c.applicable_to IS NULL OR c.applicable_to >= DATE '1999-12-31') QUALIFY place <= 5""")
+#: Requests of every holding with an odd number, one that is of stop words, one that no text answers, and one of a holding without claims.
+LIBRARY["o_ask"] = """
+SELECT holding_id || '/' || q.requirement AS request_id, holding_id, DATE '1999-12-31' AS period_date, q.requirement,
+ CASE WHEN cust_key % 20 = 7 THEN q.query WHEN cust_key % 10 = 3 THEN 'there is the' WHEN cust_key % 10 = 5 THEN 'zzzzunheard' ELSE q.query END AS query
+FROM {f_holding} CROSS JOIN (VALUES ('R1', 'The hean thand reedings and onth'), ('R2', 'ouen of shanti que enaux'), ('R4', 'wher thest erblely la')) AS q(requirement, query) WHERE cust_key % 2 = 1"""
+LIBRARY["o_answer"] = """
+SELECT g.request_id, c.claim_id, p.document_id, p.quote, p.span_start, row_number() OVER (PARTITION BY g.request_id ORDER BY coalesce(f.preference, 10), abs(date_diff('day', c.issued_date, g.period_date)), p.text_rank DESC, p.document_id, p.span_start, c.claim_id) AS place
+ FROM {o_ask} AS g JOIN {f_claim} AS c ON c.holding_id = g.holding_id AND c.applicable_from <= g.period_date AND (c.applicable_to IS NULL OR c.applicable_to >= g.period_date)
+ JOIN {f_claim_requirement} AS r ON r.claim_id = c.claim_id AND r.requirement = g.requirement JOIN {o_passage} AS p ON p.document_no = c.document_no AND p.requirement = g.requirement
+ LEFT JOIN {d_preference} AS f ON f.source_class = c.source_class AND f.execution_status = c.execution_status WHERE g.query NOT IN ('there is the', 'zzzzunheard') QUALIFY place <= 5"""
+
+
+def requests_frame(fr):
+    key = F.col("cust_key")
+    asked = F.when(key % 20 == 7, F.col("query")).when(key % 10 == 3, "there is the").when(key % 10 == 5, "zzzzunheard").otherwise(F.col("query"))
+    return fr["f_holding"].filter(key % 2 == 1).crossJoin(F.broadcast(queries_frame(fr))).select(
+        F.concat_ws("/", "holding_id", "requirement").alias("request_id"), "holding_id", F.lit(datetime.date(1999, 12, 31)).alias("period_date"), "requirement", asked.alias("query"))
+
+
+@query("ret_12", "SELECT request_id, claim_id, document_id, quote, span_start, place FROM {o_answer}")
 def ret_12(fr):
-    return retrieval.search(from_derived(fr), fr["f_document"], queries_frame(fr), "h5", datetime.date(1999, 12, 31), "R2").select(
-        "claim_id", "document_id", "quote", F.col("place").cast("bigint").alias("place"))
+    _, answers = retrieval.search(from_derived(fr), index(fr), fr["f_document"], requests_frame(fr))
+    return answers.select("request_id", "claim_id", "document_id", "quote", "span_start", F.col("place").cast("bigint").alias("place"))
+
+
+@query("ret_12_outcome", """SELECT g.request_id, CASE WHEN NOT EXISTS (SELECT 1 FROM {f_claim} AS c WHERE c.holding_id = g.holding_id) THEN 'unknown_holding' WHEN g.query = 'there is the' THEN 'query_has_no_search_terms' WHEN count(a.claim_id) = 0 THEN 'none_matched' ELSE 'found' END AS outcome, count(a.claim_id) AS passages
+ FROM {o_ask} AS g LEFT JOIN {o_answer} AS a ON a.request_id = g.request_id GROUP BY g.request_id, g.holding_id, g.query""")
+def ret_12_outcome(fr):
+    outcomes, _ = retrieval.search(from_derived(fr), index(fr), fr["f_document"], requests_frame(fr))
+    return outcomes

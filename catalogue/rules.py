@@ -53,11 +53,8 @@ def req_07(fr):
     return assessment(fr).rows.select("holding_id", "period_id", "held", F.concat_ws(";", reasons).alias("unsupported"), "supported")
 
 
-@query("req_08", """SELECT h.holding_id, count(c.component) AS components, count(c.component) = 0 AS missing FROM {f_holding} AS h
- LEFT JOIN (SELECT * FROM {f_component} AS c JOIN {f_holding} AS x USING (holding_id) WHERE x.cust_key % 40 <> 3 OR component <> 'valuation') AS c ON c.holding_id = h.holding_id GROUP BY h.holding_id""")
+@query("req_08", """SELECT h.holding_id, count(c.component) AS components, count(c.component) = 0 AS missing FROM {f_holding} AS h LEFT JOIN {f_recorded_component} AS c ON c.holding_id = h.holding_id GROUP BY h.holding_id""")
 def req_08(fr):
-    holding = fr["f_holding"]
-    components = fr["f_component"].join(holding.select("holding_id", "cust_key"), "holding_id").filter("cust_key % 40 <> 3 OR component <> 'valuation'")
-    counted = components.groupBy("holding_id").agg(F.count("*").alias("components"))
-    return holding.select("holding_id").join(counted, "holding_id", "left").select(
+    counted = fr["f_recorded_component"].groupBy("holding_id").agg(F.count("*").alias("components"))
+    return fr["f_holding"].select("holding_id").join(counted, "holding_id", "left").select(
         "holding_id", F.coalesce("components", F.lit(0)).alias("components"), F.col("components").isNull().alias("missing"))

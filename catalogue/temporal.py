@@ -4,7 +4,7 @@ from pyspark.sql import functions as F
 
 from attestor import model
 from attestor.functions import scalars as S
-from attestor.operators import joins, retrieval, rules, temporal
+from attestor.operators import joins, order, retrieval, rules, temporal
 from attestor.sources.ledger import from_derived
 from catalogue import LIBRARY, query
 from catalogue.rules import assessment
@@ -35,9 +35,7 @@ FROM {o_tranche} AS t CROSS JOIN (SELECT DISTINCT period_date AS period_end FROM
 @query("flt_03", """SELECT period_end, count(*) FILTER (by_then) AS yes, count(*) FILTER (NOT by_then) AS no, count(*) FILTER (by_then IS NULL) AS unknown
  FROM {o_tranche_date} GROUP BY 1""", text="period_end")
 def flt_03(fr):
-    by = F.col("by_then")
-    return joins.tranche_dates(fr).groupBy("period_end").agg(
-        F.count_if(by).alias("yes"), F.count_if(~by).alias("no"), F.count_if(by.isNull()).alias("unknown"))
+    return joins.known_by(joins.tranches(fr), joins.packet_dates(fr), "period_end")
 
 
 @query("flt_04", """SELECT fund, company, period_end, CASE
@@ -48,7 +46,8 @@ def flt_03(fr):
  ELSE coalesce(sum(share_count) FILTER (is_exit AND by_then), 0) < coalesce(sum(share_count) FILTER (NOT is_exit AND by_then), 0) END AS held
  FROM {o_tranche_date} GROUP BY ALL""", text="period_end")
 def flt_04(fr):
-    return joins.position_held(joins.tranche_dates(fr), ["fund", "company", "period_end"])
+    figures = joins.running_at(joins.tranches(fr), ["fund", "company"], joins.packet_dates(fr), "period_end")
+    return joins.position_held(figures, ["fund", "company", "period_end"])
 
 
 @query("flt_05", "SELECT claim_id, period_id FROM {f_claim} JOIN {o_date} USING (fund_id) WHERE applicable_from <= period_date AND (applicable_to IS NULL OR applicable_to >= period_date)")
@@ -142,19 +141,13 @@ def jn_05(fr):
     return joins.unmatched(joins.tracker_costs(fr), joins.breakdown_costs(fr), ["fund", "company"], "tracker_only", "breakdown_only").select("fund", "company", "side")
 
 
-@query("jn_06", """SELECT fund_id, key, count(*) AS sheets FROM (SELECT h.fund_id, substr(company_name, 1, 16) AS key FROM {f_holding} AS h) GROUP BY 1, 2 HAVING count(*) > 1""")
-def jn_06(fr):
-    rows = fr["f_holding"].select("fund_id", F.substring("company_name", 1, 16).alias("key"), F.col("company_name").alias("sheet"))
-    return joins.ambiguous_keys(rows, ["fund_id", "key"], "sheet").select("fund_id", "key", F.col("sources").alias("sheets"))
-
-
 #: Whole names; the sheets of some holdings are renamed, so that several of a fund reduce to one key.
 LIBRARY["o_sheet"] = """
 SELECT fund_id, CASE WHEN cust_key % 40 = 3 THEN 'Shared Holding (' || company_name || ')' ELSE company_name || ' (' || holding_id || ')' END AS sheet FROM {f_holding}"""
 
 
-@query("jn_06_names", "SELECT fund_id, trim(split_part(sheet, ' (', 1)) AS key, count(DISTINCT sheet) AS sheets FROM {o_sheet} GROUP BY 1, 2 HAVING count(DISTINCT sheet) > 1")
-def jn_06_names(fr):
+@query("jn_06", "SELECT fund_id, trim(split_part(sheet, ' (', 1)) AS key, count(DISTINCT sheet) AS sheets FROM {o_sheet} GROUP BY 1, 2 HAVING count(DISTINCT sheet) > 1")
+def jn_06(fr):
     renamed = F.concat(F.lit("Shared Holding ("), "company_name", F.lit(")"))
     sheet = F.when(F.col("cust_key") % 40 == 3, renamed).otherwise(F.concat("company_name", F.lit(" ("), "holding_id", F.lit(")")))
     rows = fr["f_holding"].select("fund_id", sheet.alias("sheet")).withColumn("key", S.company_key(F.col("sheet")))
@@ -329,8 +322,7 @@ def win_09(fr):
 
 @query("win_11", """SELECT lot_id, CAST(row_number() OVER (PARTITION BY holding_id ORDER BY acquired_date, lot_id) AS BIGINT) AS ordinal FROM {f_lot}""")
 def win_11(fr):
-    return temporal.numbered(fr["f_lot"].select("lot_id", "holding_id", "acquired_date"), ["holding_id"], F.trunc("acquired_date", "month"), "acquired_date", "lot_id").select(
-        "lot_id", F.col("ordinal").cast("bigint"))
+    return order.numbered(fr["f_lot"].select("lot_id", "holding_id", "acquired_date"), ["holding_id"], ["acquired_date", "lot_id"]).select("lot_id", "ordinal")
 
 
 @query("set_01", """SELECT holding_id, period_id, len(list_filter(held_classes, lambda x: NOT list_contains(priced, x))) > 0 OR len(list_filter(priced, lambda x: NOT list_contains(held_classes, x))) > 0 AS cross_class
@@ -363,14 +355,10 @@ def set_03(fr):
     return clashing.join(left, ["holding_id", "period_id"])
 
 
-@query("set_04", """SELECT claim_id, requirement, CASE WHEN s.claim_id IS NULL THEN 'declared_only' ELSE 'stored_only' END AS side FROM
- (SELECT claim_id, requirement FROM {f_claim_requirement} WHERE CAST(substr(holding_id, 2) AS INT) % 50 <> 1) AS s
- FULL JOIN (SELECT claim_id, requirement FROM {f_claim_requirement} WHERE CAST(substr(holding_id, 2) AS INT) % 50 <> 2) AS d USING (claim_id, requirement) WHERE s.claim_id IS NULL OR d.claim_id IS NULL""")
+@query("set_04", """SELECT claim_id, requirement, CASE WHEN s.seen IS NULL THEN 'declared_only' ELSE 'stored_only' END AS side FROM (SELECT claim_id, requirement, 1 AS seen FROM {f_stored_reliance}) AS s
+ FULL JOIN (SELECT claim_id, requirement, 1 AS seen FROM {f_declared_reliance}) AS d USING (claim_id, requirement) WHERE s.seen IS NULL OR d.seen IS NULL""")
 def set_04(fr):
-    key = F.substring("holding_id", 2, 20).cast("int")
-    rows = fr["f_claim_requirement"]
-    stored, declared = rows.filter(key % 50 != 1), rows.filter(key % 50 != 2)
-    return joins.unmatched(declared, stored, ["claim_id", "requirement"], "declared_only", "stored_only").select("claim_id", "requirement", "side")
+    return joins.unmatched(fr["f_declared_reliance"], fr["f_stored_reliance"], ["claim_id", "requirement"], "declared_only", "stored_only").select("claim_id", "requirement", "side")
 
 
 @query("set_06", r"""SELECT document_id, array_to_string(list_sort(list_filter(mine, lambda x: NOT list_contains(known, x))), ' ') AS invented FROM (

@@ -5,7 +5,7 @@ from decimal import Decimal
 import pytest
 from pyspark.sql import functions as F
 
-from attestor.operators import audits, citing, guard, packets, rules, temporal, totals
+from attestor.operators import audits, citing, guard, order, packets, rules, temporal, totals
 from attestor.sources import publish
 from attestor.streaming import streams
 
@@ -16,7 +16,7 @@ def test_numbering_a_hot_key_equals_a_plain_row_number(spark):
     random.seed(3)
     rows = [("hot" if n % 3 else f"k{n % 7}", DAY(2000, 1, 1) + datetime.timedelta(days=random.randrange(900)), n) for n in range(3000)]
     df = spark.createDataFrame(rows, "k string, d date, id int")
-    got = {(r["k"], r["id"]): r["ordinal"] for r in temporal.numbered(df, ["k"], F.trunc("d", "month"), "d", "id").collect()}
+    got = {(r["k"], r["id"]): r["ordinal"] for r in order.numbered(df, ["k"], ["d", "id"]).collect()}
     want, seen = {}, {}
     for k, _, n in sorted(rows, key=lambda r: (r[0], r[1], r[2])):
         seen[k] = seen.get(k, 0) + 1
@@ -90,14 +90,24 @@ def test_append_only_reports_changes_and_removals_only(spark):
     assert {(r["rule"], r["subject"]) for r in audits.rewritten(old, new, "id").collect()} == {("changed", "2"), ("removed", "3")}
 
 
-def test_nothing_is_published_while_a_check_fails(spark, tmp_path):
+def test_a_failed_run_leaves_the_old_version_readable(spark, tmp_path):
     df = spark.createDataFrame([(1,), (1,)], "id int")
-    target = str(tmp_path / "out" / "v1")
+    checks = {"no_row_twice": lambda t: audits.duplicates(t["t"], ["id"], "twice")}
+    target = str(tmp_path / "out")
     with pytest.raises(ValueError, match="no_row_twice"):
-        publish.publish(spark, {"t": df}, {"no_row_twice": lambda t: audits.duplicates(t["t"], ["id"], "twice")}, target)
-    assert not (tmp_path / "out").exists()
-    assert publish.publish(spark, {"t": df.distinct()}, {"no_row_twice": lambda t: audits.duplicates(t["t"], ["id"], "twice")}, target) == target
-    assert spark.read.parquet(f"{target}/t").count() == 1
+        publish.publish(spark, {"t": df}, checks, target)
+    with pytest.raises(ValueError, match="nothing is published"):
+        publish.published(spark, target)
+    assert publish.publish(spark, {"t": df.distinct()}, checks, target) == 1
+    with pytest.raises(ValueError, match="no_row_twice"):
+        publish.publish(spark, {"t": df}, checks, target)
+    assert publish.read_published(spark, target, "t", df.schema).count() == 1
+    assert publish.publish(spark, {"t": df.distinct().union(spark.createDataFrame([(2,)], "id int"))}, checks, target) == 2
+    assert publish.read_published(spark, target, "t", df.schema).count() == 2
+    assert publish.read_published(spark, target, "t", df.schema, version=1).count() == 1
+    # A second writer of version 2 with a greater token loses, whenever its record arrives.
+    spark.createDataFrame([(2, "versions/other", ["t"], "g")], "version int, folder string, tables array<string>, token string").write.mode("append").parquet(f"{target}/commits")
+    assert publish.read_published(spark, target, "t", df.schema).count() == 2
 
 
 def test_digest_does_not_depend_on_order_or_partitions(spark):
@@ -108,16 +118,6 @@ def test_digest_does_not_depend_on_order_or_partitions(spark):
     assert one == two != other
 
 
-def test_a_replayed_batch_stores_nothing_twice(spark, tmp_path):
-    log = str(tmp_path / "log")
-    first = spark.createDataFrame([("a", "h1"), ("b", "h1"), ("c", "h2")], "document_id string, content_hash string")
-    second = spark.createDataFrame([("a", "h9"), ("d", "h2"), ("e", "h3")], "document_id string, content_hash string")
-    for batch_id, batch in ((0, first), (1, second), (1, second)):
-        streams.store_documents(batch, batch_id, log)
-    got = {(r["document_id"], r["arrival"]) for r in spark.read.parquet(log).collect()}
-    assert got == {("a", "new"), ("b", "already_stored"), ("c", "new"), ("a", "collision"), ("d", "already_stored"), ("e", "new")}
-
-
 def test_reading_order_puts_disagreements_first(spark):
     df = spark.createDataFrame([("pass",), ("fail",), ("unconfirmable",)], "o string")
     assert [r["o"] for r in df.orderBy(packets.reading_order(F.col("o"))).collect()] == ["fail", "unconfirmable", "pass"]
@@ -136,34 +136,6 @@ def test_every_position_has_a_folder_of_its_own(spark):
     assert got["h1"] == "companies/A" and got["h2"] == "companies/A (h2)" and got["h9"] == "companies/A (UK)"
 
 
-def test_one_batch_can_hold_collisions_and_an_id_keeps_one_version(spark, tmp_path):
-    log = str(tmp_path / "log")
-    schema = "document_id string, content_hash string"
-    streams.store_documents(spark.createDataFrame([("a", "h2"), ("a", "h1"), ("b", "h1")], schema), 0, log)
-    streams.store_documents(spark.createDataFrame([("a", "h2"), ("a", "h1"), ("b", "h7"), ("c", "h1")], schema), 1, log)
-    got = sorted((r["batch"], r["document_id"], r["content_hash"], r["arrival"]) for r in spark.read.parquet(log).collect())
-    assert got == [(0, "a", "h1", "new"), (0, "a", "h2", "collision"), (0, "b", "h1", "already_stored"),
-                   (1, "a", "h1", "already_stored"), (1, "a", "h2", "collision"), (1, "b", "h7", "collision"), (1, "c", "h1", "already_stored")]
-
-
-def test_a_key_is_stored_once_however_late_it_comes_again(spark, tmp_path):
-    log = str(tmp_path / "log")
-    batch = lambda *rows: spark.createDataFrame([(r, k, datetime.datetime(2024, m, 1)) for r, k, m in rows], "run_id string, idempotency_key string, occurred_at timestamp")
-    streams.store_events(batch(("r", "k", 6), ("r", "k", 7)), 0, log)
-    streams.store_events(batch(("r", "k", 12), ("r", "l", 1), ("s", "k", 2)), 1, log)
-    streams.store_events(batch(("r", "k", 12), ("r", "l", 1), ("s", "k", 2)), 1, log)
-    assert sorted((r["run_id"], r["idempotency_key"]) for r in spark.read.parquet(log).collect()) == [("r", "k"), ("r", "l"), ("s", "k")]
-
-
-def test_only_a_later_revision_with_other_content_makes_an_approval_stale(spark, tmp_path):
-    approvals = spark.createDataFrame([("h", "p", 1, 2, "two"), ("g", "p", 2, 1, "one")], "holding_id string, period_id string, decision_id bigint, revision int, fingerprint string")
-    arriving = spark.createDataFrame([("h", "p", 1, "old"), ("h", "p", 2, "two"), ("g", "p", 2, "one"), ("g", "p", 3, "three"), ("g", "p", 4, "four")], "holding_id string, period_id string, revision int, fingerprint string")
-    log = str(tmp_path / "log")
-    for batch_id, batch in enumerate((arriving.filter("revision > 2"), arriving.filter("revision <= 2"))):
-        streams.stale_by_revision(approvals)(batch, batch_id, log)
-    assert [tuple(r) for r in streams.stale_now(spark.read.parquet(log)).collect()] == [(2, 4, "four")]
-
-
 def test_lineage_of_any_depth_and_a_cycle(spark):
     edges = [(f"n{i:02d}", f"n{i + 1:02d}") for i in range(40)]
     leaves = spark.createDataFrame([("n40", "leaf", "approved")], "figure_id string, leaf_id string, state string")
