@@ -84,7 +84,7 @@ def glossed(codes: DataFrame, column: str, glossary: tuple[tuple[str, str], ...]
     """FN-32: a code nobody defined stays visible as one nobody defined."""
     known = F.broadcast(codes.sparkSession.createDataFrame(list(glossary), f"{column} string, meaning string"))
     return codes.join(known, column, "left").withColumn(
-        "meaning", F.coalesce("meaning", F.lit("No definition is recorded for this code.")))
+        "meaning", F.coalesce("meaning", F.lit("Nobody has said what this code means.")))
 
 
 def bind_facts(facts: DataFrame, texts: DataFrame) -> DataFrame:

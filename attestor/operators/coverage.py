@@ -16,8 +16,11 @@ from attestor.operators.rules import Assessment
 DIMENSIONS = ("class", "status", "field", "decision", "consideration")
 
 
-def evidence(assessment: Assessment, considerations: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """COV-02: what is known of each position, and of each position at each packet date inside the reliance windows."""
+def evidence(assessment: Assessment, considerations: DataFrame, once: bool = True) -> tuple[DataFrame, DataFrame]:
+    """COV-02: what is known of each position, and of each position at each packet date inside the reliance windows.
+
+    Without ``once`` a word stands as often as it is said, and no row is shuffled to make it one.
+    """
     ledger = assessment.ledger
     claims = ledger.claim.select("claim_id", "holding_id", "fund_id", "source_class", "execution_status", "applicable_from", "applicable_to")
     facts = ledger.fact.select("claim_id", "field_name").distinct()
@@ -31,9 +34,9 @@ def evidence(assessment: Assessment, considerations: DataFrame) -> tuple[DataFra
     considered = considerations.join(ledger.decision.select("decision_id", "holding_id", "period_id"), "decision_id").select(
         "holding_id", "period_id", F.lit("consideration").alias("dimension"), F.col("consideration").alias("value"))
     dated = claims.join(assessment.periods.select("fund_id", "period_id", "period_date"), "fund_id").filter(retrieval.temporal.window_covers(F.col("period_date")))
-    by_date = dimensions(dated, ["holding_id", "period_id"]).unionByName(decisions).unionByName(considered).distinct()
-    by_position = dimensions(claims, ["holding_id"]).unionByName(decisions.drop("period_id")).unionByName(considered.drop("period_id")).distinct()
-    return by_position, by_date
+    by_date = dimensions(dated, ["holding_id", "period_id"]).unionByName(decisions).unionByName(considered)
+    by_position = dimensions(claims, ["holding_id"]).unionByName(decisions.drop("period_id")).unionByName(considered.drop("period_id"))
+    return (by_position.distinct(), by_date.distinct()) if once else (by_position, by_date)
 
 
 def owed(assessment: Assessment, branches: DataFrame) -> DataFrame:
@@ -52,12 +55,15 @@ def owed(assessment: Assessment, branches: DataFrame) -> DataFrame:
 
 
 def answered(owed_cells: DataFrame, by_position: DataFrame, by_date: DataFrame) -> DataFrame:
-    """COV-01: a limb is answered when every dimension it declares finds one of its alternatives."""
+    """COV-01: a limb is answered when every dimension it declares finds one of its alternatives.
+
+    The dimensions met are bits united per limb and cell, combined before the shuffle, so it does not matter how often a word is said.
+    """
     wanted = F.broadcast(model.limb_values(owed_cells.sparkSession))
     none = F.lit(None).cast("string")
     hits = by_date.join(wanted, ["dimension", "value"]).select("limb", "holding_id", "period_id", "dimension").unionByName(
         by_position.join(wanted, ["dimension", "value"]).select("limb", "holding_id", none.alias("period_id"), "dimension"))
-    met = hits.groupBy("limb", "holding_id", F.coalesce("period_id", F.lit("")).alias("period_key")).agg(F.countDistinct("dimension").alias("met"))
+    met = hits.groupBy("limb", "holding_id", F.coalesce("period_id", F.lit("")).alias("period_key")).agg(F.bit_count(F.bit_or(model.code_bit(F.col("dimension"), DIMENSIONS))).alias("met"))
     cells = owed_cells.withColumn("period_key", F.coalesce("period_id", F.lit("")))
     return cells.join(met, ["limb", "holding_id", "period_key"], "left").withColumn(
         "answered", F.coalesce(F.col("met") == F.col("dimensions"), F.lit(False))).drop("met", "period_key")

@@ -151,13 +151,13 @@ def from_frames(fr, packet_periods: dict[str, tuple[str, ...]]) -> Workbooks:
 def composition() -> Column:
     """REC-14: how a value is composed, with every assumption it makes."""
     when = F.when(F.col("pick.follows"), "later ").otherwise("")
-    first = F.concat(F.lit("the "), figure(F.col("shares")), F.lit(" shares then held at the "), when, "pick.acquired_text", F.lit(" purchase price of "), F.col("pick.share_price").cast("string"))
-    plus = F.when(F.col("unpriced_cost") != 0, F.concat(F.lit("plus "), figure(F.col("unpriced_cost")), F.lit(" invested at no stated price, taken at cost")))
-    caveats = F.concat_ws("; and ", F.when(F.col("repriced"), "it reprices shares bought at other prices and does not distinguish share classes"),
-                          F.when(F.col("candidates") > 1, F.concat(F.col("candidates").cast("string"), F.lit(" purchases might be the latest one, this among them"))),
-                          F.when(F.col("dropped_shares") != 0, F.concat(figure(F.col("dropped_shares")), F.lit(" more shares have no price and are left aside"))))
+    first = F.concat(F.lit("all "), figure(F.col("shares")), F.lit(" shares of the day, each at the "), when, "pick.acquired_text", F.lit(" price paid, "), F.col("pick.share_price").cast("string"))
+    plus = F.when(F.col("unpriced_cost") != 0, F.concat(F.lit("plus "), figure(F.col("unpriced_cost")), F.lit(" of purchases without a price, left at what they cost")))
+    caveats = F.concat_ws("; and ", F.when(F.col("repriced"), "one price stands for lots that cost differently, of whatever class"),
+                          F.when(F.col("candidates") > 1, F.concat(F.col("candidates").cast("string"), F.lit(" purchases could each be the last, and this is one"))),
+                          F.when(F.col("dropped_shares") != 0, F.concat(figure(F.col("dropped_shares")), F.lit(" shares without a price stay out"))))
     return F.concat(F.concat_ws(", ", first, plus), F.lit(" is "), figure(F.col("pick.value")),
-                    F.when(caveats != "", F.concat(F.lit(" - not a figure of any row, because "), caveats)).otherwise(""))
+                    F.when(caveats != "", F.concat(F.lit(" - a reading and no row, since "), caveats)).otherwise(""))
 
 
 def stated_totals(w: Workbooks) -> DataFrame:
@@ -246,7 +246,7 @@ def unreached_marks(w: Workbooks) -> DataFrame:
     reachable = w.recognised.select(*POSITION).distinct()
     odd = w.tranche.filter("NOT is_exit AND NOT is_investment").select(*POSITION).distinct().withColumn("odd", F.lit(True))
     lost = w.dated_marks.join(reachable, POSITION, "left_anti").join(odd, POSITION, "left")
-    why = F.when(F.col("odd"), "every master-breakdown row for this company is of an unrecognised type").otherwise("no master-breakdown position matched this company in this fund")
+    why = F.when(F.col("odd"), "the breakdown rows under this name are neither purchases nor exits").otherwise("the breakdown has nothing under this name in the fund")
     return finding(lost, "mark_never_compared", F.concat_ws(" · ", "row_label", "label"),
                    F.concat(F.lit("the tracker has a figure, but "), why), scope=w.scope())
 
@@ -254,7 +254,7 @@ def unreached_marks(w: Workbooks) -> DataFrame:
 def realisations(w: Workbooks) -> DataFrame:
     """REC-09: realisations that the workbooks do not allot to lots, unless every held lot has one price."""
     open_exits = w.position_facts.filter(F.col("any_exit") & ~(~F.col("exit_unknown") & F.col("invariant")))
-    when = F.when(F.col("exit_unknown"), "carries a date that cannot be placed against this measurement date").otherwise("precedes this date")
+    when = F.when(F.col("exit_unknown"), "may lie before or after the measured day").otherwise("lies before the measured day")
     return finding(open_exits, "realisation_not_allocated_to_lots", w.subject(), F.concat(
         F.lit("an exit of "), figure(F.col("sold_shares")), F.lit(" shares "), when, F.lit(", with no word in either workbook on the lots it used up")), scope=w.scope())
 
@@ -286,8 +286,8 @@ def mark_basis(w: Workbooks) -> DataFrame:
     computed = F.when(none, F.col("cost")).when(F.col("candidates") == 1, F.col("pick.value"))
     detail = F.when(none, F.concat(F.lit("carried at "), figure(F.col("amount")), F.lit(" against "), figure(F.col("cost")), F.lit(" of cost, and not one lot gives price and count together"))).otherwise(
         F.concat(F.lit("carried at "), figure(F.col("amount")), F.lit(", which the "), figure(F.col("cost")), F.lit(" not accounted for by the cost of lots still held. "),
-                 F.when(F.coalesce(on_tracker, F.lit(False)), "It equals the cost basis the valuation tracker states. ").otherwise(""),
-                 F.when(F.col("reproduced"), "It is reproduced exactly by ").otherwise("Nor do their purchase prices: "), composition()))
+                 F.when(F.coalesce(on_tracker, F.lit(False)), "The cost on the tracker is the same figure. ").otherwise(""),
+                 F.when(F.col("reproduced"), "The figure comes out of ").otherwise("Prices paid give another figure: "), composition()))
     return finding(rows, kind, w.subject(), detail, F.col("amount"), computed, w.scope())
 
 

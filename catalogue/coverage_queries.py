@@ -34,7 +34,7 @@ def branches(fr):
 
 def result(fr):
     a = assessment(fr)
-    return coverage.answered(coverage.owed(a, branches(fr)), *coverage.evidence(a, fr["f_consideration"]))
+    return coverage.answered(coverage.owed(a, branches(fr)), *coverage.evidence(a, fr["f_consideration"], once=False))
 
 
 @query("cov_01", "SELECT * FROM {o_answered}")

@@ -1,6 +1,7 @@
 """SRC, SNK and STR: what is read, written and streamed, checked on what came out at the other end."""
 
 import dataclasses
+import re
 
 from pyspark.sql import functions as F
 
@@ -21,6 +22,37 @@ def src_01(fr):
     return ledger.fold_requirements(fr["f_claim"], fr["f_claim_requirement"].select("claim_id", "requirement")).select("claim_id", F.concat_ws(",", "requirements").alias("requirements"))
 
 
+STORED = ("fund", "holding", "period", "lot", "conversion", "mark", "claim", "claim_requirement", "fact", "gap", "component", "support", "decision", "decision_evidence", "policy_decision", "document")
+
+
+def stored_ledger(fr):
+    """A ledger as a house would hold it: a folder a table, columns as the reader's schema states them, one column more than it asks for."""
+
+    def write(path: str) -> None:
+        for name in STORED:
+            columns = [F.col(c.split()[0]).cast(c.split(None, 1)[1]).alias(c.split()[0]) for c in re.split(r", (?=[a-z])", ledger.SCHEMAS[name])]
+            fr[f"f_{name}"].select(*columns, F.lit("x").alias("not_asked_for")).write.parquet(f"{path}/{name}")
+
+    return ledger.read(fr.spark, fr.written("stored_ledger", write))
+
+
+@query("src_01_stored", " UNION ALL ".join(f"SELECT '{n}' AS table_name, count(*) AS rows FROM {{f_{n}}}" for n in STORED if n != "claim_requirement") + " UNION ALL SELECT 'requirements', count(*) FROM {f_claim_requirement}")
+def src_01_stored(fr):
+    """Every table of a stored ledger, read under its stated schema."""
+    held = stored_ledger(fr)
+    out = held.claim.agg(F.lit("requirements").alias("table_name"), F.sum(F.size("requirements")).alias("rows"))
+    for name in STORED:
+        if name != "claim_requirement":
+            out = out.unionByName(getattr(held, name).agg(F.lit(name).alias("table_name"), F.count("*").alias("rows")))
+    return out
+
+
+@query("src_01_rows", "SELECT holding_id, period_id, row_verdict, unsupported = '' AS supported FROM {o_row}")
+def src_01_rows(fr):
+    """The rows of a packet assessed from the stored ledger are those of the ledger it was written from."""
+    return rules.Assessment(stored_ledger(fr)).rows.select("holding_id", "period_id", "row_verdict", "supported")
+
+
 def incoming(fr):
     text = F.when(F.col("document_no") % 50 == 0, " \n ").otherwise(F.col("canonical_text"))
     return documents.hashed(fr["f_paged"].withColumn("canonical_text", text).withColumn("extractor", F.lit("plain")))
@@ -35,6 +67,19 @@ def src_07(fr):
     return incoming(fr).select("document_id", "content_hash", "text_length", "page_count", "refusal")
 
 
+@query("src_07_files", """SELECT source, sha256(body) AS content_hash, length(body) AS text_length, strlen(body) AS byte_size, 1 + length(body) - length(replace(body, chr(12), '')) AS page_count, CAST(NULL AS VARCHAR) AS refusal FROM (
+ SELECT source, string_agg(replace(canonical_text, chr(10), chr(12)), chr(10) ORDER BY document_no) || chr(10) AS body FROM {f_document} GROUP BY 1)""")
+def src_07_files(fr):
+    """Files of a folder, each read as one document: the texts of a source, a line each."""
+
+    def write(path: str) -> None:
+        line = F.replace("canonical_text", F.lit("\n"), F.lit("\f"))
+        fr["f_document"].select("source", "document_no", line.alias("line")).repartition("source").sortWithinPartitions("source", "document_no").select("source", "line").write.partitionBy("source").text(path)
+
+    read = documents.read_files(fr.spark, fr.written("incoming_files", write))
+    return read.select(F.regexp_extract("document_id", "/source=([^/]*)/", 1).alias("source"), "content_hash", "text_length", "byte_size", "page_count", "refusal")
+
+
 @query("src_08", """SELECT i.document_id, CASE WHEN s.h IS NOT NULL AND s.h <> i.h THEN 'collision' WHEN s.h IS NOT NULL THEN 'already_stored' WHEN i.h IN (SELECT sha256(canonical_text) FROM {f_stored_document}) THEN 'same_content_elsewhere' ELSE 'new' END AS arrival
  FROM (SELECT document_id, sha256(canonical_text) AS h FROM {f_document}) AS i LEFT JOIN (SELECT document_id, sha256(canonical_text) AS h FROM {f_stored_document}) AS s ON s.document_id = i.document_id""")
 def src_08(fr):

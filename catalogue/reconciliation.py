@@ -59,10 +59,10 @@ def money(x: str) -> str:
 
 
 COMPOSITION = (
-    f"concat_ws(', ', 'the ' || {money('shares')} || ' shares then held at the ' || CASE WHEN pick.follows THEN 'later ' ELSE '' END || pick.txt || ' purchase price of ' || CAST(CAST(pick.price AS DECIMAL(34,6)) AS VARCHAR),"
-    f" CASE WHEN unpriced <> 0 THEN 'plus ' || {money('unpriced')} || ' invested at no stated price, taken at cost' END) || ' is ' || {money('pick.value')}"
-    " || CASE WHEN repriced OR candidates > 1 OR dropped_shares <> 0 THEN ' - not a figure of any row, because ' || concat_ws('; and ', CASE WHEN repriced THEN 'it reprices shares bought at other prices and does not distinguish share classes' END,"
-    f" CASE WHEN candidates > 1 THEN candidates || ' purchases might be the latest one, this among them' END, CASE WHEN dropped_shares <> 0 THEN {money('dropped_shares')} || ' more shares have no price and are left aside' END) ELSE '' END")
+    f"concat_ws(', ', 'all ' || {money('shares')} || ' shares of the day, each at the ' || CASE WHEN pick.follows THEN 'later ' ELSE '' END || pick.txt || ' price paid, ' || CAST(CAST(pick.price AS DECIMAL(34,6)) AS VARCHAR),"
+    f" CASE WHEN unpriced <> 0 THEN 'plus ' || {money('unpriced')} || ' of purchases without a price, left at what they cost' END) || ' is ' || {money('pick.value')}"
+    " || CASE WHEN repriced OR candidates > 1 OR dropped_shares <> 0 THEN ' - a reading and no row, since ' || concat_ws('; and ', CASE WHEN repriced THEN 'one price stands for lots that cost differently, of whatever class' END,"
+    f" CASE WHEN candidates > 1 THEN candidates || ' purchases could each be the last, and this is one' END, CASE WHEN dropped_shares <> 0 THEN {money('dropped_shares')} || ' shares without a price stay out' END) ELSE '' END")
 NONE = "CAST(NULL AS VARCHAR)"
 
 F_SQL = {
@@ -86,8 +86,8 @@ F_SQL = {
     "rec_07": f"""SELECT 'holding_at_date_undecidable' AS kind, company AS subject, {NONE} AS scope, CAST(NULL AS DECIMAL(34,6)) AS stated, CAST(NULL AS DECIMAL(34,6)) AS computed, 'at ' || array_to_string(list_sort(list(DISTINCT label)), ', ') || ' one purchase date could fall on either side of the measured day, so it stays open if that lot counts' AS detail
  FROM {{o_pos}} WHERE undecidable GROUP BY fund, company""",
     "rec_08": f"""SELECT 'mark_never_compared' AS kind, m.row_label || ' · ' || m.label AS subject, {scope('m.fund', 'm.label')} AS scope, CAST(NULL AS DECIMAL(34,6)) AS stated, CAST(NULL AS DECIMAL(34,6)) AS computed, 'the tracker has a figure, but ' || CASE WHEN EXISTS (SELECT 1 FROM {{o_tranche}} AS t WHERE t.fund = m.fund AND t.company = m.company AND NOT t.is_exit AND NOT t.is_investment)
-  THEN 'every master-breakdown row for this company is of an unrecognised type' ELSE 'no master-breakdown position matched this company in this fund' END AS detail FROM {{o_cell}} AS m WHERE m.amount IS NOT NULL AND m.measured IS NOT NULL AND NOT EXISTS (SELECT 1 FROM {{o_known}} AS k WHERE k.fund = m.fund AND k.company = m.company)""",
-    "rec_09": f"""SELECT 'realisation_not_allocated_to_lots' AS kind, company || ' · ' || label AS subject, {scope('fund', 'label')} AS scope, CAST(NULL AS DECIMAL(34,6)) AS stated, CAST(NULL AS DECIMAL(34,6)) AS computed, 'an exit of ' || {money('sold')} || ' shares ' || CASE WHEN exit_unknown THEN 'carries a date that cannot be placed against this measurement date' ELSE 'precedes this date' END
+  THEN 'the breakdown rows under this name are neither purchases nor exits' ELSE 'the breakdown has nothing under this name in the fund' END AS detail FROM {{o_cell}} AS m WHERE m.amount IS NOT NULL AND m.measured IS NOT NULL AND NOT EXISTS (SELECT 1 FROM {{o_known}} AS k WHERE k.fund = m.fund AND k.company = m.company)""",
+    "rec_09": f"""SELECT 'realisation_not_allocated_to_lots' AS kind, company || ' · ' || label AS subject, {scope('fund', 'label')} AS scope, CAST(NULL AS DECIMAL(34,6)) AS stated, CAST(NULL AS DECIMAL(34,6)) AS computed, 'an exit of ' || {money('sold')} || ' shares ' || CASE WHEN exit_unknown THEN 'may lie before or after the measured day' ELSE 'lies before the measured day' END
   || ', with no word in either workbook on the lots it used up' AS detail FROM {{o_pos}} WHERE any_exit AND (exit_unknown OR NOT invariant)""",
     "rec_10": f"""SELECT 'unrecognised_period_label' AS kind, company AS subject, {NONE} AS scope, CAST(NULL AS DECIMAL(34,6)) AS stated, CAST(NULL AS DECIMAL(34,6)) AS computed, 'period label(s) ' || array_to_string(list_sort(list(DISTINCT label)), ', ') || ' cannot be read as a date' AS detail
  FROM {{o_cell}} AS m WHERE amount IS NOT NULL AND measured IS NULL AND EXISTS (SELECT 1 FROM {{o_known}} AS k WHERE k.fund = m.fund AND k.company = m.company) GROUP BY fund, company""",
@@ -95,7 +95,7 @@ F_SQL = {
  FROM {{o_all}} JOIN {{o_two_priced}} USING (fund, company) WHERE usable AND NOT {material('(amount - cost)', 'cost')} AND all_material""",
     "rec_12": f"""SELECT CASE WHEN candidates IS NOT NULL AND reproduced THEN 'mark_basis_assumes_an_unstated_treatment' ELSE 'mark_basis_not_in_workbooks' END AS kind, company || ' · ' || label AS subject, {scope('fund', 'label')} AS scope, amount AS stated, CASE WHEN candidates IS NULL THEN cost WHEN candidates = 1 THEN pick.value END AS computed,
  CASE WHEN candidates IS NULL THEN 'carried at ' || {money('amount')} || ' against ' || {money('cost')} || ' of cost, and not one lot gives price and count together' ELSE 'carried at ' || {money('amount')} || ', which the ' || {money('cost')} || ' not accounted for by the cost of lots still held. '
-  || CASE WHEN tracker_cost IS NOT NULL AND cost = lifetime AND NOT {material('(amount - tracker_cost)', 'tracker_cost')} THEN 'It equals the cost basis the valuation tracker states. ' ELSE '' END || CASE WHEN reproduced THEN 'It is reproduced exactly by ' ELSE 'Nor do their purchase prices: ' END || {COMPOSITION} END AS detail
+  || CASE WHEN tracker_cost IS NOT NULL AND cost = lifetime AND NOT {material('(amount - tracker_cost)', 'tracker_cost')} THEN 'The cost on the tracker is the same figure. ' ELSE '' END || CASE WHEN reproduced THEN 'The figure comes out of ' ELSE 'Prices paid give another figure: ' END || {COMPOSITION} END AS detail
  FROM {{o_all}} WHERE usable AND {material('(amount - cost)', 'cost')} AND (candidates IS NULL OR (candidates = 1 AND repriced) OR all_material)""",
 }
 TYPED = "SELECT kind, subject, scope, CAST(stated AS DECIMAL(34,6)) AS stated, CAST(computed AS DECIMAL(34,6)) AS computed, detail FROM ({body}) AS b"

@@ -35,12 +35,12 @@ def agg_03(fr):
     return out.select("holding_id", "period_id", *[F.coalesce(c, F.lit(False)).alias(c) for c in ("held", "realised", "has_lots")])
 
 
-@query("agg_04", """SELECT decision_id, coalesce(array_to_string(list(assessment_id ORDER BY assessment_id) FILTER (assessment_id IS NOT NULL), ','), '') AS evidence FROM (SELECT decision_id FROM {f_decision} WHERE decision_type = 'valuation') AS d
- LEFT JOIN {f_decision_evidence} USING (decision_id) GROUP BY 1""")
+@query("agg_04", """SELECT d.decision_id, e.assessment_id, CASE WHEN e.assessment_id IS NOT NULL THEN row_number() OVER (PARTITION BY d.decision_id ORDER BY e.assessment_id) END AS ordinal FROM {f_decision} AS d
+ LEFT JOIN {f_decision_evidence} AS e ON e.decision_id = d.decision_id WHERE d.decision_type = 'valuation'""")
 def agg_04(fr):
-    bound = fr["f_decision_evidence"].groupBy("decision_id").agg(F.array_sort(F.collect_list("assessment_id")).alias("evidence"))
-    return fr["f_decision"].filter("decision_type = 'valuation'").select("decision_id").join(bound, "decision_id", "left").select(
-        "decision_id", F.coalesce(F.concat_ws(",", "evidence"), F.lit("")).alias("evidence"))
+    """The assessments a decision binds, in order, a row each; a decision that binds none keeps a row that says so."""
+    bound = order.numbered(fr["f_decision_evidence"].select("decision_id", "assessment_id"), ["decision_id"], ["assessment_id"])
+    return fr["f_decision"].filter("decision_type = 'valuation'").select("decision_id").join(bound, "decision_id", "left")
 
 
 @query("agg_05", "SELECT h.holding_id, h.period_id, array_to_string(held_classes, ',') AS held, coalesce(array_to_string(list_sort(priced), ','), '') AS priced FROM {o_held} AS h LEFT JOIN {o_r2_set} AS s ON s.holding_id = h.holding_id AND s.period_id = h.period_id")

@@ -314,7 +314,7 @@ def fn_31(fr):
 GLOSSARY = (("R1", "existence and cost"), ("R2", "fair value support"))
 
 
-@query("fn_32", """SELECT r.requirement, coalesce(g.meaning, 'No definition is recorded for this code.') AS meaning, count(*) AS uses FROM {f_claim_requirement} AS r
+@query("fn_32", """SELECT r.requirement, coalesce(g.meaning, 'Nobody has said what this code means.') AS meaning, count(*) AS uses FROM {f_claim_requirement} AS r
  LEFT JOIN (SELECT * FROM (VALUES ('R1', 'existence and cost'), ('R2', 'fair value support')) AS t(code, meaning)) AS g ON g.code = r.requirement GROUP BY ALL""")
 def fn_32(fr):
     from attestor.operators import citing
