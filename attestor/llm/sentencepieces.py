@@ -3,10 +3,10 @@
 The model file is a protobuf message; its pieces, scores, model type, byte fallback and normaliser are read from the wire
 format. They are rebuilt as a tokenizers pipeline: the precompiled character map if there is one, the space marker, a
 Unigram model with the pieces' scores or a BPE model whose merges are the pairs that make up a piece, best score first. No piece holds the
-marker after another character, so a text falls into independent segments (a marker run and what follows). If a model
-has such a piece, the whole text is one segment. Distinct segments are encoded in multithreaded batches, held while memory
-allows, and compared with the SentencePiece library as they are encoded. This parity covers the pieces of segments that the rebuilt
-normaliser and cut have made, not these two themselves; ``parity`` compares whole texts, and no registered query calls it.
+marker after another character, so a text falls into independent segments, each a marker run and what follows. Where every run is one
+marker, the library's own marker cut makes them; texts with longer runs, or of a model that has such a piece, are cut here. Whole texts are
+encoded in multithreaded batches. Each whole text is encoded by the SentencePiece library too and the ids are compared, so
+parity covers normaliser, cut and merges; the ids of each whole text are decoded to bytes and compared with the normalised text.
 
 Defined cases: a null text is read as the empty text, which has no tokens. Repeated rows and null ids get a row each. An empty table gives
 no rows. Other columns are ignored, whatever their names.
@@ -28,8 +28,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from attestor.llm import texts
+
 MARKER = "▁"
-CACHED_SEGMENTS = 300_000
+BATCH_BYTES = 1 << 19
 UNIGRAM, BPE = 1, 2
 NORMAL, UNKNOWN, CONTROL, USER_DEFINED, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
 
@@ -113,7 +115,7 @@ class Codec:
     """A SentencePiece model rebuilt on the tokenizers library."""
 
     def __init__(self, path: str):
-        from tokenizers import Regex, Tokenizer, decoders, models, normalizers
+        from tokenizers import Regex, Tokenizer, decoders, models, normalizers, pre_tokenizers
 
         proto = Proto.read(path)
         self.proto = proto
@@ -136,10 +138,22 @@ class Codec:
             steps.append(normalizers.Replace(" ", MARKER))
         self.normalizer = normalizers.Sequence(steps)
         crossing = any(re.search(f"[^{MARKER}]{MARKER}", p) for p, _, kind in proto.pieces if kind in (NORMAL, USER_DEFINED))
-        self.segment = re.compile(r"(?s).+" if crossing or not proto.escape else f"{MARKER}+[^{MARKER}]*|[^{MARKER}]+")
+        self.crossing = crossing or not proto.escape
+        self.segment = re.compile(r"(?s).+" if self.crossing else f"{MARKER}+[^{MARKER}]*|[^{MARKER}]+")
+        # The same model behind the library's marker cut, for texts in which no two markers stand together.
+        self.whole = Tokenizer(model)
+        if not self.crossing:
+            self.whole.pre_tokenizer = pre_tokenizers.Metaspace(replacement=MARKER, prepend_scheme="never", split=True)
+        spelled = [_spelled(piece, kind) for piece, _, kind in proto.pieces]
+        self.spelling = np.frombuffer(b"".join(spelled), np.uint8)
+        self.spelled_to = np.cumsum([0, *map(len, spelled)])
 
     def normalized(self, text: str) -> str:
-        return self.normalizer.normalize_str(text) if text else ""
+        if self.proto.charsmap or self.proto.remove_extra or not text:
+            return self.normalizer.normalize_str(text) if text else ""
+        # Without a character map only the marker is left to do.
+        text = text.replace(" ", MARKER) if self.proto.escape else text
+        return (MARKER if self.proto.escape else " ") + text if self.proto.dummy_prefix else text
 
     def segments(self, text: str) -> list[str]:
         return self.segment.findall(self.normalized(text))
@@ -150,8 +164,25 @@ class Codec:
     def decode_segments(self, ids: list[list[int]]) -> list[str]:
         return self.tokenizer.decode_batch(ids, skip_special_tokens=False)
 
+    def encode_batch(self, normal: list[str]) -> list[list[int]]:
+        """Ids of normalised texts."""
+        plain = [i for i, text in enumerate(normal) if text and (self.crossing or MARKER * 2 not in text)]
+        out: list[list[int]] = [[] for _ in normal]
+        for i, encoding in zip(plain, self.whole.encode_batch_fast([normal[i] for i in plain], add_special_tokens=False), strict=True):
+            out[i] = encoding.ids
+        for i in set(range(len(normal))).difference(plain):
+            if normal[i]:
+                out[i] = [t for ids in self.encode_segments(self.segment.findall(normal[i])) for t in ids]
+        return out
+
     def encode(self, text: str) -> list[int]:
-        return [i for ids in self.encode_segments(self.segments(text)) for i in ids]
+        return self.encode_batch([self.normalized(text)])[0]
+
+    def spell(self, ids: np.ndarray) -> bytes:
+        """The bytes that a row of ids stands for, markers as blanks."""
+        starts, counts = self.spelled_to[ids], self.spelled_to[ids + 1] - self.spelled_to[ids]
+        ends = np.cumsum(counts)
+        return self.spelling[np.repeat(starts - (ends - counts), counts) + np.arange(ends[-1] if len(ends) else 0)].tobytes()
 
     def decode(self, ids: list[int]) -> str:
         return self.stripped(self.tokenizer.decode(ids, skip_special_tokens=False)) if ids else ""
@@ -160,39 +191,22 @@ class Codec:
         return text[1:] if self.proto.dummy_prefix and text.startswith(" ") else text
 
 
+def _spelled(piece: str, kind: int) -> bytes:
+    return bytes([int(piece[3:5], 16)]) if kind == BYTE else piece.replace(MARKER, " ").encode()
+
+
 class Held:
-    """Ids, decoded text and parity of the distinct segments of a task."""
+    """The rebuilt model and the SentencePiece library's own, for one another."""
 
     def __init__(self, path: str):
         from sentencepiece import SentencePieceProcessor
 
         self.codec, self.original = Codec(path), SentencePieceProcessor(model_file=path)
-        self.held: dict[str, tuple[bytes, str, bool]] = {}
-
-    def _same(self, segment: str, ids: list[int]) -> bool:
-        plain = segment.replace(MARKER, " ") if self.codec.proto.escape else segment
-        if self.codec.proto.dummy_prefix:
-            plain = plain[1:]
-        if not plain:  # SentencePiece adds no marker to nothing
-            return ids == [self.original.piece_to_id(segment)]
-        return self.original.encode(plain) == ids
-
-    def of(self, texts: list[str]) -> Iterator[list[tuple[bytes, str, bool]]]:
-        split = [self.codec.segments(t) for t in texts]
-        wanted = {s for own in split for s in own}
-        if len(self.held) + len(wanted) > CACHED_SEGMENTS:
-            self.held.clear()
-        fresh = list(wanted - self.held.keys())
-        ids = self.codec.encode_segments(fresh)
-        for segment, own, text in zip(fresh, ids, self.codec.decode_segments(ids), strict=True):
-            self.held[segment] = (np.array(own, "<u4").tobytes(), text, self._same(segment, own))
-        for own in split:
-            yield [self.held[s] for s in own]
 
 
 @lru_cache(maxsize=1)
-def segments_held(path: str) -> Held:
-    """One store of segments for all tasks of a Python worker."""
+def models_held(path: str) -> Held:
+    """One pair of models for all tasks of a Python worker."""
     return Held(path)
 
 
@@ -206,22 +220,23 @@ def encode(docs: DataFrame, model: str | None = None, with_ids: bool = True) ->
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "true")
         os.environ.setdefault("RAYON_NUM_THREADS", "2")
-        held = segments_held(path)
+        held = models_held(path)
         codec = held.codec
         for batch in batches:
-            for a in range(0, batch.num_rows, 256):
-                part = batch.slice(a, 256)
+            for a, b, _, _ in texts.chunks(batch.column("text"), BATCH_BYTES):
+                part = batch.slice(a, b - a)
                 whole = [t or "" for t in part.column("text").to_pylist()]
+                normal = [codec.normalized(t) for t in whole]
+                encoded, originals = codec.encode_batch(normal), held.original.encode(whole, num_threads=2)
                 ids, n, crc, back, same = [], [], [], [], []
-                for text, own in zip(whole, held.of(whole), strict=True):
-                    joined = b"".join([s[0] for s in own])
-                    n.append(len(joined) // 4)
-                    crc.append(zlib.crc32(joined))
-                    normal = codec.normalized(text).replace(MARKER, " ") if codec.proto.charsmap or codec.proto.remove_extra or MARKER in text else " " * codec.proto.dummy_prefix + text
-                    back.append("".join([s[1] for s in own]) == normal or not text)
-                    same.append(all([s[2] for s in own]))
+                for text, own, original in zip(normal, encoded, originals, strict=True):
+                    row = np.array(own, "<u4")
+                    n.append(len(row))
+                    crc.append(zlib.crc32(row.tobytes()))
+                    back.append(codec.spell(row.astype(np.int64)) == (text.replace(MARKER, " ") if codec.proto.escape else text).encode())
+                    same.append(own == original)
                     if with_ids:
-                        ids.append(np.frombuffer(joined, "<i4"))
+                        ids.append(row.astype(np.int32))
                 columns = [pa.array(ids, pa.list_(pa.int32()))] if with_ids else []
                 columns += [pa.array(n, pa.int64()), pa.array(crc, pa.int64()), pa.array(back, pa.bool_()), pa.array(same, pa.bool_())]
                 yield pa.RecordBatch.from_arrays([part.column("doc_id"), *columns], [f.name for f in schema.fields])
