@@ -3,7 +3,8 @@
 Words are `[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+` after lowering A-Z; the search text is the words joined by one blank. A
 notice that may have k edits is cut into k + 1 pieces; one of them must stand exactly (pigeonhole), so only the places
 around exact pieces are candidates. The regex library then verifies each candidate within k edits and
-the span is told in words and in characters of the whole text.
+the span is told in words and in characters of the whole text. A verified place begins and ends with whole words,
+no word in it tells another licence, short codes stand in it as they are, and of notices that overlap the one with the fewest edits counts, of equals the longest.
 
 Defined cases: a null text is read as the empty text: no words, no labels, score 0. A phrase is counted at each place where
 its words begin. Repeated rows and null ids give a row each; other columns are ignored, whatever their names.
@@ -35,6 +36,13 @@ NOTICES = (
     ("gnu affero general public license", "agpl"),
     ("licensed under cc by nc 4 0", "cc-by-nc"),
     ("creative commons attribution noncommercial", "cc-by-nc"),
+    ("licensed under cc by nd 4 0", "cc-by-nd"),
+    ("creative commons attribution noderivatives", "cc-by-nd"),
+    ("licensed under cc by nc sa 4 0", "cc-by-nc-sa"),
+    ("creative commons attribution noncommercial sharealike", "cc-by-nc-sa"),
+    ("licensed under cc by nc nd 4 0", "cc-by-nc-nd"),
+    ("creative commons attribution noncommercial noderivatives", "cc-by-nc-nd"),
+    ("creative commons attribution sharealike", "cc-by-sa"),
     ("licensed under cc by sa 4 0", "cc-by-sa"),
     ("licensed under cc by 4 0", "cc-by"),
     ("creative commons attribution 4 0 international", "cc-by"),
@@ -43,6 +51,10 @@ NOTICES = (
     ("permission to use copy modify and or distribute this software", "isc"),
     ("this is free and unencumbered software released into the public domain", "unlicense"),
 )
+# Words that tell licences apart. The short ones must stand as they are, since one edit makes another of them; a long one may be
+# misspelt, but none may stand where another licence is meant.
+CODES = frozenset(b"cc by nc nd sa".split())
+TELLING = CODES | frozenset(b"mit apache lesser affero noncommercial noderivatives sharealike mozilla".split())
 #: One edit for so many characters of a notice.
 CHARACTERS_PER_EDIT = 14
 
@@ -56,6 +68,7 @@ class Notice:
         self.edits = max(1, len(text) // CHARACTERS_PER_EDIT)
         cuts = [round(i * len(text) / (self.edits + 1)) for i in range(self.edits + 2)]
         self.pieces = [(self.text[a:b], a) for a, b in zip(cuts[:-1], cuts[1:], strict=True)]
+        self.codes = [w for w in self.text.split() if w in CODES]
         self.pattern = regex.compile(rb"(?e)(?:" + regex.escape(self.text) + rb"){e<=" + str(self.edits).encode() + rb"}")
 
     def matches(self, words: bytes) -> list[tuple[int, int, int]]:
@@ -77,10 +90,44 @@ class Notice:
         for a, b in merged:
             b = min(b, len(words))
             while a < b and (m := self.pattern.search(words, a, b)):
-                out.append((m.start(), m.end(), sum(m.fuzzy_counts)))
+                place = self.whole(words, m.start(), m.end())
+                if place:
+                    out.append(place)
                 a = max(m.end(), a + 1)
         return out
 
+    def whole(self, words: bytes, a: int, b: int) -> tuple[int, int, int] | None:
+        """The place as whole words, a word cut at either end taken in or left out, whichever needs fewer edits; none where that
+        takes too many, a short code is not as it should be, or another licence's word stands in it."""
+        a, b = a + len(words[a:b]) - len(words[a:b].lstrip()), a + len(words[a:b].rstrip())
+        before, behind = words.rfind(b" ", 0, a) + 1, words.find(b" ", b)
+        begins = {before} if before == a else {before, words.find(b" ", a) + 1}
+        ends = {len(words) if behind < 0 else behind}
+        if b not in ends:
+            ends.add(words.rfind(b" ", 0, b))
+        best = None
+        for begin in sorted(begins):
+            for end in sorted(ends):
+                own = words[begin:end]
+                if begin >= end or abs(len(own) - len(self.text)) > self.edits:
+                    continue
+                parts = own.split()
+                if [w for w in parts if w in CODES] != self.codes or TELLING.intersection(parts).difference(self.text.split()):
+                    continue
+                m = self.pattern.fullmatch(own)
+                if m and (best is None or sum(m.fuzzy_counts) < best[2]):
+                    best = (begin, end, sum(m.fuzzy_counts))
+        return best
+
+
+def foremost(found: list[tuple]) -> list[tuple]:
+    """Of (notice, start, end, edits) that overlap, those with the fewest edits, of equals the longest."""
+    out: list[tuple] = []
+    for place in sorted(found, key=lambda x: (x[3], x[1] - x[2], x[1], x[0].label)):
+        if all(place[2] <= other[1] or other[2] <= place[1] for other in out):
+            out.append(place)
+    return sorted(out, key=lambda x: (x[1], x[2]))
+
 
 _NOTICES = [Notice(*n) for n in NOTICES]
 _PHRASES = [(p.encode().split(), label) for p, label in PHRASES.items()]
@@ -99,7 +146,7 @@ def scan_text(text: str) -> tuple[int, list[tuple[int, str]], list[tuple[str, in
                     if i + 1 >= len(phrase) and words[i + 1 - len(phrase) : i + 1] == phrase:
                         base.append((i + 1 - len(phrase), label))
     joined = b" ".join(words)
-    found = [(n, *m) for n in _NOTICES for m in n.matches(joined)]
+    found = foremost([(n, *m) for n in _NOTICES for m in n.matches(joined)])
     notices = []
     if found:
         places = [m.span() for m in _WORD.finditer(low)]

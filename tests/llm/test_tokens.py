@@ -134,6 +134,21 @@ def test_fuzzy_notices_and_their_spans():
     assert labels["cc-by-nc"][2] == 1
 
 
+@pytest.mark.parametrize(("text", "want"), [
+    ("licensed under CC BY-ND 4.0", ["cc-by-nd"]), ("unlicensed under cc by 4.0", []), ("licensed under CC BY-NC 4.0", ["cc-by-nc"]), ("Licensed under CC BY-NC-SA 4.0.", ["cc-by-nc-sa"]),
+    ("licensd under CC BY 4.0", ["cc-by"]), ("licensed under CC BX 4.0", []), ("Creative Commons Attribution-NonCommercial-NoDerivatives 4.0", ["cc-by-nc-nd"]), ("GNU Lesser General Public License", ["lgpl"]),
+    ("licensed under the GNU General Public Licenses", ["gpl"]), ("licensed under the gnu affero general public license", ["agpl"]), ("sublicensed under cc by sa 4 0", []), ("a plain text about nothing", []),
+    ("the cc list is licensed to nobody", []), ("Mozilla Public Licence Version 2.0", ["mpl"])])
+def test_a_notice_gets_its_own_label_and_no_siblings(text, want):
+    assert sorted({label for label, *_ in licences.scan_text(text)[2]}) == want
+
+
+def test_of_overlapping_notices_the_nearest_counts():
+    notices = {n.text.decode(): n for n in licences._NOTICES}
+    exact, sibling = notices["creative commons attribution noncommercial noderivatives"], notices["creative commons attribution noncommercial"]
+    assert licences.foremost([(sibling, 0, 42, 0), (exact, 0, 56, 0), (sibling, 60, 100, 2)]) == [(exact, 0, 56, 0), (sibling, 60, 100, 2)]
+
+
 def test_seeds_lose_no_place():
     """Every place that a plain bounded-error search finds is in a window around an exact piece."""
     rng = random.Random(12)
