@@ -26,18 +26,30 @@ UNDETERMINED = "und"
 ORDER = 4
 BUDGET_BYTES = 4 << 20
 FOLDS, HELD_OUT = 5, 0
-#: What a code costs that knows no language; a text that costs more bits a byte in every language is in none of them.
-MOST_BITS = 8.0
+MOST_LANGUAGES = 200
+SCORE_BYTES = 1 << 18
+#: A text is in none of the languages if it costs this much more a byte than all but one in a hundred of the texts learned from.
+REJECT_FACTOR, REJECT_QUANTILE = 1.5, 0.99
 
 
-def sample(docs: DataFrame, budget_bytes: int = BUDGET_BYTES) -> DataFrame:
-    """Whole labelled texts outside the held-out fold, thinned by a hash of the id to about ``budget_bytes`` a language."""
+def sample(docs: DataFrame, budget_bytes: int = BUDGET_BYTES, most_languages: int = MOST_LANGUAGES) -> DataFrame:
+    """Whole labelled texts outside the held-out fold, thinned by a hash of the id to about ``budget_bytes`` a language.
+
+    Texts above a sixteenth of the budget are passed over, so none of them stands for a language; where the others do not
+    fill the budget, the one of them with the least hash is taken too. Of the values of ``lang`` the ``most_languages`` with the most text
+    are learned, so a column of dirty values ends nothing.
+    """
+    size = F.octet_length("text").cast("long")
     rows = docs.select("doc_id", "text", "lang").where(
         F.col("text").isNotNull() & F.col("lang").isNotNull() & (texts.fold("doc_id", FOLDS) != HELD_OUT)
     )
-    share = rows.groupBy("lang").agg((F.lit(float(budget_bytes)) / F.greatest(F.sum(F.octet_length("text")), F.lit(1))).alias("_share"))
-    draw = F.pmod(F.xxhash64(F.lit("language"), "doc_id"), F.lit(1 << 20)) / F.lit(float(1 << 20))
-    return rows.join(F.broadcast(share), "lang").where(draw < F.col("_share")).select("lang", "text")
+    draw = F.pmod(F.xxhash64(F.lit("language"), "doc_id"), F.lit(1 << 40)) / F.lit(float(1 << 40))
+    rows = rows.withColumn("_draw", draw).withColumn("_small", size * 16 <= budget_bytes)
+    share = rows.groupBy("lang").agg(
+        F.sum(size).alias("_bytes"), F.coalesce(F.sum(F.when(F.col("_small"), size)), F.lit(0)).alias("_fit"), F.min(F.when(~F.col("_small"), F.col("_draw"))).alias("_least"))
+    share = share.orderBy(F.desc("_bytes"), "lang").limit(most_languages)
+    taken = F.when(F.col("_small"), F.col("_draw") * F.col("_fit") < budget_bytes).otherwise((F.col("_fit") < budget_bytes) & (F.col("_draw") == F.col("_least")))
+    return rows.join(F.broadcast(share), "lang").where(taken).select("lang", "text")
 
 
 def _gram_counts(order: int):
@@ -62,12 +74,37 @@ def _gram_counts(order: int):
 
 
 class Model:
-    def __init__(self, languages: list[str], scorer: ppm.Scorer | None):
-        self.languages, self.scorer = languages, scorer
+    """Tries of the languages, and the bits a byte above which a text is in none of them (learned where it is asked for)."""
+
+    def __init__(self, languages: list[str], scorer: ppm.Scorer | None, most_bits: float | None = None):
+        self.languages, self.scorer, self.most_bits = languages, scorer, most_bits
 
 
 def train(docs: DataFrame, order: int = ORDER, budget_bytes: int = BUDGET_BYTES) -> Model:
-    counts = cut_lineage(sample(docs, budget_bytes).mapInArrow(_gram_counts(order), "lang string, key bigint, n bigint").groupBy("lang", "key").agg(F.sum("n").alias("n")))
+    return _learned(sample(docs, budget_bytes), order)
+
+
+def train_to_reject(docs: DataFrame, order: int = ORDER, budget_bytes: int = BUDGET_BYTES) -> Model:
+    """The model with a threshold learned from the texts it was learned from."""
+    own = cut_lineage(sample(docs, budget_bytes))
+    model = _learned(own, order)
+    sent = docs.sparkSession.sparkContext.broadcast(model)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        scorer = sent.value.scorer
+        for batch in batches:
+            for _, _, data, offsets in texts.chunks(batch.column("text"), SCORE_BYTES) if scorer else ():
+                sizes = np.diff(offsets)
+                rate = scorer.texts(data, offsets, ends=False).min(axis=1)[sizes > 0] / sizes[sizes > 0]
+                yield pa.RecordBatch.from_arrays([pa.array(rate, pa.float64())], ["rate"])
+
+    usual = own.select("text").mapInArrow(texts.tidied(run), "rate double").agg(F.percentile_approx("rate", REJECT_QUANTILE, 10_000)).first()[0]
+    model.most_bits = None if usual is None else REJECT_FACTOR * usual
+    return model
+
+
+def _learned(own: DataFrame, order: int) -> Model:
+    counts = cut_lineage(own.mapInArrow(texts.tidied(_gram_counts(order)), "lang string, key bigint, n bigint").groupBy("lang", "key").agg(F.sum("n").alias("n")))
     languages = sorted(r["lang"] for r in counts.select("lang").distinct().collect())
     tries = []
     for lang in languages:  # one at a time, so the driver never holds more than one table of counts
@@ -89,7 +126,7 @@ def predict(docs: DataFrame, model: Model) -> DataFrame:
             letters = batch.column("letters").to_numpy(zero_copy_only=False).astype(bool)
             n = batch.num_rows
             best, score, rate = np.full(n, len(names) - 1), np.zeros(n), np.full(n, np.nan)
-            for a, b, data, offsets in texts.chunks(batch.column("text")) if model.scorer else ():
+            for a, b, data, offsets in texts.chunks(batch.column("text"), SCORE_BYTES) if model.scorer else ():
                 bits = model.scorer.texts(data, offsets, ends=False)
                 at = bits.argmin(axis=1)
                 least = bits[np.arange(b - a), at]
@@ -110,17 +147,29 @@ def identify(docs: DataFrame, order: int = ORDER, budget_bytes: int = BUDGET_BYT
     return predict(docs, train(docs, order, budget_bytes))
 
 
-def accepted(docs: DataFrame, model: Model, most_bits: float = MOST_BITS) -> DataFrame:
-    """The rows, with all their columns, whose text has a letter and costs at most ``most_bits`` a byte in its best language."""
+def accepted(docs: DataFrame, model: Model) -> DataFrame:
+    """The rows, with all their columns, whose text has a letter and costs no more a byte in its best language than the model allows.
+
+    A row without a ``lang`` is handed on with the language found for it; a stated one stays.
+    """
     sent = docs.sparkSession.sparkContext.broadcast(model)
+    columns = docs.columns
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        scorer = sent.value.scorer
+        model = sent.value
+        names = np.array(model.languages, object)
         for batch in batches:
             column = batch.column("text")
-            keep = pc.match_substring_regex(column.fill_null(""), r"\pL").to_numpy(zero_copy_only=False)
-            for a, b, data, offsets in texts.chunks(column) if scorer else ():
-                keep[a:b] &= scorer.texts(data, offsets, ends=False).min(axis=1) <= most_bits * np.diff(offsets)
-            yield batch.filter(pa.array(keep & (scorer is not None)))
-
-    return docs.mapInArrow(run, docs.schema)
+            keep = pc.match_substring_regex(column.fill_null(""), r"\pL").to_numpy(zero_copy_only=False) & (model.scorer is not None)
+            best = np.zeros(batch.num_rows, np.int64)
+            for a, b, data, offsets in texts.chunks(column, SCORE_BYTES) if model.scorer else ():
+                bits = model.scorer.texts(data, offsets, ends=False)
+                best[a:b] = bits.argmin(axis=1)
+                if model.most_bits is not None:
+                    keep[a:b] &= bits.min(axis=1) <= model.most_bits * np.diff(offsets)
+            if model.scorer is not None:
+                told = pc.coalesce(batch.column("lang"), pa.array(names[best], pa.string()).cast(batch.column("lang").type))
+                batch = batch.set_column(columns.index("lang"), batch.schema.field("lang"), told)
+            yield batch.filter(pa.array(keep))
+
+    return docs.mapInArrow(texts.tidied(run), docs.schema)

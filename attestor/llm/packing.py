@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from attestor.llm import texts
-from attestor.llm.wordids import WordIds, default_vocabulary, word_ids  # noqa: F401
+from attestor.llm.wordids import WordIds, default_vocabulary
 from attestor.session import cut_lineage
 
 CAPACITY = 4096
@@ -40,7 +40,7 @@ def pieces(docs: DataFrame, vocabulary: str | None = None, capacity: int = CAPAC
     end = np.array([END_ID], "<u4").tobytes()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ids_of = word_ids(vocabulary)
+        ids_of = WordIds(vocabulary)  # for this task alone: workers of a pipeline live on, and the table would too
         for batch in batches:
             for a, _, data, offsets in texts.chunks(batch.column("text"), CHUNK_BYTES):
                 ids, bounds = ids_of.encode(data, offsets)
@@ -58,7 +58,7 @@ def pieces(docs: DataFrame, vocabulary: str | None = None, capacity: int = CAPAC
                     [batch.column("doc_id").take(pa.array(owner, pa.int64())), pa.array(piece, pa.int32()), pa.array(start, pa.int64()), pa.array(length, pa.int64()), pa.array(crc, pa.int64())],
                     [f.name for f in schema.fields])
 
-    return docs.select("doc_id", "text").mapInArrow(run, schema).withColumn("row", F.monotonically_increasing_id())
+    return docs.select("doc_id", "text").mapInArrow(texts.tidied(run), schema).withColumn("row", F.monotonically_increasing_id())
 
 
 def fullest(counts: list[int], room: int, longest: int) -> list[tuple[int, int]]:

@@ -17,7 +17,7 @@ import numpy as np
 from attestor.llm import texts
 
 SLOTS = 1 << 20
-HELD_IDS = 1 << 23
+HELD_IDS = 1 << 22
 
 # The normaliser and the cut pattern that `_cuts` finds on bytes.
 NORMALIZER = {"type": "Sequence", "normalizers": [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": "\\s+"}, "content": " "}, {"type": "Lowercase"}]}
