@@ -142,26 +142,45 @@ def replay(proposals: DataFrame, recorded: DataFrame, texts: DataFrame, key: str
     return bound.unionByName(left, allowMissingColumns=True)
 
 
-GRAM = 6
+GRAM, WORDS = 6, 3
 
 
-def sentence_for_fragment(fragments: DataFrame, documents: DataFrame, gram: int = GRAM) -> DataFrame:
+def sentence_for_fragment(fragments: DataFrame, documents: DataFrame, gram: int = GRAM, words: int = WORDS) -> DataFrame:
     """CIT-08: a fragment must fall in exactly one distinct sentence; an empty fragment falls in none.
 
-    Sentences are indexed by their runs of ``gram`` characters. Every sentence that holds a fragment holds the rarest run of
-    it, so only sentences with that run are looked at; a fragment shorter than a run is its own anchor and makes the index
-    hold runs of its length too. Runs that no fragment asks for go nowhere, and texts are read again for candidates only.
+    A fragment's words but its first and last are whole words of every sentence that holds it. Sentences are indexed by the hashes
+    of their runs of ``words`` words, and a fragment is looked for where the rarest of its own runs stands. A fragment with
+    fewer whole words is found by runs of ``gram`` characters, one shorter than that by itself; the index holds the kinds and
+    lengths of runs that some fragment needs. Runs that no fragment asks for are dropped as soon as they are met, and texts are
+    read again for candidates only.
     """
-    runs = lambda column, n: F.regexp_extract_all(column, F.lit(rf"(?s)(?=(.{{{n}}}))"), F.lit(1))
-    named = fragments.filter(F.length("fragment") > 0).select("fragment_id", "fragment", F.least(F.length("fragment"), F.lit(gram)).alias("size"))
-    sizes = sorted(r["size"] for r in named.select("size").distinct().collect())  # at most ``gram`` of them
+    slide = lambda column, n: F.regexp_extract_all(column, F.lit(rf"(?s)(?=(.{{{n}}}))"), F.lit(1))
+    phrases = lambda of: F.transform(F.sequence(F.lit(1), F.size(of) - words + 1), lambda i: F.array_join(F.slice(of, i, words), " "))
+    whole = F.split("fragment", " ")
+    inner = F.slice(whole, 2, F.greatest(F.size(whole) - 2, F.lit(0)))
+    size = F.when(F.size(inner) >= words, F.lit(0)).otherwise(F.least(F.length("fragment"), F.lit(gram)))
+    named = fragments.filter(F.length("fragment") > 0).select("fragment_id", "fragment", inner.alias("inner"), size.alias("size"))
+    sizes = sorted(r["size"] for r in named.select("size").distinct().collect())  # 0 for words, and at most ``gram`` more
+    hashed = lambda runs, n: F.transform(runs, lambda r: F.xxhash64(F.lit(n), r))
+    none = F.array().cast("array<bigint>")
+
+    def runs(column: str, n: int) -> Column:
+        if n:
+            return hashed(slide(column, n), n)
+        of = F.split(column, " ")
+        return F.when(F.size(of) >= words, hashed(phrases(of), 0)).otherwise(none)
+
     lines = documents.select(F.explode(S.sentences(F.col("canonical_text"))).alias("sentence")).withColumn("at", F.xxhash64("sentence"))
-    index = lines.select("at", F.explode(F.array_distinct(F.flatten(F.array(*[runs("sentence", n) for n in sizes])) if sizes else F.array().cast("array<string>"))).alias("run"))
-    own = F.when(F.col("size") < gram, F.array("fragment")).otherwise(runs("fragment", gram))
+    index = lines.select("at", F.explode(F.array_distinct(F.flatten(F.array(*[runs("sentence", n) for n in sizes])) if sizes else none)).alias("run"))
+    own = F.when(F.col("size") == 0, hashed(phrases(F.col("inner")), 0))
+    for n in sizes:
+        if n:
+            own = own.when(F.col("size") == n, runs("fragment", n))
     asked = named.select("fragment_id", F.explode(F.array_distinct(own)).alias("run"))
-    frequency = index.join(asked.select("run").distinct(), "run", "left_semi").groupBy("run").agg(F.count("*").alias("sentences_with"))
+    met = cut_lineage(index.join(asked.select("run").distinct(), "run", "left_semi").distinct())
+    frequency = met.groupBy("run").agg(F.count("*").alias("sentences_with"))
     anchors = asked.join(frequency, "run", "left").groupBy("fragment_id").agg(F.min_by("run", F.struct(F.coalesce("sentences_with", F.lit(0)), "run")).alias("run"))
-    candidates = index.join(anchors, "run").select("fragment_id", "at").distinct()
+    candidates = met.join(anchors, "run").select("fragment_id", "at").distinct()
     texts = lines.join(candidates.select("at").distinct(), "at", "left_semi").distinct()
     hit = candidates.join(texts, "at").join(named.select("fragment_id", "fragment"), "fragment_id").filter(F.contains(F.col("sentence"), F.col("fragment")))
     found = hit.groupBy("fragment_id").agg(F.countDistinct("sentence").alias("sentences"), F.min("sentence").alias("sentence"))
