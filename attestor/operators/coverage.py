@@ -90,11 +90,14 @@ def missing_vocabulary(facts: DataFrame, values: DataFrame | None = None) -> Dat
     return values.join(vocabulary(facts), ["dimension", "value"], "left_anti").groupBy("limb").agg(F.array_sort(F.collect_set("value")).alias("missing"))
 
 
-def indistinguishable(limbs: DataFrame, values: DataFrame) -> DataFrame:
+def indistinguishable(limbs: DataFrame, values: DataFrame, said_of: DataFrame | None = None) -> DataFrame:
     """COV-05: limbs of one scope whose whole predicates are the same, so one record would answer all of them.
 
-    Predicates are compared as they are written, also in words that occur nowhere.
+    With ``said_of`` (dimension, value) predicates are compared in the words that the ledger says of some position; without it as they
+    are written, also in words that occur nowhere.
     """
+    if said_of is not None:
+        values = values.join(said_of.select("dimension", "value").distinct(), ["dimension", "value"], "left_semi")
     said = values.groupBy("limb").agg(F.array_sort(F.collect_set(F.concat_ws("=", "dimension", "value"))).alias("predicate"))
     grouped = limbs.select("limb", "scope").join(said, "limb").groupBy("scope", "predicate").agg(F.array_sort(F.collect_set("limb")).alias("limbs"))
     return grouped.filter(F.size("limbs") > 1)

@@ -82,9 +82,12 @@ def cov_04_standing(fr):
     return told.select("limb", "standing", F.concat_ws("; ", "reasons").alias("reasons"), "owed", "answered")
 
 
-@query("cov_05", "SELECT scope, string_agg(limb, ',' ORDER BY limb) AS limbs FROM {o_predicate} GROUP BY scope, p HAVING count(*) > 1")
+@query("cov_05", """SELECT scope, array_to_string(list(limb ORDER BY limb), ',') AS limbs FROM (SELECT l.limb, l.scope, string_agg(v.dimension || '=' || v.value, ';' ORDER BY v.dimension || '=' || v.value) AS p FROM {d_limb_more} AS l JOIN {d_limb_value_more} AS v ON v.limb = l.limb
+ WHERE EXISTS (SELECT 1 FROM {o_ev_position} AS e WHERE e.dimension = v.dimension AND e.value = v.value) GROUP BY 1, 2) GROUP BY scope, p HAVING count(*) > 1""")
 def cov_05(fr):
-    return coverage.indistinguishable(*coverage.limb_rows(fr.spark, LIMBS)).select("scope", F.concat_ws(",", "limbs").alias("limbs"))
+    """Limbs that the words said of some position cannot tell apart: a word nobody says tells nothing apart."""
+    by_position, _ = coverage.evidence(assessment(fr), fr["f_consideration"], once=False)
+    return coverage.indistinguishable(*coverage.limb_rows(fr.spark, LIMBS), by_position).select("scope", F.concat_ws(",", "limbs").alias("limbs"))
 
 
 @query("cov_06", "SELECT limb, fund_id, count(*) FILTER (answered) AS answered, count(*) AS owed, count(DISTINCT CASE WHEN answered THEN a.holding_id END) AS companies_answered FROM {o_answered} AS a JOIN {f_holding} AS h ON h.holding_id = a.holding_id GROUP BY 1, 2")
