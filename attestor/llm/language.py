@@ -1,7 +1,7 @@
 """Language identification: one byte-context trie per language, the shortest exact code length wins.
 
 Each language's statistics come from a sample of whole labelled texts of about ``budget_bytes`` (a documented bound, so the
-tries can be sent to the executors); every document is scored whole under each frozen trie.
+tries can be sent to the executors), or without a budget from all of them; every document is scored whole under each frozen trie.
 
 Defined cases: a null text, or one without any letter, is ``und`` with score 0 and no code length. Ties go to the language
 that sorts first. Repeated rows get equal rows. Without any labelled text every document is ``und``. Other columns of the
@@ -32,8 +32,8 @@ SCORE_BYTES = 1 << 18
 REJECT_FACTOR, REJECT_QUANTILE = 1.5, 0.99
 
 
-def sample(docs: DataFrame, budget_bytes: int = BUDGET_BYTES, most_languages: int = MOST_LANGUAGES) -> DataFrame:
-    """Whole labelled texts outside the held-out fold, thinned by a hash of the id to about ``budget_bytes`` a language.
+def sample(docs: DataFrame, budget_bytes: int | None = BUDGET_BYTES, most_languages: int = MOST_LANGUAGES) -> DataFrame:
+    """Whole labelled texts outside the held-out fold, thinned by a hash of the id to about ``budget_bytes`` a language (None: all).
 
     Texts above a sixteenth of the budget are passed over, so none of them stands for a language; where the others do not
     fill the budget, the one of them with the least hash is taken too. Of the values of ``lang`` the ``most_languages`` with the most text
@@ -43,6 +43,9 @@ def sample(docs: DataFrame, budget_bytes: int = BUDGET_BYTES, most_languages: in
     rows = docs.select("doc_id", "text", "lang").where(
         F.col("text").isNotNull() & F.col("lang").isNotNull() & (texts.fold("doc_id", FOLDS) != HELD_OUT)
     )
+    if budget_bytes is None:
+        share = rows.groupBy("lang").agg(F.sum(size).alias("_bytes")).orderBy(F.desc("_bytes"), "lang").limit(most_languages)
+        return rows.join(F.broadcast(share), "lang").select("lang", "text")
     draw = F.pmod(F.xxhash64(F.lit("language"), "doc_id"), F.lit(1 << 40)) / F.lit(float(1 << 40))
     rows = rows.withColumn("_draw", draw).withColumn("_small", size * 16 <= budget_bytes)
     share = rows.groupBy("lang").agg(
@@ -84,9 +87,9 @@ def train(docs: DataFrame, order: int = ORDER, budget_bytes: int = BUDGET_BYTES)
     return _learned(sample(docs, budget_bytes), order)
 
 
-def train_to_reject(docs: DataFrame, order: int = ORDER, budget_bytes: int = BUDGET_BYTES) -> Model:
-    """The model with a threshold learned from the texts it was learned from."""
-    own = cut_lineage(sample(docs, budget_bytes))
+def train_to_reject(docs: DataFrame, order: int = ORDER, budget_bytes: int | None = None) -> Model:
+    """The model with a threshold learned from the texts it was learned from: all labelled ones outside the held-out fold."""
+    own = sample(docs, budget_bytes)
     model = _learned(own, order)
     sent = docs.sparkSession.sparkContext.broadcast(model)
 
