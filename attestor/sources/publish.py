@@ -80,13 +80,15 @@ def evidence_folders(members: DataFrame, documents: DataFrame, name: str, slices
     """SNK-05: one folder per position; a position without documents gets a note saying so.
 
     ``members``: holding_id and the folder that the path plan gives it. ``slices`` bounds the files per folder and lets a
-    position with very many documents be written by several tasks.
+    position with very many documents be written by several tasks. Tasks put their files in place themselves; moving the files of
+    all positions one by one would be the driver's work. The path is handed on only when all are written.
     """
     full = members.join(documents, "holding_id", "left").withColumn(
         "note", F.when(F.col("document_id").isNull(), "no document of this position is on file"))
     path = staging_path(members.sparkSession, f"evidence-{name}")
     spread = F.pmod(F.xxhash64(F.coalesce("document_id", F.lit(""))), F.lit(slices))
-    full.repartition(F.col("folder"), spread).sortWithinPartitions("folder").write.partitionBy("folder").parquet(path)
+    dealt = full.repartition(F.col("folder"), spread).sortWithinPartitions("folder")
+    dealt.write.option("mapreduce.fileoutputcommitter.algorithm.version", "2").partitionBy("folder").parquet(path)
     return path
 
 
