@@ -5,7 +5,7 @@ format. They are rebuilt as a tokenizers pipeline: the precompiled character map
 Unigram model with the pieces' scores or a BPE model whose merges are the pairs that make up a piece, best score first. No piece holds the
 marker after another character, so a text falls into independent segments, each a marker run and what follows. Where every run is one
 marker, the library's own marker cut makes them; texts with longer runs, or of a model that has such a piece, are cut here. Whole texts are
-encoded in multithreaded batches. Each whole text is encoded by the SentencePiece library too and the ids are compared, so
+encoded in batches, by one thread a task. Each whole text is encoded by the SentencePiece library too and the ids are compared, so
 parity covers normaliser, cut and merges; the ids of each whole text are decoded to bytes and compared with the normalised text.
 
 Defined cases: a null text is read as the empty text, which has no tokens. Repeated rows and null ids get a row each. An empty table gives
@@ -178,11 +178,16 @@ class Codec:
     def encode(self, text: str) -> list[int]:
         return self.encode_batch([self.normalized(text)])[0]
 
-    def spell(self, ids: np.ndarray) -> bytes:
-        """The bytes that a row of ids stands for, markers as blanks."""
+    def spell_rows(self, rows: list[np.ndarray]) -> list[bytes]:
+        """The bytes that each row of ids stands for, markers as blanks."""
+        if not rows:
+            return []
+        ids = np.concatenate(rows).astype(np.int64)
         starts, counts = self.spelled_to[ids], self.spelled_to[ids + 1] - self.spelled_to[ids]
         ends = np.cumsum(counts)
-        return self.spelling[np.repeat(starts - (ends - counts), counts) + np.arange(ends[-1] if len(ends) else 0)].tobytes()
+        spelled = self.spelling[np.repeat(starts - (ends - counts), counts) + np.arange(ends[-1] if len(ends) else 0)].tobytes()
+        bounds = np.r_[0, ends][np.cumsum([0, *map(len, rows)])].tolist()
+        return [spelled[a:b] for a, b in zip(bounds, bounds[1:])]
 
     def decode(self, ids: list[int]) -> str:
         return self.stripped(self.tokenizer.decode(ids, skip_special_tokens=False)) if ids else ""
@@ -218,8 +223,8 @@ def encode(docs: DataFrame, model: str | None = None, with_ids: bool = True) ->
     schema = T.StructType([T.StructField("doc_id", docs.schema["doc_id"].dataType), *(T.StructField(n, t) for n, t in kinds)])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        os.environ.setdefault("TOKENIZERS_PARALLELISM", "true")
-        os.environ.setdefault("RAYON_NUM_THREADS", "2")
+        # Tasks already use every core; threads of the libraries only add CPU time.
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"
         held = models_held(path)
         codec = held.codec
         for batch in batches:
@@ -227,13 +232,13 @@ def encode(docs: DataFrame, model: str | None = None, with_ids: bool = True) ->
                 part = batch.slice(a, b - a)
                 whole = [t or "" for t in part.column("text").to_pylist()]
                 normal = [codec.normalized(t) for t in whole]
-                encoded, originals = codec.encode_batch(normal), held.original.encode(whole, num_threads=2)
+                encoded, originals = codec.encode_batch(normal), [held.original.encode(t) for t in whole]
+                rows = [np.array(own, "<u4") for own in encoded]
                 ids, n, crc, back, same = [], [], [], [], []
-                for text, own, original in zip(normal, encoded, originals, strict=True):
-                    row = np.array(own, "<u4")
+                for text, own, row, spelled, original in zip(normal, encoded, rows, codec.spell_rows(rows), originals, strict=True):
                     n.append(len(row))
                     crc.append(zlib.crc32(row.tobytes()))
-                    back.append(codec.spell(row.astype(np.int64)) == (text.replace(MARKER, " ") if codec.proto.escape else text).encode())
+                    back.append(spelled == (text.replace(MARKER, " ") if codec.proto.escape else text).encode())
                     same.append(own == original)
                     if with_ids:
                         ids.append(row.astype(np.int32))

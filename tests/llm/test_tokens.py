@@ -190,6 +190,16 @@ def test_sentencepiece_of_awkward_rows(spark, original):
     assert sentencepieces.encode(docs.where("false")).collect() == []
 
 
+def test_rows_of_a_batch_are_spelled_apart(original):
+    codec = sentencepieces.Codec(sentencepieces.default_model())
+    some = ["", "a", "two words", "", "漢 é🙂", ""]
+    rows = [np.array(original.encode(t), "<u4") for t in some]
+    assert codec.spell_rows(rows) == [(" " + t if t else "").encode() for t in some]
+    # A byte that moves to the row beside it changes both, though all rows together spell the same.
+    assert codec.spell_rows([rows[2][:1], rows[2][1:]]) != codec.spell_rows([rows[2], rows[0]])
+    assert codec.spell_rows([]) == [] and codec.spell_rows([rows[0]]) == [b""]
+
+
 def test_random_texts_have_parity(original):
     codec = sentencepieces.Codec(sentencepieces.default_model())
     rng = random.Random(9)
