@@ -102,6 +102,8 @@ def train_to_reject(docs: DataFrame, order: int = ORDER, budget_bytes: int | Non
                 yield pa.RecordBatch.from_arrays([pa.array(rate, pa.float64())], ["rate"])
 
     usual = own.select("text").mapInArrow(texts.tidied(run), "rate double").agg(F.percentile_approx("rate", REJECT_QUANTILE, 10_000)).first()[0]
+    # `accepted` sends the model with the threshold; two copies would lie in the driver.
+    sent.destroy()
     model.most_bits = None if usual is None else REJECT_FACTOR * usual
     return model
 
@@ -111,8 +113,9 @@ def _learned(own: DataFrame, order: int) -> Model:
     languages = sorted(r["lang"] for r in counts.select("lang").distinct().collect())
     tries = []
     for lang in languages:  # one at a time, so the driver never holds more than one table of counts
-        own = counts.where(F.col("lang") == lang).select("key", "n").toPandas()
-        tries.append(ppm.Trie.of(own["key"].to_numpy(np.int64).view(np.uint64), own["n"].to_numpy(np.int64), order))
+        # As Arrow: rows as Python objects would take ten times the room of the table itself.
+        own = counts.where(F.col("lang") == lang).select("key", "n").toArrow()
+        tries.append(ppm.Trie.of(own["key"].to_numpy().astype(np.int64).view(np.uint64), own["n"].to_numpy().astype(np.int64), order))
     return Model(languages, ppm.Scorer(tries) if tries else None)
 
 

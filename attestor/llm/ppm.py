@@ -9,6 +9,7 @@ the empty context every symbol not yet left out is equally likely.
 
 from __future__ import annotations
 
+import copy
 import math
 from collections import defaultdict
 
@@ -97,13 +98,18 @@ def _find(table: np.ndarray, keys: np.ndarray) -> np.ndarray:
     return np.where(table[at] == keys, at, -1)
 
 
+def _narrow(counts: np.ndarray) -> np.ndarray:
+    """Whole counts in 32 bits where they fit, so that a model takes less room; lookups turn them to floats again."""
+    return counts.astype(np.uint32 if counts.max(initial=0) < 1 << 32 else np.int64)
+
+
 class Trie:
     """Frozen statistics of one corpus. ``levels``: for each length from 1 the distinct n-gram keys in order and their counts;
     a level may leave out rare n-grams if every longer level does so too."""
 
     def __init__(self, levels: list[tuple[np.ndarray, np.ndarray]]):
         self.order = len(levels) - 1
-        self.nodes = [(np.asarray(keys, np.uint64), np.asarray(counts, np.float64)) for keys, counts in levels]
+        self.nodes = [(np.asarray(keys, np.uint64), _narrow(np.asarray(counts))) for keys, counts in levels]
         self.contexts = []
         for k, (node, n) in enumerate(self.nodes):
             context, at = np.unique(node >> BITS, return_inverse=True)
@@ -116,7 +122,7 @@ class Trie:
                 rest_distinct = self.contexts[k - 1][2][parent] - distinct
             else:
                 rest = rest_distinct = np.zeros(len(context))
-            self.contexts.append((context, total, distinct, rest, rest_distinct))
+            self.contexts.append((context, *map(_narrow, (total, distinct, rest, rest_distinct))))
 
     @classmethod
     def of(cls, keys: np.ndarray, counts: np.ndarray, order: int) -> Trie:
@@ -129,6 +135,12 @@ class Trie:
             levels.append((own, sums))
         return cls(levels)
 
+    def without_longest(self) -> Trie:
+        """The trie for n-grams that it does not have: all but the longest n-grams themselves."""
+        out = copy.copy(self)
+        out.nodes = [*self.nodes[:-1], (np.empty(0, np.uint64), np.empty(0, np.uint32))]
+        return out
+
     def bits(self, keys: np.ndarray) -> np.ndarray:
         """The exact code length of the last symbol of each key in the context before it."""
         keys = np.asarray(keys, np.uint64)
@@ -164,7 +176,6 @@ class Scorer:
     """Code lengths of texts under several tries at once: a table for all seen n-grams, back-off for the others."""
 
     def __init__(self, tries: list[Trie]):
-        self.tries = tries
         self.order = tries[0].order
         keys = tries[0].nodes[-1][0] if len(tries) == 1 else np.unique(np.concatenate([t.nodes[-1][0] for t in tries]))
         self.slots = Slots(keys)
@@ -172,6 +183,8 @@ class Scorer:
         for a in range(0, len(keys), 1 << 16):
             for j, trie in enumerate(tries):
                 self.table[a : a + (1 << 16), j] = trie.bits(keys[a : a + (1 << 16)])
+        # The longest n-grams of all tries are in the table; an n-gram that is not there is in none of them.
+        self.tries = [trie.without_longest() for trie in tries]
 
     def texts(self, data: np.ndarray, offsets: np.ndarray, ends: bool = True) -> np.ndarray:
         """Bits of each text (rows) under each trie (columns)."""

@@ -96,6 +96,21 @@ def test_trie_against_dictionaries(order):
     assert got == pytest.approx([plain_bits(train, t, order) for t in new])
 
 
+def test_a_scorer_takes_little_more_than_its_table():
+    rng = random.Random(2)
+    keys = np.unique(np.array([rng.randrange(1 << 40) for _ in range(20_000)], np.uint64) | np.uint64(1))
+    tries = [ppm.Trie.of(keys[a::2], np.full(len(keys[a::2]), 7), 4) for a in (0, 1)]
+    scorer = ppm.Scorer(tries)
+    assert scorer.table.tolist() == np.stack([t.bits(keys) for t in tries], axis=1).tolist()
+    other = np.setdiff1d(keys ^ np.uint64(2), keys)
+    for whole, sent in zip(tries, scorer.tries, strict=True):
+        assert len(sent.nodes[-1][0]) == 0 < len(whole.nodes[-1][0])
+        assert sent.bits(other).tolist() == whole.bits(other).tolist()
+        assert all(part.itemsize == 4 for _, *parts in sent.contexts for part in parts)
+    big = ppm.Trie.of(keys[:3], np.array([1 << 40, 1, 2]), 4)
+    assert big.nodes[0][1].sum() == (1 << 40) + 3
+
+
 def test_adaptive_learns():
     assert ppm.adaptive_bits(b"", 4) == pytest.approx(math.log2(257))
     assert ppm.adaptive_bits(b"abcabcabc" * 20, 4) < 2 * ppm.adaptive_bits(b"abcabcabc", 4)
