@@ -348,11 +348,9 @@ def set_02(fr):
 def set_03(fr):
     import dataclasses
     settled = fr["f_holding"].filter("cust_key % 20 = 0").select("holding_id", F.explode(F.array(*[F.lit(c) for c in "abcd"])).alias("priced_class"))
-    plain = assessment(fr)
-    with_resolutions = dataclasses.replace(plain, resolutions=settled)
-    clashing = plain.r2_evidence.filter("contradicted").select("holding_id", "period_id")
-    left = with_resolutions.r2_evidence.select("holding_id", "period_id", (~F.col("contradicted")).alias("resolved"))
-    return clashing.join(left, ["holding_id", "period_id"])
+    evidence = dataclasses.replace(assessment(fr), resolutions=settled).r2_evidence
+    found = evidence.filter("differing AND holding_id IS NOT NULL AND period_id IS NOT NULL")
+    return found.select("holding_id", "period_id", (~F.col("contradicted")).alias("resolved"))
 
 
 @query("set_04", """SELECT claim_id, requirement, CASE WHEN s.seen IS NULL THEN 'declared_only' ELSE 'stored_only' END AS side FROM (SELECT claim_id, requirement, 1 AS seen FROM {f_stored_reliance}) AS s
