@@ -79,7 +79,7 @@ def profiles(docs: DataFrame) -> DataFrame:
                     [batch.column("doc_id").slice(a, b - a), pa.array([len(s) for s in sets], pa.int32()), pa.array([k[0] for k in keys], pa.int64()),
                      pa.array([k[1] for k in keys], pa.int64()), pa.array(least, pa.list_(pa.int32()))], ["doc_id", "n", "k1", "k2", "m"])
 
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id bigint, n int, k1 bigint, k2 bigint, m array<int>")
+    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(texts.tidied(run), "doc_id bigint, n int, k1 bigint, k2 bigint, m array<int>")
 
 
 def heads(docs: DataFrame) -> DataFrame:
@@ -95,7 +95,7 @@ def heads(docs: DataFrame) -> DataFrame:
                      _lists([sets[i][: head_size(len(sets[i]))] for i in full])], ["doc_id", "k1", "head"])
 
     rows = docs.where(F.col("doc_id").isNotNull()).select(F.col("doc_id").cast("long"), "text")
-    return rows.mapInArrow(run, "doc_id bigint, k1 bigint, head array<bigint>")
+    return rows.mapInArrow(texts.tidied(run), "doc_id bigint, k1 bigint, head array<bigint>")
 
 
 def bitmap(values: DataFrame, bits: int) -> np.ndarray:
@@ -129,7 +129,7 @@ def whole_sets(docs: DataFrame, ids: DataFrame) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(a, b - a), _lists(texts.shingle_sets(data, offsets, WORDS))], ["doc_id", "shingles"])
 
     rows = docs.where(F.col("doc_id").isNotNull()).select(F.col("doc_id").cast("long"), "text")
-    return rows.mapInArrow(run, "doc_id bigint, shingles array<bigint>").join(ids, "doc_id", "left_semi")
+    return rows.mapInArrow(texts.tidied(run), "doc_id bigint, shingles array<bigint>").join(ids, "doc_id", "left_semi")
 
 
 def verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
@@ -195,7 +195,7 @@ def _matrix_rows(docs: DataFrame, members: DataFrame) -> DataFrame:
             at = pa.array(owner[hit])
             yield pa.RecordBatch.from_arrays([pa.array(tokens[hit]), *(batch.column(c).take(at) for c in ("doc", "n", "grp", "members"))], ["token", "doc", "n", "grp", "members"])
 
-    met = cut_lineage(rows.mapInArrow(run, "token bigint, doc bigint, n int, grp bigint, members bigint").join(shared, "token"))
+    met = cut_lineage(rows.mapInArrow(texts.tidied(run), "token bigint, doc bigint, n int, grp bigint, members bigint").join(shared, "token"))
     hot = met.where(F.col("times") > HOT).select("token", "grp").distinct().groupBy("token").count().where(F.col("count") > HOT).select("token", F.lit(True).alias("hot"))
     return cut_lineage(met.drop("times").join(hot, "token", "left").withColumn("hot", F.coalesce("hot", F.lit(False))))
 
@@ -289,7 +289,7 @@ def _parted(docs: DataFrame, name: str, ids: DataFrame) -> tuple[DataFrame, Data
                 hit = in_bitmap(sent.value, own.fill_null(0).to_numpy()) & own.is_valid().to_numpy(zero_copy_only=False)
                 yield batch.filter(pa.array(hit == wanted))
 
-        return docs.mapInArrow(run, docs.schema)
+        return docs.mapInArrow(texts.tidied(run), docs.schema)
 
     met, listed = rows(True), _fresh("listed", docs)
     among = ids.select(F.col(ids.columns[0]).alias(listed))

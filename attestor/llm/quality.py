@@ -87,7 +87,7 @@ def _contexts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def word_vectors(docs: DataFrame) -> np.ndarray:
     """The normalised context vectors of all types over all documents; the table has a fixed number of rows."""
     names = [f"c{d}" for d in range(DIMENSIONS)]
-    sums = docs.select("text").mapInArrow(_contexts, "type int, " + ", ".join(f"{c} bigint" for c in names)).groupBy("type").agg(*(F.sum(c).alias(c) for c in names)).toPandas()
+    sums = docs.select("text").mapInArrow(texts.tidied(_contexts), "type int, " + ", ".join(f"{c} bigint" for c in names)).groupBy("type").agg(*(F.sum(c).alias(c) for c in names)).toPandas()
     out = np.zeros((TYPES, DIMENSIONS))
     own = sums[names].to_numpy(np.float64)
     own /= np.maximum(np.linalg.norm(own, axis=1, keepdims=True), 1)
@@ -180,7 +180,7 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
                 values = pa.array([r.tobytes() for r in rows], pa.binary())
                 yield pa.RecordBatch.from_arrays([batch.column("key").slice(a, b - a), batch.column("label").slice(a, b - a), values], ["key", "label", "x"])
 
-    rows = labelled(docs, labels, sample).select(F.xxhash64("doc_id").alias("key"), "label", "text").mapInArrow(run, "key bigint, label int, x binary").toPandas()
+    rows = labelled(docs, labels, sample).select(F.xxhash64("doc_id").alias("key"), "label", "text").mapInArrow(texts.tidied(run), "key bigint, label int, x binary").toPandas()
     rows = rows.sort_values(["key", "x"], kind="stable")
     x = np.stack([np.frombuffer(v, np.float32) for v in rows["x"]]).astype(np.float64) if len(rows) else np.zeros((0, 2 * DIMENSIONS + 1))
     return Model(vectors, Network(2 * DIMENSIONS + 1).fit(x, rows["label"].to_numpy(np.float64)))
@@ -201,7 +201,7 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("held_out"), pa.array(scores), pa.array((scores >= THRESHOLD).astype(np.int32))],
                                              ["doc_id", "held_out", "score", "predicted"])
 
-    return docs.select("doc_id", F.coalesce(texts.fold("doc_id", FOLDS) == HELD_OUT, F.lit(False)).alias("held_out"), "text").mapInArrow(run, schema)
+    return docs.select("doc_id", F.coalesce(texts.fold("doc_id", FOLDS) == HELD_OUT, F.lit(False)).alias("held_out"), "text").mapInArrow(texts.tidied(run), schema)
 
 
 def classify(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> DataFrame:
@@ -220,4 +220,4 @@ def accepted(docs: DataFrame, model: Model) -> DataFrame:
                 keep[a:b] = model.network.probabilities(pooled(model.vectors, data, offsets)) >= THRESHOLD
             yield batch.filter(pa.array(keep))
 
-    return docs.mapInArrow(run, docs.schema)
+    return docs.mapInArrow(texts.tidied(run), docs.schema)

@@ -57,6 +57,7 @@ def tidied(run):
         try:
             yield from run(batches)
         finally:
+            _powers[:] = np.ones(0, np.uint64), np.ones(0, np.uint64)
             pa.default_memory_pool().release_unused()
             trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
             if trim is not None:
@@ -77,7 +78,7 @@ def mixed(x: np.ndarray) -> np.ndarray:
 
 def _power_tables(n: int) -> tuple[np.ndarray, np.ndarray]:
     if len(_powers[0]) < n:
-        size = max(n, CHUNK_BYTES + (1 << 16))
+        size = max(1 << 16, 1 << (n - 1).bit_length())
         for slot, base in enumerate((_BASE, _BASE_INVERSE)):
             table = np.full(size, base, np.uint64)
             table[0] = 1

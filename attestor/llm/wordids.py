@@ -10,6 +10,7 @@ tokenizer alone, so the ids are the tokenizer's own in all cases.
 from __future__ import annotations
 
 import json
+import os
 from functools import lru_cache
 
 import numpy as np
@@ -50,6 +51,8 @@ class WordIds:
     def __init__(self, vocabulary: str):
         from tokenizers import Tokenizer
 
+        # Tasks already use every core; threads of the library only add CPU time and memory that stays with each of them.
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"
         self.tokenizer = Tokenizer.from_file(vocabulary)
         with open(vocabulary, encoding="utf-8") as file:
             told = json.load(file)

@@ -4,7 +4,7 @@ import random
 import numpy as np
 import pytest
 
-from attestor.llm import graph, jaccard, queries, vectors
+from attestor.llm import graph, jaccard, quality, queries, texts, vectors
 from tests.compare import connect
 from tests.llm.helpers import SMALL, awkward, documents, rows_of, words
 
@@ -187,3 +187,13 @@ def test_calibrated_count():
     assert (draws >= vectors.least_collisions()).mean() >= vectors.RECALL - 0.002
 
 
+def test_tasks_of_joins_and_quality_give_memory_back(spark, monkeypatch):
+    """Workers live on through stages that run in the JVM only, so what a task no longer uses must not stay with them."""
+    tidied, kept = [], texts.tidied
+    monkeypatch.setattr(texts, "tidied", lambda run: tidied.append(run.__qualname__.split(".")[0]) or kept(run))
+    docs = spark.createDataFrame([(i, " ".join(f"w{i // 2}x{j}" for j in range(40))) for i in range(8)], "doc_id long, text string")
+    assert sorted(r.doc_id for r in jaccard.representatives(docs).collect()) == [0, 2, 4, 6]
+    assert {"profiles", "heads", "whole_sets", "_matrix_rows", "_parted"} <= set(tidied)
+    labels = spark.createDataFrame([(i, i % 2) for i in range(8)], "doc_id long, quality int")
+    quality.accepted(docs, quality.train(docs, labels)).collect()
+    assert {"_contexts", "train", "accepted"} <= set(tidied)

@@ -1,4 +1,5 @@
 import itertools
+import os
 import random
 import zlib
 from collections import Counter
@@ -8,7 +9,7 @@ import pytest
 import regex
 from sentencepiece import SentencePieceProcessor
 
-from attestor.llm import licences, packing, sentencepieces
+from attestor.llm import licences, packing, sentencepieces, texts, wordids
 from tests.llm.helpers import SMALL, awkward, documents
 
 # packing
@@ -238,3 +239,17 @@ def test_unigram_models_are_rebuilt(tmp_path):
     for text in ["ab", "ab abba", "cab  ba", "é a", "", "zab"]:
         assert codec.encode(text) == own.encode(text), text
         assert codec.decode(codec.encode(text)) == own.decode(own.encode(text))
+
+
+def test_word_ids_take_one_thread_and_tables_go_with_their_task(monkeypatch):
+    monkeypatch.setenv("TOKENIZERS_PARALLELISM", "true")
+    wordids.WordIds(wordids.default_vocabulary())
+    assert os.environ["TOKENIZERS_PARALLELISM"] == "false"
+
+    def run(batches):
+        for data in batches:
+            yield texts.span_hashes(np.frombuffer(data, np.uint8), np.array([0]), np.array([len(data)]))[0]
+            assert len(texts._powers[0]) < 2 * len(data) + (1 << 16)
+
+    first = list(texts.tidied(run)([b"some words", b"x" * 200_000]))
+    assert len(texts._powers[0]) == 0 and first == list(texts.tidied(run)([b"some words", b"x" * 200_000]))
