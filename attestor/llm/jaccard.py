@@ -101,9 +101,11 @@ def heads(docs: DataFrame) -> DataFrame:
 def bitmap(values: DataFrame, bits: int) -> np.ndarray:
     """Which remainders modulo 2 ** bits occur among the values of the only column; a fixed number of words."""
     low = values.select(F.col(values.columns[0]).bitwiseAND(F.lit((1 << bits) - 1)).alias("low"))
-    words = low.groupBy(F.shiftright("low", 6).alias("word")).agg(F.bit_or(F.expr("shiftleft(1L, CAST(low & 63 AS INT))")).alias("bits")).toPandas()
+    words = low.groupBy(F.shiftright("low", 6).alias("word")).agg(F.bit_or(F.expr("shiftleft(1L, CAST(low & 63 AS INT))")).alias("bits")).toArrow()
     out = np.zeros(max(1, 1 << (bits - 6)), np.uint64)
-    out[words["word"].to_numpy(np.int64)] = words["bits"].to_numpy(np.int64).view(np.uint64)
+    out[words["word"].to_numpy()] = words["bits"].to_numpy().view(np.uint64)
+    del words
+    texts.give_back()
     return out
 
 
@@ -119,7 +121,7 @@ def bits_for(n: int) -> int:
 def whole_sets(docs: DataFrame, ids: DataFrame) -> DataFrame:
     """doc_id and shingles of the documents with these ids. A bitmap of the ids keeps most other texts from being read
     into sets, the join takes the rest out."""
-    ids = ids.distinct()
+    ids = cut_lineage(ids.distinct())
     sent = docs.sparkSession.sparkContext.broadcast(bitmap(ids, bits_for(ids.count())))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -163,15 +165,11 @@ def _united(a: Column, b: Column) -> Column:
 
 def _group(docs: DataFrame, classes: DataFrame) -> tuple[DataFrame, DataFrame]:
     """The true links with leaders, and (doc, n, k1, grp) of every class."""
-    pairs = None
-    for j in range(LEADERS):
-        keyed = classes.select(F.get("m", F.lit(j)).alias("key"), "doc", "n", "m")
-        leaders = keyed.groupBy("key").agg(F.min(F.struct("doc", "n", "m")).alias("l"), F.count("*").alias("size")).where("size > 1")
-        agreeing = sum((F.get("m", F.lit(i)) == F.get("l.m", F.lit(i))).cast("int") for i in range(MINHASHES))
-        near = keyed.join(leaders, "key").where((F.col("doc") != F.col("l.doc")) & _sizes_fit("n", "l.n") & (agreeing >= AGREEING))
-        near = near.select(F.col("doc").alias("a"), F.col("l.doc").alias("b"))
-        pairs = near if pairs is None else pairs.unionByName(near)
-    pairs = cut_lineage(pairs.distinct())
+    keyed = classes.select(F.posexplode(F.slice("m", 1, LEADERS)).alias("j", "key"), "doc", "n", "m")
+    leaders = keyed.groupBy("j", "key").agg(F.min(F.struct("doc", "n", "m")).alias("l"), F.count("*").alias("size")).where("size > 1")
+    agreeing = sum((F.get("m", F.lit(i)) == F.get("l.m", F.lit(i))).cast("int") for i in range(MINHASHES))
+    near = keyed.join(leaders, ["j", "key"]).where((F.col("doc") != F.col("l.doc")) & _sizes_fit("n", "l.n") & (agreeing >= AGREEING))
+    pairs = cut_lineage(near.select(F.col("doc").alias("a"), F.col("l.doc").alias("b")).distinct())
     links = cut_lineage(verified(pairs, whole_sets(docs, pairs.select(F.col("a").alias("doc_id")).union(pairs.select("b")))))
     linked = links.groupBy(F.col("a").alias("doc")).agg(F.min("b").alias("grp"))
     return links, classes.select("doc", "n", "k1").join(linked, "doc", "left").select("doc", "n", "k1", F.coalesce("grp", "doc").alias("grp"))
@@ -196,6 +194,7 @@ def _matrix_rows(docs: DataFrame, members: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array(tokens[hit]), *(batch.column(c).take(at) for c in ("doc", "n", "grp", "members"))], ["token", "doc", "n", "grp", "members"])
 
     met = cut_lineage(rows.mapInArrow(texts.tidied(run), "token bigint, doc bigint, n int, grp bigint, members bigint").join(shared, "token"))
+    sent.destroy()
     hot = met.where(F.col("times") > HOT).select("token", "grp").distinct().groupBy("token").count().where(F.col("count") > HOT).select("token", F.lit(True).alias("hot"))
     return cut_lineage(met.drop("times").join(hot, "token", "left").withColumn("hot", F.coalesce("hot", F.lit(False))))
 
@@ -264,14 +263,18 @@ def classes_of(docs: DataFrame) -> DataFrame:
     united = members.join(open_.select(F.col("to").alias("grp")).distinct(), "grp", "left_semi")
     ids = open_.select(F.col("doc").alias("doc_id")).union(united.select("doc")).union(dense.select("doc"))
     sets = cut_lineage(whole_sets(docs, ids))
-    pairs = cut_lineage(_opened(open_, members, sets).unionByName(_hot_pairs(dense, sets)).distinct())
-    links = links.unionByName(verified(pairs, sets))
+    pairs = _opened(open_, members, sets)
+    if not dense.isEmpty():
+        pairs = pairs.unionByName(_hot_pairs(dense, sets))
+    links = links.unionByName(verified(cut_lineage(pairs.distinct()), sets))
 
     # A doc_id with several different sets belongs to several classes; it connects them.
-    held = rows.where(F.col("doc_id").isNotNull()).join(classes.select("k1", "k2", "n", "doc"), ["k1", "k2", "n"]).select("doc_id", "doc").distinct()
-    first = held.groupBy("doc_id").agg(F.min("doc").alias("first"), F.max("doc").alias("last"))
-    both = held.join(first.where("first < last"), "doc_id").select(F.col("doc").alias("a"), F.col("first").alias("b"))
-    found = components(links.unionByName(both)).select(F.col("node").alias("first"), "component")
+    held = rows.where(F.col("doc_id").isNotNull()).join(classes.select("k1", "k2", "n", "doc"), ["k1", "k2", "n"]).select("doc_id", "doc")
+    first = cut_lineage(held.groupBy("doc_id").agg(F.min("doc").alias("first"), F.max("doc").alias("last")))
+    several = first.where("first < last")
+    if not several.isEmpty():
+        links = links.unionByName(held.join(several, "doc_id").select(F.col("doc").alias("a"), F.col("first").alias("b")))
+    found = components(links).select(F.col("node").alias("first"), "component")
     named = first.join(found, "first", "left").select("doc_id", F.coalesce("component", "first").alias("component"))
     out = rows.select("doc_id", "n").join(named, "doc_id", "left")
     return out.select("doc_id", F.col("n").cast("long").alias("n_shingles"), F.coalesce("component", "doc_id").alias("component_id"))
@@ -309,12 +312,12 @@ def representatives(docs: DataFrame) -> DataFrame:
     made from a 63-bit hash of id and text; texts without a word link with nothing and all stay."""
     number = _fresh("number", docs)
     id_ = F.col("doc_id").cast("long")
-    again = cut_lineage(docs.where(id_.isNotNull()).groupBy(id_.alias("doc_id")).count().where("count > 1").select("doc_id"))
-    if again.isEmpty() and docs.where(id_.isNull()).isEmpty():
+    again = cut_lineage(docs.groupBy(id_.alias("doc_id")).count().where("doc_id IS NULL OR count > 1").select("doc_id"))
+    if again.isEmpty():
         numbered = docs.withColumn(number, id_)
         gone = _classes_of(numbered, number).where("doc_id <> component_id").select("doc_id").distinct()
         return _parted(numbered, number, cut_lineage(gone))[1].drop(number)
-    shared, own = _parted(docs, "doc_id", again)
+    shared, own = _parted(docs, "doc_id", again.where("doc_id IS NOT NULL"))
     shared = cut_lineage(shared.unionByName(docs.where(id_.isNull())))
     wordless = ~F.coalesce("text", F.lit("")).rlike(r"[^\x20\x09-\x0D]")
     hashed = -1 - F.shiftrightunsigned(F.xxhash64(id_, "text"), 1)

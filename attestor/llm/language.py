@@ -116,7 +116,9 @@ def _learned(own: DataFrame, order: int) -> Model:
         # As Arrow: rows as Python objects would take ten times the room of the table itself.
         own = counts.where(F.col("lang") == lang).select("key", "n").toArrow()
         tries.append(ppm.Trie.of(own["key"].to_numpy().astype(np.int64).view(np.uint64), own["n"].to_numpy().astype(np.int64), order))
-    return Model(languages, ppm.Scorer(tries) if tries else None)
+    model = Model(languages, ppm.Scorer(tries) if tries else None)
+    texts.give_back()
+    return model
 
 
 def predict(docs: DataFrame, model: Model) -> DataFrame:

@@ -87,11 +87,11 @@ def _contexts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def word_vectors(docs: DataFrame) -> np.ndarray:
     """The normalised context vectors of all types over all documents; the table has a fixed number of rows."""
     names = [f"c{d}" for d in range(DIMENSIONS)]
-    sums = docs.select("text").mapInArrow(texts.tidied(_contexts), "type int, " + ", ".join(f"{c} bigint" for c in names)).groupBy("type").agg(*(F.sum(c).alias(c) for c in names)).toPandas()
+    sums = docs.select("text").mapInArrow(texts.tidied(_contexts), "type int, " + ", ".join(f"{c} bigint" for c in names)).groupBy("type").agg(*(F.sum(c).alias(c) for c in names)).toArrow()
     out = np.zeros((TYPES, DIMENSIONS))
-    own = sums[names].to_numpy(np.float64)
+    own = np.stack([sums[c].to_numpy().astype(np.float64) for c in names], axis=1)
     own /= np.maximum(np.linalg.norm(own, axis=1, keepdims=True), 1)
-    out[sums["type"].to_numpy(np.int64)] = own
+    out[sums["type"].to_numpy()] = own
     return out.astype(np.float32)
 
 
@@ -180,10 +180,15 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
                 values = pa.array([r.tobytes() for r in rows], pa.binary())
                 yield pa.RecordBatch.from_arrays([batch.column("key").slice(a, b - a), batch.column("label").slice(a, b - a), values], ["key", "label", "x"])
 
-    rows = labelled(docs, labels, sample).select(F.xxhash64("doc_id").alias("key"), "label", "text").mapInArrow(texts.tidied(run), "key bigint, label int, x binary").toPandas()
-    rows = rows.sort_values(["key", "x"], kind="stable")
-    x = np.stack([np.frombuffer(v, np.float32) for v in rows["x"]]).astype(np.float64) if len(rows) else np.zeros((0, 2 * DIMENSIONS + 1))
-    return Model(vectors, Network(2 * DIMENSIONS + 1).fit(x, rows["label"].to_numpy(np.float64)))
+    rows = labelled(docs, labels, sample).select(F.xxhash64("doc_id").alias("key"), "label", "text").mapInArrow(texts.tidied(run), "key bigint, label int, x binary").toArrow().sort_by([("key", "ascending"), ("x", "ascending")])
+    x = np.frombuffer(b"".join(rows["x"].to_pylist()), np.float32).reshape(len(rows), 2 * DIMENSIONS + 1).astype(np.float64)
+    y = rows["label"].to_numpy().astype(np.float64)
+    del rows
+    model = Model(vectors, Network(2 * DIMENSIONS + 1).fit(x, y))
+    del x, y
+    sent.destroy()
+    texts.give_back()
+    return model
 
 
 def score(docs: DataFrame, model: Model) -> DataFrame:

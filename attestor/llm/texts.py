@@ -58,14 +58,19 @@ def tidied(run):
             yield from run(batches)
         finally:
             _powers[:] = np.ones(0, np.uint64), np.ones(0, np.uint64)
-            pa.default_memory_pool().release_unused()
-            trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
-            if trim is not None:
-                trim(0)
+            give_back()
 
     return wrapped
 
 
+def give_back() -> None:
+    """Hands memory that this process has freed back to the system."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim is not None:
+        trim(0)
+
+
 def mixed(x: np.ndarray) -> np.ndarray:
     """A 64-bit finaliser, so that sums become evenly spread keys."""
     x = x ^ (x >> np.uint64(33))

@@ -3,6 +3,7 @@ import random
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from attestor.llm import graph, jaccard, quality, queries, texts, vectors
 from tests.compare import connect
@@ -124,6 +125,47 @@ def test_components_of_a_chain_and_a_hub(spark):
     assert graph.components(spark.createDataFrame([], "a long, b long")).collect() == []
 
 
+def test_components_of_stars_take_no_round(spark, monkeypatch):
+    cuts = []
+    monkeypatch.setattr(graph, "cut_lineage", lambda df, plain=graph.cut_lineage: (cuts.append(df), plain(df))[1])
+    edges = spark.createDataFrame([(1, 5), (7, 1), (1, 7), (9, 1), (3, 4), (3, 3)], "a long, b long")
+    assert rows_of(graph.components(edges)) == [(1, 1), (3, 3), (4, 3), (5, 1), (7, 1), (9, 1)]
+    assert len(cuts) == 1
+    for tangled in ([(1, 5), (2, 5)], [(1, 2), (2, 3)]):
+        cuts.clear()
+        assert {r.component for r in graph.components(spark.createDataFrame(tangled, "a long, b long")).collect()} == {1}
+        assert len(cuts) > 1
+
+
+def test_driver_takes_tables_not_rows(spark, monkeypatch):
+    rows = [(i, " ".join(words(i % 7, 30)), "en") for i in range(40)] + [(40, None), (41, "")]
+    docs = documents(spark, rows)
+    labels = spark.createDataFrame([(i, i % 2) for i in range(42)], "doc_id long, quality int")
+
+    def refused(*_):
+        raise AssertionError("rows were taken as Python objects")
+
+    monkeypatch.setattr(type(docs), "toPandas", refused)
+    assert rows_of(jaccard.representatives(docs).select("doc_id")) == [(i,) for i in (0, 1, 2, 3, 4, 40, 41, 5, 6)]
+    assert quality.accepted(docs, quality.train(docs, labels)).columns == docs.columns
+    assert jaccard.bitmap(docs.select((F.col("doc_id") + 23).alias("id")).where("id IN (23, 63, 64)"), 12)[:3].tolist() == [(1 << 63) + (1 << 23), 1, 0]
+    assert not jaccard.bitmap(docs.select("doc_id").where("doc_id < 0"), 12).any()
+
+
+def test_ids_of_whole_sets_are_told_once(spark):
+    docs = documents(spark, [(i, " ".join(words(i, 20))) for i in range(12)])
+    runs = spark.sparkContext.accumulator(0)
+
+    def counted(batches):
+        for batch in batches:
+            runs.add(batch.num_rows)
+            yield batch
+
+    ids = spark.createDataFrame([(3,), (3,), (5,)], "doc_id long").mapInArrow(counted, "doc_id long")
+    assert rows_of(jaccard.whole_sets(docs, ids).select("doc_id")) == [(3,), (5,)]
+    assert runs.value == 3
+
+
 def vector_rows(seed=2, n=300, dimensions=64):
     rng = np.random.default_rng(seed)
     rows = []
