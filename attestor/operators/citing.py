@@ -9,6 +9,7 @@ from attestor import model
 from attestor.functions import scalars as S
 from attestor.operators.extraction import Rule
 from attestor.session import cut_lineage
+from attestor.sources.publish import staged_copy
 
 
 def locate(df: DataFrame, text: str, quote: str) -> DataFrame:
@@ -155,40 +156,48 @@ def sentence_for_fragment(fragments: DataFrame, documents: DataFrame, gram: int
     read again for candidates only.
     """
     slide = lambda column, n: F.regexp_extract_all(column, F.lit(rf"(?s)(?=(.{{{n}}}))"), F.lit(1))
-    phrases = lambda of: F.transform(F.sequence(F.lit(1), F.size(of) - words + 1), lambda i: F.array_join(F.slice(of, i, words), " "))
+    # ``of`` is a column that holds the words: an expression would be worked out anew for every run of a sentence.
+    phrases = lambda of: F.transform(F.sequence(F.lit(0), F.size(of) - words), lambda i: F.xxhash64(F.lit(0), *[F.get(F.col(of), i + n) for n in range(words)]))
     whole = F.split("fragment", " ")
     inner = F.slice(whole, 2, F.greatest(F.size(whole) - 2, F.lit(0)))
     size = F.when(F.size(inner) >= words, F.lit(0)).otherwise(F.least(F.length("fragment"), F.lit(gram)))
-    named = fragments.filter(F.length("fragment") > 0).select("fragment_id", "fragment", inner.alias("inner"), size.alias("size"))
+    ids = staged_copy(fragments.select("fragment_id", "fragment"), "fragments")  # read once from the texts they may be cut from
+    named = ids.filter(F.length("fragment") > 0).select("fragment").distinct().select("fragment", inner.alias("inner"), size.alias("size"))
     sizes = sorted(r["size"] for r in named.select("size").distinct().collect())  # 0 for words, and at most ``gram`` more
-    hashed = lambda runs, n: F.transform(runs, lambda r: F.xxhash64(F.lit(n), r))
     none = F.array().cast("array<bigint>")
 
     def runs(column: str, n: int) -> Column:
         if n:
-            return hashed(slide(column, n), n)
-        of = F.split(column, " ")
-        return F.when(F.size(of) >= words, hashed(phrases(of), 0)).otherwise(none)
+            return F.transform(slide(column, n), lambda r: F.xxhash64(F.lit(n), r))
+        return F.when(F.size("words") >= words, phrases("words")).otherwise(none)
 
     lines = documents.select(F.explode(S.sentences(F.col("canonical_text"))).alias("sentence")).withColumn("at", F.xxhash64("sentence"))
-    index = lines.select("at", F.explode(F.array_distinct(F.flatten(F.array(*[runs("sentence", n) for n in sizes])) if sizes else none)).alias("run"))
-    own = F.when(F.col("size") == 0, hashed(phrases(F.col("inner")), 0))
+    index = lines.withColumn("words", F.split("sentence", " ")).select("at", F.explode(F.flatten(F.array(*[runs("sentence", n) for n in sizes])) if sizes else none).alias("run"))
+    own = F.when(F.col("size") == 0, phrases("inner"))
     for n in sizes:
         if n:
             own = own.when(F.col("size") == n, runs("fragment", n))
-    asked = named.select("fragment_id", F.explode(F.array_distinct(own)).alias("run"))
-    met = cut_lineage(index.join(asked.select("run").distinct(), "run", "left_semi").distinct())
+    asked = staged_copy(named.select("fragment", F.explode(F.array_distinct(own)).alias("run")), "fragment-runs")
+    # Stored, so that Spark knows how few are asked for before it moves the runs of all sentences.
+    met = cut_lineage(index.join(staged_copy(asked.select("run").distinct(), "asked-runs"), "run", "left_semi").distinct())
     frequency = met.groupBy("run").agg(F.count("*").alias("sentences_with"))
-    anchors = asked.join(frequency, "run", "left").groupBy("fragment_id").agg(F.min_by("run", F.struct(F.coalesce("sentences_with", F.lit(0)), "run")).alias("run"))
-    candidates = met.join(anchors, "run").select("fragment_id", "at").distinct()
-    texts = lines.join(candidates.select("at").distinct(), "at", "left_semi").distinct()
-    hit = candidates.join(texts, "at").join(named.select("fragment_id", "fragment"), "fragment_id").filter(F.contains(F.col("sentence"), F.col("fragment")))
-    found = hit.groupBy("fragment_id").agg(F.countDistinct("sentence").alias("sentences"), F.min("sentence").alias("sentence"))
-    return (
-        fragments.select("fragment_id").join(found, "fragment_id", "left")
-        .withColumn("sentences", F.coalesce("sentences", F.lit(0)))
-        .withColumn("sentence", F.when(F.col("sentences") == 1, F.col("sentence")))
-    )
+    anchors = asked.join(frequency, "run", "left").groupBy("fragment").agg(F.min(F.struct(F.coalesce("sentences_with", F.lit(0)).alias("sentences_with"), "run")).alias("rarest"))
+    candidates = met.join(anchors.select("fragment", "rarest.run"), "run").select("fragment", "at")
+    texts = lines.join(candidates.select("at").distinct(), "at", "left_semi").repartition("at").distinct()
+    hit = candidates.join(texts, "at").filter(F.contains(F.col("sentence"), F.col("fragment")))
+    # A sentence stands once in the texts, so hits are counted and not told apart by their text again.
+    found = hit.groupBy("fragment").agg(F.count("*").alias("sentences"), F.min("at").alias("at"))
+    only = found.filter("sentences = 1").join(texts, "at").filter(F.contains(F.col("sentence"), F.col("fragment"))).select("fragment", "sentence")
+    by_id = ids.join(found.select("fragment", "sentences"), "fragment", "left").join(only, "fragment", "left").select(
+        "fragment_id", *[F.when(F.col("fragment_id").isNotNull(), F.col(c)).alias(c) for c in ("sentences", "sentence")]).withColumn("sentences", F.coalesce("sentences", F.lit(0)))
+    several = ids.filter(F.length("fragment") > 0).groupBy("fragment_id").agg(F.count_distinct("fragment").alias("fragments")).filter("fragments > 1").select("fragment_id")
+    if several.isEmpty():
+        return by_id
+    # An id of several fragments has the sentences of all of them, each once.
+    every = ids.join(several, "fragment_id").distinct().join(hit.select("fragment", "sentence"), "fragment", "left").groupBy("fragment_id").agg(
+        F.count_distinct("sentence").alias("sentences"), F.min("sentence").alias("sentence"))
+    return by_id.join(several, "fragment_id", "left_anti").unionByName(
+        ids.select("fragment_id").join(every.withColumn("sentence", F.when(F.col("sentences") == 1, F.col("sentence"))), "fragment_id"))
 
 
 def lineage(edges: DataFrame, leaves: DataFrame) -> DataFrame:
