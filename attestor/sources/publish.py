@@ -2,11 +2,18 @@
 
 from __future__ import annotations
 
+import os
 import uuid
+from collections.abc import Iterator
+from urllib.parse import unquote, urlparse
 
+import pyarrow as pa
+import pyarrow.parquet as pq
+from pyspark import TaskContext
 from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, Row
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from attestor.session import shared_folder
 
@@ -76,22 +83,120 @@ def path_plan(rows: DataFrame, within: list[str], name: str, key: str) -> DataFr
     return joined.withColumn("directory", directory).drop("safe", "folded", "first", "label", "ending", "posing")
 
 
+# What Spark's partition folders do not hold as it is (fixed value), and the folder of a value that is null or empty.
+ESCAPED_IN_FOLDER = frozenset('"#%\'*/:=?\\{[]^\x7f' + "".join(map(chr, range(1, 32))))
+NO_VALUE = "__HIVE_DEFAULT_PARTITION__"
+
+
+def _mounted(spark, path: str) -> str | None:
+    """A path of the shared folder as executors' own file calls reach it, or None where only Spark's file systems do."""
+    if not urlparse(path).scheme:
+        # Which file system a bare path belongs to is the cluster's setting; a file written there tells it.
+        spark.range(1).coalesce(1).write.mode("overwrite").parquet(f"{path}/_begun")
+        path = spark.read.parquet(f"{path}/_begun").inputFiles()[0].rsplit("/_begun/", 1)[0]
+    found = urlparse(path)
+    return unquote(found.path) if found.scheme == "file" else None
+
+
+def _write_folders(root: str):
+    """Batches whose rows lie in order of their folder: a task writes a file into each folder and tells (folder, file)."""
+
+    def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        task = TaskContext.get()
+        name, told, here, writer = f"part-{task.partitionId():05d}.parquet", [], None, None
+
+        def close() -> None:
+            if writer is not None:
+                writer.close()
+                os.replace(*told[-1][2])
+
+        for batch in batches:
+            values, rest = batch.column("folder").to_pylist(), pa.Table.from_batches([batch]).drop_columns("folder")
+            start = 0
+            for n in range(1, len(values) + 1):
+                if n < len(values) and values[n] == values[start]:
+                    continue
+                if writer is None or values[start] != here:
+                    close()
+                    if len(told) >= 10_000:
+                        yield _told_files(told)
+                        told = []
+                    here = values[start]
+                    directory = f"{root}/folder=" + ("".join(f"%{ord(c):02X}" if c in ESCAPED_IN_FOLDER else c for c in here) if here else NO_VALUE)
+                    os.makedirs(directory, exist_ok=True)
+                    # Hidden from readers until it is whole.
+                    told.append((here or None, f"{directory}/{name}", (f"{directory}/.{name}.{task.taskAttemptId()}", f"{directory}/{name}")))
+                    writer = pq.ParquetWriter(told[-1][2][0], rest.schema, store_schema=False)
+                writer.write_table(rest.slice(start, n - start))
+                start = n
+        close()
+        yield _told_files(told)
+
+    return write
+
+
+def _told_files(told: list[tuple]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array([t[n] for t in told], pa.string()) for n in (0, 1)], ["folder", "file"])
+
+
+def _read_files(columns: list[str]):
+    """Batches of (folder, file): the rows of the files, many files to a batch."""
+
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            held, rows = [], 0
+            for folder, file in zip(*(batch.column(c).to_pylist() for c in ("folder", "file")), strict=True):
+                with pq.ParquetFile(file) as opened:
+                    for part in opened.iter_batches(columns=[c for c in columns if c != "folder"]):
+                        part = part.append_column("folder", pa.repeat(pa.scalar(folder, pa.string()), part.num_rows)).select(columns)
+                        held.append(part)
+                        rows += part.num_rows
+                        if rows >= 10_000:
+                            yield from pa.Table.from_batches(held).combine_chunks().to_batches()
+                            held, rows = [], 0
+            if held:
+                yield from pa.Table.from_batches(held).combine_chunks().to_batches()
+
+    return read
+
+
 def evidence_folders(members: DataFrame, documents: DataFrame, name: str, slices: int = 8) -> str:
     """SNK-05: one folder per position; a position without documents gets a note saying so.
 
     ``members``: holding_id and the folder that the path plan gives it. ``slices`` bounds the files per folder and lets a
     position with very many documents be written by several tasks. Tasks put their files in place themselves; moving the files of
-    all positions one by one would be the driver's work. The path is handed on only when all are written.
+    all positions one by one would be the driver's work. In a mounted folder they also write them themselves, since Spark's local
+    file system starts processes for every file, and list them in a table beside the folders for `read_folders`. The path is
+    handed on only when all are written.
     """
     full = members.join(documents, "holding_id", "left").withColumn(
         "note", F.when(F.col("document_id").isNull(), "no document of this position is on file"))
-    path = staging_path(members.sparkSession, f"evidence-{name}")
+    spark = members.sparkSession
+    path = staging_path(spark, f"evidence-{name}")
     spread = F.pmod(F.xxhash64(F.coalesce("document_id", F.lit(""))), F.lit(slices))
-    dealt = full.repartition(F.col("folder"), spread).sortWithinPartitions("folder")
-    dealt.write.option("mapreduce.fileoutputcommitter.algorithm.version", "2").partitionBy("folder").parquet(path)
+    root = _mounted(spark, path)
+    if root is None:
+        dealt = full.repartition(F.col("folder"), spread).sortWithinPartitions("folder")
+        dealt.write.option("mapreduce.fileoutputcommitter.algorithm.version", "2").partitionBy("folder").parquet(path)
+    else:
+        # A number is stated, so that tasks are dealt folders and not united by their few bytes.
+        dealt = full.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), F.col("folder"), spread).sortWithinPartitions("folder")
+        dealt.mapInArrow(_write_folders(root), "folder string, file string").write.parquet(f"{path}/_files")
     return path
 
 
+def read_folders(spark, path: str, schema: str) -> DataFrame:
+    """The rows that `evidence_folders` wrote: tasks open the files it listed, so the driver lists no folder; else Spark's own reader."""
+    try:
+        files = spark.read.schema("folder string, file string").parquet(f"{path}/_files")
+    except AnalysisException as error:
+        if error.getCondition() != "PATH_NOT_FOUND":
+            raise
+        return spark.read.schema(schema).parquet(path)
+    dealt = files.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")))
+    return dealt.mapInArrow(_read_files(StructType.fromDDL(schema).fieldNames()), schema)
+
+
 def row_hash(columns: list[str]) -> Column:
     """A hash of named cells: JSON keeps names, nulls and separators apart, so different rows never read alike."""
     return F.sha2(F.to_json(F.struct(*[F.col(c).cast("string").alias(c) for c in columns]), {"ignoreNullFields": "false"}), 256)

@@ -169,7 +169,7 @@ def snk_05(fr):
     cited = fr["f_claim"].join(fr["f_document"].select("document_no", "document_id"), "document_no").select("holding_id", "document_id").distinct()
     folders = folder_plan(fr).select("holding_id", F.concat_ws("/", "fund_id", "directory").alias("folder"))
     path = publish.evidence_folders(folders, cited, "bundle", slices=1)
-    written = fr.spark.read.schema("holding_id string, document_id string, note string, folder string").parquet(path)
+    written = publish.read_folders(fr.spark, path, "holding_id string, document_id string, note string, folder string")
     return written.groupBy("folder").agg(F.countDistinct("holding_id").alias("positions"), F.count("document_id").alias("documents"), F.count("note").alias("notes"))
 
 
