@@ -380,3 +380,13 @@ def test_relevant_documents_are_moved_once_to_the_ones_found(spark, case):
         spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
     relevant = {(r["holding_id"], r["requirement"], r["period_id"], r["document_no"]) for r in retrieval.gold_cases(held).collect()}
     assert got == {k: (sum(d < 2 for *c, d in relevant if tuple(c) == k), sum(tuple(c) == k for *c, _ in relevant)) for k in {x[:3] for x in relevant}}
+
+
+def test_facts_are_those_of_the_claims_at_hand(spark):
+    """Stored facts of the whole ledger are not taken for those of other claims that a reader holds."""
+    whole = derived.DerivedFrames(spark, "/root/testdata/sf0.001")
+    assert whole["f_fact_raw"].count() > 0
+    mine = derived.DerivedFrames(spark, "/root/testdata/sf0.001")
+    few = whole["f_claim"].filter("order_key % 50 = 0")
+    mine._built["f_claim"] = few.unionByName(few)
+    assert mine._derive("f_fact").join(few, "claim_id", "left_anti").isEmpty()
